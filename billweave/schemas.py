@@ -1,12 +1,20 @@
 """Declared columns of the billing tables (the fields the operators read)."""
 
-from pyspark.sql import types as T
+import re
 
 _MONEY = "decimal(18,4)"
 
+Fields = dict[str, str]
 
-def _schema(text: str) -> T.StructType:
-    return T.StructType.fromDDL(text)
+
+def _schema(text: str) -> Fields:
+    """Column name to Spark type, from "name type, name type" text."""
+    pairs = re.findall(r"(\w+)\s+([a-z]+(?:\(\d+,\d+\))?)", text)
+    return dict(pairs)
+
+
+def ddl(fields: Fields) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind in fields.items())
 
 
 # The columns of any task table; a shard that lacks one gets nulls.
@@ -17,7 +25,7 @@ TASK_FIELDS = _schema(
     guid string, subscription_id bigint, product_id bigint"""
 )
 
-TABLES: dict[str, T.StructType] = {
+TABLES: dict[str, Fields] = {
     "invoice": _schema(
         f"""id bigint, alternate_id string, guid string, invoice_date date, due_date date,
         partner_id bigint, company_id bigint, status string, total {_MONEY}, balance {_MONEY},
@@ -109,7 +117,7 @@ FRESHNESS_TABLES = [
 
 def empty(spark, name: str):
     """An empty DataFrame of a declared table."""
-    return spark.createDataFrame([], TABLES[name])
+    return spark.createDataFrame([], ddl(TABLES[name]))
 
 
 def require_columns(df, columns) -> None:

@@ -1,7 +1,6 @@
 """Session settings every job relies on."""
 
 import os
-import tempfile
 
 from pyspark.sql import SparkSession
 
@@ -37,11 +36,3 @@ def local_session(cores: int = 8, app: str = "billweave") -> SparkSession:
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
-
-def checkpoint_folder(spark: SparkSession) -> str:
-    """The folder for checkpoints: the cluster's, or one of our own where the cluster names none."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="billweave-checkpoint-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder

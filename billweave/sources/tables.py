@@ -9,11 +9,10 @@ from pathlib import PurePosixPath
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from billweave.constants import ARREARS_BILL_METHOD, ARREARS_TABLES, BILLING_METHODS
 from billweave.functions import dates, labels
-from billweave.schemas import TASK_FIELDS
+from billweave.schemas import TASK_FIELDS, Fields, ddl
 
 _NAME = re.compile(r"[A-Za-z0-9_.]+")
 
@@ -30,7 +29,7 @@ def schema_prefix(schema: str) -> str:
 class ParquetTables:
     """Tables stored as `<root>/<name>.parquet`, a file or a folder, on any file system Spark reads."""
 
-    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, T.StructType] | None = None):
+    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, Fields] | None = None):
         self.spark = spark
         self.root = root.rstrip("/")
         self.schemas = schemas or {}
@@ -41,7 +40,7 @@ class ParquetTables:
     def table(self, name: str) -> DataFrame:
         reader = self.spark.read
         if name in self.schemas:
-            reader = reader.schema(self.schemas[name])
+            reader = reader.schema(ddl(self.schemas[name]))
         return reader.parquet(self.path(name))
 
     def exists(self, name: str) -> bool:
@@ -115,7 +114,7 @@ def run_sql(spark: SparkSession, text: str, **parameters) -> DataFrame:
 
 
 def union_shards(
-    source: Tables, names: Sequence[str], condition: Column | None = None, fields: T.StructType = TASK_FIELDS
+    source: Tables, names: Sequence[str], condition: Column | None = None, fields: Fields = TASK_FIELDS
 ) -> DataFrame:
     """One relation over sharded task tables: a `task_table` label, missing columns filled with null.
 
@@ -128,7 +127,8 @@ def union_shards(
             df = df.filter(condition)
         present = set(df.columns)
         columns = [
-            (F.col(f.name) if f.name in present else F.lit(None)).cast(f.dataType).alias(f.name) for f in fields
+            (F.col(column) if column in present else F.lit(None)).cast(kind).alias(column)
+            for column, kind in fields.items()
         ]
         return df.select(F.lit(name).alias("task_table"), *columns)
 
