@@ -157,3 +157,21 @@ def exact_percentiles(
         for p in percents
     ]
     return summary.select(*keys, "n", "total", "smallest", "largest", *fractions)
+
+
+def carried(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, column: str, name: str
+) -> DataFrame:
+    """The last non-null value of `column` at or before each row of the key."""
+    keys = list(keys)
+    position = F.struct(*order)
+    cut = df.withColumn(BUCKET, bucket)
+    upto = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    known = F.when(F.col(column).isNotNull(), position)
+    tails = cut.groupBy(*keys, BUCKET).agg(F.max_by(column, known).alias("_tail"))
+    earlier = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    before = tails.select(*keys, BUCKET, F.last("_tail", ignorenulls=True).over(earlier).alias("_before"))
+    joined = null_safe_join(
+        cut.withColumn("_near", F.last(column, ignorenulls=True).over(upto)), before, [*keys, BUCKET]
+    )
+    return joined.withColumn(name, F.coalesce("_near", "_before")).drop(BUCKET, "_near", "_before")
