@@ -18,6 +18,10 @@ OVERVIEW = [
 ]
 
 
+def full_name() -> Column:
+    return F.concat(F.col("first_name"), F.lit(" "), F.col("last_name"))
+
+
 def choose_lines(
     invoices: DataFrame, subscriptions: DataFrame, invoice_id: int | str | None = None, subscription_id: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
@@ -52,7 +56,7 @@ def invoice_subscriptions(
         F.col("id").alias("rate_plan_id"),
         F.col("start_date").alias("rate_plan_start_date"),
         F.col("end_date").alias("rate_plan_end_date"),
-        F.concat_ws(" ", "first_name", "last_name").alias("rate_plan_creator"),
+        full_name().alias("rate_plan_creator"),
     )
     item_columns = items.select(
         F.col("id").alias("completed_line_item_id"), "term_in_months",
@@ -151,7 +155,7 @@ def version_details(
         F.col("id").alias("commitment_term_id"), F.col("term_in_months").alias("commitment_term_in_months")
     )
     editors = users.select(
-        F.col("id").alias("approving_user_id"), F.concat_ws(" ", "first_name", "last_name").alias("modified_by"),
+        F.col("id").alias("approving_user_id"), full_name().alias("modified_by"),
         F.col("email").alias("modified_by_email"),
     )
     monthly = F.try_divide(F.col("gross_revenue").cast("double"), F.col("term_in_months").cast("double"))
