@@ -1,8 +1,13 @@
 """All statements by query name."""
 
-from oracle import kpi_statements, reconcile_statements, task_statements
+from oracle import charge_statements, kpi_statements, reconcile_statements, task_statements
 
-PARTS = [task_statements.STATEMENTS, kpi_statements.STATEMENTS, reconcile_statements.STATEMENTS]
+PARTS = [
+    task_statements.STATEMENTS,
+    kpi_statements.STATEMENTS,
+    reconcile_statements.STATEMENTS,
+    charge_statements.STATEMENTS,
+]
 
 
 def all_statements() -> dict[str, str]:
