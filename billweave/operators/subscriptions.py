@@ -158,7 +158,7 @@ def version_details(
         F.col("id").alias("approving_user_id"), full_name().alias("modified_by"),
         F.col("email").alias("modified_by_email"),
     )
-    monthly = F.try_divide(F.col("gross_revenue").cast("double"), F.col("term_in_months").cast("double"))
+    monthly = F.try_divide(F.col("gross_revenue").cast("decimal(18,4)"), F.col("term_in_months"))
     return (
         subscriptions.join(prices, "completed_line_id", "left")
         .join(goods, "product_id", "left")
@@ -193,7 +193,7 @@ def with_latest_co_term(details: DataFrame, instructions: DataFrame, bucket: Col
 def metrics(subscriptions: DataFrame, items: DataFrame, as_of: date) -> DataFrame:
     """Days active and monthly revenue of every subscription."""
     prices = items.select(F.col("id").alias("completed_line_id"), "gross_revenue", "term_in_months")
-    monthly = F.try_divide(F.col("gross_revenue").cast("double"), F.col("term_in_months").cast("double"))
+    monthly = F.try_divide(F.col("gross_revenue").cast("decimal(18,4)"), F.col("term_in_months"))
     return (
         subscriptions.join(prices, "completed_line_id", "left")
         .distinct()
@@ -251,7 +251,7 @@ def revenue_variance(monthly: DataFrame, months: int = 6) -> DataFrame:
     ).filter(F.col("_n") <= months)
     in_order = by_subscription.orderBy("invoice_month")
     revenue, quantity = F.col("total_revenue"), F.col("total_quantity")
-    unit = F.try_divide(revenue.cast("double"), quantity.cast("double"))
+    unit = F.try_divide(revenue, quantity)
     with_unit = latest.withColumn("revenue_to_quantity_ratio", unit)
     previous = {
         "total_revenue": "prev_revenue",

@@ -5,9 +5,9 @@ from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
-from billweave.plans import charge_queries, kpi_queries, reconcile_queries, task_queries
+from billweave.plans import charge_queries, kpi_queries, reconcile_queries, subscription_queries, task_queries
 
-MODULES: list[ModuleType] = [task_queries, kpi_queries, reconcile_queries, charge_queries]
+MODULES: list[ModuleType] = [task_queries, kpi_queries, reconcile_queries, charge_queries, subscription_queries]
 
 Query = Callable[[SparkSession, str], DataFrame]
 
