@@ -70,12 +70,15 @@ def modifications(versions: DataFrame, bucket: Column) -> DataFrame:
     )
 
 
-def active_months(versions: DataFrame, as_of: date, carry: Sequence[str] = ()) -> DataFrame:
+def active_months(
+    versions: DataFrame, as_of: date, carry: Sequence[str] = (), since: date | None = None
+) -> DataFrame:
     """One row per subscription chain and month it is active, with the version that counts then.
 
     The versions of a chain are reduced to one row per start month first, so what follows works on at
     most one row per chain and month. A month without a change keeps the last version before it. A
-    chain ends with the end date of its last version, else with `as_of`.
+    chain ends with the end date of its last version, else with `as_of`. `since` keeps the months from
+    there on; earlier ones are never generated.
 
     `versions` is the result of `modifications`.
     """
@@ -113,8 +116,11 @@ def active_months(versions: DataFrame, as_of: date, carry: Sequence[str] = ()) -
         )
         .filter(F.col("_from") <= F.col("_to"))
     )
-    exploded = spans.withColumn(
-        "transaction_month", F.explode(F.sequence("_from", "_to", F.expr("interval 1 month")))
+    shown = F.col("_from") if since is None else F.greatest(F.col("_from"), F.lit(dates.month_start(since)))
+    exploded = (
+        spans.withColumn("_shown", shown)
+        .filter(F.col("_shown") <= F.col("_to"))
+        .withColumn("transaction_month", F.explode(F.sequence("_shown", "_to", F.expr("interval 1 month"))))
     )
     first = F.col("transaction_month") == F.col("_from")
 

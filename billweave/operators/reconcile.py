@@ -153,8 +153,8 @@ def reconcile_invoices(
 
     invoices: invoice_id, partner_id, invoice_date. lines: line_id, invoice_id, partner_id,
     completed_line_item_id, start_period, end_period. subscriptions: partner_id, completed_line_id,
-    status, billing_cycle_start. transactions: transaction_id, partner_id, completed_line_item_id,
-    invoice_date.
+    status, billing_cycle_start. transactions: partner_id, completed_line_item_id, invoice_date; a
+    transaction is on an invoice when its item is.
 
     What is missing is counted as the partner's total minus the part found on the invoice. That needs
     only joins on keys: no row is paired with every invoice of its partner.
@@ -198,26 +198,31 @@ def reconcile_invoices(
         .agg(F.count(F.lit(1)).alias("_due_found"))
     )
     due_totals = due.groupBy("partner_id", F.col("_due_month").alias("_month")).agg(F.count(F.lit(1)).alias("_due"))
-    tx_rows = transactions.groupBy(
-        "partner_id", "completed_line_item_id", "transaction_id", dates.month_of(F.col("invoice_date")).alias("_tx_month")
-    ).agg(F.count(F.lit(1)).alias("_rows"))
-    tx_links = links.join(tx_rows, "completed_line_item_id")
-    tx_found = tx_links.groupBy("invoice_id").agg(
-        F.sum(F.col("_lines") * F.col("_rows")).alias("transaction_count"),
-        F.sum(
-            F.when((F.col("_tx_month") == F.col("_month")) & (F.col("partner_id") == F.col("_owner")), F.col("_rows"))
-        ).alias("_tx_in_month_found"),
+    # transactions are counted per item, and per (item, partner, month), before they meet the invoices
+    tx_month = dates.month_of(F.col("invoice_date")).alias("_month")
+    tx_owned = transactions.groupBy("completed_line_item_id", F.col("partner_id").alias("_owner"), tx_month).agg(
+        F.count(F.lit(1)).alias("_rows")
     )
-    tx_totals = tx_rows.groupBy("partner_id", F.col("_tx_month").alias("_month")).agg(F.sum("_rows").alias("_tx_in_month"))
+    tx_items = tx_owned.groupBy("completed_line_item_id").agg(F.sum("_rows").alias("_item_rows"))
+    tx_on_invoice = links.join(tx_items, "completed_line_item_id").groupBy("invoice_id").agg(
+        F.sum(F.col("_lines") * F.col("_item_rows")).alias("transaction_count")
+    )
+    tx_found = (
+        links.join(tx_owned, ["completed_line_item_id", "_owner", "_month"])
+        .groupBy("invoice_id")
+        .agg(F.sum("_rows").alias("_tx_in_month_found"))
+    )
+    tx_totals = tx_owned.groupBy(F.col("_owner").alias("partner_id"), "_month").agg(F.sum("_rows").alias("_tx_in_month"))
     partner_lines = lines.groupBy("partner_id").agg(F.count_distinct("line_id").alias("_partner_line_ids"))
     partner_subs = subscriptions.groupBy("partner_id").agg(
         F.count(F.lit(1)).alias("partner_subscriptions"), F.count_if(active).alias("active_subscriptions")
     )
-    partner_tx = tx_rows.groupBy("partner_id").agg(F.sum("_rows").alias("partner_transactions"))
+    partner_tx = tx_totals.groupBy("partner_id").agg(F.sum("_tx_in_month").alias("partner_transactions"))
     joined = (
         headers.join(per_line, "invoice_id", "left")
         .join(on_invoice, "invoice_id", "left")
         .join(found, "invoice_id", "left")
+        .join(tx_on_invoice, "invoice_id", "left")
         .join(tx_found, "invoice_id", "left")
         .join(due_totals, ["partner_id", "_month"], "left")
         .join(tx_totals, ["partner_id", "_month"], "left")

@@ -90,10 +90,10 @@ def subscription_changes(spark, root):
     return _money_columns(rows, "price_delta")
 
 
-def _months(spark, root):
+def _months(spark, root, since=None):
     carry = ["term", "billing_cycle_start", "commitment_term_end_date", "quantity", "price", "product_id",
              "company_id", "completed_line_id", "start_date"]
-    return charges.active_months(_versions(spark, root), HISTORY_END, carry)
+    return charges.active_months(_versions(spark, root), HISTORY_END, carry, since)
 
 
 def active_months(spark, root):
@@ -107,7 +107,7 @@ def active_months(spark, root):
 def _projection(spark, root):
     sample = Sample(spark, root)
     due = (
-        reconcile.anniversary(charges.due_renewals(_months(spark, root), CUTOVER), sample.product())
+        reconcile.anniversary(charges.due_renewals(_months(spark, root, CUTOVER), CUTOVER), sample.product())
         .withColumnRenamed("price", "unit_price")
         .join(sample.accounts().select("company_id", "company_name", "partner_id", "partner_name", "segment"), "company_id")
         .join(

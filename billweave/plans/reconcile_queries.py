@@ -83,7 +83,7 @@ def invoice_reconciliation(spark, root):
         "company_id", "partner_id"
     )
     transactions = lines.filter(F.col("return_flag") != "R").select(
-        F.col("completed_line_item_id").alias("transaction_id"), "partner_id", "completed_line_item_id", "invoice_date"
+        "partner_id", "completed_line_item_id", "invoice_date"
     )
     return reconcile.reconcile_invoices(invoices, lines, subscriptions, transactions)
 

@@ -125,10 +125,10 @@ def revenue_variance_mom(spark, root):
     )
 
 
-def _months(spark, root):
+def _months(spark, root, since=None, until=HISTORY_END):
     sample = Sample(spark, root)
     versions = charges.modifications(sample.subscription(), F.expr("id div 4096"))
-    months = charges.active_months(versions, HISTORY_END, ["company_id", "product_id"])
+    months = charges.active_months(versions, until, ["company_id", "product_id"], since)
     return months.join(sample.accounts().select("company_id", "partner_id"), "company_id").join(
         sample.product().select(F.col("id").alias("product_id"), "vendor"), "product_id"
     )
@@ -143,18 +143,18 @@ def overview_by_vendor(spark, root):
 
 
 def overview_trend(spark, root):
-    months = _months(spark, root)
+    months = _months(spark, root, dates.months_before(MONTH, 5), MONTH)
     return subscriptions.trend(months, subscriptions.overview(months), MONTH)
 
 
 def overview_vendor_trend(spark, root):
-    months = _months(spark, root)
+    months = _months(spark, root, dates.months_before(MONTH, 5), MONTH)
     of_vendor = subscriptions.overview(months.filter(F.col("vendor") == "Brand#4"))
     return subscriptions.trend(months, of_vendor, MONTH)
 
 
 def overview_unpivot(spark, root):
-    months = _months(spark, root)
+    months = _months(spark, root, dates.months_before(MONTH, 5), MONTH)
     return subscriptions.long_form(subscriptions.trend(months, subscriptions.overview(months), MONTH))
 
 

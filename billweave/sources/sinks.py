@@ -39,3 +39,11 @@ def write_batches(
         .option("header", True)
         .csv(path)
     )
+
+
+def write_partitioned(df: DataFrame, path: str, by: Sequence[str], mode: str = "errorifexists") -> None:
+    """Parquet partitioned by columns, such as (task_table, run_on_month) or (invoice_month).
+
+    Month filters then skip whole folders. Rows are not shuffled: each task writes its own files.
+    """
+    df.write.mode(mode).partitionBy(*by).parquet(path)
