@@ -122,12 +122,12 @@ def summary(rows: DataFrame, partner_invoices: DataFrame, postings: DataFrame) -
         F.col("debit").alias("ledger_debit"),
         usd(F.col("debit"), F.col("currency_code")).alias("ledger_debit_usd"),
     )
-    per_partner = (
-        totals.join(balances, PARTNER_MONTH, "left")
-        .join(counts, PARTNER_MONTH, "left")
-        .withColumn("ledger_duplicate_present", F.coalesce("ledger_duplicate_present", F.lit(False)))
-    )
-    return per_partner.join(details, PARTNER_MONTH, "left")
+    per_partner = totals.join(balances, PARTNER_MONTH, "left").join(counts, PARTNER_MONTH, "left")
+    settled = F.col("ledger_duplicate_present").isNotNull()
+    # an inner join plus the rest, not a left join: a partner-month with very many postings can then be split
+    with_postings = per_partner.filter(settled).join(details, PARTNER_MONTH)
+    without = per_partner.filter(~settled).withColumn("ledger_duplicate_present", F.lit(False))
+    return with_postings.unionByName(without, allowMissingColumns=True)
 
 
 def in_range(rows: DataFrame, start: date | None, end: date | None, partner_id: int | None = None) -> DataFrame:

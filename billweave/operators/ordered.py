@@ -2,7 +2,8 @@
 
 A plain window sends all rows of a key to one task. The helpers below cut the rows of a key into
 buckets that follow the order, do the fine work per (key, bucket) and only bring one row per bucket
-to the key level. The `bucket` argument must never decrease while the first sort key grows.
+to the key level. The `bucket` argument must never decrease while the first sort key grows;
+`range_bucket` makes one.
 """
 
 from collections.abc import Sequence
@@ -25,6 +26,18 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"_right_{key}" for key in keys])
 
 
+def range_bucket(df: DataFrame, column: str, buckets: int = 4096) -> Column:
+    """A bucket for the ordered helpers: equal ranges between the column's smallest and largest value.
+
+    Both bounds come from a scalar subquery over that one column, so the number of buckets stays the
+    same however large the table or its ids grow.
+    """
+    bounds = df.agg(F.struct(F.min(column).alias("low"), F.max(column).alias("high"))).scalar()
+    low = bounds.getField("low").cast("double")
+    width = bounds.getField("high").cast("double") - low + F.lit(1.0)
+    return F.floor((F.col(column).cast("double") - low) / width * F.lit(float(buckets)))
+
+
 def numbered(
     df: DataFrame,
     keys: Sequence[str],

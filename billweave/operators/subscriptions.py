@@ -282,13 +282,20 @@ def overview(months: DataFrame, keys: Sequence[str] = ("transaction_month",)) ->
     )
 
 
-def trend(months: DataFrame, summary: DataFrame, month: date, last: int = 6) -> DataFrame:
-    """The summary of the last months that have any subscription; a month without summary row is null."""
+def trend(summary: DataFrame, month: date, last: int = 6, months: DataFrame | None = None) -> DataFrame:
+    """The summary of the last months.
+
+    With `months` (the active months of all subscriptions), every month that has any subscription is
+    listed; one without a summary row, such as a vendor's month without subscriptions, is null.
+    """
     in_range = F.col("transaction_month").between(
         F.lit(dates.months_before(month, last - 1)), F.lit(dates.month_start(month))
     )
+    recent = summary.filter(in_range)
+    if months is None:
+        return recent
     calendar = months.filter(in_range).select("transaction_month").distinct()
-    return calendar.join(summary.filter(in_range), "transaction_month", "left")
+    return calendar.join(recent, "transaction_month", "left")
 
 
 def long_form(summary: DataFrame, measures: Sequence[str] = tuple(OVERVIEW)) -> DataFrame:

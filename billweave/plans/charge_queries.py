@@ -6,14 +6,13 @@ from pyspark.sql import functions as F
 
 from billweave.functions import dates
 from billweave.functions.numbers import money, usd
-from billweave.operators import bob, charges, exports, extracts, reconcile
+from billweave.operators import bob, charges, exports, extracts, ordered, reconcile
 from billweave.plans.sample import ORDERS_AS_OF, Sample
 from billweave.sources import sinks
 
 MONTH = ORDERS_AS_OF
 HISTORY_END = date(2001, 8, 1)
 CUTOVER = date(1999, 12, 1)
-ID_BUCKET = "id div 4096"
 
 
 def _money_columns(df, *names, digits=2):
@@ -23,7 +22,9 @@ def _money_columns(df, *names, digits=2):
 def _duplicates(spark, root):
     lines = Sample(spark, root).line()
     order = [F.col("product_id"), F.col("supplier_id"), F.col("total")]
-    return charges.duplicate_lines(lines, order, F.expr("product_id div 1024"), ["invoice_id", "line_number"])
+    return charges.duplicate_lines(
+        lines, order, ordered.range_bucket(lines, "product_id"), ["invoice_id", "line_number"]
+    )
 
 
 def duplicate_lines(spark, root):
@@ -79,7 +80,8 @@ def duplicate_ledger_upload(spark, root):
 
 
 def _versions(spark, root):
-    return charges.modifications(Sample(spark, root).subscription(), F.expr(ID_BUCKET))
+    rows = Sample(spark, root).subscription()
+    return charges.modifications(rows, ordered.range_bucket(rows, "id"))
 
 
 def subscription_changes(spark, root):
@@ -262,7 +264,7 @@ def order_upload(spark, root):
 
 def batch_assignment(spark, root):
     invoices = Sample(spark, root).raw("orders").select(F.col("o_orderkey").alias("id"))
-    batched = sinks.assign_batches(invoices, [F.col("id")], F.expr("id div 1024"), 700)
+    batched = sinks.assign_batches(invoices, [F.col("id")], ordered.range_bucket(invoices, "id"), 700)
     return batched.withColumn("file_name", sinks.batch_file_name("invoices", F.col("batch"), "2000-06-01"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from billweave.functions import dates, labels, numbers
 from billweave.functions.numbers import money
-from billweave.operators import charges, extracts, subscriptions
+from billweave.operators import charges, extracts, ordered, subscriptions
 from billweave.plans.sample import EVENT_METHODS, EVENTS_DAY, ORDERS_AS_OF, Sample
 
 MONTH = ORDERS_AS_OF
@@ -76,7 +76,7 @@ def related_records(spark, root):
     chain = sample.subscription().withColumn("commitment_term_id", F.col("product_id"))
     details = subscriptions.version_details(chain, _items(sample), sample.product(), terms, _users(sample))
     rows = subscriptions.with_latest_co_term(
-        details, subscriptions.latest_instructions(tasks), F.expr("id div 4096")
+        details, subscriptions.latest_instructions(tasks), ordered.range_bucket(chain, "id")
     )
     return rows.select(
         "id", "original_subscription_id", "status", "quantity", "start_date", "end_date", "commitment_term_end_date",
@@ -127,7 +127,8 @@ def revenue_variance_mom(spark, root):
 
 def _months(spark, root, since=None, until=HISTORY_END):
     sample = Sample(spark, root)
-    versions = charges.modifications(sample.subscription(), F.expr("id div 4096"))
+    rows = sample.subscription()
+    versions = charges.modifications(rows, ordered.range_bucket(rows, "id"))
     months = charges.active_months(versions, until, ["company_id", "product_id"], since)
     return months.join(sample.accounts().select("company_id", "partner_id"), "company_id").join(
         sample.product().select(F.col("id").alias("product_id"), "vendor"), "product_id"
@@ -144,18 +145,18 @@ def overview_by_vendor(spark, root):
 
 def overview_trend(spark, root):
     months = _months(spark, root, dates.months_before(MONTH, 5), MONTH)
-    return subscriptions.trend(months, subscriptions.overview(months), MONTH)
+    return subscriptions.trend(subscriptions.overview(months), MONTH)
 
 
 def overview_vendor_trend(spark, root):
     months = _months(spark, root, dates.months_before(MONTH, 5), MONTH)
     of_vendor = subscriptions.overview(months.filter(F.col("vendor") == "Brand#4"))
-    return subscriptions.trend(months, of_vendor, MONTH)
+    return subscriptions.trend(of_vendor, MONTH, months=months)
 
 
 def overview_unpivot(spark, root):
     months = _months(spark, root, dates.months_before(MONTH, 5), MONTH)
-    return subscriptions.long_form(subscriptions.trend(months, subscriptions.overview(months), MONTH))
+    return subscriptions.long_form(subscriptions.trend(subscriptions.overview(months), MONTH))
 
 
 def extract_invoice_rows(spark, root):

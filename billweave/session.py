@@ -31,6 +31,8 @@ def local_session(cores: int = 8, app: str = "billweave") -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.host", "127.0.0.1")
+        # no Python call sites in error messages: they cost a round trip per column expression
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     spark = configure(builder.getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

@@ -105,9 +105,9 @@ def _usage() -> str:
         sub_end_date, arrears_subscription_id, original_subscription_id, region AS business_unit, type,
         CASE WHEN size <= 28 THEN size END AS billing_task_run_day, {usd},
         {money('(current_month - prior_month) * rate')} AS prior_vs_current_revenue_difference,
-        round({change('current_month', 'prior_month')} * 100, 3) AS percentage_change,
-        round({change('current_month', 'five_months_prior')} * 100, 3) AS percentage_change_5_months,
-        round(({steps}) / 6 * 100, 3) AS avg_6_month_percentage_variance, current_month_quantity
+        round({change('current_month', 'prior_month')} * 100, 3) + 0.0 AS percentage_change,
+        round({change('current_month', 'five_months_prior')} * 100, 3) + 0.0 AS percentage_change_5_months,
+        round(({steps}) / 6 * 100, 3) + 0.0 AS avg_6_month_percentage_variance, current_month_quantity
     FROM u"""
     extra = f"""u AS (
         SELECT a.partner_id, a.partner_name, p.vendor, p.id AS product_id, p.name AS subscription_product_name, p.size,

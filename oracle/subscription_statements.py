@@ -92,7 +92,8 @@ lg AS (
 
 
 def _pct(a: str, b: str) -> str:
-    return f"round(({a} - {b}) / nullif({b}, 0) * 100, 3)"
+    # adding zero turns a negative zero, which only one engine produces, into zero
+    return f"round(({a} - {b}) / nullif({b}, 0) * 100, 3) + 0.0"
 
 
 _D = "CAST({} AS DOUBLE)"

@@ -21,6 +21,15 @@ def test_numbered_equals_a_plain_window(spark):
     assert rows_of(got, "id", "key", "rn", "n") == rows_of(want, "id", "key", "rn", "n")
 
 
+def test_range_buckets_follow_the_order_and_stay_few(spark):
+    df = skewed(spark).withColumn("big", F.col("id") * 10**12)
+    bucket = df.select("big", ordered.range_bucket(df, "big", 16).alias("b"))
+    assert bucket.agg(F.min("b"), F.max("b"), F.count_distinct("b")).first()[:] == (0, 15, 16)
+    got = ordered.numbered(df, ["key"], [F.col("big")], ordered.range_bucket(df, "big", 16), "rn")
+    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("big")))
+    assert rows_of(got, "id", "rn") == rows_of(want, "id", "rn")
+
+
 def test_numbered_without_keys_numbers_the_table(spark):
     got = ordered.numbered(skewed(spark), [], [F.col("id")], F.expr("id div 64"), "rn")
     assert rows_of(got, "id", "rn") == sorted([(i, i + 1) for i in range(3000)], key=repr)
