@@ -239,7 +239,7 @@ def vendor_months(amounts: DataFrame, month: str, measure: str) -> DataFrame:
     monthly = amounts.groupBy("vendor", month).agg(F.sum(measure).alias(measure))
     wide = with_prior_months(monthly, ["vendor"], month, [measure])
     ranking = Window.partitionBy(month).orderBy(F.col(f"{measure}_current_month").desc_nulls_last())
-    return wide.withColumn("current_month_rank", F.rank().over(ranking))
+    return wide.withColumn("current_month_rank", F.rank().over(ranking).cast("bigint"))
 
 
 def top_vendors(mart: DataFrame, column: str, measure: str, month: date, top: int = 5) -> DataFrame:

@@ -1,9 +1,9 @@
 """Ordered computations that stay distributed when one key holds a large share of the rows.
 
-A plain window sends all rows of a key to one task. The helpers below cut the rows of a key into
-buckets that follow the order, do the fine work per (key, bucket) and only bring one row per bucket
-to the key level. The `bucket` argument must never decrease while the first sort key grows;
-`range_bucket` makes one.
+A plain window sends all rows of a key to one task. That is right for most keys: one shuffle, no more.
+The rows of hot keys (see `is_hot`) take another way: they are cut into buckets that follow the order,
+the fine work is done per (key, bucket), and only one row per bucket comes to the key level. The
+`bucket` argument must never decrease while the first sort key grows; `range_bucket` makes one.
 """
 
 from collections.abc import Sequence
@@ -38,6 +38,29 @@ def range_bucket(df: DataFrame, column: str, buckets: int = 4096) -> Column:
     return F.floor((F.col(column).cast("double") - low) / width * F.lit(float(buckets)))
 
 
+def is_hot(df: DataFrame, keys: Sequence[str], share: int = 1000, at_least: int = 100_000) -> Column:
+    """Whether a row's key holds more than 1/share of all rows, and more than `at_least` rows.
+
+    There can be fewer than `share` such keys, so their hashes fit in one small array, computed as a
+    scalar subquery. A key that only shares a hash with a hot one is treated as hot: that costs time,
+    not correctness.
+    """
+    key_hash = F.xxhash64(*keys)
+    rows = df.agg(F.count(F.lit(1)).alias("rows")).scalar()
+    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    hot = sizes.filter((F.col("_n") > at_least) & (F.col("_n") * share > rows))
+    hashes = hot.agg(F.collect_set(key_hash).alias("hashes")).scalar()
+    return F.array_contains(hashes, key_hash)
+
+
+def _by_heat(df: DataFrame, keys: Sequence[str], at_least: int, cold, hot) -> DataFrame:
+    """Apply `cold` to the rows of ordinary keys and `hot` to those of hot keys."""
+    if not keys:
+        return hot(df)
+    heat = is_hot(df, keys, at_least=at_least)
+    return cold(df.filter(~heat)).unionByName(hot(df.filter(heat)))
+
+
 def numbered(
     df: DataFrame,
     keys: Sequence[str],
@@ -45,28 +68,37 @@ def numbered(
     bucket: Column,
     number: str = "row_number",
     total: str | None = None,
+    hot_rows: int = 100_000,
 ) -> DataFrame:
     """Row number within the keys, and optionally the number of rows of the key.
 
     Without keys it numbers the whole table, still without a one-partition window over its rows.
     """
     keys = list(keys)
-    cut = df.withColumn(BUCKET, bucket)
-    sizes = cut.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("_size"))
     by_key = Window.partitionBy(*keys)
-    earlier = by_key.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *keys,
-        BUCKET,
-        F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"),
-        F.sum("_size").over(by_key).alias("_total"),
-    )
-    within = Window.partitionBy(*keys, BUCKET).orderBy(*order)
-    joined = null_safe_join(cut.withColumn("_within", F.row_number().over(within)), offsets, [*keys, BUCKET])
-    result = joined.withColumn(number, F.col("_within") + F.col("_offset"))
-    if total is not None:
-        result = result.withColumn(total, F.col("_total"))
-    return result.drop(BUCKET, "_within", "_offset", "_total")
+
+    def cold(rows: DataFrame) -> DataFrame:
+        numbers = rows.withColumn(number, F.row_number().over(by_key.orderBy(*order)).cast("bigint"))
+        return numbers if total is None else numbers.withColumn(total, F.count(F.lit(1)).over(by_key))
+
+    def hot(rows: DataFrame) -> DataFrame:
+        cut = rows.withColumn(BUCKET, bucket)
+        sizes = cut.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("_size"))
+        earlier = by_key.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+        offsets = sizes.select(
+            *keys,
+            BUCKET,
+            F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"),
+            F.sum("_size").over(by_key).alias("_total"),
+        )
+        within = Window.partitionBy(*keys, BUCKET).orderBy(*order)
+        joined = null_safe_join(cut.withColumn("_within", F.row_number().over(within)), offsets, [*keys, BUCKET])
+        result = joined.withColumn(number, F.col("_within") + F.col("_offset"))
+        if total is not None:
+            result = result.withColumn(total, F.col("_total"))
+        return result.drop(BUCKET, "_within", "_offset", "_total")
+
+    return _by_heat(df, keys, hot_rows, cold, hot)
 
 
 def lagged(
@@ -75,22 +107,63 @@ def lagged(
     order: Sequence[str],
     bucket: Column,
     columns: dict[str, str],
+    hot_rows: int = 100_000,
 ) -> DataFrame:
     """Previous row's values within the keys: `columns` maps source column to new name."""
     keys = list(keys)
     packed = F.struct(*[F.col(c).alias(new) for c, new in columns.items()])
-    position = F.struct(*[F.col(c) for c in order])
-    cut = df.withColumn(BUCKET, bucket).withColumn("_packed", packed)
-    within = Window.partitionBy(*keys, BUCKET).orderBy(*order)
-    tails = cut.groupBy(*keys, BUCKET).agg(F.max_by("_packed", position).alias("_tail"))
-    carried = tails.select(
-        *keys, BUCKET, F.lag("_tail").over(Window.partitionBy(*keys).orderBy(BUCKET)).alias("_carried")
-    )
-    joined = null_safe_join(cut.withColumn("_near", F.lag("_packed").over(within)), carried, [*keys, BUCKET])
-    previous = F.coalesce(F.col("_near"), F.col("_carried"))
-    return joined.withColumn("_previous", previous).select(
-        *[c for c in df.columns], *[F.col(f"_previous.{new}").alias(new) for new in columns.values()]
-    )
+
+    def unpacked(rows: DataFrame, previous: Column) -> DataFrame:
+        return rows.withColumn("_previous", previous).select(
+            *df.columns, *[F.col(f"_previous.{new}").alias(new) for new in columns.values()]
+        )
+
+    def cold(rows: DataFrame) -> DataFrame:
+        return unpacked(rows, F.lag(packed).over(Window.partitionBy(*keys).orderBy(*order)))
+
+    def hot(rows: DataFrame) -> DataFrame:
+        cut = rows.withColumn(BUCKET, bucket).withColumn("_packed", packed)
+        within = Window.partitionBy(*keys, BUCKET).orderBy(*order)
+        tails = cut.groupBy(*keys, BUCKET).agg(F.max_by("_packed", F.struct(*order)).alias("_tail"))
+        carried = tails.select(
+            *keys, BUCKET, F.lag("_tail").over(Window.partitionBy(*keys).orderBy(BUCKET)).alias("_carried")
+        )
+        joined = null_safe_join(cut.withColumn("_near", F.lag("_packed").over(within)), carried, [*keys, BUCKET])
+        return unpacked(joined, F.coalesce("_near", "_carried"))
+
+    return _by_heat(df, keys, hot_rows, cold, hot)
+
+
+def carried(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    bucket: Column,
+    column: str,
+    name: str,
+    hot_rows: int = 100_000,
+) -> DataFrame:
+    """The last non-null value of `column` at or before each row of the key."""
+    keys = list(keys)
+    upto_row = (Window.unboundedPreceding, 0)
+
+    def cold(rows: DataFrame) -> DataFrame:
+        upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*upto_row)
+        return rows.withColumn(name, F.last(column, ignorenulls=True).over(upto))
+
+    def hot(rows: DataFrame) -> DataFrame:
+        cut = rows.withColumn(BUCKET, bucket)
+        upto = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(*upto_row)
+        known = F.when(F.col(column).isNotNull(), F.struct(*order))
+        tails = cut.groupBy(*keys, BUCKET).agg(F.max_by(column, known).alias("_tail"))
+        earlier = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+        before = tails.select(*keys, BUCKET, F.last("_tail", ignorenulls=True).over(earlier).alias("_before"))
+        joined = null_safe_join(
+            cut.withColumn("_near", F.last(column, ignorenulls=True).over(upto)), before, [*keys, BUCKET]
+        )
+        return joined.withColumn(name, F.coalesce("_near", "_before")).drop(BUCKET, "_near", "_before")
+
+    return _by_heat(df, keys, hot_rows, cold, hot)
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
@@ -171,20 +244,3 @@ def exact_percentiles(
     ]
     return summary.select(*keys, "n", "total", "smallest", "largest", *fractions)
 
-
-def carried(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], bucket: Column, column: str, name: str
-) -> DataFrame:
-    """The last non-null value of `column` at or before each row of the key."""
-    keys = list(keys)
-    position = F.struct(*order)
-    cut = df.withColumn(BUCKET, bucket)
-    upto = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    known = F.when(F.col(column).isNotNull(), position)
-    tails = cut.groupBy(*keys, BUCKET).agg(F.max_by(column, known).alias("_tail"))
-    earlier = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    before = tails.select(*keys, BUCKET, F.last("_tail", ignorenulls=True).over(earlier).alias("_before"))
-    joined = null_safe_join(
-        cut.withColumn("_near", F.last(column, ignorenulls=True).over(upto)), before, [*keys, BUCKET]
-    )
-    return joined.withColumn(name, F.coalesce("_near", "_before")).drop(BUCKET, "_near", "_before")

@@ -135,6 +135,12 @@ def union_shards(
     return reduce(DataFrame.unionByName, [shard(name) for name in names])
 
 
+def existing(source: Tables, names: Sequence[str]) -> tuple[list[str], list[str]]:
+    """The names split into tables that exist and tables that do not."""
+    found = [name for name in names if source.exists(name)]
+    return found, [name for name in names if name not in found]
+
+
 def billing_tasks(
     source: Tables, names: Sequence[str], since: date, methods: Sequence[str] = tuple(BILLING_METHODS)
 ) -> DataFrame:

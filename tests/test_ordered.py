@@ -3,6 +3,8 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+import pytest
+
 from billweave.operators import ordered
 from tests.conftest import rows_of
 
@@ -13,9 +15,18 @@ def skewed(spark, n=3000):
     return spark.range(n).select("id", key.alias("key"), (F.col("id") * 7919 % 1000).alias("v"))
 
 
-def test_numbered_equals_a_plain_window(spark):
+def test_hot_keys_are_found_by_share_and_size(spark):
+    df = skewed(spark)
+    flagged = df.withColumn("hot", ordered.is_hot(df, ["key"], share=2, at_least=10))
+    assert rows_of(flagged.filter("hot").select("key").distinct()) == [("hot",)]
+    assert df.filter(ordered.is_hot(df, ["key"], share=2, at_least=5000)).count() == 0
+
+
+# with 10 rows every key is hot, with 1500 one of them, with 10 million none
+@pytest.mark.parametrize("hot_rows", [10, 1500, 10_000_000])
+def test_numbered_equals_a_plain_window(spark, hot_rows):
     df = skewed(spark)
-    got = ordered.numbered(df, ["key"], [F.col("id")], F.expr("id div 100"), "rn", "n")
+    got = ordered.numbered(df, ["key"], [F.col("id")], F.expr("id div 100"), "rn", "n", hot_rows)
     by_key = Window.partitionBy("key")
     want = df.withColumn("rn", F.row_number().over(by_key.orderBy("id"))).withColumn("n", F.count(F.lit(1)).over(by_key))
     assert rows_of(got, "id", "key", "rn", "n") == rows_of(want, "id", "key", "rn", "n")
@@ -25,7 +36,7 @@ def test_range_buckets_follow_the_order_and_stay_few(spark):
     df = skewed(spark).withColumn("big", F.col("id") * 10**12)
     bucket = df.select("big", ordered.range_bucket(df, "big", 16).alias("b"))
     assert bucket.agg(F.min("b"), F.max("b"), F.count_distinct("b")).first()[:] == (0, 15, 16)
-    got = ordered.numbered(df, ["key"], [F.col("big")], ordered.range_bucket(df, "big", 16), "rn")
+    got = ordered.numbered(df, ["key"], [F.col("big")], ordered.range_bucket(df, "big", 16), "rn", hot_rows=10)
     want = df.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("big")))
     assert rows_of(got, "id", "rn") == rows_of(want, "id", "rn")
 
@@ -35,13 +46,14 @@ def test_numbered_without_keys_numbers_the_table(spark):
     assert rows_of(got, "id", "rn") == sorted([(i, i + 1) for i in range(3000)], key=repr)
 
 
-def test_lagged_and_carried_equal_plain_windows(spark):
+@pytest.mark.parametrize("hot_rows", [10, 1500, 10_000_000])
+def test_lagged_and_carried_equal_plain_windows(spark, hot_rows):
     df = skewed(spark).withColumn("maybe", F.when(F.col("v") % 11 == 0, F.col("v")))
     order = Window.partitionBy("key").orderBy("id")
-    got = ordered.lagged(df, ["key"], ["id"], F.expr("id div 50"), {"v": "prev", "maybe": "prev_maybe"})
+    got = ordered.lagged(df, ["key"], ["id"], F.expr("id div 50"), {"v": "prev", "maybe": "prev_maybe"}, hot_rows)
     want = df.withColumn("prev", F.lag("v").over(order)).withColumn("prev_maybe", F.lag("maybe").over(order))
     assert rows_of(got, "id", "prev", "prev_maybe") == rows_of(want, "id", "prev", "prev_maybe")
-    got = ordered.carried(df, ["key"], ["id"], F.expr("id div 50"), "maybe", "last")
+    got = ordered.carried(df, ["key"], ["id"], F.expr("id div 50"), "maybe", "last", hot_rows)
     want = df.withColumn(
         "last", F.last("maybe", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     )

@@ -20,7 +20,7 @@ def test_schema_names_are_checked():
 def test_parquet_and_catalog_tables(spark, tmp_path):
     schemas.empty(spark, "currency").write.parquet(str(tmp_path / "currency.parquet"))
     source = tables.ParquetTables(spark, str(tmp_path), schemas.TABLES)
-    assert source.exists("currency") and not source.exists("invoice")
+    assert tables.existing(source, ["currency", "invoice"]) == (["currency"], ["invoice"])
     assert source.table("currency").columns == ["id", "api_code", "iso_code"]
     spark.createDataFrame([(1,)], "id long").createOrReplaceTempView("known_table")
     catalog = tables.CatalogTables(spark)
