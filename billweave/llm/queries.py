@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billweave.llm import piece_codec
+from billweave.llm import piece_codec, quality
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -27,5 +27,12 @@ def op1_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """Counts of every text, the fixed verdict and the adaptive one."""
+    judged = quality.judged(documents(spark, folder))
+    counts = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+    return judged.select("doc_id", *counts, "base_failed", "kept")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
