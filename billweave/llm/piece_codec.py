@@ -18,12 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from billweave.llm.shared import Memo, text_of
+from billweave.llm.shared import Memo, small_batches, text_of
 
 MARK = "▁"
 PARTS = re.compile(f"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
 UNJOINED = float("-inf")
-COMPATIBLE_KEPT = 1_000_000  # answers of the pair test that a task remembers
+COMPATIBLE_KEPT = 400_000  # answers of the pair test that a task remembers
 
 
 class PieceModel:
@@ -194,6 +194,7 @@ def with_pieces(docs: DataFrame, path: str, text: str = "text", ids: str = "piec
         values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(packed))])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
 
+    small_batches(docs.sparkSession)
     return docs.withColumn(ids, encode(text_of(text)))
 
 

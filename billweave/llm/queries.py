@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billweave.llm import piece_codec, quality
+from billweave.llm import piece_codec, quality, token_counts, toxicity
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -34,5 +34,18 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept")
 
 
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """Unigram token counts of every text."""
+    docs = documents(spark, folder).select("doc_id", "text")
+    return token_counts.with_token_counts(docs, PIECES).select("doc_id", "n_pretokens", "n_tokens")
+
+
+def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity score of every text, learnt from the labelled ones that are not held out."""
+    docs = documents(spark, folder).select("doc_id", "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet").select("doc_id", "toxic")
+    return toxicity.toxicity(docs, labels).select("doc_id", "held_out", "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
