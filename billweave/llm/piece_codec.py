@@ -23,7 +23,7 @@ from billweave.llm.shared import Memo, small_batches, text_of
 MARK = "▁"
 PARTS = re.compile(f"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
 UNJOINED = float("-inf")
-COMPATIBLE_KEPT = 400_000  # answers of the pair test that a task remembers
+COMPATIBLE_KEPT = 200_000  # answers of the pair test that a task remembers
 
 
 class PieceModel:

@@ -49,8 +49,8 @@ def discard(spark: SparkSession, path: str) -> None:
 
 def small_batches(spark: SparkSession) -> None:
     """Arrow batches of texts that stay small when texts are long."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "500")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -72,7 +72,7 @@ class Memo(dict):
     """Values by key, computed on first use. Two generations bound its size: what was not used since the
     last turn goes."""
 
-    def __init__(self, compute, size: int = 150_000):
+    def __init__(self, compute, size: int = 60_000):
         super().__init__()
         self.compute, self.size, self.old = compute, size, {}
 
