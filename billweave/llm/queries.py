@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billweave.llm import piece_codec, quality, token_counts, toxicity
+from billweave.llm import mixing, piece_codec, quality, token_counts, toxicity
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -40,6 +40,11 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.with_token_counts(docs, PIECES).select("doc_id", "n_pretokens", "n_tokens")
 
 
+def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    """Words that a mix of 150 % of all words takes from every document."""
+    return mixing.mixed(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity score of every text, learnt from the labelled ones that are not held out."""
     docs = documents(spark, folder).select("doc_id", "text")
