@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billweave.llm import mixing, piece_codec, quality, token_counts, toxicity
+from billweave.llm import minhash, mixing, piece_codec, quality, token_counts, toxicity
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -34,6 +34,11 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept")
 
 
+def op4_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents whose sets of two-word shingles are similar to 80 % or more."""
+    return minhash.components_of(documents(spark, folder), width=2, percent=80)
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Unigram token counts of every text."""
     docs = documents(spark, folder).select("doc_id", "text")
