@@ -2,8 +2,8 @@
 
 One hash per shingle serves all bins: its high bits name the bin, and the smallest hash of a bin is the signature there. An
 empty bin borrows from the first filled bin of a hashed sequence of its own, so two texts borrow alike. Rows of
-bins form bands, and equal bands are a bucket. A bucket of n texts gives a star and a chain, at most 2n
-candidates, never all pairs; every band orders its bucket anew, so a group is linked along many paths. Candidates
+bins form bands, and equal bands are a bucket. A bucket of n texts gives a few stars and a chain, at most 5n
+candidates, never all pairs; every band draws its centers anew, so a group is linked along many paths. Candidates
 are confirmed on the full shingle sets, and confirmed links are followed to components.
 
 With 42 bands of 6 bins a pair of similarity 0.8 meets in 11 bands on average and in none with a chance of 3 in a million.
@@ -23,6 +23,7 @@ from billweave.llm.components import components
 from billweave.llm.shared import NAMELESS, Memo, known_id, small_batches, text_of, written
 
 BINS_LOG, BANDS, ROWS = 8, 42, 6
+STARS = 3  # drawn centers of a bucket, besides the one with most copies
 BINS = 1 << BINS_LOG
 A, B, C = map(np.uint64, (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 S27, S31 = np.uint64(27), np.uint64(31)
@@ -110,52 +111,75 @@ def _sketched(docs: DataFrame, text: str, width: int, id: str) -> DataFrame:
     return written(rows.select("row", "key", "mark", "text", "s.n", "s.node", "s.bands"))
 
 
-def _star_and_chain(keys: np.ndarray, nodes: np.ndarray):
-    """Candidates (a, b) of equal keys, and one (key, node) per key: the center of its star."""
+def _stars_and_chain(keys: np.ndarray, nodes: np.ndarray, copies: np.ndarray):
+    """Candidates (a, b) of equal keys, and for each key the rows that go on: the text with most copies and one more.
+
+    A text that was copied often is what its near copies have in common, so it is always a center; others are drawn
+    anew in every band.
+    """
     order = np.lexsort((mixed(keys ^ nodes), keys))
-    keys, nodes = keys[order], nodes[order]
+    keys, nodes, copies = keys[order], nodes[order], copies[order]
+    n = len(keys)
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    lengths = np.diff(np.append(starts, len(keys)))
-    centers = np.repeat(nodes[starts], lengths)
-    star = centers != nodes
-    chain = np.concatenate(([False], keys[1:] == keys[:-1]))
-    at = np.flatnonzero(chain)
-    a = np.concatenate((centers[star], nodes[at - 1]))
-    b = np.concatenate((nodes[star], nodes[at]))
-    return a, b, keys[starts], nodes[starts]
+    lengths = np.diff(np.append(starts, n))
+    place = np.arange(n) - np.repeat(starts, lengths)
+    most = np.repeat(np.maximum.reduceat(copies, starts), lengths)
+    group = np.repeat(np.arange(len(starts)), lengths)
+    hubs = np.flatnonzero(copies == most)
+    hub = hubs[np.unique(group[hubs], return_index=True)[1]]  # the first of each key
+    many = np.repeat(lengths > 1, lengths)
+    a, b = [nodes[hub][group[many]]], [nodes[many]]
+    for k in range(STARS):
+        later = place > k
+        a.append(nodes[np.repeat(starts, lengths)[later] + k])
+        b.append(nodes[later])
+    chained = np.flatnonzero(place > STARS)
+    a.append(nodes[chained - 1])
+    b.append(nodes[chained])
+    on = np.unique(np.concatenate((hub, starts)))
+    return np.concatenate(a), np.concatenate(b), on, keys, nodes, copies
 
 
 def _task_candidates(batches):
-    """Stars and chains of what a task holds. What goes on to the other tasks is one center per key, so a bucket
-    that holds many texts sends few rows."""
+    """Stars and chains of what a task holds. What goes on to the other tasks is two rows per key at most, so a bucket
+    that holds many texts sends few."""
     for frame in batches:
         if not len(frame):
             continue
         keys = np.frombuffer(b"".join(frame["bands"]), np.uint64)
         nodes = np.repeat(frame["node"].to_numpy(np.int64).view(np.uint64), BANDS)
-        a, b, center_keys, centers = _star_and_chain(keys, nodes)
-        pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1) if len(a) else np.zeros((2, 0), np.uint64)
+        copies = np.repeat(frame["copies"].to_numpy(np.int64), BANDS)
+        a, b, on, keys, nodes, copies = _stars_and_chain(keys, nodes, copies)
+        pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)))[:, a != b], axis=1)
         yield pd.DataFrame(
             {
-                "key": np.concatenate((center_keys, pairs[0])).view(np.int64),
-                "node": np.concatenate((centers, pairs[1])).view(np.int64),
-                "linked": np.concatenate((np.zeros(len(centers), bool), np.ones(len(pairs[0]), bool))),
+                "key": np.concatenate((keys[on], pairs[0])).view(np.int64),
+                "node": np.concatenate((nodes[on], pairs[1])).view(np.int64),
+                "copies": np.concatenate((copies[on], np.zeros(pairs.shape[1], np.int64))),
             }
         )
 
 
 def candidates(sets: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a, b) of sets (node, bands)."""
+    """Distinct candidate pairs (a, b) of sets (node, copies, bands)."""
     spark = sets.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
-    local = written(sets.select("node", "bands").mapInPandas(_task_candidates, "key long, node long, linked boolean"))
-    linked = local.filter("linked").select(F.col("key").alias("a"), F.col("node").alias("b"))
-    centers = local.filter("NOT linked").select("key", "node")
-    by_key = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"))
-    far = centers.select(F.col("node").alias("b"), F.first("node").over(by_key).alias("c"), F.lag("node").over(by_key).alias("d"))
-    far = far.filter("d IS NOT NULL").select("b", F.explode(F.array("c", "d")).alias("a"))
-    far = far.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).filter("a != b")
-    return linked.unionByName(far).distinct()
+    rows = sets.select("node", "copies", "bands").mapInPandas(_task_candidates, "key long, node long, copies long")
+    local = written(rows)  # copies is 0 where (key, node) is a pair already
+    linked = local.filter("copies = 0").select(F.col("key").alias("a"), F.col("node").alias("b"))
+    centers = local.filter("copies > 0")
+    drawn = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"))
+    shared = centers.withColumn("other", F.lag("node").over(drawn)).select(
+        F.col("node").alias("b"), "other",
+        F.max(F.struct("copies", "node")).over(Window.partitionBy("key")).getField("node").alias("hub"),
+        *[F.nth_value("node", k + 1).over(drawn.rowsBetween(Window.unboundedPreceding, 0)).alias(f"c{k}") for k in range(STARS)],
+        F.lead("node").over(drawn).alias("next"),
+    )
+    shared = shared.filter("other IS NOT NULL OR next IS NOT NULL")
+    ends = F.array_distinct(F.array_except(F.array_compact(F.array("other", "hub", *[f"c{k}" for k in range(STARS)])), F.array("b")))
+    far = shared.select("b", F.explode(ends).alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    ordered = linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    return ordered.unionByName(far).distinct()
 
 
 def _confirmed(pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -188,8 +212,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id: str
     """
     rows = _sketched(docs, text, width, id)
     full = rows.filter("node IS NOT NULL")
-    sets = full.groupBy("node").agg(F.min("bands").alias("bands"), F.min("n").alias("n"))
-    sets = sets.repartition("node")
+    sets = full.groupBy("node").agg(F.min("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
     pairs = candidates(sets)
     sizes = full.select("node", "n").distinct()
     sized = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
