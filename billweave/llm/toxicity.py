@@ -64,7 +64,7 @@ def _sigmoid(x):
 def _shard_learner(held, bits: int):
     """The function that runs one pass over the rows of a shard, from the broadcast state."""
 
-    def one_shard(key, frame: pd.DataFrame) -> pd.DataFrame:
+    def one_shard(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         size = (1 << bits) + 1  # the last coordinate is the bias
         z, n = np.zeros(size), np.zeros(size)
         z[held.value[0]], n[held.value[0]] = held.value[1], held.value[2]
@@ -141,9 +141,14 @@ def learn(labelled: DataFrame, bits: int = BITS, passes: int = PASSES, most: int
     for _ in range(passes):
         learner = _shard_learner(spark.sparkContext.broadcast(state), bits)
         parts = sample.groupBy("shard").applyInPandas(learner, STATE)
-        rows = parts.toPandas().sort_values(["coordinate", "shard"], kind="stable")  # SHARDS rows per coordinate at most
-        mean = rows.groupby("coordinate")[["z", "n"]].sum() / SHARDS
-        state = (mean.index.to_numpy(np.int64), mean["z"].to_numpy(), mean["n"].to_numpy())
+        each = F.array_sort(F.collect_list(F.struct("shard", "z", "n")))  # SHARDS entries at most, always added in one order
+
+        def mean(name: str):
+            return (F.aggregate("each", F.lit(0.0), lambda total, e: total + e[name]) / SHARDS).alias(name)
+
+        means = parts.groupBy("coordinate").agg(each.alias("each")).select("coordinate", mean("z"), mean("n"))
+        rows = means.orderBy("coordinate").toPandas()
+        state = tuple(rows[c].to_numpy() for c in ("coordinate", "z", "n"))
     weights = _weights(state[1], state[2])
     kept = np.flatnonzero(weights)
     return state[0][kept], weights[kept]
