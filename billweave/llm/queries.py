@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billweave.llm import minhash, mixing, piece_codec, quality, token_counts, toxicity
+from billweave.llm import minhash, mixing, piece_codec, quality, token_counts, toxicity, vector_dedup
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -50,6 +50,11 @@ def op7_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mixed(documents(spark, folder)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op8_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Links and components of vectors of one label with a cosine of 0.93 or more."""
+    return vector_dedup.linked(spark.read.parquet(f"{folder}/embeddings.parquet"), threshold=0.93)
+
+
 def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity score of every text, learnt from the labelled ones that are not held out."""
     docs = documents(spark, folder).select("doc_id", "text")
