@@ -15,6 +15,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -89,26 +90,29 @@ def band_keys(values: np.ndarray) -> np.ndarray:
     return keys
 
 
-def _sketched(docs: DataFrame, text: str, width: int, id: str) -> DataFrame:
-    """(row, key, mark, text, n, node, bands) of every row, written once. `node` stands for a shingle set: 64 bits of
+def _sketched(docs: DataFrame, text: str, width: int, id: str, keep: list[str]) -> DataFrame:
+    """(row, key, mark, packed, n, node, bands) of every row, written once; `packed` is the compressed text. `node` stands for a shingle set: 64 bits of
     its digest, null for an empty set; `mark` tells repeated rows apart."""
 
-    @F.arrow_udf("n long, node long, bands binary")
+    @F.arrow_udf("n long, node long, bands binary, packed binary")
     def sketch(texts: pa.Array) -> pa.Array:
         _memo().turn()
-        sizes, nodes, bands = [], [], []
+        sizes, nodes, bands, packed = [], [], [], []
+        squeeze = zstandard.ZstdCompressor(level=6).compress
         for value in texts.to_pylist():
             x = shingles(value, width)
             sizes.append(len(x))
             nodes.append(xxhash.xxh3_64_intdigest(x.tobytes()) - (1 << 63) if len(x) else None)
             bands.append(band_keys(signature(x)).tobytes() if len(x) else None)
+            packed.append(squeeze(value.encode()))
         columns = [pa.array(sizes, pa.int64()), pa.array(nodes, pa.int64()), pa.array(bands, pa.binary())]
-        return pa.StructArray.from_arrays(columns, ["n", "node", "bands"])
+        columns.append(pa.array(packed, pa.binary()))
+        return pa.StructArray.from_arrays(columns, ["n", "node", "bands", "packed"])
 
     small_batches(docs.sparkSession)
-    rows = docs.select(F.struct(*docs.columns).alias("row"), known_id(id, text).alias("key"), text_of(text).alias("text"))
+    rows = docs.select(F.struct(*keep).alias("row"), known_id(id, text).alias("key"), text_of(text).alias("text"))
     rows = rows.withColumn("s", sketch("text")).withColumn("mark", F.monotonically_increasing_id())
-    return written(rows.select("row", "key", "mark", "text", "s.n", "s.node", "s.bands"))
+    return written(rows.select("row", "key", "mark", "s.packed", "s.n", "s.node", "s.bands"))
 
 
 def _stars_and_chain(keys: np.ndarray, nodes: np.ndarray, copies: np.ndarray):
@@ -189,11 +193,12 @@ def _confirmed(pairs: DataFrame, width: int, percent: int) -> DataFrame:
         for frame in batches:
             _memo().turn()
             held: dict[int, np.ndarray] = {}
+            open_text = zstandard.ZstdDecompressor().decompress
             good = []
             for a, b, left, right in zip(frame["a"], frame["b"], frame["left"], frame["right"]):
-                for node, text in ((a, left), (b, right)):
+                for node, packed in ((a, left), (b, right)):
                     if node not in held:
-                        held[node] = shingles(text, width)
+                        held[node] = shingles(open_text(packed).decode(), width)
                 x, y = held[a], held[b]
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 good.append(100 * common >= percent * (len(x) + len(y) - common))
@@ -202,15 +207,15 @@ def _confirmed(pairs: DataFrame, width: int, percent: int) -> DataFrame:
     return pairs.mapInPandas(confirm, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """(row, key, mark, n, component, chosen) of every row of `docs`: `row` holds its columns, `component` the smallest id
+def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text", keep=None) -> DataFrame:
+    """(row, key, mark, n, component, chosen) of every row of `docs`: `row` holds its columns, or those of `keep`, `component` the smallest id
     reachable over links, and `chosen` is true for one row of each component.
 
     Texts are linked when the intersection of their shingle sets is at least `percent` of the union. Null and empty
     texts are linked with nothing. A null id counts as larger than any other. Equal sets, however many, are one node. Of
     repeated rows one is chosen. An empty table gives an empty one.
     """
-    rows = _sketched(docs, text, width, id)
+    rows = _sketched(docs, text, width, id, keep or docs.columns)
     full = rows.filter("node IS NOT NULL")
     sets = full.groupBy("node").agg(F.min("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
     pairs = candidates(sets)
@@ -220,10 +225,10 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id: str
     fit = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")  # smaller sets cannot be similar enough
     asked = written(sized.filter(fit).select("a", "b"))
     nodes = asked.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = full.select("node", "text").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("text").alias("text"))
+    texts = full.select("node", "packed").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("packed").alias("packed"))
     texts = written(texts)
-    paired = asked.join(texts.select(F.col("node").alias("a"), F.col("text").alias("left")), "a")
-    paired = paired.join(texts.select(F.col("node").alias("b"), F.col("text").alias("right")), "b")
+    paired = asked.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("left")), "a")
+    paired = paired.join(texts.select(F.col("node").alias("b"), F.col("packed").alias("right")), "b")
     small_batches(docs.sparkSession)
     roots = components(_confirmed(paired, width, percent), "a", "b")
     best = full.groupBy("node").agg(F.min(F.struct("key", "mark")).alias("best"))
@@ -241,7 +246,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id: str
 def components_of(docs: DataFrame, width: int = 2, percent: int = 80) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row; `kept` where the id is the component's. The component of rows
     that all lack an id is null."""
-    found = near_duplicates(docs.select("doc_id", "text"), width, percent)
+    found = near_duplicates(docs, width, percent, keep=["doc_id"])
     component = F.when(F.col("component") < NAMELESS, F.col("component"))
     return found.select(F.col("row.doc_id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
