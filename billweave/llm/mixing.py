@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from billweave.llm.shared import discard, known_id, text_of, write_table, written
 
@@ -37,10 +38,8 @@ def numbered_sources(totals: DataFrame) -> DataFrame:
     marked = written(ordered.withColumn("at", F.monotonically_increasing_id()))
     # the id holds the range above 33 bits and the place within the range below
     per_range = marked.groupBy(F.shiftright("at", 33).alias("range")).agg(F.count(F.lit(1)).alias("n"))
-    later = per_range.select(F.col("range").alias("other"), F.col("n").alias("other_n"))
-    offsets = per_range.join(later, F.expr("other < range"), "left").groupBy("range").agg(
-        F.coalesce(F.sum("other_n"), F.lit(0)).alias("before")
-    )  # one row per range of sources
+    earlier = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
+    offsets = per_range.select("range", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     placed = marked.withColumn("range", F.shiftright("at", 33)).join(offsets, "range")
     return placed.select(*totals.columns, (F.col("before") + F.col("at").bitwiseAND((1 << 33) - 1)).alias("place"))
 

@@ -1,13 +1,16 @@
 """The registered queries of the training-data operators: each over its whole table, with production settings."""
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billweave.llm import minhash, mixing, piece_codec, quality, token_counts, toxicity, vector_dedup
+from billweave.llm import minhash, mixing, piece_codec, quality, token_counts, token_store, toxicity, vector_dedup
+from billweave.llm.shared import scratch_root
 
+WORD_PIECES = public_tokenizers.path("word_bpe_49k.json")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
@@ -39,6 +42,14 @@ def op4_minhash(spark: SparkSession, folder: str) -> DataFrame:
     return minhash.components_of(documents(spark, folder), width=2, percent=80)
 
 
+def op5_token_store(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of every text, written as range-coded blocks and read back."""
+    store = f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+    token_store.write_tokens(documents(spark, folder), WORD_PIECES, store)
+    read = token_store.read_tokens(spark, store)
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
 def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     """Unigram token counts of every text."""
     docs = documents(spark, folder).select("doc_id", "text")
