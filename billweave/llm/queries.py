@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billweave.llm import minhash, mixing, piece_codec, quality, token_counts, token_store, toxicity, vector_dedup
+from billweave.llm import lm_scores, minhash, mixing, piece_codec, quality, token_counts, token_store, toxicity, vector_dedup
 from billweave.llm.shared import scratch_root
 
 WORD_PIECES = public_tokenizers.path("word_bpe_49k.json")
@@ -73,5 +73,10 @@ def op9_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(docs, labels).select("doc_id", "held_out", "score", "predicted")
 
 
+def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """Stupid-backoff score of every text by the n-grams of all others."""
+    return lm_scores.scores(documents(spark, folder))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
