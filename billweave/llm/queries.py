@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billweave.llm import lm_scores, minhash, mixing, piece_codec, quality, token_counts, token_store, toxicity, vector_dedup
+from billweave.llm import line_dedup, lm_scores, minhash, mixing, piece_codec, quality, token_counts, token_store, toxicity, vector_dedup
 from billweave.llm.shared import scratch_root
 
 WORD_PIECES = public_tokenizers.path("word_bpe_49k.json")
@@ -37,6 +37,11 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *counts, "base_failed", "kept")
 
 
+def op3_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    """Classes of lines within two edits: one row per distinct line."""
+    return line_dedup.line_classes(documents(spark, folder)).drop("line")
+
+
 def op4_minhash(spark: SparkSession, folder: str) -> DataFrame:
     """Components of documents whose sets of two-word shingles are similar to 80 % or more."""
     return minhash.components_of(documents(spark, folder), width=2, percent=80)
