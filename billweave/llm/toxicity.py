@@ -122,21 +122,22 @@ def _kept_features(rows: DataFrame, included: np.ndarray) -> DataFrame:
     return rows.mapInPandas(keep, rows.schema)
 
 
-def learn(labelled: DataFrame, bits: int = BITS, passes: int = PASSES, most: int = MOST_LABELLED, least: int = INCLUDED):
-    """Sparse weights (coordinates, values) from rows (id, text, label 0 or 1).
+def learn(docs: DataFrame, labels: DataFrame, bits: int = BITS, passes: int = PASSES, most: int = MOST_LABELLED, least: int = INCLUDED):
+    """Sparse weights (coordinates, values) from `docs` (id, text) and `labels` (id, label 0 or 1), one per id.
 
-    Rows with a null id, text or label teach nothing. No rows give no weights. The rows are those with the smallest hash
-    of the id, `most` at most, so reruns learn the same; the driver receives the averaged state of the included
-    coordinates, 2^bits rows at most.
+    Rows with a null id, text or label teach nothing; of rows with one id, one teaches. No rows give no weights. The
+    ids are the `most` with the smallest hash at most, so reruns learn the same, and their labels, some bytes each, are
+    broadcast. The driver receives the averaged state of the included coordinates, 2^bits rows at most.
     """
-    spark = labelled.sparkSession
-    known = labelled.filter("id IS NOT NULL AND text IS NOT NULL AND label IN (0, 1)")
+    spark = docs.sparkSession
     order = F.xxhash64(F.col("id").cast("string"))
-    ids = known.select("id", "label").distinct().orderBy(order, "id", "label").limit(most)
-    chosen = known.join(ids, ["id", "label"], "left_semi")
+    chosen = labels.filter("id IS NOT NULL AND label IN (0, 1)").orderBy(order, "id").limit(most)
+    rows = docs.filter("id IS NOT NULL AND text IS NOT NULL").join(F.broadcast(chosen), "id")
     shard = F.pmod(order, F.lit(SHARDS)).cast("int").alias("shard")
-    sample = written(_featurized(chosen.select("id", "text", "label", shard), bits))
-    sample = written(_kept_features(sample, _included(sample, bits, least)))
+    small_batches(spark)
+    sample = written(_featurized(rows.select("id", "text", "label", shard), bits))
+    kept = _kept_features(sample, _included(sample, bits, least))
+    sample = written(kept.groupBy("id", "label", "shard").agg(F.min("features").alias("features")))
     state = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
     for _ in range(passes):
         learner = _shard_learner(spark.sparkContext.broadcast(state), bits)
@@ -178,7 +179,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, holds_out: int = 5) -> DataFram
     """
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % holds_out == 0, F.lit(False))
     known = labels.filter(~held_out).groupBy("doc_id").agg(F.max("toxic").alias("label"))
-    rows = docs.select(F.col("doc_id").cast("bigint"), "text").join(known, "doc_id")
-    weights = learn(rows.select(F.col("doc_id").alias("id"), "text", F.col("label").cast("int").alias("label")))
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("id"), "text")
+    weights = learn(texts, known.select(F.col("doc_id").cast("bigint").alias("id"), F.col("label").cast("int").alias("label")))
     scored = with_score(docs, weights).withColumn("held_out", held_out)
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
