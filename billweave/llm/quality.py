@@ -92,7 +92,7 @@ def _measures() -> dict[str, Column]:
     """The measures that have limits, in thousandths."""
 
     def ratio(above: str, below: str) -> Column:
-        return F.expr(f"(1000 * {above}) div {below}")
+        return F.expr(f"(1000 * {above}) div nullif({below}, 0)")
 
     return {
         "word_length": ratio("word_chars", "n_words"),
