@@ -115,73 +115,83 @@ def _sketched(docs: DataFrame, text: str, width: int, id: str, keep: list[str])
     return written(rows.select("row", "key", "mark", "s.packed", "s.n", "s.node", "s.bands"))
 
 
-def _stars_and_chain(keys: np.ndarray, nodes: np.ndarray, copies: np.ndarray):
-    """Candidates (a, b) of equal keys, and for each key the rows that go on: the text with most copies and one more.
+def _stars_and_chain(keys: np.ndarray, nodes: np.ndarray, copies: np.ndarray, roots: np.ndarray, stars: int):
+    """Candidates (a, b) of equal keys and different roots, and for each key the rows that go on: the text with most copies
+    and the first drawn one.
 
-    A text that was copied often is what its near copies have in common, so it is always a center; others are drawn
-    anew in every band.
+    A text that was copied often is what its near copies have in common, so it is always a center. With `stars` there are
+    also as many drawn centers, anew in every band, and a chain of the rest.
     """
     order = np.lexsort((mixed(keys ^ nodes), keys))
-    keys, nodes, copies = keys[order], nodes[order], copies[order]
+    keys, nodes, copies, roots = keys[order], nodes[order], copies[order], roots[order]
     n = len(keys)
     starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
     lengths = np.diff(np.append(starts, n))
-    place = np.arange(n) - np.repeat(starts, lengths)
+    begin = np.repeat(starts, lengths)
+    place = np.arange(n) - begin
     most = np.repeat(np.maximum.reduceat(copies, starts), lengths)
     group = np.repeat(np.arange(len(starts)), lengths)
     hubs = np.flatnonzero(copies == most)
     hub = hubs[np.unique(group[hubs], return_index=True)[1]]  # the first of each key
-    many = np.repeat(lengths > 1, lengths)
-    a, b = [nodes[hub][group[many]]], [nodes[many]]
-    for k in range(STARS):
-        later = place > k
-        a.append(nodes[np.repeat(starts, lengths)[later] + k])
-        b.append(nodes[later])
-    chained = np.flatnonzero(place > STARS)
-    a.append(nodes[chained - 1])
-    b.append(nodes[chained])
+    a, b = [hub[group]], [np.arange(n)]
+    for k in range(stars):
+        later = np.flatnonzero(place > k)
+        a.append(begin[later] + k)
+        b.append(later)
+    if stars:
+        chained = np.flatnonzero(place > stars)
+        a.append(chained - 1)
+        b.append(chained)
+    a, b = np.concatenate(a), np.concatenate(b)
+    apart = roots[a] != roots[b]
     on = np.unique(np.concatenate((hub, starts)))
-    return np.concatenate(a), np.concatenate(b), on, keys, nodes, copies
+    return nodes[a[apart]], nodes[b[apart]], on, keys, nodes, copies, roots
 
 
-def _task_candidates(batches):
+def _task_candidates(stars: int):
     """Stars and chains of what a task holds. What goes on to the other tasks is two rows per key at most, so a bucket
     that holds many texts sends few."""
-    for frame in batches:
-        if not len(frame):
-            continue
-        keys = np.frombuffer(b"".join(frame["bands"]), np.uint64)
-        nodes = np.repeat(frame["node"].to_numpy(np.int64).view(np.uint64), BANDS)
-        copies = np.repeat(frame["copies"].to_numpy(np.int64), BANDS)
-        a, b, on, keys, nodes, copies = _stars_and_chain(keys, nodes, copies)
-        pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b)))[:, a != b], axis=1)
-        yield pd.DataFrame(
-            {
-                "key": np.concatenate((keys[on], pairs[0])).view(np.int64),
-                "node": np.concatenate((nodes[on], pairs[1])).view(np.int64),
-                "copies": np.concatenate((copies[on], np.zeros(pairs.shape[1], np.int64))),
-            }
-        )
-
-
-def candidates(sets: DataFrame) -> DataFrame:
-    """Distinct candidate pairs (a, b) of sets (node, copies, bands)."""
+
+    def run(batches):
+        for frame in batches:
+            if not len(frame):
+                continue
+            keys = np.frombuffer(b"".join(frame["bands"]), np.uint64)
+            nodes = np.repeat(frame["node"].to_numpy(np.int64).view(np.uint64), BANDS)
+            copies = np.repeat(frame["copies"].to_numpy(np.int64), BANDS)
+            roots = np.repeat(frame["root"].to_numpy(np.int64), BANDS)
+            a, b, on, keys, nodes, copies, roots = _stars_and_chain(keys, nodes, copies, roots, stars)
+            pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
+            yield pd.DataFrame(
+                {
+                    "key": np.concatenate((keys[on], pairs[0])).view(np.int64),
+                    "node": np.concatenate((nodes[on], pairs[1])).view(np.int64),
+                    "copies": np.concatenate((copies[on], np.zeros(pairs.shape[1], np.int64))),
+                    "root": np.concatenate((roots[on], np.zeros(pairs.shape[1], np.int64))),
+                }
+            )
+
+    return run
+
+
+def candidates(sets: DataFrame, stars: int) -> DataFrame:
+    """Distinct candidate pairs (a, b) of different roots among sets (node, copies, root, bands)."""
     spark = sets.sparkSession
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
-    rows = sets.select("node", "copies", "bands").mapInPandas(_task_candidates, "key long, node long, copies long")
-    local = written(rows)  # copies is 0 where (key, node) is a pair already
+    rows = sets.select("node", "copies", "root", "bands")
+    local = written(rows.mapInPandas(_task_candidates(stars), "key long, node long, copies long, root long"))
+    # copies is 0 where (key, node) is a pair already
     linked = local.filter("copies = 0").select(F.col("key").alias("a"), F.col("node").alias("b"))
-    centers = local.filter("copies > 0")
+    centers = local.filter("copies > 0").withColumn("own", F.struct("node", "root"))
     drawn = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"))
-    shared = centers.withColumn("other", F.lag("node").over(drawn)).select(
-        F.col("node").alias("b"), "other",
-        F.max(F.struct("copies", "node")).over(Window.partitionBy("key")).getField("node").alias("hub"),
-        *[F.nth_value("node", k + 1).over(drawn.rowsBetween(Window.unboundedPreceding, 0)).alias(f"c{k}") for k in range(STARS)],
-        F.lead("node").over(drawn).alias("next"),
-    )
-    shared = shared.filter("other IS NOT NULL OR next IS NOT NULL")
-    ends = F.array_distinct(F.array_except(F.array_compact(F.array("other", "hub", *[f"c{k}" for k in range(STARS)])), F.array("b")))
-    far = shared.select("b", F.explode(ends).alias("a")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    ends = [F.max(F.struct("copies", "own")).over(Window.partitionBy("key")).getField("own")]
+    if stars:
+        upto = drawn.rowsBetween(Window.unboundedPreceding, 0)
+        ends += [F.nth_value("own", k + 1).over(upto) for k in range(stars)] + [F.lag("own").over(drawn)]
+    shared = centers.select("own", F.array(*ends).alias("ends"), F.count(F.lit(1)).over(Window.partitionBy("key")).alias("size"))
+    shared = shared.filter("size > 1").withColumn("ends", F.filter("ends", lambda e: e["root"] != F.col("own.root")))
+    far = shared.filter(F.size("ends") > 0).select(F.col("own.node").alias("b"), F.explode(F.array_distinct("ends")).alias("e"))
+    far = far.select(F.least("e.node", "b").alias("a"), F.greatest("e.node", "b").alias("b"))
     ordered = linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     return ordered.unionByName(far).distinct()
 
@@ -207,6 +217,22 @@ def _confirmed(pairs: DataFrame, width: int, percent: int) -> DataFrame:
     return pairs.mapInPandas(confirm, "a long, b long")
 
 
+def _links(full: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+    """The candidates (a, b) that are links. Joins of texts are never broadcast, at any size of the input."""
+    sizes = full.select("node", "n").distinct()
+    sized = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
+    sized = sized.join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
+    fit = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")  # smaller sets cannot be similar enough
+    asked = written(sized.filter(fit).select("a", "b"))
+    nodes = asked.select(F.explode(F.array("a", "b")).alias("node")).distinct().hint("merge")
+    texts = full.select("node", "packed").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("packed").alias("packed"))
+    texts = written(texts)
+    left = texts.select(F.col("node").alias("a"), F.col("packed").alias("left")).hint("merge")
+    right = texts.select(F.col("node").alias("b"), F.col("packed").alias("right")).hint("merge")
+    small_batches(full.sparkSession)
+    return _confirmed(asked.join(left, "a").join(right, "b"), width, percent)
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text", keep=None) -> DataFrame:
     """(row, key, mark, n, component, chosen) of every row of `docs`: `row` holds its columns, or those of `keep`, `component` the smallest id
     reachable over links, and `chosen` is true for one row of each component.
@@ -218,19 +244,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id: str
     rows = _sketched(docs, text, width, id, keep or docs.columns)
     full = rows.filter("node IS NOT NULL")
     sets = full.groupBy("node").agg(F.min("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
-    pairs = candidates(sets)
-    sizes = full.select("node", "n").distinct()
-    sized = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
-    sized = sized.join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    fit = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")  # smaller sets cannot be similar enough
-    asked = written(sized.filter(fit).select("a", "b"))
-    nodes = asked.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = full.select("node", "packed").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("packed").alias("packed"))
-    texts = written(texts)
-    paired = asked.join(texts.select(F.col("node").alias("a"), F.col("packed").alias("left")), "a")
-    paired = paired.join(texts.select(F.col("node").alias("b"), F.col("packed").alias("right")), "b")
-    small_batches(docs.sparkSession)
-    roots = components(_confirmed(paired, width, percent), "a", "b")
+    # First the most copied text of each bucket is compared with all others of it. What that connects needs no more
+    # comparing; the second round draws further centers among what is still apart.
+    first = written(_links(full, candidates(sets.withColumn("root", F.col("node")), 0), width, percent))
+    roots = components(first, "a", "b")
+    apart = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    second = _links(full, candidates(apart, STARS), width, percent)
+    roots = components(first.unionByName(second), "a", "b")
     best = full.groupBy("node").agg(F.min(F.struct("key", "mark")).alias("best"))
     best = best.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     labels = best.groupBy("root").agg(F.min("best").alias("label"))
