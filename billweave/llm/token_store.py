@@ -9,6 +9,7 @@ parallel; checksums cover the bytes and the ids.
 import functools
 import os
 import re
+import struct
 
 import numpy as np
 import pandas as pd
@@ -26,12 +27,33 @@ TOKENS = "part int, block int, at long, doc_ids array<long>, lengths array<long>
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
+MEMO_WORDS = 200_000
+
+
+class Words:
+    """Packed ids by word. The tokenizer drops white space and no token reaches over it, so words can be encoded apart; the
+    words that a batch brings anew are encoded together."""
+
+    def __init__(self, path: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.tokenizer = Tokenizer.from_file(path)
+        self.memo = Memo(None, MEMO_WORDS)
+
+    def encode(self, texts) -> list[bytes]:
+        memo = self.memo
+        memo.turn()
+        parts = [WORD.findall(text) for text in texts]
+        new = {word for words in parts for word in words if word not in memo}
+        memo.update({word: memo.old[word] for word in new if word in memo.old})
+        new = [word for word in new if word not in memo]
+        coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
+        memo.update((word, struct.pack(f"<{len(c.ids)}I", *c.ids)) for word, c in zip(new, coded))
+        return [b"".join(map(memo.__getitem__, words)) for words in parts]
+
+
 @functools.lru_cache(maxsize=2)
-def _words(path: str) -> Memo:
-    """Ids by word. The tokenizer drops white space and no token reaches over it, so words can be encoded apart."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    tokenizer = Tokenizer.from_file(path)
-    return Memo(lambda word: np.array(tokenizer.encode(word, add_special_tokens=False).ids, "<u4").tobytes())
+def _words(path: str) -> Words:
+    return Words(path)
 
 
 def _tokenize(path: str, end: int, block_ids: int):
@@ -47,10 +69,8 @@ def _tokenize(path: str, end: int, block_ids: int):
             return pd.DataFrame({name: [value] for name, value in row.items()})
 
         for frame in batches:
-            memo = _words(path)
-            memo.turn()
-            for doc_id, text in zip(frame["doc_id"].astype(object), frame["text"]):
-                ids = b"".join(map(memo.__getitem__, WORD.findall(text))) + tail
+            for doc_id, ids in zip(frame["doc_id"].astype(object), _words(path).encode(frame["text"])):
+                ids += tail
                 doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
                 lengths.append(len(ids) // 4)
                 packed.append(ids)
@@ -88,14 +108,14 @@ def _table(rows: DataFrame) -> rans.Table:
 def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = 2, id: str = "doc_id", text: str = "text", block_ids: int = BLOCK_IDS) -> None:
     """Encode the whole texts of `docs`, append `end` to each, and write them to `folder` in ascending order of the id.
 
-    Null texts are empty: they hold the end id alone. Null ids come last; rows of equal ids are ordered by text. An empty
+    Null texts are empty: they hold the end id alone. Null ids come last; rows of equal ids are ordered by length and text. An empty
     table gives an empty store. A document longer than a block is a block of its own.
     """
     spark = docs.sparkSession
     small_batches(spark)
     rows = docs.select(F.col(id).cast("bigint").alias("doc_id"), text_of(text).alias("text"))
-    order = [F.col("doc_id").asc_nulls_last(), F.col("text")]
-    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    order = [F.col("doc_id").asc_nulls_last(), F.length("text")]  # the limits of the ranges hold no texts
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
     tokens, path = write_table(ordered.mapInPandas(_tokenize(tokenizer, end, block_ids), TOKENS))
     counts = tokens.select("ids").mapInPandas(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     counts, _ = write_table(counts.coalesce(1), f"{folder}/table")

@@ -14,7 +14,7 @@ def duck():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(STATEMENTS))
 def test_query_equals_its_statement(spark, duck, name):
     assert compare(QUERIES[name](spark, FOLDER), duck.sql(STATEMENTS[name])) is None
 
