@@ -1,10 +1,9 @@
-"""Near-duplicate texts: one-permutation MinHash with optimal densification, banded buckets, stars of candidates.
+"""Near-duplicate texts: one-permutation MinHash with optimal densification, banded buckets, hubs.
 
 One hash per shingle serves all bins: its high bits name the bin, and the smallest hash of a bin is the signature there. An
 empty bin borrows from the first filled bin of a hashed sequence of its own, so two texts borrow alike. Rows of
-bins form bands, and equal bands are a bucket. A bucket of n texts gives a few stars and a chain, at most 5n
-candidates, never all pairs; every band draws its centers anew, so a group is linked along many paths. Candidates
-are confirmed on the full shingle sets, and confirmed links are followed to components.
+bins form bands, and equal bands are a bucket. Each bucket's hub, found over all its sets, is compared with the others.
+Candidates are confirmed on the full shingle sets, and confirmed links are followed to components.
 
 With 42 bands of 6 bins a pair of similarity 0.8 meets in 11 bands on average and in none with a chance of 3 in a million.
 """
@@ -18,13 +17,12 @@ import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from billweave.llm.components import components
 from billweave.llm.shared import NAMELESS, Memo, known_id, small_batches, text_of, written
 
 BINS_LOG, BANDS, ROWS = 8, 42, 6
-STARS = 3  # drawn centers of a bucket, besides the one with most copies
+HUB_ROUNDS = 2  # rounds of one center per bucket
 BINS = 1 << BINS_LOG
 A, B, C = map(np.uint64, (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 S27, S31 = np.uint64(27), np.uint64(31)
@@ -115,85 +113,46 @@ def _sketched(docs: DataFrame, text: str, width: int, id: str, keep: list[str])
     return written(rows.select("row", "key", "mark", "s.packed", "s.n", "s.node", "s.bands"))
 
 
-def _stars_and_chain(keys: np.ndarray, nodes: np.ndarray, copies: np.ndarray, roots: np.ndarray, stars: int):
-    """Candidates (a, b) of equal keys and different roots, and for each key the rows that go on: the text with most copies
-    and the first drawn one.
+def buckets(sets: DataFrame) -> DataFrame:
+    """(key, node, copies, n, root) of sets (node, bands, copies, n), for every band key that several sets have; each set is a root."""
 
-    A text that was copied often is what its near copies have in common, so it is always a center. With `stars` there are
-    also as many drawn centers, anew in every band, and a chain of the rest.
-    """
-    order = np.lexsort((mixed(keys ^ nodes), keys))
-    keys, nodes, copies, roots = keys[order], nodes[order], copies[order], roots[order]
-    n = len(keys)
-    starts = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    lengths = np.diff(np.append(starts, n))
-    begin = np.repeat(starts, lengths)
-    place = np.arange(n) - begin
-    most = np.repeat(np.maximum.reduceat(copies, starts), lengths)
-    group = np.repeat(np.arange(len(starts)), lengths)
-    hubs = np.flatnonzero(copies == most)
-    hub = hubs[np.unique(group[hubs], return_index=True)[1]]  # the first of each key
-    a, b = [hub[group]], [np.arange(n)]
-    for k in range(stars):
-        later = np.flatnonzero(place > k)
-        a.append(begin[later] + k)
-        b.append(later)
-    if stars:
-        chained = np.flatnonzero(place > stars)
-        a.append(chained - 1)
-        b.append(chained)
-    a, b = np.concatenate(a), np.concatenate(b)
-    apart = roots[a] != roots[b]
-    on = np.unique(np.concatenate((hub, starts)))
-    return nodes[a[apart]], nodes[b[apart]], on, keys, nodes, copies, roots
-
-
-def _task_candidates(stars: int):
-    """Stars and chains of what a task holds. What goes on to the other tasks is two rows per key at most, so a bucket
-    that holds many texts sends few."""
-
-    def run(batches):
+    def spread(batches):
         for frame in batches:
-            if not len(frame):
-                continue
-            keys = np.frombuffer(b"".join(frame["bands"]), np.uint64)
-            nodes = np.repeat(frame["node"].to_numpy(np.int64).view(np.uint64), BANDS)
-            copies = np.repeat(frame["copies"].to_numpy(np.int64), BANDS)
-            roots = np.repeat(frame["root"].to_numpy(np.int64), BANDS)
-            a, b, on, keys, nodes, copies, roots = _stars_and_chain(keys, nodes, copies, roots, stars)
-            pairs = np.unique(np.stack((np.minimum(a, b), np.maximum(a, b))), axis=1)
-            yield pd.DataFrame(
-                {
-                    "key": np.concatenate((keys[on], pairs[0])).view(np.int64),
-                    "node": np.concatenate((nodes[on], pairs[1])).view(np.int64),
-                    "copies": np.concatenate((copies[on], np.zeros(pairs.shape[1], np.int64))),
-                    "root": np.concatenate((roots[on], np.zeros(pairs.shape[1], np.int64))),
-                }
-            )
-
-    return run
-
-
-def candidates(sets: DataFrame, stars: int) -> DataFrame:
-    """Distinct candidate pairs (a, b) of different roots among sets (node, copies, root, bands)."""
-    spark = sets.sparkSession
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
-    rows = sets.select("node", "copies", "root", "bands")
-    local = written(rows.mapInPandas(_task_candidates(stars), "key long, node long, copies long, root long"))
-    # copies is 0 where (key, node) is a pair already
-    linked = local.filter("copies = 0").select(F.col("key").alias("a"), F.col("node").alias("b"))
-    centers = local.filter("copies > 0").withColumn("own", F.struct("node", "root"))
-    drawn = Window.partitionBy("key").orderBy(F.xxhash64("key", "node"))
-    ends = [F.max(F.struct("copies", "own")).over(Window.partitionBy("key")).getField("own")]
-    if stars:
-        upto = drawn.rowsBetween(Window.unboundedPreceding, 0)
-        ends += [F.nth_value("own", k + 1).over(upto) for k in range(stars)] + [F.lag("own").over(drawn)]
-    shared = centers.select("own", F.array(*ends).alias("ends"), F.count(F.lit(1)).over(Window.partitionBy("key")).alias("size"))
-    shared = shared.filter("size > 1").withColumn("ends", F.filter("ends", lambda e: e["root"] != F.col("own.root")))
-    far = shared.filter(F.size("ends") > 0).select(F.col("own.node").alias("b"), F.explode(F.array_distinct("ends")).alias("e"))
-    far = far.select(F.least("e.node", "b").alias("a"), F.greatest("e.node", "b").alias("b"))
-    ordered = linked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    return ordered.unionByName(far).distinct()
+            keys = np.frombuffer(b"".join(frame["bands"]), np.int64)
+            yield pd.DataFrame({"key": keys, "node": np.repeat(frame["node"].to_numpy(np.int64), BANDS)})
+
+    sets.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
+    keyed = sets.select("node", "bands").mapInPandas(spread, "key long, node long")
+    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1").select("key")
+    placed = keyed.join(shared, "key").join(sets.select("node", "copies", "n"), "node")
+    return written(placed.select("key", "node", "copies", "n", F.col("node").alias("root")))
+
+
+def unsettled(rest: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of buckets that hold more than one root, by the roots (node, root) found so far."""
+    placed = rest.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    several = placed.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).filter("low != high")
+    return written(placed.join(several.select("key"), "key").select("key", "node", "copies", "n", "root"))
+
+
+def hubs_of(rest: DataFrame) -> DataFrame:
+    """(key, hub) of each bucket, over all its rows: the set that meets most others over all its buckets, then the one with
+    most copies. What near copies were made from is in more full buckets than any of them."""
+    sizes = rest.groupBy("key").agg(F.count(F.lit(1)).alias("size"))
+    weights = rest.join(sizes, "key").groupBy("node").agg(F.sum("size").alias("weight"))
+    best = F.max(F.struct("weight", "copies", "node", "n", "root"))
+    return written(rest.join(weights, "node").groupBy("key").agg(best.alias("hub")))
+
+
+def _fit(m: str, n: str, percent: int):
+    """Smaller sets cannot be similar enough."""
+    return 100 * F.least(m, n) >= percent * F.greatest(m, n)
+
+
+def hub_pairs(rest: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of each bucket's hub and its rows of other roots."""
+    met = rest.join(hubs, "key").filter((F.col("root") != F.col("hub.root")) & _fit("n", "hub.n", percent))
+    return met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
 
 
 def _confirmed(pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -217,13 +176,8 @@ def _confirmed(pairs: DataFrame, width: int, percent: int) -> DataFrame:
     return pairs.mapInPandas(confirm, "a long, b long")
 
 
-def _links(full: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The candidates (a, b) that are links. Joins of texts are never broadcast, at any size of the input."""
-    sizes = full.select("node", "n").distinct()
-    sized = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a")
-    sized = sized.join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-    fit = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")  # smaller sets cannot be similar enough
-    asked = written(sized.filter(fit).select("a", "b"))
+def _links(full: DataFrame, asked: DataFrame, width: int, percent: int) -> DataFrame:
+    """The written candidates (a, b) that are links. Joins of texts are never broadcast, at any size of the input."""
     nodes = asked.select(F.explode(F.array("a", "b")).alias("node")).distinct().hint("merge")
     texts = full.select("node", "packed").join(nodes, "node", "left_semi").groupBy("node").agg(F.min("packed").alias("packed"))
     texts = written(texts)
@@ -233,6 +187,30 @@ def _links(full: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataF
     return _confirmed(asked.join(left, "a").join(right, "b"), width, percent)
 
 
+def _connected(full: DataFrame, sets: DataFrame, width: int, percent: int) -> DataFrame:
+    """(node, root) of the sets that have links.
+
+    In each of the first rounds every bucket's hub is compared with all others of the bucket, and leaves it. What that
+    connects needs no more comparing.
+    """
+    rest = buckets(sets)
+    roots = sets.select("node", F.col("node").alias("root")).limit(0)
+    done = None
+    for turn in range(HUB_ROUNDS):
+        if turn:
+            rest = unsettled(rest, roots)
+        if rest.isEmpty():
+            break
+        hubs = hubs_of(rest)
+        pairs = hub_pairs(rest, hubs, percent)
+        rest = rest.join(hubs.select("key", "hub.node"), ["key", "node"], "left_anti")
+        asked = written(pairs.join(done, ["a", "b"], "left_anti") if done is not None else pairs)
+        done = done.unionByName(asked) if done is not None else asked
+        found = _links(full, asked, width, percent)
+        roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found), "a", "b")
+    return roots
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id: str = "doc_id", text: str = "text", keep=None) -> DataFrame:
     """(row, key, mark, n, component, chosen) of every row of `docs`: `row` holds its columns, or those of `keep`, `component` the smallest id
     reachable over links, and `chosen` is true for one row of each component.
@@ -243,14 +221,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, id: str
     """
     rows = _sketched(docs, text, width, id, keep or docs.columns)
     full = rows.filter("node IS NOT NULL")
-    sets = full.groupBy("node").agg(F.min("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
-    # First the most copied text of each bucket is compared with all others of it. What that connects needs no more
-    # comparing; the second round draws further centers among what is still apart.
-    first = written(_links(full, candidates(sets.withColumn("root", F.col("node")), 0), width, percent))
-    roots = components(first, "a", "b")
-    apart = sets.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    second = _links(full, candidates(apart, STARS), width, percent)
-    roots = components(first.unionByName(second), "a", "b")
+    each = full.groupBy("node").agg(F.min("bands").alias("bands"), F.count(F.lit(1)).alias("copies"), F.min("n").alias("n"))
+    roots = _connected(full, written(each), width, percent)
     best = full.groupBy("node").agg(F.min(F.struct("key", "mark")).alias("best"))
     best = best.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     labels = best.groupBy("root").agg(F.min("best").alias("label"))

@@ -176,6 +176,30 @@ def test_hub_with_many_near_copies(spark):
     assert {r.component_id for r in found.collect()} == {0}
 
 
+def components_by_brute_force(rows, width, percent=80):
+    sets = {i: minhash.shingles(text, width) for i, text in rows}
+    links = []
+    for (a, x), (b, y) in itertools.combinations(sets.items(), 2):
+        common = len(np.intersect1d(x, y, assume_unique=True))
+        if 100 * common >= percent * (len(x) + len(y) - common):
+            links.append((a, b))
+    return root_of(links, sets)
+
+
+def test_template_meets_all_its_near_copies(spark):
+    chance = random.Random(11)
+    words = [f"w{i}" for i in range(100)]
+    rows = [(0, " ".join(words))]
+    for i in range(1, 150):
+        copy = list(words)
+        for k in chance.sample(range(0, 100, 3), 4):
+            copy[k] = f"n{i}x{k}"
+        rows.append((i, " ".join(copy)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(20)
+    found = {r.doc_id: r.component_id for r in minhash.components_of(docs).collect()}
+    assert found == components_by_brute_force(rows, 2)
+
+
 # token store
 
 
