@@ -1,8 +1,9 @@
-"""Near-duplicate texts: one-permutation MinHash with optimal densification, banded buckets, hubs.
+"""Near-duplicate texts: one-permutation MinHash with optimal densification, banded buckets, hubs, then all pairs of the rest.
 
 One hash per shingle serves all bins: its high bits name the bin, and the smallest hash of a bin is the signature there. An
 empty bin borrows from the first filled bin of a hashed sequence of its own, so two texts borrow alike. Rows of
-bins form bands, and equal bands are a bucket. Each bucket's hub, found over all its sets, is compared with the others.
+bins form bands, and equal bands are a bucket. Each bucket's hub, found over all its sets, is compared with the others;
+then all pairs of a bucket that are not yet in one component. So any two sets of a bucket are compared or connected.
 Candidates are confirmed on the full shingle sets, and confirmed links are followed to components.
 
 With 42 bands of 6 bins a pair of similarity 0.8 meets in 11 bands on average and in none with a chance of 3 in a million.
@@ -22,7 +23,8 @@ from billweave.llm.components import components
 from billweave.llm.shared import NAMELESS, Memo, known_id, small_batches, text_of, written
 
 BINS_LOG, BANDS, ROWS = 8, 42, 6
-HUB_ROUNDS = 2  # rounds of one center per bucket
+HUB_ROUNDS = 2  # rounds of one center per bucket before all pairs of the rest
+HOT = 2000  # sets of a bucket that one task compares with each other
 BINS = 1 << BINS_LOG
 A, B, C = map(np.uint64, (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 S27, S31 = np.uint64(27), np.uint64(31)
@@ -155,6 +157,20 @@ def hub_pairs(rest: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
 
 
+def all_pairs(rest: DataFrame, percent: int) -> DataFrame:
+    """All pairs (a, b) of different roots of each bucket. Large buckets are cut into blocks that meet in pairs."""
+    sizes = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("blocks"))
+    placed = rest.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
+    meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("low"), F.greatest("own", o).alias("high")))
+    sent = placed.withColumn("pair", F.explode(meets)).select("key", "pair.low", "pair.high", "own", "node", "n", "root")
+    on = ["key", "low", "high"]
+    left = sent.filter("own = low").select(*on, F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
+    right = sent.filter("own = high").select(*on, F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
+    met = left.join(right, on).filter((F.col("rx") != F.col("ry")) & ((F.col("low") != F.col("high")) | (F.col("x") < F.col("y"))))
+    met = met.filter(_fit("nx", "ny", percent))
+    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
 def _confirmed(pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """Pairs (a, b) of (a, b, left, right) whose full sets are similar enough."""
 
@@ -191,19 +207,22 @@ def _connected(full: DataFrame, sets: DataFrame, width: int, percent: int) -> Da
     """(node, root) of the sets that have links.
 
     In each of the first rounds every bucket's hub is compared with all others of the bucket, and leaves it. What that
-    connects needs no more comparing.
+    connects needs no more comparing. Then all that is still apart in a bucket is compared, pair by pair.
     """
     rest = buckets(sets)
     roots = sets.select("node", F.col("node").alias("root")).limit(0)
     done = None
-    for turn in range(HUB_ROUNDS):
+    for turn in range(HUB_ROUNDS + 1):
         if turn:
             rest = unsettled(rest, roots)
         if rest.isEmpty():
             break
-        hubs = hubs_of(rest)
-        pairs = hub_pairs(rest, hubs, percent)
-        rest = rest.join(hubs.select("key", "hub.node"), ["key", "node"], "left_anti")
+        if turn < HUB_ROUNDS:
+            hubs = hubs_of(rest)
+            pairs = hub_pairs(rest, hubs, percent)
+            rest = rest.join(hubs.select("key", "hub.node"), ["key", "node"], "left_anti")
+        else:
+            pairs = all_pairs(rest, percent)
         asked = written(pairs.join(done, ["a", "b"], "left_anti") if done is not None else pairs)
         done = done.unionByName(asked) if done is not None else asked
         found = _links(full, asked, width, percent)

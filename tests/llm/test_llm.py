@@ -200,6 +200,19 @@ def test_template_meets_all_its_near_copies(spark):
     assert found == components_by_brute_force(rows, 2)
 
 
+def test_crowded_buckets_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(minhash, "HOT", 8, raising=False)  # so that buckets are cut into blocks
+    chance, made = random.Random(17), [[f"w{i}" for i in range(60)]]
+    for i in range(1, 260):
+        copy = list(chance.choice(made))
+        for k in chance.sample(range(60), chance.randint(3, 5)):
+            copy[k] = f"n{i}x{k}"
+        made.append(copy)
+    rows = [(i, " ".join(words)) for i, words in enumerate(made)]
+    found = {r.doc_id: r.component_id for r in minhash.components_of(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert found == components_by_brute_force(rows, 2)
+
+
 # token store
 
 
