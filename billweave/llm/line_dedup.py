@@ -8,7 +8,8 @@ verified with a banded bit-parallel edit distance.
 The keys go through a packed shuffle first, where only keys that different lines share are kept; lines that keep none are done.
 Keys that hold many lines are cut into blocks that meet in pairs, each in a task of its own.
 
-Only lines of `LEAST` characters or more take part.
+All lines that are not blank take part. The shorter of two lines must have `PER_EDIT` characters for each edit, so lines with fewer are equal
+or different, and from EDITS * PER_EDIT on all `EDITS` are allowed.
 """
 
 import numpy as np
@@ -22,7 +23,9 @@ from billweave.llm.components import Forest, components
 from billweave.llm.shared import known_id, text_of, written
 
 EDITS = 2
-LEAST = 40
+PER_EDIT = 20
+LEAST = 1
+BLANK = " \t\n\v\f\r"
 HOT = 400  # lines of a key that one task compares with each other
 EMPTY = pd.DataFrame({"line": [], "links": [], "root": []}, dtype="int64")
 
@@ -44,19 +47,28 @@ def segments(length: int, edits: int) -> list[tuple[int, int]]:
     return out
 
 
-def keys_of(line: str, edits: int) -> tuple[list[int], list[int]]:
-    """Index keys and probe keys of a line.
+def allowed(length: int, edits: int, per: int) -> int:
+    """The edits that a line may be apart from longer ones."""
+    return min(edits, length // per) if per else edits
+
+
+def keys_of(line: str, edits: int, per: int = 0) -> tuple[list[int], list[int]]:
+    """Index keys and probe keys of a line; with `per`, the shorter line must have that many characters for each edit.
 
     A line not longer than this one, by `gap` characters, has its k-th segment unchanged at a place that is off by at most k, by at most
     edits - k seen from the end, as otherwise the rest would need too many edits.
     """
     digest, n = xxhash.xxh3_64_intdigest, len(line)
-    index = [digest(f"{n} {k} {line[a : a + w]}".encode()) for k, (a, w) in enumerate(segments(n, edits))]
+    own = allowed(n, edits, per)
+    index = [digest(f"{n} {k} {line[a : a + w]}".encode()) for k, (a, w) in enumerate(segments(n, own))] if own else []
     probes = []
     for gap in range(edits + 1):
-        for k, (a, w) in enumerate(segments(n - gap, edits)):
-            low = max(0, a - k, a + gap - (edits - k))
-            high = min(n - w, a + k, a + gap + (edits - k))
+        most = allowed(n - gap, edits, per)
+        if most < max(gap, 1):
+            continue
+        for k, (a, w) in enumerate(segments(n - gap, most)):
+            low = max(0, a - k, a + gap - (most - k))
+            high = min(n - w, a + k, a + gap + (most - k))
             for start in range(low, high + 1):
                 probes.append(digest(f"{n - gap} {k} {line[start : start + w]}".encode()))
     return index, probes
@@ -107,7 +119,7 @@ def within(a: str, b: str, edits: int) -> bool:
 def _lines(text: bytes, least: int):
     """(number, line) of the lines that take part."""
     for number, line in enumerate(text.decode().split("\n")):
-        if len(line) >= least:
+        if len(line) >= least and line.strip(BLANK):
             yield number, line
 
 
@@ -119,7 +131,7 @@ def _block_keys(texts: list[bytes], edits: int, least: int):
             lines.setdefault(line_id(line), line)
     keys, owners, roles, each = [], [], [], {}
     for name, line in lines.items():
-        index, probes = keys_of(line, edits)
+        index, probes = keys_of(line, edits, PER_EDIT)
         each[name] = (index, probes)
         keys += index
         keys += probes
@@ -221,7 +233,7 @@ def _links(frame: pd.DataFrame, edits: int, own: tuple[int, int] | None) -> pd.D
             # the shorter line is the indexed one; of equal lengths either may be
             if not ((roles[i] & 1 and roles[j] & 2) or (lengths[i] == lengths[j] and roles[i] & 2 and roles[j] & 1)):
                 continue
-            if within(texts[i], texts[j], edits):
+            if within(texts[i], texts[j], allowed(lengths[i], edits, PER_EDIT)):
                 mine, other = all_keys[i], all_keys[j]
                 if min(_met(mine, other, lengths[i] == lengths[j])) == key:
                     for k in (i, j):
@@ -266,9 +278,9 @@ def links(lines: DataFrame, edits: int) -> DataFrame:
 def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id: str = "doc_id", text: str = "text") -> DataFrame:
     """(line, doc_id, line_no, n_chars, n_copies, n_links, class_doc_id, class_line_no, kept) of every distinct line that takes part.
 
-    `doc_id` and `line_no` are the line's first occurrence, `n_links` the number of other distinct lines within `edits`, the class its smallest
-    occurrence reachable over links; `kept` where the line itself is that one. Lines shorter than `least` characters, null and empty
-    texts have no rows. Documents without id come last. An empty table gives an empty one.
+    `doc_id` and `line_no` are the line's first occurrence, `n_links` the number of other distinct lines within the edits that the shorter one
+    allows, the class its smallest occurrence reachable over links; `kept` where the line itself is that one. Blank lines, those shorter than
+    `least` characters, null and empty texts have no rows. Documents without id come last. An empty table gives an empty one.
     """
     rows = docs.select(known_id(id, text).alias("doc_id"), text_of(text).alias("text"))
     blocks = blocked(rows)
@@ -307,7 +319,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id: st
 def without_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` where every class of lines keeps its first occurrence only, in the order of ids and lines.
 
-    Other lines, and those shorter than `least` characters, stay. A document that had lines to compare and keeps none of them, and nothing else
+    Other lines, blank ones, and those shorter than `least` characters, stay. A document that had lines to compare and keeps none of them, and nothing else
     but white space, goes; null and empty texts stay. `n_chars`, where there is one, is counted anew in changed texts.
     """
     classes = line_classes(docs, edits, least, id, text)
@@ -316,7 +328,8 @@ def without_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEA
     rows = docs.select(F.struct(*docs.columns).alias("row"), known_id(id, text).alias("_doc"), text_of(text).alias("whole"))
     joined = rows.join(keep, "_doc", "left").withColumn("_kept", F.coalesce("_kept", F.array().cast("array<int>")))
     lines = F.split("whole", "\n", -1)
-    stays = F.filter(lines, lambda line, k: (F.length(line) < least) | F.array_contains("_kept", k))
+    takes_part = lambda line: (F.length(line) >= least) & line.rlike(r"[^\x20\x09-\x0D]")
+    stays = F.filter(lines, lambda line, k: ~takes_part(line) | F.array_contains("_kept", k))
     made = joined.withColumn("made", F.array_join(stays, "\n"))
     changed = F.col("made") != F.col("whole")
     gone = changed & ~F.col("made").rlike(r"[^\x20\x09-\x0D]")

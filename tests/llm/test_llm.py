@@ -144,6 +144,36 @@ def test_lines_of_odd_rows(odd_docs, no_docs):
     assert line_dedup.without_repeated_lines(no_docs).count() == line_dedup.line_classes(no_docs).count() == 0
 
 
+def test_short_lines_equal_brute_force(spark):
+    chance, rows = random.Random(23), []
+    for i in range(60):
+        lines = ["menu", "Home", "no", "", "  ", "\t", "a longer line of 24 chars", f"menu {i % 7}", "ab" * chance.randint(1, 24)]
+        for base in ("copyright by nobody", "all rights reserved by me", "this line has nearly forty characters in"):
+            line = list(base)[: chance.randint(len(base) - 1, len(base))]
+            for _ in range(chance.randint(0, 2)):
+                line[chance.randrange(len(line))] = chance.choice("xyz")
+            lines.append("".join(line))
+        rows.append((i, "\n".join(lines)))
+    first, copies = {}, Counter()
+    for i, text in rows:
+        for k, line in enumerate(text.split("\n")):
+            if line.strip():
+                first.setdefault(line, (i, k))
+                copies[line] += 1
+    links = [(a, b) for a, b in itertools.combinations(first, 2) if distance(a, b) <= min(2, len(a) // 20, len(b) // 20)]
+    degree = Counter(x for pair in links for x in pair)
+    root = root_of([(first[a], first[b]) for a, b in links], first.values())
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.doc_id, r.line_no): r for r in line_dedup.line_classes(docs).collect()}
+    assert {at: (r.n_copies, r.n_links, (r.class_doc_id, r.class_line_no)) for at, r in found.items()} == {
+        at: (copies[line], degree[line], root[at]) for line, at in first.items()
+    }
+    kept = {r.doc_id: r.text for r in line_dedup.without_repeated_lines(docs).collect()}
+    stays = {at for at in first.values() if root[at] == at}
+    made = {i: "\n".join(x for k, x in enumerate(text.split("\n")) if not x.strip() or (i, k) in stays) for i, text in rows}
+    assert kept == {i: text for i, text in made.items() if text.strip()}
+
+
 # near-duplicates
 
 
