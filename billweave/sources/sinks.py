@@ -23,7 +23,9 @@ def assign_batches(
 
 
 def batch_file_name(base: str, batch: Column, day: str) -> Column:
-    return F.concat(F.lit(f"{base}_batch"), F.lpad(batch.cast("string"), 3, "0"), F.lit(f"_{day}.csv"))
+    digits = batch.cast("string")
+    padded = F.when(F.length(digits) < 3, F.lpad(digits, 3, "0")).otherwise(digits)  # lpad alone cuts longer numbers
+    return F.concat(F.lit(f"{base}_batch"), padded, F.lit(f"_{day}.csv"))
 
 
 def write_batches(

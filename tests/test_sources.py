@@ -89,3 +89,9 @@ def test_stream_counts_closed_hours_like_a_batch(spark, tmp_path):
 
 def test_every_query_has_a_statement():
     assert set(registry.queries()) == set(statements.all_statements())
+
+
+def test_batch_names_of_four_digits(spark):
+    batches = spark.createDataFrame([(7,), (100,), (1000,), (12345,)], "batch long")
+    names = [r[0] for r in batches.orderBy("batch").select(sinks.batch_file_name("f", F.col("batch"), "d")).collect()]
+    assert names == ["f_batch007_d.csv", "f_batch100_d.csv", "f_batch1000_d.csv", "f_batch12345_d.csv"]
