@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billweave.llm import line_dedup, lm_scores, minhash, mixing, piece_codec, quality, token_counts, token_store, toxicity, vector_dedup
+from billweave.llm import infill, line_dedup, lm_scores, minhash, mixing, piece_codec, quality, token_counts, token_store, toxicity, vector_dedup
 from billweave.llm.shared import scratch_root
 
 WORD_PIECES = public_tokenizers.path("word_bpe_49k.json")
@@ -83,5 +83,17 @@ def op10_lm_scores(spark: SparkSession, folder: str) -> DataFrame:
     return lm_scores.scores(documents(spark, folder))
 
 
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Fill-in-the-middle form of every text, and the text rebuilt from it, as digests."""
+    made = infill.fill_in_middle(documents(spark, folder).select("doc_id", "text"))
+    counts = ("n", "form", "prefix_chars", "middle_chars")
+    return made.select(
+        "doc_id",
+        *(f"fim.{c}" for c in counts),
+        F.sha2("fim.output", 256).alias("output_sha256"),
+        F.sha2(infill.restored(F.col("fim.form"), F.col("fim.output")), 256).alias("restored_sha256"),
+    )
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}
