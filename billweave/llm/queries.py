@@ -7,7 +7,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billweave.llm import infill, line_dedup, lm_scores, minhash, mixing, piece_codec, quality, token_counts, token_store, toxicity, vector_dedup
+from billweave.llm import clustering, infill, line_dedup, lm_scores, minhash, mixing, piece_codec, quality, token_counts, token_store, top_k, toxicity, vector_dedup
 from billweave.llm.shared import scratch_root
 
 WORD_PIECES = public_tokenizers.path("word_bpe_49k.json")
@@ -95,5 +95,15 @@ def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op12_top_k(spark: SparkSession, folder: str) -> DataFrame:
+    """The ten highest inner products of every hundredth vector with all others."""
+    return top_k.top_k(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+def op13_centroids(spark: SparkSession, folder: str) -> DataFrame:
+    """Cluster and distance of every vector after three rounds over 16 centroids."""
+    return clustering.clusters(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: f for name, f in globals().items() if name.startswith("op")}

@@ -147,5 +147,64 @@ FROM parts
 """
 
 
+TOP_K = """
+WITH vectors AS MATERIALIZED (
+    SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(1024 * x)::BIGINT) AS u, row_number() OVER () AS r FROM embeddings
+    WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+scored AS (
+    SELECT q.r, q.vec_id AS query_id, c.vec_id, c.r AS candidate,
+        coalesce(list_sum(list_transform(range(1, least(len(q.u), len(c.u)) + 1), lambda i: q.u[i] * c.u[i])), 0)::BIGINT AS score
+    FROM vectors AS q JOIN vectors AS c ON q.r <> c.r WHERE q.vec_id % 100 = 0
+)
+SELECT query_id, (row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST, candidate))::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 10
+"""
+
+
+def _nearest(name: str, centroids: str) -> str:
+    """A table expression: every kept vector with its nearest centroid."""
+    return f"""
+{name} AS MATERIALIZED (
+    SELECT r, min({{'d': list_sum(list_transform(range(1, 65), lambda i: (v.u[i] - c.u[i]) * (v.u[i] - c.u[i])))::BIGINT, 'k': c.k}}) AS m
+    FROM vectors AS v, {centroids} AS c GROUP BY r
+)"""
+
+
+def _means(name: str, nearest: str, before: str) -> str:
+    """A table expression: the centroids of `before`, those with vectors moved to the floor of their mean."""
+    return f"""
+{name} AS MATERIALIZED (
+    SELECT b.k, coalesce(any_value(moved.u), any_value(b.u)) AS u FROM {before} AS b LEFT JOIN (
+        SELECT k, list((s - ((s % n) + n) % n) // n ORDER BY i) AS u FROM (
+            SELECT m.k AS k, i, sum(u[i])::HUGEINT AS s, count(*) AS n FROM {nearest} JOIN vectors USING (r), unnest(range(1, 65)) AS t(i) GROUP BY ALL
+        ) GROUP BY k
+    ) AS moved USING (k) GROUP BY b.k
+)"""
+
+
+CENTROIDS = f"""
+WITH vectors AS MATERIALIZED (
+    SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: floor(64 * x)::BIGINT) AS u, row_number() OVER () AS r FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+),
+c0 AS MATERIALIZED (
+    SELECT k, u FROM (SELECT row_number() OVER (ORDER BY sha256('1:' || coalesce(vec_id::VARCHAR, '')), u) - 1 AS k, u FROM vectors) WHERE k < 16
+),
+{",".join(_nearest(f"a{k}", f"c{k}") + "," + _means(f"c{k + 1}", f"a{k}", f"c{k}") for k in range(3))},
+{_nearest("a3", "c3")}
+SELECT vec_id, m.k::INTEGER AS cluster, m.d AS distance, (sum(m.d) OVER (PARTITION BY m.k))::BIGINT AS cluster_inertia,
+    (sum(m.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c3.u, ',')) AS centroid_sha256
+FROM a3 JOIN vectors USING (r) JOIN c3 ON c3.k = m.k
+"""
+
+
 def statements() -> dict[str, str]:
-    return {"op2_quality_rules": QUALITY, "op4_minhash": MINHASH, "op8_embedding_dedup": VECTORS, "op11_fill_in_middle": INFILL}
+    return {
+        "op2_quality_rules": QUALITY,
+        "op4_minhash": MINHASH,
+        "op8_embedding_dedup": VECTORS,
+        "op11_fill_in_middle": INFILL,
+        "op12_top_k": TOP_K,
+        "op13_centroids": CENTROIDS,
+    }
