@@ -143,121 +143,6 @@ def invoice_bundle(tables: dict[str, DataFrame], invoices: DataFrame, since: dat
     }
 
 
-def reconcile_invoices(
-    invoices: DataFrame,
-    lines: DataFrame,
-    subscriptions: DataFrame,
-    transactions: DataFrame,
-) -> DataFrame:
-    """One row per invoice: its counts, billing period and how much of the partner's activity it misses.
-
-    invoices: invoice_id, partner_id, invoice_date. lines: line_id, invoice_id, partner_id,
-    completed_line_item_id, start_period, end_period. subscriptions: partner_id, completed_line_id,
-    status, billing_cycle_start. transactions: partner_id, completed_line_item_id, invoice_date; a
-    transaction is on an invoice when its item is.
-
-    What is missing is counted as the partner's total minus the part found on the invoice. That needs
-    only joins on keys: no row is paired with every invoice of its partner.
-    """
-    headers = invoices.select("invoice_id", "partner_id", dates.month_of(F.col("invoice_date")).alias("_month"))
-    per_line = lines.groupBy("invoice_id").agg(
-        F.count(F.lit(1)).alias("line_count"),
-        F.count_distinct("line_id").alias("_invoice_line_ids"),
-        F.min("start_period").alias("billing_period_start"),
-        F.max("end_period").alias("billing_period_end"),
-    )
-    # (invoice, item) with the number of lines: the join partner of subscriptions and transactions
-    links = (
-        lines.filter(F.col("completed_line_item_id").isNotNull())
-        .groupBy("invoice_id", "completed_line_item_id")
-        .agg(F.count(F.lit(1)).alias("_lines"))
-        .join(headers, "invoice_id")
-        .withColumnRenamed("partner_id", "_owner")
-    )
-    cycle = dates.month_of(F.col("billing_cycle_start"))
-    active = F.lower("status") == "active"
-    per_item = (
-        subscriptions.filter(F.col("completed_line_id").isNotNull())
-        .groupBy(F.col("completed_line_id").alias("completed_line_item_id"))
-        .agg(F.count(F.lit(1)).alias("_subs"))
-    )
-    due = (
-        subscriptions.filter(active & F.col("completed_line_id").isNotNull())
-        .select("partner_id", cycle.alias("_due_month"), F.col("completed_line_id").alias("completed_line_item_id"))
-        .distinct()
-    )
-    on_invoice = links.join(per_item, "completed_line_item_id").groupBy("invoice_id").agg(
-        F.sum(F.col("_lines") * F.col("_subs")).alias("subscription_count")
-    )
-    found = (
-        links.join(
-            due.withColumnRenamed("partner_id", "_owner").withColumnRenamed("_due_month", "_month"),
-            ["_owner", "_month", "completed_line_item_id"],
-        )
-        .groupBy("invoice_id")
-        .agg(F.count(F.lit(1)).alias("_due_found"))
-    )
-    due_totals = due.groupBy("partner_id", F.col("_due_month").alias("_month")).agg(F.count(F.lit(1)).alias("_due"))
-    # transactions are counted per item, and per (item, partner, month), before they meet the invoices
-    tx_month = dates.month_of(F.col("invoice_date")).alias("_month")
-    tx_owned = transactions.groupBy("completed_line_item_id", F.col("partner_id").alias("_owner"), tx_month).agg(
-        F.count(F.lit(1)).alias("_rows")
-    )
-    tx_items = tx_owned.groupBy("completed_line_item_id").agg(F.sum("_rows").alias("_item_rows"))
-    tx_on_invoice = links.join(tx_items, "completed_line_item_id").groupBy("invoice_id").agg(
-        F.sum(F.col("_lines") * F.col("_item_rows")).alias("transaction_count")
-    )
-    tx_found = (
-        links.join(tx_owned, ["completed_line_item_id", "_owner", "_month"])
-        .groupBy("invoice_id")
-        .agg(F.sum("_rows").alias("_tx_in_month_found"))
-    )
-    tx_totals = tx_owned.groupBy(F.col("_owner").alias("partner_id"), "_month").agg(F.sum("_rows").alias("_tx_in_month"))
-    partner_lines = lines.groupBy("partner_id").agg(F.count_distinct("line_id").alias("_partner_line_ids"))
-    partner_subs = subscriptions.groupBy("partner_id").agg(
-        F.count(F.lit(1)).alias("partner_subscriptions"), F.count_if(active).alias("active_subscriptions")
-    )
-    partner_tx = tx_totals.groupBy("partner_id").agg(F.sum("_tx_in_month").alias("partner_transactions"))
-    joined = (
-        headers.join(per_line, "invoice_id", "left")
-        .join(on_invoice, "invoice_id", "left")
-        .join(found, "invoice_id", "left")
-        .join(tx_on_invoice, "invoice_id", "left")
-        .join(tx_found, "invoice_id", "left")
-        .join(due_totals, ["partner_id", "_month"], "left")
-        .join(tx_totals, ["partner_id", "_month"], "left")
-        .join(partner_lines, "partner_id", "left")
-        .join(partner_subs, "partner_id", "left")
-        .join(partner_tx, "partner_id", "left")
-    )
-
-    def n(column: str) -> Column:
-        return F.coalesce(F.col(column), F.lit(0)).cast("bigint")
-
-    def missing(total: str, part: str, present: str) -> Column:
-        # nothing of the kind on the invoice: there is no basis to compare, so nothing is reported
-        return F.when(n(present) > 0, n(total) - n(part)).otherwise(F.lit(0)).cast("bigint")
-
-    return joined.select(
-        "invoice_id",
-        "partner_id",
-        F.col("_month").alias("invoice_month"),
-        n("line_count").alias("line_count"),
-        n("subscription_count").alias("subscription_count"),
-        n("transaction_count").alias("transaction_count"),
-        "billing_period_start",
-        "billing_period_end",
-        n("_partner_line_ids").alias("partner_line_items"),
-        n("partner_subscriptions").alias("partner_subscriptions"),
-        n("active_subscriptions").alias("active_subscriptions"),
-        n("partner_transactions").alias("partner_transactions"),
-        n("_due").alias("should_be_in_invoice"),
-        missing("_due", "_due_found", "subscription_count").alias("missing_subscriptions"),
-        missing("_tx_in_month", "_tx_in_month_found", "transaction_count").alias("missing_transactions"),
-        missing("_partner_line_ids", "_invoice_line_ids", "line_count").alias("missing_line_items"),
-    )
-
-
 def billable_items(
     subscriptions: DataFrame, items: DataFrame, month: date, version: Sequence[str] = ("id",)
 ) -> DataFrame:

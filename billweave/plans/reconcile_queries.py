@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from billweave.functions import dates
 from billweave.functions.numbers import money
-from billweave.operators import reconcile
+from billweave.operators import reconcile, reconciliation
 from billweave.plans.sample import ORDERS_AS_OF, Sample
 
 MONTH = ORDERS_AS_OF
@@ -73,37 +73,53 @@ def _owned_by_company(spark, root):
     return sample, lines.withColumnRenamed("id", "line_id")
 
 
-def invoice_reconciliation(spark, root):
+def _reconciled(spark, root):
+    """Invoices, anniversary lines, subscriptions and transactions with the customer as the invoiced partner."""
     sample, lines = _owned_by_company(spark, root)
     invoices = sample.raw("orders").select(
         F.col("o_orderkey").alias("invoice_id"), F.col("o_custkey").alias("partner_id"),
-        F.col("o_orderdate").alias("invoice_date"),
+        F.col("o_orderdate").alias("invoice_date"), F.col("o_orderstatus").alias("order_status"),
     )
     subscriptions = reconcile.anniversary(sample.subscription(), sample.product()).withColumnRenamed(
         "company_id", "partner_id"
     )
     transactions = lines.filter(F.col("return_flag") != "R").select(
-        "partner_id", "completed_line_item_id", "invoice_date"
+        "partner_id", "completed_line_item_id", "invoice_date", F.col("line_id").alias("transaction_id"), "product_id", "quantity"
     )
-    return reconcile.reconcile_invoices(invoices, lines, subscriptions, transactions)
+    return invoices, lines, subscriptions, transactions
+
+
+def invoice_reconciliation(spark, root):
+    return reconciliation.reconcile_invoices(*_reconciled(spark, root))
+
+
+def missing_subscription_rows(spark, root):
+    """Subscriptions due in a month of their partner's invoices that none of them holds."""
+    invoices, lines, subscriptions, _ = _reconciled(spark, root)
+    rows = reconciliation.missing_subscriptions(invoices, lines, subscriptions)
+    return rows.select("partner_id", F.col("id").alias("subscription_id"), "completed_line_id", "billing_cycle_start", "quantity")
+
+
+def missing_transaction_rows(spark, root):
+    """Transactions of a month of their partner's invoices that none of them holds."""
+    invoices, lines, _, transactions = _reconciled(spark, root)
+    return reconciliation.missing_transactions(invoices, lines, transactions)
 
 
 def missing_lines(spark, root):
-    sample = Sample(spark, root)
-    lines = sample.line().filter(dates.in_month(F.col("ship_ts"), MONTH))
-    invoices = sample.raw("orders").filter(dates.in_month(F.col("o_orderdate"), MONTH)).select(
-        F.col("o_orderkey").alias("invoice_id")
-    )
-    return reconcile.not_on(lines, invoices, "invoice_id").select("id", "invoice_id", "product_id", "start_period")
+    """Lines that none of their partner's valid invoices holds."""
+    invoices, lines, _, _ = _reconciled(spark, root)
+    valid = invoices.filter(F.col("order_status") != "P")
+    rows = reconciliation.missing_lines(valid, lines)
+    return rows.select(F.col("line_id").alias("id"), "invoice_id", "partner_id", "product_id", "start_period")
 
 
 def matched_lines(spark, root):
     sample = Sample(spark, root)
-    lines = sample.line().filter(dates.in_month(F.col("ship_ts"), MONTH))
     invoices = sample.raw("orders").filter(F.col("o_orderstatus") != "P").select(
         F.col("o_orderkey").alias("invoice_id")
     )
-    return reconcile.match_flag(lines, invoices, "invoice_id").select("id", "invoice_id", "is_matched")
+    return reconcile.match_flag(sample.line(), invoices, "invoice_id").select("id", "invoice_id", "is_matched")
 
 
 def _transactions(spark, root):

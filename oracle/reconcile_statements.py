@@ -120,14 +120,35 @@ STATEMENTS = {
         "line", "product", "subscription",
         extra=_RECON,
     ),
+    "missing_subscription_rows": statement(
+        """SELECT s.company_id AS partner_id, s.id AS subscription_id, s.completed_line_id, s.billing_cycle_start, s.quantity
+        FROM subs s WHERE lower(status) = 'active'
+            AND EXISTS (SELECT 1 FROM hdr JOIN sc USING (invoice_id)
+                WHERE hdr.partner_id = s.company_id AND hdr.m = date_trunc('month', s.billing_cycle_start))
+            AND NOT EXISTS (SELECT 1 FROM hdr JOIN al USING (invoice_id) WHERE hdr.partner_id = s.company_id
+                AND hdr.m = date_trunc('month', s.billing_cycle_start) AND al.completed_line_item_id = s.completed_line_id)""",
+        "line", "product", "subscription",
+        extra=_RECON,
+    ),
+    "missing_transaction_rows": statement(
+        """SELECT t.owner AS partner_id, t.completed_line_item_id, t.invoice_date, t.line_id AS transaction_id, t.product_id, t.quantity
+        FROM al t WHERE return_flag <> 'R'
+            AND EXISTS (SELECT 1 FROM hdr JOIN tc USING (invoice_id) WHERE hdr.partner_id = t.owner AND hdr.m = t.invoice_date)
+            AND NOT EXISTS (SELECT 1 FROM hdr JOIN al USING (invoice_id) WHERE hdr.partner_id = t.owner
+                AND hdr.m = t.invoice_date AND al.completed_line_item_id = t.completed_line_item_id)""",
+        "line", "product", "subscription",
+        extra=_RECON,
+    ),
     "missing_lines": statement(
-        """SELECT id, invoice_id, product_id, start_period FROM line WHERE invoice_date = DATE '2000-06-01'
-            AND invoice_id NOT IN (SELECT o_orderkey FROM orders WHERE date_trunc('month', o_orderdate) = DATE '2000-06-01')""",
-        "line",
+        """SELECT line_id AS id, invoice_id, owner AS partner_id, product_id, start_period FROM al
+        WHERE owner IN (SELECT o_custkey FROM orders JOIN lc ON invoice_id = o_orderkey WHERE o_orderstatus <> 'P')
+            AND line_id NOT IN (SELECT line_id FROM al JOIN orders ON o_orderkey = invoice_id WHERE o_orderstatus <> 'P')""",
+        "line", "product", "subscription",
+        extra=_RECON,
     ),
     "matched_lines": statement(
         """SELECT id, invoice_id, invoice_id IN (SELECT o_orderkey FROM orders WHERE o_orderstatus <> 'P') AS is_matched
-        FROM line WHERE invoice_date = DATE '2000-06-01'""",
+        FROM line""",
         "line",
     ),
     "transaction_stats": statement(
