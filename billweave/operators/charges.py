@@ -14,17 +14,23 @@ from billweave.operators import ordered
 DUPLICATE_KEYS = [
     "invoice_id", "completed_line_item_id", "invoice_type", "transaction_type", "quantity", "line_item_total",
 ]
+DUPLICATE_TYPES = ["subscription", "prorate"]
 CUTOVER = date(2024, 12, 1)
 
 
-def duplicate_lines(
-    lines: DataFrame, order: Sequence[Column], bucket: Column, keys: Sequence[str] = tuple(DUPLICATE_KEYS)
-) -> DataFrame:
+def charged_lines(lines: DataFrame, products: DataFrame, since: date = CUTOVER) -> DataFrame:
+    """The lines that are searched for duplicates: subscription and prorate charges of products that bill on their anniversary,
+    invoiced since the cutover. products: product_id, anniversary_billing."""
+    kept = lines.filter((F.col("invoice_date") >= F.lit(since)) & F.col("transaction_type").isin(*DUPLICATE_TYPES))
+    return kept.join(products.filter("anniversary_billing").select("product_id"), "product_id", "left_semi")
+
+
+def duplicate_lines(lines: DataFrame, order: Sequence[str | Column], keys: Sequence[str] = tuple(DUPLICATE_KEYS)) -> DataFrame:
     """Lines that repeat an earlier one in all keys, numbered from 2, with the number of copies.
 
-    `bucket` cuts the rows of one key along `order`, so a line copied very often is spread over tasks.
+    `order` tells copies apart; a line copied very often is spread over tasks along it.
     """
-    rows = ordered.numbered(lines, keys, order, bucket, "line_row_number", "line_duplicate_count")
+    rows = ordered.numbered(lines, keys, order, "line_row_number", "line_duplicate_count")
     return rows.filter(F.col("line_row_number") > 1)
 
 
@@ -47,13 +53,13 @@ def duplicate_headline(duplicates: DataFrame) -> DataFrame:
     )
 
 
-def modifications(versions: DataFrame, bucket: Column) -> DataFrame:
+def modifications(versions: DataFrame) -> DataFrame:
     """Each subscription version against the one before it in the same chain (by id)."""
     previous = {
         "id": "prior_id", "quantity": "prior_quantity", "term": "prior_term", "price": "prior_price",
         "product_id": "prior_product_id", "completed_line_id": "prior_completed_line_id",
     }
-    rows = ordered.lagged(versions, ["original_subscription_id"], ["id"], bucket, previous)
+    rows = ordered.lagged(versions, ["original_subscription_id"], ["id"], previous)
     has_prior = F.col("prior_id").isNotNull()
 
     def changed(now: str, before: str) -> Column:

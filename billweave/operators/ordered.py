@@ -1,9 +1,11 @@
 """Ordered computations that stay distributed when one key holds a large share of the rows.
 
-A plain window sends all rows of a key to one task. That is right for most keys: one shuffle, no more.
-The rows of hot keys (see `is_hot`) take another way: they are cut into buckets that follow the order,
-the fine work is done per (key, bucket), and only one row per bucket comes to the key level. The
-`bucket` argument must never decrease while the first sort key grows; `range_bucket` makes one.
+A plain window sends all rows of a key to one task. Here the table is cut into ranges of (keys, order) with about as many rows each; the
+limits are quantiles of a sample over all these columns, so neither a far-off value, nor a constant column, nor a key that
+holds all rows makes a range large. Windows run per (range, key). Only a key that a limit cuts through needs anything from other ranges, and
+there are at most two such keys a range: what they bring along comes from a table of at most two rows a range.
+
+`order` should tell the rows of a key apart: rows that are equal in keys and order stay in one range.
 """
 
 from collections.abc import Sequence
@@ -12,7 +14,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-BUCKET = "_bucket"
+RANGE = "_range"
+SAMPLED = 32  # sampled rows of a range
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
@@ -26,144 +29,122 @@ def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how:
     return left.join(renamed, condition, how).drop(*[f"_right_{key}" for key in keys])
 
 
-def range_bucket(df: DataFrame, column: str, buckets: int = 4096) -> Column:
-    """A bucket for the ordered helpers: equal ranges between the column's smallest and largest value.
+def _columns(order: Sequence[str | Column]) -> list[Column]:
+    return [F.col(o) if isinstance(o, str) else o for o in order]
+
+
+def _key(keys: Sequence[str]) -> Column:
+    """The keys as one value; structs compare field by field, nulls are equal and come first."""
+    return F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)]) if keys else F.lit(0)
+
+
+def _at(keys: Sequence[str], order: Sequence[str | Column]) -> Column:
+    """Where a row stands: its keys, then its order columns."""
+    return F.struct(_key(keys).alias("key"), *[c.alias(f"o{i}") for i, c in enumerate(_columns(order))])
 
-    Both bounds come from a scalar subquery over that one column, so the number of buckets stays the
-    same however large the table or its ids grow.
+
+def limits(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], ranges: int) -> Column:
+    """A scalar subquery: the ranges - 1 places that cut the table into ranges of about as many rows each.
+
+    The sample is the rows with the smallest hashes of their place: its size depends on `ranges` alone, and a repeated run draws the same.
     """
-    bounds = df.agg(F.struct(F.min(column).alias("low"), F.max(column).alias("high"))).scalar()
-    low = bounds.getField("low").cast("double")
-    width = bounds.getField("high").cast("double") - low + F.lit(1.0)
-    return F.floor((F.col(column).cast("double") - low) / width * F.lit(float(buckets)))
+    drawn = df.select(_at(keys, order).alias("_at")).orderBy(F.xxhash64("_at"), "_at").limit(ranges * SAMPLED)
+    in_order = drawn.agg(F.sort_array(F.collect_list("_at")).alias("_all"))
+    cuts = F.sequence(F.lit(1), F.lit(ranges - 1)) if ranges > 1 else F.array().cast("array<int>")
+    picked = F.transform(cuts, lambda i: F.try_element_at("_all", (i * F.size("_all") / ranges).cast("int") + 1))
+    return in_order.select(picked.alias("_limits")).scalar()
 
 
-def is_hot(df: DataFrame, keys: Sequence[str], share: int = 1000, at_least: int = 100_000) -> Column:
-    """Whether a row's key holds more than 1/share of all rows, and more than `at_least` rows.
+def in_ranges(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], ranges: int | None = None) -> DataFrame:
+    """`df` with its range (the number of limits at or before a row), and whether a limit cuts through the row's key there (`_cut`).
 
-    There can be fewer than `share` such keys, so their hashes fit in one small array, computed as a
-    scalar subquery. A key that only shares a hash with a hot one is treated as hot: that costs time,
-    not correctness.
+    As many ranges as shuffle partitions, unless told otherwise: that number follows the size of the cluster's jobs.
+    """
+    ranges = ranges or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = df.withColumn("_limits", limits(df, keys, order, ranges)).withColumn("_at", _at(keys, order)).withColumn(RANGE, F.lit(0))
+    # binary search, one column a step: all of it is generated code
+    for bit in reversed(range((ranges - 1).bit_length())):
+        higher = F.col(RANGE) + F.lit(1 << bit)
+        placed = placed.withColumn(RANGE, F.when(F.try_element_at("_limits", higher) <= F.col("_at"), higher).otherwise(F.col(RANGE)))
+    key = F.col("_at.key")
+    lower = F.try_element_at("_limits", F.nullif(F.col(RANGE), F.lit(0))).getField("key")
+    upper = F.try_element_at("_limits", F.col(RANGE) + 1).getField("key")
+    return placed.withColumn("_cut", F.coalesce((key == lower) | (key == upper), F.lit(False))).drop("_limits", "_at")
+
+
+def of_cut_keys(placed: DataFrame, keys: Sequence[str], **facts: Column) -> DataFrame:
+    """Aggregates per range of the keys that a limit cuts through: at most two keys a range.
+
+    All other rows fall into one more group, without range. A filter instead would be pushed below the search for the range and repeat it.
     """
-    key_hash = F.xxhash64(*keys)
-    rows = df.agg(F.count(F.lit(1)).alias("rows")).scalar()
-    sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
-    hot = sizes.filter((F.col("_n") > at_least) & (F.col("_n") * share > rows))
-    hashes = hot.agg(F.collect_set(key_hash).alias("hashes")).scalar()
-    return F.array_contains(hashes, key_hash)
+    where = [F.when(F.col("_cut"), F.col(c)).alias(c) for c in (RANGE, *keys)]
+    return placed.groupBy(*where).agg(*[fact.alias(name) for name, fact in facts.items()])
 
 
-def _by_heat(df: DataFrame, keys: Sequence[str], at_least: int, cold, hot) -> DataFrame:
-    """Apply `cold` to the rows of ordinary keys and `hot` to those of hot keys."""
-    if not keys:
-        return hot(df)
-    heat = is_hot(df, keys, at_least=at_least)
-    return cold(df.filter(~heat)).unionByName(hot(df.filter(heat)))
+def _with_cut_keys(rows: DataFrame, facts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Join facts of the cut keys: at most two rows a range, so their table may be sent to all tasks."""
+    return null_safe_join(rows, F.broadcast(facts), [RANGE, *keys], "left")
 
 
 def numbered(
     df: DataFrame,
     keys: Sequence[str],
-    order: Sequence[Column],
-    bucket: Column,
+    order: Sequence[str | Column],
     number: str = "row_number",
     total: str | None = None,
-    hot_rows: int = 100_000,
+    ranges: int | None = None,
 ) -> DataFrame:
-    """Row number within the keys, and optionally the number of rows of the key.
+    """Row number within the keys by ascending `order`, and optionally the number of rows of the key.
 
     Without keys it numbers the whole table, still without a one-partition window over its rows.
     """
     keys = list(keys)
+    placed = in_ranges(df, keys, order, ranges)
     by_key = Window.partitionBy(*keys)
-
-    def cold(rows: DataFrame) -> DataFrame:
-        numbers = rows.withColumn(number, F.row_number().over(by_key.orderBy(*order)).cast("bigint"))
-        return numbers if total is None else numbers.withColumn(total, F.count(F.lit(1)).over(by_key))
-
-    def hot(rows: DataFrame) -> DataFrame:
-        cut = rows.withColumn(BUCKET, bucket)
-        sizes = cut.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("_size"))
-        earlier = by_key.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-        offsets = sizes.select(
-            *keys,
-            BUCKET,
-            F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"),
-            F.sum("_size").over(by_key).alias("_total"),
-        )
-        within = Window.partitionBy(*keys, BUCKET).orderBy(*order)
-        joined = null_safe_join(cut.withColumn("_within", F.row_number().over(within)), offsets, [*keys, BUCKET])
-        result = joined.withColumn(number, F.col("_within") + F.col("_offset"))
-        if total is not None:
-            result = result.withColumn(total, F.col("_total"))
-        return result.drop(BUCKET, "_within", "_offset", "_total")
-
-    return _by_heat(df, keys, hot_rows, cold, hot)
+    sizes = of_cut_keys(placed, keys, _size=F.count(F.lit(1)))
+    earlier = by_key.orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    facts = sizes.select(
+        RANGE, *keys, F.coalesce(F.sum("_size").over(earlier), F.lit(0)).alias("_offset"), F.sum("_size").over(by_key).alias("_total")
+    )
+    within = Window.partitionBy(RANGE, *keys)
+    rows = placed.withColumn("_within", F.row_number().over(within.orderBy(*_columns(order))))
+    if total is not None:
+        rows = rows.withColumn("_here", F.count(F.lit(1)).over(within))
+    joined = _with_cut_keys(rows, facts, keys).withColumn(number, F.col("_within") + F.coalesce("_offset", F.lit(0)))
+    if total is not None:
+        joined = joined.withColumn(total, F.coalesce("_total", "_here"))
+    return joined.drop(RANGE, "_cut", "_within", "_here", "_offset", "_total")
 
 
 def lagged(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    bucket: Column,
-    columns: dict[str, str],
-    hot_rows: int = 100_000,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], columns: dict[str, str], ranges: int | None = None
 ) -> DataFrame:
     """Previous row's values within the keys: `columns` maps source column to new name."""
     keys = list(keys)
     packed = F.struct(*[F.col(c).alias(new) for c, new in columns.items()])
-
-    def unpacked(rows: DataFrame, previous: Column) -> DataFrame:
-        return rows.withColumn("_previous", previous).select(
-            *df.columns, *[F.col(f"_previous.{new}").alias(new) for new in columns.values()]
-        )
-
-    def cold(rows: DataFrame) -> DataFrame:
-        return unpacked(rows, F.lag(packed).over(Window.partitionBy(*keys).orderBy(*order)))
-
-    def hot(rows: DataFrame) -> DataFrame:
-        cut = rows.withColumn(BUCKET, bucket).withColumn("_packed", packed)
-        within = Window.partitionBy(*keys, BUCKET).orderBy(*order)
-        tails = cut.groupBy(*keys, BUCKET).agg(F.max_by("_packed", F.struct(*order)).alias("_tail"))
-        carried = tails.select(
-            *keys, BUCKET, F.lag("_tail").over(Window.partitionBy(*keys).orderBy(BUCKET)).alias("_carried")
-        )
-        joined = null_safe_join(cut.withColumn("_near", F.lag("_packed").over(within)), carried, [*keys, BUCKET])
-        return unpacked(joined, F.coalesce("_near", "_carried"))
-
-    return _by_heat(df, keys, hot_rows, cold, hot)
+    placed = in_ranges(df, keys, order, ranges)
+    tails = of_cut_keys(placed, keys, _tail=F.max_by(packed, F.struct(*order)))
+    facts = tails.select(RANGE, *keys, F.lag("_tail").over(Window.partitionBy(*keys).orderBy(RANGE)).alias("_before"))
+    within = Window.partitionBy(RANGE, *keys).orderBy(*order)
+    joined = _with_cut_keys(placed.withColumn("_near", F.lag(packed).over(within)), facts, keys)
+    return joined.withColumn("_previous", F.coalesce("_near", "_before")).select(
+        *df.columns, *[F.col(f"_previous.{new}").alias(new) for new in columns.values()]
+    )
 
 
 def carried(
-    df: DataFrame,
-    keys: Sequence[str],
-    order: Sequence[str],
-    bucket: Column,
-    column: str,
-    name: str,
-    hot_rows: int = 100_000,
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], column: str, name: str, ranges: int | None = None
 ) -> DataFrame:
     """The last non-null value of `column` at or before each row of the key."""
     keys = list(keys)
-    upto_row = (Window.unboundedPreceding, 0)
-
-    def cold(rows: DataFrame) -> DataFrame:
-        upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(*upto_row)
-        return rows.withColumn(name, F.last(column, ignorenulls=True).over(upto))
-
-    def hot(rows: DataFrame) -> DataFrame:
-        cut = rows.withColumn(BUCKET, bucket)
-        upto = Window.partitionBy(*keys, BUCKET).orderBy(*order).rowsBetween(*upto_row)
-        known = F.when(F.col(column).isNotNull(), F.struct(*order))
-        tails = cut.groupBy(*keys, BUCKET).agg(F.max_by(column, known).alias("_tail"))
-        earlier = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-        before = tails.select(*keys, BUCKET, F.last("_tail", ignorenulls=True).over(earlier).alias("_before"))
-        joined = null_safe_join(
-            cut.withColumn("_near", F.last(column, ignorenulls=True).over(upto)), before, [*keys, BUCKET]
-        )
-        return joined.withColumn(name, F.coalesce("_near", "_before")).drop(BUCKET, "_near", "_before")
-
-    return _by_heat(df, keys, hot_rows, cold, hot)
+    placed = in_ranges(df, keys, order, ranges)
+    known = F.when(F.col(column).isNotNull(), F.struct(*order))
+    tails = of_cut_keys(placed, keys, _tail=F.max_by(column, known))
+    earlier = Window.partitionBy(*keys).orderBy(RANGE).rowsBetween(Window.unboundedPreceding, -1)
+    facts = tails.select(RANGE, *keys, F.last("_tail", ignorenulls=True).over(earlier).alias("_before"))
+    upto = Window.partitionBy(RANGE, *keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    joined = _with_cut_keys(placed.withColumn("_near", F.last(column, ignorenulls=True).over(upto)), facts, keys)
+    return joined.withColumn(name, F.coalesce("_near", "_before")).drop(RANGE, "_cut", "_near", "_before")
 
 
 def keep_first(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:

@@ -168,26 +168,53 @@ def version_details(
     )
 
 
-def related_subscriptions(details: DataFrame, instructions: DataFrame, original_subscription_id: int) -> DataFrame:
-    """All versions of one subscription, each with the co-term dates of it and of earlier versions.
+def valid_from(versions: DataFrame, instructions: DataFrame) -> DataFrame:
+    """(original_subscription_id, co_term_date, valid_from): the first version of each chain that has a co-term date."""
+    dated = versions.join(instructions.select(F.col("subscription_id").alias("id"), "co_term_date"), "id")
+    return dated.groupBy("original_subscription_id", "co_term_date").agg(F.min("id").alias("valid_from"))
 
-    A version with several instructions at or before it gives several rows.
+
+def co_terms(versions: DataFrame, instructions: DataFrame, ranges: int | None = None) -> DataFrame:
+    """(id, co_term_date): every version with each co-term date that it or an earlier version of its chain has, each date once.
+
+    An inequality join by ranges: the versions are cut into ranges of (chain, id), so a chain of very many versions is spread over tasks, and
+    a date goes to the ranges of its chain from its first version on. The join is by chain and range; only the range of the first
+    version has anything to compare.
     """
-    chain = details.filter(F.col("original_subscription_id") == original_subscription_id)
-    dated = chain.select(F.col("id").alias("subscription_id")).join(
-        instructions.select("subscription_id", "co_term_date"), "subscription_id"
-    )
-    return chain.join(dated, F.col("id") >= F.col("subscription_id"), "left").drop("subscription_id").orderBy(
-        F.col("id").desc()
-    )
+    chain = "original_subscription_id"
+    placed = ordered.in_ranges(versions.select("id", chain), [chain], ["id"], ranges)
+    spread = ordered.of_cut_keys(placed, [chain], n=F.count(F.lit(1))).select(chain, ordered.RANGE)
+    dated = placed.join(instructions.select(F.col("subscription_id").alias("id"), "co_term_date"), "id")
+    dates_of = dated.groupBy(chain, "co_term_date").agg(F.min("id").alias("valid_from"), F.min(ordered.RANGE).alias("_first"))
+    later = spread.withColumnRenamed(ordered.RANGE, "_later").withColumnRenamed(chain, "_chain")
+    reached = dates_of.join(F.broadcast(later), (F.col(chain) == F.col("_chain")) & (F.col("_later") > F.col("_first")))
+    sent = dates_of.select("*", F.col("_first").alias(ordered.RANGE)).unionByName(reached.select(*dates_of.columns, F.col("_later").alias(ordered.RANGE)))
+    sent = sent.select(chain, ordered.RANGE, "co_term_date", "valid_from")
+    pairs = placed.select("id", chain, ordered.RANGE).join(sent, [chain, ordered.RANGE])
+    return pairs.filter(F.col("id") >= F.col("valid_from")).select("id", "co_term_date")
+
+
+def related_subscriptions(
+    details: DataFrame, instructions: DataFrame, original_subscription_id: int | None = None, versions: DataFrame | None = None
+) -> DataFrame:
+    """All versions of one subscription, or of all, each with the co-term dates of it and of earlier versions.
+
+    A version with several dates at or before it gives several rows, one a date; one without gives a row without date. `versions` may be the
+    plain table that `details` was made of (id, original_subscription_id), so that the chains are found without making the details.
+    """
+    chain = F.lit(True) if original_subscription_id is None else F.col("original_subscription_id") == original_subscription_id
+    pairs = co_terms((details if versions is None else versions).filter(chain), instructions)
+    return details.filter(chain).join(pairs, "id", "left")
 
 
-def with_latest_co_term(details: DataFrame, instructions: DataFrame, bucket: Column) -> DataFrame:
-    """All versions of all subscriptions, each with the latest co-term date at or before it."""
-    dated = details.join(
+def with_latest_co_term(details: DataFrame, instructions: DataFrame, versions: DataFrame | None = None) -> DataFrame:
+    """All versions of all subscriptions, each with the latest co-term date at or before it; `versions` as above."""
+    plain = (details if versions is None else versions).select("id", "original_subscription_id")
+    dated = plain.join(
         instructions.select(F.col("subscription_id").alias("id"), F.col("co_term_date").alias("_own")), "id", "left"
     )
-    return ordered.carried(dated, ["original_subscription_id"], ["id"], bucket, "_own", "co_term_date").drop("_own")
+    latest = ordered.carried(dated, ["original_subscription_id"], ["id"], "_own", "co_term_date")
+    return details.join(latest.select("id", "co_term_date"), "id", "left")
 
 
 def metrics(subscriptions: DataFrame, items: DataFrame, as_of: date) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from billweave.functions import dates
 from billweave.functions.numbers import money, usd
-from billweave.operators import bob, charges, exports, extracts, ordered, reconcile
+from billweave.operators import bob, charges, exports, extracts, reconcile
 from billweave.plans.sample import ORDERS_AS_OF, Sample
 from billweave.sources import sinks
 
@@ -20,27 +20,33 @@ def _money_columns(df, *names, digits=2):
 
 
 def _duplicates(spark, root):
-    lines = Sample(spark, root).line()
-    order = [F.col("product_id"), F.col("supplier_id"), F.col("total")]
-    return charges.duplicate_lines(
-        lines, order, ordered.range_bucket(lines, "product_id"), ["invoice_id", "line_number"]
+    """Duplicates by the six keys. Seats are counted in packs of 25 and amounts in 50,000s: no two test lines are equal in more."""
+    sample = Sample(spark, root)
+    lines = sample.line().filter(F.col("ship_ts") >= F.lit(CUTOVER)).select(
+        "*",
+        F.when(F.col("line_status") == "F", "Partner Invoice").otherwise("Company Invoice").alias("invoice_type"),
+        F.col("row_type").alias("transaction_type"),
+        F.floor(F.col("quantity") / 25).alias("seats"),
+        F.floor(F.col("total") / 50000).alias("line_item_total"),
     )
+    products = sample.product().select(F.col("id").alias("product_id"), "anniversary_billing")
+    keys = ["seats" if k == "quantity" else k for k in charges.DUPLICATE_KEYS]
+    return charges.duplicate_lines(charges.charged_lines(lines, products, CUTOVER), ["id"], keys)
 
 
 def duplicate_lines(spark, root):
     transactions = (
         Sample(spark, root)
         .line()
-        .filter(F.col("return_flag") != "R")
+        .filter((F.col("return_flag") != "R") & (F.col("ship_ts") >= F.lit(CUTOVER)))
         .select(
             "completed_line_item_id", F.col("row_type").alias("transaction_type"), "invoice_date", "start_period",
             F.col("total").alias("order_total"),
         )
     )
-    rows = _duplicates(spark, root).withColumn("transaction_type", F.col("row_type"))
-    result = charges.with_orders(rows, transactions).select(
-        "id", "invoice_id", "line_number", "transaction_type", "invoice_date", "product_id", "supplier_id", "total",
-        "line_row_number", "line_duplicate_count", "order_count", "order_total",
+    result = charges.with_orders(_duplicates(spark, root), transactions).select(
+        "id", "invoice_id", "line_number", "invoice_type", "transaction_type", "invoice_date", "product_id", "supplier_id",
+        "seats", "total", "line_row_number", "line_duplicate_count", "order_count", "order_total",
     )
     return _money_columns(result, "total", "order_total")
 
@@ -52,6 +58,7 @@ def _owned_duplicates(spark, root):
     )
     return (
         _duplicates(spark, root)
+        .drop("invoice_type")
         .join(owners, "invoice_id")
         .join(sample.accounts(), "company_id")
         .join(sample.product().select(F.col("id").alias("product_id"), F.col("name").alias("product_name")), "product_id")
@@ -80,8 +87,7 @@ def duplicate_ledger_upload(spark, root):
 
 
 def _versions(spark, root):
-    rows = Sample(spark, root).subscription()
-    return charges.modifications(rows, ordered.range_bucket(rows, "id"))
+    return charges.modifications(Sample(spark, root).subscription())
 
 
 def subscription_changes(spark, root):
@@ -264,7 +270,7 @@ def order_upload(spark, root):
 
 def batch_assignment(spark, root):
     invoices = Sample(spark, root).raw("orders").select(F.col("o_orderkey").alias("id"))
-    batched = sinks.assign_batches(invoices, [F.col("id")], ordered.range_bucket(invoices, "id"), 700)
+    batched = sinks.assign_batches(invoices, ["id"], 700)
     return batched.withColumn("file_name", sinks.batch_file_name("invoices", F.col("batch"), "2000-06-01"))
 
 

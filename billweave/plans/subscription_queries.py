@@ -63,8 +63,8 @@ def subscription_lines(spark, root):
     )
 
 
-def related_records(spark, root):
-    sample = Sample(spark, root)
+def _chains(sample):
+    """Version details, latest instructions and the plain versions."""
     tasks = sample.raw("events").select(
         F.col("event_id").alias("id"),
         F.expr("event_id div 2").alias("subscription_id"),
@@ -75,9 +75,27 @@ def related_records(spark, root):
     terms = sample.product().select("id", F.col("size").alias("term_in_months"))
     chain = sample.subscription().withColumn("commitment_term_id", F.col("product_id"))
     details = subscriptions.version_details(chain, _items(sample), sample.product(), terms, _users(sample))
-    rows = subscriptions.with_latest_co_term(
-        details, subscriptions.latest_instructions(tasks), ordered.range_bucket(chain, "id")
+    return details, subscriptions.latest_instructions(tasks), chain
+
+
+def related_subscriptions(spark, root):
+    """Every version of every subscription with all co-term dates at or before it."""
+    details, latest, versions = _chains(Sample(spark, root))
+    rows = subscriptions.related_subscriptions(details, latest, versions=versions)
+    return rows.select(
+        "id", "original_subscription_id", "status", "quantity", "product_name", "modified_by", "term_in_months", "co_term_date"
     )
+
+
+def co_term_dates(spark, root):
+    """The first version of each subscription with each co-term date."""
+    _, latest, versions = _chains(Sample(spark, root))
+    return subscriptions.valid_from(versions, latest)
+
+
+def related_records(spark, root):
+    details, latest, versions = _chains(Sample(spark, root))
+    rows = subscriptions.with_latest_co_term(details, latest, versions)
     return rows.select(
         "id", "original_subscription_id", "status", "quantity", "start_date", "end_date", "commitment_term_end_date",
         "commitment_term_in_months", "product_name", "modified_by", "modified_by_email", "type", "term_in_months",
@@ -127,8 +145,7 @@ def revenue_variance_mom(spark, root):
 
 def _months(spark, root, since=None, until=HISTORY_END):
     sample = Sample(spark, root)
-    rows = sample.subscription()
-    versions = charges.modifications(rows, ordered.range_bucket(rows, "id"))
+    versions = charges.modifications(sample.subscription())
     months = charges.active_months(versions, until, ["company_id", "product_id"], since)
     return months.join(sample.accounts().select("company_id", "partner_id"), "company_id").join(
         sample.product().select(F.col("id").alias("product_id"), "vendor"), "product_id"

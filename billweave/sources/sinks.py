@@ -13,12 +13,10 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).option("header", True).csv(path)
 
 
-def assign_batches(
-    df: DataFrame, order: Sequence[Column], bucket: Column, batch_size: int = 1000, name: str = "batch"
-) -> DataFrame:
+def assign_batches(df: DataFrame, order: Sequence[str | Column], batch_size: int = 1000, name: str = "batch") -> DataFrame:
     """Batch numbers from 1: rows 1..n in order are batch 1, the next n are batch 2, and so on."""
     size = max(1, batch_size)
-    rows = ordered.numbered(df, [], order, bucket, number="_position")
+    rows = ordered.numbered(df, [], order, number="_position")
     return rows.withColumn(name, F.expr(f"cast((_position - 1) div {size} + 1 as bigint)")).drop("_position")
 
 
@@ -28,11 +26,9 @@ def batch_file_name(base: str, batch: Column, day: str) -> Column:
     return F.concat(F.lit(f"{base}_batch"), padded, F.lit(f"_{day}.csv"))
 
 
-def write_batches(
-    df: DataFrame, path: str, order: Sequence[Column], bucket: Column, batch_size: int = 1000
-) -> None:
+def write_batches(df: DataFrame, path: str, order: Sequence[str | Column], batch_size: int = 1000) -> None:
     """One folder per batch, one CSV file in each; batches are written in parallel."""
-    batched = assign_batches(df, order, bucket, batch_size)
+    batched = assign_batches(df, order, batch_size)
     (
         batched.repartition("batch")
         .sortWithinPartitions("batch", *order)

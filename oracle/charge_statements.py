@@ -5,9 +5,14 @@ from oracle.views import money, statement
 _DUP = """
 dup AS (
     SELECT * FROM (
-        SELECT *, row_number() OVER (PARTITION BY invoice_id, line_number ORDER BY product_id, supplier_id, total) AS line_row_number,
-            count(*) OVER (PARTITION BY invoice_id, line_number) AS line_duplicate_count
-        FROM line) WHERE line_row_number > 1
+        SELECT *, row_number() OVER (copies ORDER BY id) AS line_row_number, count(*) OVER copies AS line_duplicate_count
+        FROM (
+            SELECT line.*, CASE WHEN line_status = 'F' THEN 'Partner Invoice' ELSE 'Company Invoice' END AS invoice_type,
+                quantity // 25 AS seats
+            FROM line JOIN part ON p_partkey = product_id
+            WHERE p_size <= 40 AND invoice_date >= DATE '1999-12-01' AND row_type IN ('subscription', 'prorate'))
+        WINDOW copies AS (PARTITION BY invoice_id, completed_line_item_id, invoice_type, row_type, seats, floor(total / 50000)))
+    WHERE line_row_number > 1
 ),
 owned_dup AS (
     SELECT d.*, a.* EXCLUDE (rate), a.rate, p.name AS product_name
@@ -211,8 +216,8 @@ def _headline(extra: str = "") -> str:
 
 STATEMENTS = {
     "duplicate_lines": statement(
-        f"""SELECT d.id, d.invoice_id, d.line_number, d.row_type AS transaction_type, d.invoice_date, d.product_id, d.supplier_id,
-            {money('d.total')} AS total, line_row_number, line_duplicate_count, t.n AS order_count, {money('t.s')} AS order_total
+        f"""SELECT d.id, d.invoice_id, d.line_number, d.invoice_type, d.row_type AS transaction_type, d.invoice_date, d.product_id,
+            d.supplier_id, d.seats, {money('d.total')} AS total, line_row_number, line_duplicate_count, t.n AS order_count, {money('t.s')} AS order_total
         FROM dup d LEFT JOIN (SELECT completed_line_item_id AS c, row_type AS r, start_period AS p, count(*) AS n, sum(total) AS s
             FROM line WHERE return_flag <> 'R' GROUP BY ALL) t
             ON t.c = d.completed_line_item_id AND t.r = d.row_type AND t.p = d.start_period""",
@@ -316,7 +321,8 @@ STATEMENTS = {
         FROM named QUALIFY row_number() OVER (PARTITION BY completed_line_id, latest_id_in_month, original_subscription_id
             ORDER BY transaction_month) = 1"""
     ),
-    "batch_assignment": """SELECT id, batch, 'invoices_batch' || lpad(CAST(batch AS VARCHAR), 3, '0') || '_2000-06-01.csv' AS file_name
+    "batch_assignment": """SELECT id, batch, 'invoices_batch' || lpad(CAST(batch AS VARCHAR), CAST(greatest(3, length(CAST(batch AS VARCHAR))) AS INTEGER), '0') || '_2000-06-01.csv'
+            AS file_name
         FROM (SELECT o_orderkey AS id, (row_number() OVER (ORDER BY o_orderkey) - 1) // 700 + 1 AS batch FROM orders)""",
     "bob_assessment": _bob(_ASSESSMENT),
     "bob_summary": _bob(_BOB_SUMMARY),

@@ -98,6 +98,15 @@ def _pct(a: str, b: str) -> str:
 
 _D = "CAST({} AS DOUBLE)"
 
+_CO_TERMS = """
+told AS (
+    SELECT event_id // 2 AS sid, arg_max(json_extract_string(props, '$.k'), event_id) AS co_term_date FROM events
+    WHERE event_type IN ('view', 'click') GROUP BY ALL
+),
+coterm AS (
+    SELECT s.original_subscription_id AS o, co_term_date, min(s.id) AS first FROM told JOIN subscription s ON s.id = sid GROUP BY ALL
+)"""
+
 STATEMENTS = {
     "subscription_lines": statement(
         f"""SELECT * REPLACE ({money('partner_total')} AS partner_total, {money('customer_total')} AS customer_total),
@@ -123,6 +132,18 @@ STATEMENTS = {
         "subscription", "cli", "product",
         extra=_ITEMS,
     ),
+    "related_subscriptions": statement(
+        """SELECT s.id, s.original_subscription_id, s.status, s.quantity, p.name AS product_name, 'User ' || n_name AS modified_by,
+            i.term_in_months, co_term_date
+        FROM subscription s LEFT JOIN items i ON i.id = s.completed_line_id LEFT JOIN product p ON p.id = s.product_id
+            LEFT JOIN nation ON n_nationkey = i.rate_plan_id % 40
+            LEFT JOIN coterm ct ON ct.o = s.original_subscription_id AND s.id >= ct.first""",
+        "subscription", "cli", "product",
+        extra=_ITEMS + "," + _CO_TERMS,
+    ),
+    "co_term_dates": statement(
+        "SELECT o AS original_subscription_id, co_term_date, first AS valid_from FROM coterm", "subscription", extra=_CO_TERMS
+    ),
     "subscription_metrics": statement(
         f"""SELECT id, status, original_subscription_id, quantity, start_date, end_date, CAST(days_active AS INTEGER) AS days_active,
             term_in_months, CAST(gross_revenue AS DOUBLE) AS gross_revenue,

@@ -131,7 +131,7 @@ def test_duplicates_count_copies(frame):
     rows = [(1, 1, 1, 5, 1), (1, 1, 1, 5, 2), (1, 1, 1, 5, 3), (1, 1, 2, 5, 4), (2, 1, 1, 5, 5), (2, 2, 1, 5, 6), (2, 2, 1, 5, 7)]
     df = frame(rows, ddl)
     keys = ["invoice_id", "item", "quantity", "amount"]
-    got = charges.duplicate_lines(df, [F.col("line_id")], F.expr("line_id div 2"), keys)
+    got = charges.duplicate_lines(df, ["line_id"], keys)
     assert rows_of(got, "line_id", "line_row_number", "line_duplicate_count") == [(2, 2, 3), (3, 3, 3), (7, 2, 2)]
     assert got.count() == df.count() - df.select(*keys).distinct().count()
 
@@ -159,7 +159,7 @@ def test_active_months_carry_forward_and_end(frame):
          (3, 8, 1, "A", "Monthly", 5, "2024-04-01", None)],
         "id long, original_subscription_id long, quantity int, status string, term string, price decimal(18,2), start_date date, end_date date",
     ).select("*", F.lit(1).alias("product_id"), F.lit(1).alias("completed_line_id"))
-    changed = charges.modifications(versions, F.expr("id div 2"))
+    changed = charges.modifications(versions)
     assert rows_of(changed.filter("prior_id is not null"), "id", "quantity_delta", "term_changed", "price_changed") == [(2, 2, True, False)]
     months = charges.active_months(changed, JUNE, ["quantity"])
     assert rows_of(months, "original_subscription_id", "transaction_month", "latest_id_in_month", "is_cancelled", "modifications") == [
@@ -300,7 +300,7 @@ def test_related_subscriptions_pairs_and_carry(frame):
     latest = subscriptions.latest_instructions(tasks)
     pairs = subscriptions.related_subscriptions(details, latest, 7)
     assert rows_of(pairs, "id", "co_term_date") == [(1, "b"), (2, "b"), (2, "c"), (3, "b"), (3, "c")]
-    carried = subscriptions.with_latest_co_term(details, latest, F.expr("id div 2"))
+    carried = subscriptions.with_latest_co_term(details, latest)
     assert rows_of(carried, "id", "co_term_date") == [(1, "b"), (2, "c"), (3, "c"), (4, None)]
 
 
@@ -342,3 +342,31 @@ def test_filters_keep_all_on_none(frame):
     assert rows_of(extracts.facets(df, {"k": ["b"]}, "Revenue Impact"), "k") == [("b",)]
     with pytest.raises(ValueError):
         extracts.facets(df, {}, "other")
+
+
+def test_co_terms_of_long_chains_equal_all_pairs(spark):
+    """A chain that holds most versions is cut into many ranges; every date still reaches all later versions."""
+    chain = F.when(F.col("id") % 5 == 0, F.col("id") % 7).otherwise(F.lit(99))
+    versions = spark.range(600).select("id", chain.alias("original_subscription_id"))
+    instructions = versions.filter("id % 11 = 0").select(
+        F.col("id").alias("subscription_id"), F.when(F.col("id") % 3 != 0, (F.col("id") % 8).cast("string")).alias("co_term_date")
+    )
+    rows = {r["id"]: r["original_subscription_id"] for r in versions.collect()}
+    dates_of = [(rows[r["subscription_id"]], r["subscription_id"], r["co_term_date"]) for r in instructions.collect()]
+    want = sorted({(i, d) for i, c in rows.items() for o, first, d in dates_of if o == c and i >= first}, key=repr)
+    for ranges in (1, 6, 50):
+        assert rows_of(subscriptions.co_terms(versions, instructions, ranges)) == want
+    starts = {}
+    for o, first, d in dates_of:
+        starts[o, d] = min(first, starts.get((o, d), first))
+    assert rows_of(subscriptions.valid_from(versions, instructions)) == sorted(((o, d, f) for (o, d), f in starts.items()), key=repr)
+
+
+def test_duplicates_are_searched_among_anniversary_charges_since_the_cutover(frame):
+    lines = frame(
+        [(1, 7, "subscription", "2024-12-01"), (2, 7, "prorate", "2025-01-01"), (3, 7, "arrears", "2025-01-01"),
+         (4, 8, "subscription", "2025-01-01"), (5, 7, "subscription", "2024-11-01"), (6, None, "subscription", "2025-01-01")],
+        "line_id long, product_id long, transaction_type string, invoice_date date",
+    )
+    products = frame([(7, True), (8, False)], "product_id long, anniversary_billing boolean")
+    assert rows_of(charges.charged_lines(lines, products), "line_id") == [(1,), (2,)]

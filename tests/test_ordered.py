@@ -15,45 +15,61 @@ def skewed(spark, n=3000):
     return spark.range(n).select("id", key.alias("key"), (F.col("id") * 7919 % 1000).alias("v"))
 
 
-def test_hot_keys_are_found_by_share_and_size(spark):
-    df = skewed(spark)
-    flagged = df.withColumn("hot", ordered.is_hot(df, ["key"], share=2, at_least=10))
-    assert rows_of(flagged.filter("hot").select("key").distinct()) == [("hot",)]
-    assert df.filter(ordered.is_hot(df, ["key"], share=2, at_least=5000)).count() == 0
-
-
-# with 10 rows every key is hot, with 1500 one of them, with 10 million none
-@pytest.mark.parametrize("hot_rows", [10, 1500, 10_000_000])
-def test_numbered_equals_a_plain_window(spark, hot_rows):
-    df = skewed(spark)
-    got = ordered.numbered(df, ["key"], [F.col("id")], F.expr("id div 100"), "rn", "n", hot_rows)
+def shaped(spark, shape, n=3000):
+    """Tables whose order columns or keys are hard to cut into even ranges."""
+    df = skewed(spark, n).withColumn("same", F.lit(1)).withColumn("far", F.when(F.col("id") == 5, 10**15).otherwise(F.col("id")))
+    if shape == "one key":
+        return df.withColumn("key", F.lit("all"))
+    if shape == "no rows":
+        return df.limit(0)
+    return df.withColumn("key", F.lit(None).cast("string")) if shape == "null key" else df
+
+
+SHAPES = ["skewed", "one key", "null key", "no rows"]
+ORDERS = [["id"], ["far", "id"], ["same", "id"]]
+
+
+@pytest.mark.parametrize("shape", SHAPES)
+@pytest.mark.parametrize("order", ORDERS, ids=["plain", "far-off value", "constant first"])
+@pytest.mark.parametrize("ranges", [1, 16])
+def test_numbered_equals_a_plain_window(spark, shape, order, ranges):
+    df = shaped(spark, shape)
+    got = ordered.numbered(df, ["key"], order, "rn", "n", ranges)
     by_key = Window.partitionBy("key")
-    want = df.withColumn("rn", F.row_number().over(by_key.orderBy("id"))).withColumn("n", F.count(F.lit(1)).over(by_key))
+    want = df.withColumn("rn", F.row_number().over(by_key.orderBy(*order))).withColumn("n", F.count(F.lit(1)).over(by_key))
+    assert got.columns == want.columns
     assert rows_of(got, "id", "key", "rn", "n") == rows_of(want, "id", "key", "rn", "n")
 
 
-def test_range_buckets_follow_the_order_and_stay_few(spark):
-    df = skewed(spark).withColumn("big", F.col("id") * 10**12)
-    bucket = df.select("big", ordered.range_bucket(df, "big", 16).alias("b"))
-    assert bucket.agg(F.min("b"), F.max("b"), F.count_distinct("b")).first()[:] == (0, 15, 16)
-    got = ordered.numbered(df, ["key"], [F.col("big")], ordered.range_bucket(df, "big", 16), "rn", hot_rows=10)
-    want = df.withColumn("rn", F.row_number().over(Window.partitionBy("key").orderBy("big")))
-    assert rows_of(got, "id", "rn") == rows_of(want, "id", "rn")
+@pytest.mark.parametrize("shape", ["one key", "null key"])
+@pytest.mark.parametrize("order", ORDERS, ids=["plain", "far-off value", "constant first"])
+def test_ranges_are_even(spark, shape, order):
+    sizes = [r["count"] for r in ordered.in_ranges(shaped(spark, shape, 20_000), ["key"], order, 16).groupBy("_range").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 2 * 20_000 / 16
+
+
+def test_a_run_of_a_key_is_cut_in_ranges_that_follow_the_order(spark):
+    placed = ordered.in_ranges(skewed(spark), ["key"], ["id"], 16)
+    spans = placed.groupBy("key", "_range").agg(F.min("id").alias("low"), F.max("id").alias("high"))
+    following = F.lead("low").over(Window.partitionBy("key").orderBy("_range"))
+    assert spans.withColumn("next", following).filter("next <= high").count() == 0
+    assert placed.filter("_cut").select("_range", "key").distinct().count() <= 2 * 16
 
 
 def test_numbered_without_keys_numbers_the_table(spark):
-    got = ordered.numbered(skewed(spark), [], [F.col("id")], F.expr("id div 64"), "rn")
+    got = ordered.numbered(skewed(spark), [], ["id"], "rn")
     assert rows_of(got, "id", "rn") == sorted([(i, i + 1) for i in range(3000)], key=repr)
 
 
-@pytest.mark.parametrize("hot_rows", [10, 1500, 10_000_000])
-def test_lagged_and_carried_equal_plain_windows(spark, hot_rows):
-    df = skewed(spark).withColumn("maybe", F.when(F.col("v") % 11 == 0, F.col("v")))
+@pytest.mark.parametrize("shape", SHAPES)
+@pytest.mark.parametrize("ranges", [1, 16])
+def test_lagged_and_carried_equal_plain_windows(spark, shape, ranges):
+    df = shaped(spark, shape).withColumn("maybe", F.when(F.col("v") % 11 == 0, F.col("v")))
     order = Window.partitionBy("key").orderBy("id")
-    got = ordered.lagged(df, ["key"], ["id"], F.expr("id div 50"), {"v": "prev", "maybe": "prev_maybe"}, hot_rows)
+    got = ordered.lagged(df, ["key"], ["id"], {"v": "prev", "maybe": "prev_maybe"}, ranges)
     want = df.withColumn("prev", F.lag("v").over(order)).withColumn("prev_maybe", F.lag("maybe").over(order))
     assert rows_of(got, "id", "prev", "prev_maybe") == rows_of(want, "id", "prev", "prev_maybe")
-    got = ordered.carried(df, ["key"], ["id"], F.expr("id div 50"), "maybe", "last", hot_rows)
+    got = ordered.carried(df, ["key"], ["id"], "maybe", "last", ranges)
     want = df.withColumn(
         "last", F.last("maybe", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     )
