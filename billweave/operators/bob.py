@@ -17,12 +17,13 @@ def _zero() -> Column:
     return F.lit(0).cast(ZERO)
 
 
-def assessment(lines: DataFrame, bob_invoices: DataFrame, postings: DataFrame) -> DataFrame:
+def assessment(lines: DataFrame, bob_invoices: DataFrame, postings: DataFrame, partner_invoices: DataFrame) -> DataFrame:
     """Partner charges per company and month against the company's own invoice and its payments.
 
     lines: the partner invoice lines; a line without company is a surcharge of the partner's invoice.
     bob_invoices: company invoices with bob_invoice_id, bob_invoice_status, total_with_tax, tax.
     postings: ledger entries with type, company_id, partner_id, invoice_id, id, credit, transaction_date.
+    partner_invoices: invoice_date, partner_id, id, status; the newest of a partner and month is shown.
 
     The net is the customer total before tax minus the partner total and the billing fee. A posting
     failed when a paid customer invoice has no payment posted.
@@ -42,9 +43,12 @@ def assessment(lines: DataFrame, bob_invoices: DataFrame, postings: DataFrame) -
         F.sum("total_with_tax").alias("bob_customer_total_with_tax"),
         F.sum("tax").alias("bob_tax_withholding"),
     )
+    own = partner_invoices.groupBy(*PARTNER_MONTH).agg(
+        F.max("id").alias("partner_invoice_id"), F.max_by("status", "id").alias("partner_invoice_status")
+    )
     payments = (
         postings.filter(F.col("type") == "BOB_CUSTOMER_PAYMENT")
-        .groupBy(F.col("invoice_id").alias("bob_invoice_id"))
+        .groupBy(F.col("invoice_id").cast("string").alias("_paid"))
         .agg(
             F.min("id").alias("bob_payment_id"),
             F.min("transaction_date").alias("bob_payment_posting_date"),
@@ -55,8 +59,11 @@ def assessment(lines: DataFrame, bob_invoices: DataFrame, postings: DataFrame) -
     )
     joined = (
         charges.join(surcharges, PARTNER_MONTH, "left")
+        .join(own, PARTNER_MONTH, "left")
         .join(customers, COMPANY_MONTH, "left")
-        .join(payments, "bob_invoice_id", "left")
+        # companies without an invoice of their own get keys of their own, so they do not gather in one task
+        .withColumn("_paid", F.coalesce(F.col("bob_invoice_id").cast("string"), F.concat_ws(" ", F.lit("none"), *COMPANY_MONTH)))
+        .join(payments, "_paid", "left")
     )
     partner_total, fee = F.col("partner_invoice_partner_total"), F.col("partner_billing_fee")
     customer_total, tax = F.col("bob_customer_total_with_tax"), F.col("bob_tax_withholding")
@@ -64,6 +71,8 @@ def assessment(lines: DataFrame, bob_invoices: DataFrame, postings: DataFrame) -
     is_paid = F.col("bob_invoice_status") == "Paid"
     return joined.select(
         *COMPANY_MONTH,
+        "partner_invoice_id",
+        "partner_invoice_status",
         F.when(F.col("bob_invoice_id").isNotNull(), "Company Invoice").otherwise("Non-BOB").alias("invoice_type"),
         "bob_invoice_id",
         "bob_invoice_status",
@@ -136,26 +145,30 @@ def in_range(rows: DataFrame, start: date | None, end: date | None, partner_id:
 
 
 def headline(summary_rows: DataFrame, start: date, end: date, partner_id: int | None = None) -> DataFrame:
-    """Sums over the summary rows of a date range, for all partners or one."""
-    rows = in_range(summary_rows, start, end, partner_id)
-    sums = [
+    """Sums over the summary rows of a date range, for all partners or one.
+
+    A partner-month has a row per settlement, so what belongs to the partner-month is taken once, and settlements are added up.
+    """
+    once = [
         "company_count", "bob_company_count", "bob_invoice_paid_count", "bob_payment_partner_ledger_total",
         "bob_payment_failed_posting_count", "partner_net_after_billing_fee_and_taxes",
-        "bob_with_duplicate_payment_posting", "ledger_debit",
+        "bob_with_duplicate_payment_posting",
     ]
-    return rows.agg(
-        *[F.sum(c).alias(c) for c in sums],
+    per_month = in_range(summary_rows, start, end, partner_id).groupBy(*PARTNER_MONTH).agg(
+        *[F.max(c).alias(c) for c in once],
+        F.sum("ledger_debit").alias("ledger_debit"),
         F.count_if("ledger_duplicate_present").alias("settlement_duplicate_count"),
     )
+    return per_month.agg(*[F.sum(c).alias(c) for c in (*once, "ledger_debit", "settlement_duplicate_count")])
 
 
 def failed_postings(rows: DataFrame, as_of: date) -> DataFrame:
-    """Failed payment postings since the start of the year."""
-    return rows.filter(F.col("partner_bob_failed_posting") & (F.col("invoice_date") >= F.lit(as_of.replace(month=1, day=1))))
+    """Failed payment postings from the start of the year up to `as_of`."""
+    return rows.filter(F.col("partner_bob_failed_posting") & dates.within(F.col("invoice_date"), as_of.replace(month=1, day=1), as_of))
 
 
 def duplicate_settlements(summary_rows: DataFrame, as_of: date) -> DataFrame:
-    """Settlements of partner-months with more than one of them, since the start of the year."""
+    """Settlements of partner-months with more than one of them, from the start of the year up to `as_of`."""
     return summary_rows.filter(
-        F.col("ledger_duplicate_present") & (F.col("invoice_date") >= F.lit(as_of.replace(month=1, day=1)))
+        F.col("ledger_duplicate_present") & dates.within(F.col("invoice_date"), as_of.replace(month=1, day=1), as_of)
     )

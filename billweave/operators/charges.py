@@ -7,7 +7,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from billweave.constants import MISSING_CHARGE_STATES
 from billweave.functions import dates
 from billweave.operators import ordered
 
@@ -229,15 +228,21 @@ def projection(due: DataFrame, charges: DataFrame, orders: DataFrame, service_ch
 
 
 def named_state() -> Column:
-    """The name of a projection row's missing-charge state; null when it is none of the named ones."""
-    state = F.lit(None).cast("string")
-    for combination in MISSING_CHARGE_STATES:
-        condition = F.lit(True)
-        for column, value in combination.items():
-            if column != "state":
-                condition = condition & (F.col(column) == F.lit(value))
-        state = F.when(condition, combination["state"]).otherwise(state)
-    return state
+    """The name of a projection row's missing-charge state; null when it is none of the named ones.
+
+    A missing charge without service charges and without manual orders is named by two facts: whether the orders hold its full term, and
+    whether they hold prorates, which the invoice must then hold too.
+    """
+    settled = (
+        (F.col("line_status") == "Missing")
+        & (F.col("ledger_status") == "No Service Charges")
+        & ~F.col("manual_full_term")
+        & ~F.col("manual_prorate")
+        & ((F.col("prorate_status") == "Matched Prorate") == F.col("order_prorate"))
+    )
+    where = F.when(F.col("order_full_term"), "Missing on invoice, matched in orders").otherwise("Missing in orders")
+    prorates = F.when(F.col("order_prorate"), "with prorates").otherwise("no prorates")
+    return F.when(settled, F.concat_ws(", ", where, prorates, F.lit("no service charges")))
 
 
 def missing_charges(rows: DataFrame, month: date | None = None, state: str | None = None) -> DataFrame:

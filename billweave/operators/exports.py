@@ -102,8 +102,13 @@ def order_upload(rows: DataFrame, order: Sequence[Column], offered_by: str = "")
     def day(column: str) -> Column:
         return F.date_format(column, "yyyy-MM-dd")
 
-    amounts = {"price": "actual_retail_price", "cost": "partner_buy_rate", "platformCost": "wholesale_buy_rate"}
-    totals = {"price": "total", "cost": "costTotal", "platformCost": "platformCostTotal"}
+    def unit(column: str) -> Column:
+        return F.round(price(column), 4)
+
+    def whole(column: str) -> Column:
+        return F.round(price(column) * quantity, 4)
+
+    # The fields of the upload format, in its order.
     return first.select(
         F.col("company_name").alias("companyName"),
         day("successor_subscription_start_date").alias("orderDate"),
@@ -116,8 +121,12 @@ def order_upload(rows: DataFrame, order: Sequence[Column], offered_by: str = "")
         F.lit("").alias("descriptionExtras"),
         F.col("successor_rate_plan_type").alias("rateType"),
         F.col("charge_type").alias("chargeType"),
-        *[F.round(price(c), 4).alias(name) for name, c in amounts.items()],
-        *[F.round(price(c) * quantity, 4).alias(totals[name]) for name, c in amounts.items()],
+        unit("actual_retail_price").alias("price"),
+        whole("actual_retail_price").alias("total"),
+        unit("partner_buy_rate").alias("cost"),
+        whole("partner_buy_rate").alias("costTotal"),
+        unit("wholesale_buy_rate").alias("platformCost"),
+        whole("wholesale_buy_rate").alias("platformCostTotal"),
         F.lit(offered_by).alias("offeredBy"),
         F.col("completed_order_purchase_order_number").alias("purchaseOrderNumber"),
         F.lit("").alias("details"),

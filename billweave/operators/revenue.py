@@ -16,9 +16,9 @@ MONTH_NAMES = ["current_month", "prior_month"] + [
 def line_usd_details(
     lines: DataFrame, partners: DataFrame, units: DataFrame, products: DataFrame, as_of: date
 ) -> DataFrame:
-    """Non-void lines since one month before `as_of`, with business unit, vendor and USD amounts."""
-    since = F.add_months(F.lit(as_of), -1)
-    rows = lines.filter((F.col("invoice_date") >= since) & ~F.col("is_voided"))
+    """Non-void lines from one month before `as_of` up to it, with business unit, vendor and USD amounts."""
+    invoiced = F.col("invoice_date").between(F.add_months(F.lit(as_of), -1), F.lit(as_of))
+    rows = lines.filter(invoiced & ~F.col("is_voided"))
     owners = partners.select(F.col("id").alias("partner_id"), F.col("business_unit_guid").alias("_unit"))
     codes = units.select(F.col("uuid").alias("_unit"), F.col("unique_code").alias("business_unit"))
     vendors = products.select(F.col("id").alias("product_id"), "vendor")
@@ -106,7 +106,7 @@ def usage_variance(
     rows = items.filter(
         ~F.col("voided")
         & F.col("arrears_subscription_id").isNotNull()
-        & (start >= F.lit(dates.months_before(as_of, 6)))
+        & dates.between_months(start, dates.months_before(as_of, 6), as_of)
     )
 
     def month_sum(back: int, value: Column) -> Column:
@@ -169,7 +169,7 @@ def arrears_variance(
     amount, start = F.col("gross_revenue"), F.col("provision_start")
     now, before = dates.month_start(as_of), dates.months_before(as_of, 1)
     rows = items.filter(
-        ~F.col("voided") & F.col("arrears_subscription_id").isNotNull() & (start >= F.lit(before))
+        ~F.col("voided") & F.col("arrears_subscription_id").isNotNull() & dates.between_months(start, before, now)
     )
     # sums per subscription first, so the dimension joins see fewer rows; rounding comes after the joins
     per_subscription = rows.groupBy("arrears_subscription_id", "currency_id", "provision_start").agg(

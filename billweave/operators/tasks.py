@@ -87,7 +87,7 @@ def open_backlog(
     counts = scope.groupBy("task_table", F.coalesce("method", F.lit("unknown")).alias("method")).agg(
         F.count_if(F.col("status") == "new").alias("open_count"),
         F.count_if(
-            (F.col("status") == "finished") & (F.col("updated_dt") >= F.lit(as_of - timedelta(hours=1)))
+            (F.col("status") == "finished") & F.col("updated_dt").between(F.lit(as_of - timedelta(hours=1)), F.lit(as_of))
         ).alias("_hourly"),
     )
     # (table, method) counts are few: the rest works on them, not on the tasks
@@ -137,9 +137,9 @@ def backlog_summary(backlog: DataFrame) -> DataFrame:
 
 
 def daily_counts(tasks: DataFrame, as_of: date, days: int = 60, methods: Sequence[str] | None = None) -> DataFrame:
-    """Tasks per day and status in the last `days` days (the boundary day itself is out)."""
-    first = date.fromordinal(as_of.toordinal() - days + 1)
-    rows = tasks.filter(F.col("run_on") >= F.lit(first))
+    """Tasks per day and status in the last `days` days up to `as_of` (the day `days` before it is out)."""
+    first, end = (date.fromordinal(as_of.toordinal() + k) for k in (1 - days, 1))
+    rows = tasks.filter((F.col("run_on") >= F.lit(first)) & (F.col("run_on") < F.lit(end)))
     if methods is not None:
         rows = rows.filter(F.col("method").isin(list(methods)))
     return rows.groupBy(F.to_date("run_on").alias("running_day"), "status").agg(

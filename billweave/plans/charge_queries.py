@@ -294,9 +294,9 @@ def _bob(spark, root):
         sample.accounts().select("company_id", "partner_id", "currency_code"), "company_id"
     )
     partner_invoices = invoices.select(
-        "invoice_date", F.col("owner_partner_id").alias("partner_id"), "balance", "currency_code"
+        "invoice_date", F.col("owner_partner_id").alias("partner_id"), "id", "status", "balance", "currency_code"
     )
-    return bob.assessment(lines, customers, postings), partner_invoices, postings
+    return bob.assessment(lines, customers, postings, partner_invoices), partner_invoices, postings
 
 
 BOB_MONEY = [

@@ -159,8 +159,11 @@ pay AS (SELECT invoice_id AS bob_invoice_id, min(id) AS pid, min(transaction_dat
     arg_min(description, id) AS pdesc, count(*) - 1 AS dups FROM ledger WHERE type = 'BOB_CUSTOMER_PAYMENT' GROUP BY ALL),
 ass AS (
     SELECT chg.*, bob_invoice_id, st, ct, tax, coalesce(s, 0) AS s, pid, pd, pc, pdesc, coalesce(dups, 0) AS dups,
-        CAST(ct AS DECIMAL(28,4)) - tax - t - f AS net, coalesce(st = 'Paid' AND pid IS NULL, false) AS failed
-    FROM chg LEFT JOIN sur USING (invoice_date, partner_id) LEFT JOIN cus USING (invoice_date, partner_id, company_id)
+        CAST(ct AS DECIMAL(28,4)) - tax - t - f AS net, coalesce(st = 'Paid' AND pid IS NULL, false) AS failed,
+        own_id, own_status
+    FROM chg LEFT JOIN sur USING (invoice_date, partner_id)
+        LEFT JOIN (SELECT invoice_date, owner_partner_id AS partner_id, max(id) AS own_id, arg_max(status, id) AS own_status
+            FROM invoice WHERE status <> 'Void' GROUP BY ALL) USING (invoice_date, partner_id) LEFT JOIN cus USING (invoice_date, partner_id, company_id)
         LEFT JOIN pay USING (bob_invoice_id)
 ),
 tot AS (
@@ -186,7 +189,7 @@ def _bob(body: str) -> str:
     return statement(body, "owned_line", "invoice", "ledger", "accounts", extra=_BOB)
 
 
-_ASSESSMENT = f"""SELECT invoice_date, partner_id, company_id,
+_ASSESSMENT = f"""SELECT invoice_date, partner_id, company_id, own_id AS partner_invoice_id, own_status AS partner_invoice_status,
     CASE WHEN bob_invoice_id IS NULL THEN 'Non-BOB' ELSE 'Company Invoice' END AS invoice_type, bob_invoice_id,
     st AS bob_invoice_status, {money('t')} AS partner_invoice_partner_total, {money('f')} AS partner_billing_fee,
     {money('s')} AS partner_surcharge_total, {money('ct')} AS bob_customer_total_with_tax,
@@ -206,12 +209,15 @@ _BOB_SUMMARY = f"""SELECT invoice_date, partner_id, company_count, bob_company_c
 
 
 def _headline(extra: str = "") -> str:
+    once = "SELECT DISTINCT invoice_date, partner_id, company_count, bob_company_count, bob_invoice_paid_count, lt, fc, nt, dp FROM summ"
+    window = f"invoice_date BETWEEN DATE '2000-01-01' AND DATE '2000-06-01' {extra}"
     return f"""SELECT CAST(sum(company_count) AS BIGINT) AS company_count, CAST(sum(bob_company_count) AS BIGINT) AS bob_company_count,
         CAST(sum(bob_invoice_paid_count) AS BIGINT) AS bob_invoice_paid_count, {money('sum(lt)')} AS bob_payment_partner_ledger_total,
         CAST(sum(fc) AS BIGINT) AS bob_payment_failed_posting_count, {money('sum(nt)')} AS partner_net_after_billing_fee_and_taxes,
-        CAST(sum(dp) AS BIGINT) AS bob_with_duplicate_payment_posting, {money('sum(debit)')} AS ledger_debit,
-        count(*) FILTER (WHERE dup) AS settlement_duplicate_count
-    FROM summ WHERE invoice_date BETWEEN DATE '2000-01-01' AND DATE '2000-06-01' {extra}"""
+        CAST(sum(dp) AS BIGINT) AS bob_with_duplicate_payment_posting,
+        (SELECT {money('sum(debit)')} FROM summ WHERE {window}) AS ledger_debit,
+        (SELECT count(*) FROM summ WHERE dup AND {window}) AS settlement_duplicate_count
+    FROM ({once}) WHERE {window}"""
 
 
 STATEMENTS = {
@@ -328,6 +334,6 @@ STATEMENTS = {
     "bob_summary": _bob(_BOB_SUMMARY),
     "bob_headline": _bob(_headline()),
     "bob_headline_partner": _bob(_headline("AND partner_id = 3")),
-    "bob_failed_postings": _bob(f"{_ASSESSMENT} WHERE failed AND invoice_date >= DATE '2000-01-01'"),
-    "bob_duplicate_settlements": _bob(f"{_BOB_SUMMARY} WHERE dup AND invoice_date >= DATE '2000-01-01'"),
+    "bob_failed_postings": _bob(f"{_ASSESSMENT} WHERE failed AND invoice_date BETWEEN DATE '2000-01-01' AND DATE '2000-06-01'"),
+    "bob_duplicate_settlements": _bob(f"{_BOB_SUMMARY} WHERE dup AND invoice_date BETWEEN DATE '2000-01-01' AND DATE '2000-06-01'"),
 }

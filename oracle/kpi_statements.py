@@ -117,7 +117,7 @@ def _usage() -> str:
                 AS current_month_quantity
         FROM cli c JOIN subscription s ON s.id = c.arrears_subscription_id JOIN accounts a ON a.company_id = s.company_id
             JOIN product p ON p.id = s.product_id
-        WHERE NOT voided AND provision_start >= DATE '1999-12-01' GROUP BY ALL
+        WHERE NOT voided AND provision_start BETWEEN DATE '1999-12-01' AND DATE '2000-06-30' GROUP BY ALL
     )"""
     # grouping by ALL also groups by the account's rate and region, which depend on the subscription
     return statement(body, "cli", "subscription", "accounts", "product", extra=extra)
@@ -225,7 +225,7 @@ STATEMENTS = {
             {money('billing_fee')} AS billing_fee, {money('total * rate')} AS usd_total,
             {money('cost_total * rate')} AS usd_cost_total, CAST(rate AS DOUBLE) AS exchange_rate_multiple
         FROM owned_line JOIN product ON product.id = product_id
-        WHERE invoice_date >= DATE '2000-05-20' AND start_period >= DATE '2000-05-20' AND NOT is_voided""",
+        WHERE invoice_date BETWEEN DATE '2000-05-20' AND DATE '2000-06-20' AND start_period >= DATE '2000-05-20' AND NOT is_voided""",
         "owned_line", "product",
     ),
     "fx_line_aggregate": statement(
@@ -259,7 +259,7 @@ STATEMENTS = {
                 round(sum(CASE WHEN date_trunc('month', provision_start) = DATE '2000-06-01' THEN gross_revenue ELSE 0 END), 2) AS c
             FROM cli c JOIN subscription s ON s.id = c.arrears_subscription_id JOIN accounts a ON a.company_id = s.company_id
                 JOIN product p ON p.id = s.product_id
-            WHERE NOT voided AND provision_start >= DATE '2000-05-01' GROUP BY ALL
+            WHERE NOT voided AND provision_start BETWEEN DATE '2000-05-01' AND DATE '2000-06-30' GROUP BY ALL
         ) GROUP BY ALL""",
         "cli", "subscription", "accounts", "product",
     ),

@@ -174,7 +174,7 @@ listed AS (SELECT unnest(['billing_task','billing_task_2','mca_task','mca_task_2
     'mca_task_5','widget_task']) AS table_name),
 opens AS (SELECT task_table, method, count(*) AS n FROM tasks WHERE status = 'new' GROUP BY ALL),
 hourly AS (SELECT task_table, count(*) AS h FROM tasks
-    WHERE status = 'finished' AND updated_dt >= TIMESTAMP '2024-01-30 22:00:00' GROUP BY ALL),
+    WHERE status = 'finished' AND updated_dt BETWEEN TIMESTAMP '2024-01-30 22:00:00' AND TIMESTAMP '2024-01-30 23:00:00' GROUP BY ALL),
 backlog AS (
     SELECT table_name,
         coalesce(method, CASE WHEN table_name = 'widget_task' THEN 'table_not_found' ELSE 'no_data' END) AS method,
@@ -302,7 +302,7 @@ STATEMENTS = {
     ),
     "daily_task_counts": statement(
         """SELECT CAST(run_on AS DATE) AS running_day, status, count(*) AS task_count FROM tasks
-        WHERE CAST(run_on AS DATE) > DATE '2024-01-30' - 20 AND method IN ('view','click','error') GROUP BY ALL""",
+        WHERE CAST(run_on AS DATE) > DATE '2024-01-30' - 20 AND CAST(run_on AS DATE) <= DATE '2024-01-30' AND method IN ('view','click','error') GROUP BY ALL""",
         "tasks",
     ),
     "task_states": _st(

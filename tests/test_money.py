@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from billweave.functions import numbers
-from billweave.operators import bob, charges, exports, extracts, kpi, reconcile, subscriptions
+from billweave.operators import bob, charges, exports, extracts, kpi, reconcile, revenue, subscriptions
 from tests.conftest import rows_of
 
 JUNE = date(2024, 6, 1)
@@ -265,7 +265,10 @@ def test_bob_failed_and_duplicate_postings(frame):
          (5, "OTHER", 1, 101, 1, 0, "2024-06-11")],
         "id long, type string, partner_id long, invoice_id long, credit decimal(18,2), debit decimal(18,2), transaction_date date",
     ).select("*", F.lit("d").alias("description"), F.lit("EUR").alias("currency_code"))
-    rows = bob.assessment(lines, customers, postings)
+    own = frame([("2024-06-01", 1, 7, "Paid"), ("2024-06-01", 1, 9, "Unpaid"), ("2024-05-01", 1, 99, "Paid")],
+                "invoice_date date, partner_id long, id long, status string")
+    rows = bob.assessment(lines, customers, postings, own)
+    assert rows_of(rows.select("partner_invoice_id", "partner_invoice_status").distinct()) == [(9, "Unpaid")]
     got = rows_of(rows, "company_id", "invoice_type", "bob_payment_duplicate_count", "partner_bob_failed_posting")
     assert got == [(10, "Company Invoice", 1, False), (11, "Company Invoice", 0, True), (12, "Non-BOB", 0, False)]
     net = rows.filter("company_id = 10").first()
@@ -277,6 +280,7 @@ def test_bob_failed_and_duplicate_postings(frame):
     assert (headline["settlement_duplicate_count"], int(headline["ledger_debit"])) == (2, 60)
     assert bob.failed_postings(rows, date(2024, 8, 1)).count() == 1
     assert bob.failed_postings(rows, date(2025, 1, 1)).count() == 0
+    assert bob.failed_postings(rows, date(2024, 5, 31)).count() == 0 == bob.duplicate_settlements(summary, date(2024, 5, 31)).count()
     assert bob.duplicate_settlements(summary, date(2024, 8, 1)).count() == 2
 
 
@@ -370,3 +374,30 @@ def test_duplicates_are_searched_among_anniversary_charges_since_the_cutover(fra
     )
     products = frame([(7, True), (8, False)], "product_id long, anniversary_billing boolean")
     assert rows_of(charges.charged_lines(lines, products), "line_id") == [(1,), (2,)]
+
+
+def test_nothing_after_as_of_counts(spark, frame):
+    """Rows dated after the moment asked for are in no result."""
+    lines = frame(
+        [(1, 1, 5, 10, 8, "2024-06-01", False, "USD"), (2, 1, 5, 10, 8, "2024-07-01", False, "USD")],
+        """id long, partner_id long, product_id long, total decimal(12,2), cost_total decimal(12,2), invoice_date date, is_voided boolean,
+        currency_code string""",
+    )
+    partners = spark.createDataFrame([(1, "u", "p")], "id long, business_unit_guid string, name string")
+    units = spark.createDataFrame([("u", "U", "U")], "uuid string, unique_code string, name string")
+    products = spark.createDataFrame([(5, "v", "n")], "id long, vendor string, name string")
+    assert rows_of(revenue.line_usd_details(lines, partners, units, products, date(2024, 6, 20)), "id") == [(1,)]
+    items = frame(
+        [(1, 1, "t", 10, 1, "2024-06-30", False), (2, 1, "t", 10, 1, "2024-07-01", False)],
+        """arrears_subscription_id long, currency_id long, type string, gross_revenue decimal(18,4), quantity long, provision_start date,
+        voided boolean""",
+    )
+    subs = frame([(1, 1, 1, 5, "Active", None, None), (2, 2, 1, 5, "Active", None, None)],
+                 "id long, original_subscription_id long, partner_id long, product_id long, status string, start_date date, end_date date")
+    currencies = spark.createDataFrame([(1, "USD")], "id long, api_code string")
+    none = spark.createDataFrame([], "product_id long, arrears_product_usage_configuration_id long")
+    conf = spark.createDataFrame([], "id long, billing_day_of_month int")
+    usage = revenue.usage_variance(items, subs, partners, products, units, currencies, none, conf, date(2024, 6, 20))
+    assert rows_of(usage, "arrears_subscription_id") == [(1,)]
+    variance = revenue.arrears_variance(items, subs, partners, products, units, currencies, date(2024, 6, 20)).collect()
+    assert [r["usd_current_month_gross_revenue"] for r in variance] == [10.0]

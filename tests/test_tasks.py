@@ -268,3 +268,12 @@ def test_text_helpers(spark):
 def test_rounded_ratio_is_exact(spark):
     df = spark.createDataFrame([(1005, 1000), (-1005, 1000), (1, 3), (5, 0)], "a long, b long")
     assert [r[0] for r in df.select(numbers.rounded_ratio(F.col("a"), F.col("b"))).collect()] == [1.01, -1.01, 0.33, None]
+
+
+def test_tasks_after_as_of_do_not_count(spark):
+    rows = [(k, "billing_task", "m", "finished", datetime(2024, 1, 1, 22 + k // 2, 30 * (k % 2))) for k in range(4)]
+    done = spark.createDataFrame(rows, "id long, task_table string, method string, status string, updated_dt timestamp")
+    backlog = tasks.open_backlog(done, ["billing_task"], datetime(2024, 1, 1, 23, 0))
+    assert backlog.first()["hourly_completed"] == 3
+    runs = done.withColumn("run_on", F.col("updated_dt") + F.expr("make_dt_interval(0, cast(id as int))"))
+    assert rows_of(tasks.daily_counts(runs, date(2024, 1, 1)), "task_count") == [(2,)]
