@@ -54,6 +54,20 @@ def json_date(payload: Column, *path: str) -> Column:
     return F.try_to_date(json_text(payload, *path))
 
 
+def parsed(payload: Column) -> Column:
+    """A payload parsed once; what is not valid JSON gives null."""
+    return F.try_parse_json(payload)
+
+
+def field_text(document: Column, *path: str) -> Column:
+    """A field of a parsed payload as text; a missing field and an empty text give null."""
+    return F.nullif(F.try_variant_get(document, ".".join(["$", *path]), "string"), F.lit(""))
+
+
+def field_date(document: Column, *path: str) -> Column:
+    return F.try_to_date(field_text(document, *path))
+
+
 def first_match(message: Column, rules: Sequence[tuple[str, str]], default: str) -> Column:
     """The category of the first rule whose pattern occurs in the message; null message gives null."""
     category = F.lit(default)
@@ -65,7 +79,3 @@ def first_match(message: Column, rules: Sequence[tuple[str, str]], default: str)
 def entity_url(base: str, key: Column) -> Column:
     """A link to a record; null key gives null."""
     return F.concat(F.lit(base), key.cast("string"))
-
-
-def is_month_first(day: Column) -> Column:
-    return F.day(day) == 1

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from billweave.functions import dates, labels
+from billweave.sources.tables import run_within
 
 
 def only(df: DataFrame, column: str, value) -> DataFrame:
@@ -67,11 +68,16 @@ def arrears_extract(tasks: DataFrame, status: str | None = None, vendor: str | N
 
 
 def task_extract(
-    tasks: DataFrame, since: date, methods: Sequence[str], status: str | None = None, method: str | None = None
+    tasks: DataFrame,
+    since: date,
+    methods: Sequence[str],
+    status: str | None = None,
+    method: str | None = None,
+    until: date | None = None,
 ) -> DataFrame:
-    """Billing tasks of the month of `since` and later, with ids parsed from the payload."""
+    """Billing tasks from the month of `since` to the day `until`, with ids parsed from the payload."""
     wanted = [method] if method else list(methods)
-    rows = tasks.filter(F.col("method").isin(wanted) & (F.col("run_on") >= F.lit(dates.month_start(since))))
+    rows = tasks.filter(F.col("method").isin(wanted) & run_within(since, until))
     return only(rows, "status", status).select(
         "*",
         labels.json_text(F.col("payload"), "partnerId").alias("partner_id_parsed"),

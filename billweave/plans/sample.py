@@ -11,9 +11,10 @@ from datetime import date, datetime
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from billweave.constants import DURATION_TABLES
+from billweave.constants import ARREARS_BILL_METHOD, ARREARS_TABLES, DURATION_TABLES, WAITING_STATUSES
 from billweave.functions import dates, labels
 from billweave.session import configure
+from billweave.sources.scratch import scratch_folder
 from billweave.sources.tables import ParquetTables
 
 ORDERS_AS_OF = date(2000, 6, 1)
@@ -86,6 +87,33 @@ class Sample:
             key.alias("product_id"),
         )
 
+    def task_shards(self) -> "TaskShards":
+        """The tasks as tables of their own with differing columns, written to the shared folder.
+
+        Billing tables have a partner and no error message, the others the reverse. Payloads nest the invoice date; those of
+        every tenth id are cut off. Arrears tables hold the purchases.
+        """
+        folder = scratch_folder(self.spark)
+        cut = F.col("id") % 10 == 0
+        nested = F.format_string('{"invoiceDate":{"value":"%s"},"partnerId":%d}', F.col("invoice_date").cast("string"), F.col("product_id"))
+        rows = self.tasks().select(
+            "id", "task_table", "service", "method", F.when(cut, F.left(nested, F.lit(20))).otherwise(nested).alias("payload"),
+            F.concat(F.lit(" "), F.upper("raw_status")).alias("status"),
+            *[F.col(c).cast("timestamp").alias(c) for c in ("created_dt", "updated_dt", "run_on")],
+            "run_duration", "error_message", F.col("product_id").alias("partner_id"), "subscription_id", "product_id",
+            F.unix_millis(F.col("updated_dt").cast("timestamp")).alias("__ts_ms"),
+        )
+        for name in DURATION_TABLES:
+            lacking = "error_message" if name.startswith("billing") else "partner_id"
+            rows.filter(F.col("task_table") == name).drop("task_table", lacking, "subscription_id", "product_id").write.parquet(
+                f"{folder}/{name}.parquet"
+            )
+        for k, name in enumerate(ARREARS_TABLES):
+            purchases = rows.filter((F.col("method") == "purchase") & (F.col("id") % len(ARREARS_TABLES) == k))
+            kept = purchases.withColumn("method", F.lit(ARREARS_BILL_METHOD)).withColumn("status", F.lit(WAITING_STATUSES[k]))
+            kept.drop("task_table", "payload", "partner_id").write.parquet(f"{folder}/{name}.parquet")
+        return TaskShards(self, folder)
+
     def places(self) -> DataFrame:
         """Nation with its region, currency included."""
         return (
@@ -335,5 +363,18 @@ class Sample:
         )
 
 
+class TaskShards(ParquetTables):
+    """The written task tables, with subscriptions and products beside them."""
+
+    def __init__(self, sample: Sample, folder: str):
+        super().__init__(sample.spark, folder)
+        self.sample = sample
+
+    def table(self, name: str) -> DataFrame:
+        if name == "subscription":
+            return self.sample.subscription()
+        return self.sample.product() if name == "product" else super().table(name)
+
+
 def priority_is_not_company() -> Column:
     return F.col("priority") != "3-MEDIUM"

@@ -116,16 +116,39 @@ def open_backlog_eta(spark, root):
 
 
 def data_freshness(spark, root):
-    latest = Sample(spark, root).tasks().groupBy("task_table").agg(
-        F.max(F.unix_millis(F.col("updated_dt").cast("timestamp"))).alias("_ms")
-    )
-    return latest.select(
-        F.lit("cc").alias("schema"),
-        F.col("task_table").alias("table_name"),
-        tables.local_time(F.col("_ms"), "America/Denver").alias("latest_written"),
+    return tables.table_freshness({"cc": Sample(spark, root).task_shards()}, DURATION_TABLES)
+
+
+def sharded_invoice_tasks(spark, root):
+    """Tasks of all shards with the invoice date of their payload."""
+    rows = tables.invoice_tasks(Sample(spark, root).task_shards(), DURATION_TABLES)
+    return rows.select("id", "task_table", "service", "method", "invoice_date", "partner_id", "error_message", "guid", "run_duration")
+
+
+def sharded_billing_tasks(spark, root):
+    """Billing tasks of the month up to the review day, with parsed payloads."""
+    shards = Sample(spark, root).task_shards()
+    rows = tables.billing_tasks(shards, DURATION_TABLES, EVENTS_DAY, ["view", "error", "signup"], until=REVIEW_DAY)
+    return rows.select("id", "task_table", "method", "status_clean", "partner_id_parsed", "company_id_parsed", "run_on_month")
+
+
+def sharded_arrears_tasks(spark, root):
+    """Arrears tasks of the month up to the review day, with their subscription and product."""
+    rows = tables.arrears_tasks(Sample(spark, root).task_shards(), EVENTS_DAY, until=REVIEW_DAY)
+    return rows.select(
+        "id", "task_table", "status_clean", "subscription_id", "original_subscription_id", "product_id", "product_name", "vendor",
+        "error_message",
     )
 
 
+def sharded_backlog(spark, root):
+    """Open tasks of the shards that exist; one that does not gets a placeholder."""
+    shards = Sample(spark, root).task_shards()
+    found, missing = tables.existing(shards, [*DURATION_TABLES, "widget_task"])
+    rows = tables.union_shards(shards, found).withColumn("status", labels.arrears_status(labels.clean_status(F.col("status"))))
+    return tasks.open_backlog(rows, [*found, *missing], EVENTS_AS_OF, missing)
+
+
 def daily_task_counts(spark, root):
     return tasks.daily_counts(Sample(spark, root).tasks(), EVENTS_DAY, 20, ["view", "click", "error"])
 

@@ -10,6 +10,8 @@ RUNTIME_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # largest values of a whole table come from the Parquet footers (see ParquetTables.newest)
+    "spark.sql.parquet.aggregatePushdown": "true",
 }
 
 

@@ -43,6 +43,26 @@ class ParquetTables:
             reader = reader.schema(ddl(self.schemas[name]))
         return reader.parquet(self.path(name))
 
+    def shards(self, names: Sequence[str], fields: Fields) -> DataFrame:
+        """Several tables as one scan: the declared columns, null where a table lacks one, and `task_table`, the table of a row."""
+        rows = self.spark.read.schema(ddl(fields)).parquet(*[self.path(name) for name in names])
+        name = F.regexp_extract("_metadata.file_path", rf"/({'|'.join(names)})\.parquet(/|$)", 1)
+        return rows.select(name.alias("task_table"), *fields)
+
+    def newest(self, name: str, column: str) -> DataFrame:
+        """The largest value of a whole-number column, from the footers of the files: no column data is read.
+
+        Spark pushes the aggregate into its newer Parquet reader only, so this one table is opened with that.
+        """
+        setting = "spark.sql.sources.useV1SourceList"
+        before = self.spark.conf.get(setting)
+        self.spark.conf.set(setting, ",".join(s for s in before.split(",") if s != "parquet"))
+        try:
+            rows = self.spark.read.format("parquet").load(self.path(name))
+        finally:
+            self.spark.conf.set(setting, before)
+        return rows.agg(F.max(column).alias(column))
+
     def exists(self, name: str) -> bool:
         try:
             self.spark.read.parquet(self.path(name))
@@ -118,8 +138,12 @@ def union_shards(
 ) -> DataFrame:
     """One relation over sharded task tables: a `task_table` label, missing columns filled with null.
 
-    The condition is applied to each shard, so it reaches each scan.
+    Parquet shards are one scan, which the condition and the chosen columns reach. Shards of a catalog or database are united; the condition
+    is applied to each, so it reaches each scan.
     """
+    if isinstance(source, ParquetTables):
+        rows = source.shards(names, fields)
+        return rows if condition is None else rows.filter(condition)
 
     def shard(name: str) -> DataFrame:
         df = source.table(name)
@@ -142,29 +166,44 @@ def existing(source: Tables, names: Sequence[str]) -> tuple[list[str], list[str]
 
 
 def billing_tasks(
-    source: Tables, names: Sequence[str], since: date, methods: Sequence[str] = tuple(BILLING_METHODS)
+    source: Tables,
+    names: Sequence[str],
+    since: date,
+    methods: Sequence[str] = tuple(BILLING_METHODS),
+    until: date | None = None,
 ) -> DataFrame:
-    """Billing tasks of the month of `since` and later, with cleaned status and parsed payload ids."""
-    condition = F.col("method").isin(list(methods)) & (F.col("run_on") >= F.lit(dates.month_start(since)))
-    return union_shards(source, names, condition).select(
-        "*",
-        labels.json_text(F.col("payload"), "partnerId").alias("partner_id_parsed"),
-        labels.json_text(F.col("payload"), "companyId").alias("company_id_parsed"),
-        labels.clean_status(F.col("status")).alias("status_clean"),
-        dates.month_of(F.col("run_on")).alias("run_on_month"),
+    """Billing tasks from the month of `since` to the end of the day `until`, with cleaned status and parsed payload ids."""
+    condition = F.col("method").isin(list(methods)) & run_within(since, until)
+    payload = F.col("_payload")
+    return (
+        union_shards(source, names, condition)
+        .withColumn("_payload", labels.parsed(F.col("payload")))
+        .withColumn("partner_id_parsed", labels.field_text(payload, "partnerId"))
+        .withColumn("company_id_parsed", labels.field_text(payload, "companyId"))
+        .withColumn("status_clean", labels.clean_status(F.col("status")))
+        .withColumn("run_on_month", dates.month_of(F.col("run_on")))
+        .drop("_payload")
     )
 
 
+def run_within(since: date, until: date | None) -> Column:
+    """Whether a task runs from the month of `since` on and, if given, not after the day `until`."""
+    condition = F.col("run_on") >= F.lit(dates.month_start(since))
+    return condition if until is None else condition & (F.col("run_on") < F.lit(date.fromordinal(until.toordinal() + 1)))
+
+
 def invoice_tasks(source: Tables, names: Sequence[str]) -> DataFrame:
     """All tasks with the invoice date of their payload (`invoiceDate.value`); bad JSON gives a null date."""
     return union_shards(source, names).withColumn(
-        "invoice_date", labels.json_date(F.col("payload"), "invoiceDate", "value")
+        "invoice_date", labels.field_date(labels.parsed(F.col("payload")), "invoiceDate", "value")
     )
 
 
-def arrears_tasks(source: Tables, since: date, names: Sequence[str] = tuple(ARREARS_TABLES)) -> DataFrame:
-    """Arrears billing tasks of the month of `since` and later, with subscription and product attributes."""
-    condition = (F.col("method") == ARREARS_BILL_METHOD) & (F.col("run_on") >= F.lit(dates.month_start(since)))
+def arrears_tasks(
+    source: Tables, since: date, names: Sequence[str] = tuple(ARREARS_TABLES), until: date | None = None
+) -> DataFrame:
+    """Arrears billing tasks from the month of `since` to the day `until`, with subscription and product attributes."""
+    condition = (F.col("method") == ARREARS_BILL_METHOD) & run_within(since, until)
     subscriptions = source.table("subscription").select(
         F.col("id").alias("subscription_id"), "original_subscription_id"
     )
@@ -180,13 +219,12 @@ def arrears_tasks(source: Tables, since: date, names: Sequence[str] = tuple(ARRE
 
 
 def table_freshness(sources: dict[str, Tables], names: Sequence[str], zone: str = "America/Denver") -> DataFrame:
-    """Latest write of each table in each schema, from the epoch-millisecond column `__ts_ms`."""
+    """Latest write of each table in each schema, from the epoch-millisecond column `__ts_ms`; of Parquet tables only footers are read."""
 
     def latest(schema: str, source: Tables, name: str) -> DataFrame:
-        written = F.max("__ts_ms").alias("latest_ts_ms")
-        return source.table(name).agg(written).select(
-            F.lit(schema).alias("schema"), F.lit(name).alias("table_name"), "latest_ts_ms"
-        )
+        of_parquet = isinstance(source, ParquetTables)
+        newest = source.newest(name, "__ts_ms") if of_parquet else source.table(name).agg(F.max("__ts_ms").alias("__ts_ms"))
+        return newest.select(F.lit(schema).alias("schema"), F.lit(name).alias("table_name"), F.col("__ts_ms").alias("latest_ts_ms"))
 
     parts = [latest(schema, source, name) for schema, source in sources.items() for name in names]
     return reduce(DataFrame.unionByName, parts).select(

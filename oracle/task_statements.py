@@ -300,6 +300,28 @@ STATEMENTS = {
             date_trunc('second', max(updated_dt)) - INTERVAL 7 HOUR AS latest_written FROM tasks GROUP BY task_table""",
         "tasks",
     ),
+    "sharded_invoice_tasks": statement(
+        """SELECT id, task_table, service, method, CASE WHEN id % 10 <> 0 THEN invoice_date END AS invoice_date,
+            CASE WHEN task_table LIKE 'billing%' THEN product_id END AS partner_id,
+            CASE WHEN task_table NOT LIKE 'billing%' THEN error_message END AS error_message, NULL::VARCHAR AS guid, run_duration
+        FROM tasks""",
+        "tasks",
+    ),
+    "sharded_billing_tasks": statement(
+        """SELECT id, task_table, method, raw_status AS status_clean,
+            CASE WHEN id % 10 <> 0 THEN CAST(product_id AS VARCHAR) END AS partner_id_parsed, NULL::VARCHAR AS company_id_parsed,
+            DATE '2024-01-01' AS run_on_month
+        FROM tasks WHERE method IN ('view','error','signup') AND run_on >= DATE '2024-01-01' AND run_on < DATE '2024-01-16'""",
+        "tasks",
+    ),
+    "sharded_arrears_tasks": statement(
+        """SELECT t.id, CASE t.id % 2 WHEN 0 THEN 'arrears_task' ELSE 'arrears_task_2' END AS task_table, 'new' AS status_clean,
+            subscription_id, s.original_subscription_id, t.product_id, p.name AS product_name, p.vendor, error_message
+        FROM tasks t JOIN subscription s ON s.id = subscription_id JOIN product p ON p.id = t.product_id
+        WHERE method = 'purchase' AND run_on >= DATE '2024-01-01' AND run_on < DATE '2024-01-16'""",
+        "tasks", "subscription", "product",
+    ),
+    "sharded_backlog": statement("SELECT * FROM backlog", "tasks", extra=_BACKLOG),
     "daily_task_counts": statement(
         """SELECT CAST(run_on AS DATE) AS running_day, status, count(*) AS task_count FROM tasks
         WHERE CAST(run_on AS DATE) > DATE '2024-01-30' - 20 AND CAST(run_on AS DATE) <= DATE '2024-01-30' AND method IN ('view','click','error') GROUP BY ALL""",

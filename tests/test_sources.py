@@ -1,10 +1,12 @@
-from datetime import datetime
+from datetime import date, datetime
 
 import pytest
 from pyspark.sql import functions as F
 
 from billweave import schemas
+from billweave.functions import labels
 from billweave.plans import registry
+from billweave.session import configure
 from billweave.sources import sinks, tables
 from billweave.streaming import completions
 from oracle import statements
@@ -95,3 +97,42 @@ def test_batch_names_of_four_digits(spark):
     batches = spark.createDataFrame([(7,), (100,), (1000,), (12345,)], "batch long")
     names = [r[0] for r in batches.orderBy("batch").select(sinks.batch_file_name("f", F.col("batch"), "d")).collect()]
     assert names == ["f_batch007_d.csv", "f_batch100_d.csv", "f_batch1000_d.csv", "f_batch12345_d.csv"]
+
+
+def test_parquet_shards_are_one_scan(spark, tmp_path):
+    """Shards with differing columns: one scan, filters and columns reach it, and each row knows its table."""
+    spark.createDataFrame([(1, "m", 7)], "id long, method string, partner_id long").write.parquet(f"{tmp_path}/billing_task.parquet")
+    spark.createDataFrame([(2, "m", "bad"), (3, "n", None)], "id long, method string, error_message string").write.parquet(
+        f"{tmp_path}/mca_task.parquet"
+    )
+    source = tables.ParquetTables(spark, str(tmp_path))
+    both = tables.union_shards(source, ["billing_task", "mca_task"])
+    assert rows_of(both, "id", "task_table", "partner_id", "error_message") == [
+        (1, "billing_task", 7, None), (2, "mca_task", None, "bad"), (3, "mca_task", None, None),
+    ]
+    assert both.columns == ["task_table", *schemas.TASK_FIELDS]
+    few = tables.union_shards(source, ["billing_task", "mca_task"], F.col("method") == "m").select("id", "task_table")
+    plan = few._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "EqualTo(method,m)" in plan and "error_message" not in plan
+    assert rows_of(few) == [(1, "billing_task"), (2, "mca_task")]
+
+
+def test_freshness_reads_footers_only(spark, tmp_path):
+    configure(spark)
+    spark.range(1000).selectExpr("id", "1704067200000 + id AS __ts_ms").repartition(3).write.parquet(f"{tmp_path}/invoice.parquet")
+    source = tables.ParquetTables(spark, str(tmp_path))
+    before = spark.conf.get("spark.sql.sources.useV1SourceList")
+    plan = source.newest("invoice", "__ts_ms")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [MAX(__ts_ms)]" in plan
+    assert spark.conf.get("spark.sql.sources.useV1SourceList") == before
+    got = tables.table_freshness({"cc": source}, ["invoice"], zone="UTC")
+    assert rows_of(got) == [("cc", "invoice", datetime(2024, 1, 1))]
+
+
+def test_parsed_payloads(spark):
+    rows = [('{"a":{"v":"2024-01-05"},"n":5,"e":""}',), ('{"a":{"v":"nope"}',), ('{"a":{"v":"nope"}}',), ("",), (None,)]
+    document = labels.parsed(F.col("p"))
+    got = spark.createDataFrame(rows, "p string").select(
+        labels.field_date(document, "a", "v"), labels.field_text(document, "n"), labels.field_text(document, "e")
+    )
+    assert rows_of(got) == [(None, None, None)] * 4 + [(date(2024, 1, 5), "5", None)]
