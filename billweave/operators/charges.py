@@ -75,78 +75,77 @@ def modifications(versions: DataFrame) -> DataFrame:
     )
 
 
-def active_months(
+CHANGES = ("quantity_changes", "price_changes", "product_changes", "term_changes", "modifications", "quantity_delta", "price_delta")
+
+
+def active_spans(
     versions: DataFrame, as_of: date, carry: Sequence[str] = (), since: date | None = None
 ) -> DataFrame:
-    """One row per subscription chain and month it is active, with the version that counts then.
+    """One row per subscription chain and month in which versions start: the months `shown`..`last` until the next such month.
 
-    The versions of a chain are reduced to one row per start month first, so what follows works on at
-    most one row per chain and month. A month without a change keeps the last version before it. A
-    chain ends with the end date of its last version, else with `as_of`. `since` keeps the months from
-    there on; earlier ones are never generated.
+    The versions of a chain are reduced to one row per start month first: the latest version, its `carry` columns, and how many and what
+    changes started. A chain ends with the end date of its last version, else with `as_of`. `since` keeps the months from there on.
 
     `versions` is the result of `modifications`.
     """
     kept = ["id", "status", "end_date", *carry]
     starts = versions.groupBy(
-        "original_subscription_id", dates.month_of(F.col("start_date")).alias("_from")
+        "original_subscription_id", dates.month_of(F.col("start_date")).alias("first")
     ).agg(
         F.max_by(F.struct(*kept), "id").alias("_version"),
-        F.min("id").alias("first_id_in_month"),
-        F.count_if("quantity_changed").alias("_quantity_changes"),
-        F.count_if("price_changed").alias("_price_changes"),
-        F.count_if("product_changed").alias("_product_changes"),
-        F.count_if("term_changed").alias("_term_changes"),
-        F.count_if(F.col("prior_id").isNotNull()).alias("_modifications"),
-        F.sum(F.coalesce("quantity_delta", F.lit(0))).alias("_quantity_delta"),
-        F.min_by("prior_id", "id").isNull().alias("_is_new"),
+        F.min("id").alias("first_id"),
+        F.count_if("quantity_changed").alias("quantity_changes"),
+        F.count_if("price_changed").alias("price_changes"),
+        F.count_if("product_changed").alias("product_changes"),
+        F.count_if("term_changed").alias("term_changes"),
+        F.count_if(F.col("prior_id").isNotNull()).alias("modifications"),
+        F.sum(F.coalesce("quantity_delta", F.lit(0))).alias("quantity_delta"),
+        F.sum(F.coalesce("price_delta", F.lit(0).cast("decimal(18,4)"))).alias("price_delta"),
+        F.min_by("prior_id", "id").isNull().alias("is_new"),
     )
-    following = F.lead("_from").over(Window.partitionBy("original_subscription_id").orderBy("_from"))
-    last = F.lit(dates.month_start(as_of))
-    spans = (
+    following = F.lead("first").over(Window.partitionBy("original_subscription_id").orderBy("first"))
+    ends = dates.month_of(F.col("end_date"))
+    until = F.lit(dates.month_start(as_of))
+    last = F.least(F.coalesce(F.add_months("_next", -1), F.greatest(ends, F.when(ends.isNotNull(), F.col("first"))), until), until)
+    shown = F.col("first") if since is None else F.greatest(F.col("first"), F.lit(dates.month_start(since)))
+    return (
         starts.withColumn("_next", following)
-        .withColumn(
-            "_to",
-            F.least(
-                F.coalesce(
-                    F.add_months("_next", -1),
-                    F.when(
-                        F.col("_version.end_date").isNotNull(),
-                        F.greatest(dates.month_of(F.col("_version.end_date")), F.col("_from")),
-                    ),
-                    last,
-                ),
-                last,
-            ),
-        )
-        .filter(F.col("_from") <= F.col("_to"))
+        .select("*", *[F.col(f"_version.{c}").alias(c) for c in kept])
+        .withColumn("last", last)
+        .withColumn("shown", shown)
+        .filter(F.col("shown") <= F.col("last"))
+        .withColumn("cancelled_in", F.when(F.col("_next").isNull() & ends.between(F.col("shown"), F.col("last")), ends))
+        .drop("_version", "_next")
     )
-    shown = F.col("_from") if since is None else F.greatest(F.col("_from"), F.lit(dates.month_start(since)))
-    exploded = (
-        spans.withColumn("_shown", shown)
-        .filter(F.col("_shown") <= F.col("_to"))
-        .withColumn("transaction_month", F.explode(F.sequence("_shown", "_to", F.expr("interval 1 month"))))
-    )
-    first = F.col("transaction_month") == F.col("_from")
+
+
+def active_months(
+    versions: DataFrame, as_of: date, carry: Sequence[str] = (), since: date | None = None
+) -> DataFrame:
+    """One row per subscription chain and month it is active, with the version that counts then.
+
+    A month without a change keeps the last version before it. Months before `since` are never generated. For sums over all
+    subscriptions, `subscriptions.overview_of_spans` needs no rows per month.
+    """
+    spans = active_spans(versions, as_of, carry, since)
+    exploded = spans.withColumn("transaction_month", F.explode(F.sequence("shown", "last", F.expr("interval 1 month"))))
+    first = F.col("transaction_month") == F.col("first")
 
     def here(column: str) -> Column:
-        return F.when(first, F.col(column)).otherwise(F.lit(0)).cast("bigint").alias(column.lstrip("_"))
+        kind = "decimal(28,4)" if column == "price_delta" else "bigint"
+        return F.when(first, F.col(column)).otherwise(F.lit(0)).cast(kind).alias(column)
 
-    ends = F.col("_next").isNull() & (F.col("transaction_month") == dates.month_of(F.col("_version.end_date")))
     return exploded.select(
         "original_subscription_id",
         "transaction_month",
-        F.when(first, F.col("first_id_in_month")).otherwise(F.col("_version.id")).alias("first_id_in_month"),
-        F.col("_version.id").alias("latest_id_in_month"),
-        *[F.col(f"_version.{c}").alias(c) for c in kept if c != "id"],
-        here("_quantity_changes"),
-        here("_price_changes"),
-        here("_product_changes"),
-        here("_term_changes"),
-        here("_modifications"),
-        here("_quantity_delta"),
-        (first & F.col("_is_new")).alias("is_new"),
-        F.coalesce(ends, F.lit(False)).alias("is_cancelled"),
+        F.when(first, F.col("first_id")).otherwise(F.col("id")).alias("first_id_in_month"),
+        F.col("id").alias("latest_id_in_month"),
+        "status",
+        "end_date",
+        *carry,
+        *[here(c) for c in CHANGES],
+        (first & F.col("is_new")).alias("is_new"),
+        F.coalesce(F.col("transaction_month") == F.col("cancelled_in"), F.lit(False)).alias("is_cancelled"),
     )
 
 

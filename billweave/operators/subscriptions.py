@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 
 from billweave.functions import dates, labels
 from billweave.functions.numbers import percent, relative_change
-from billweave.operators import ordered
+from billweave.operators import charges, ordered
 
 OVERVIEW = [
     "partner_count", "company_count", "active_subscription_count", "cancelled_subscription_count",
@@ -306,6 +306,76 @@ def overview(months: DataFrame, keys: Sequence[str] = ("transaction_month",)) ->
         F.sum("modifications").alias("total_modifications"),
         F.sum("quantity_delta").alias("total_quantity_change"),
         F.sum("price_changes").alias("total_partner_buy_rate_changes"),
+        F.sum("price_delta").alias("total_price_change"),
+    )
+
+
+def overview_of_spans(spans: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """The same summary per month (and keys) from active spans, by a sweep line: no row per subscription and month is made.
+
+    A span adds one where it is first shown and takes it away after its last month; running sums over the months give what is active. Partners
+    and companies are counted the same way, from the months in which their number of spans leaves zero or comes back to it.
+    spans: `charges.active_spans` with partner_id, company_id and the keys.
+    """
+    keys, month = list(keys), "transaction_month"
+    after = F.add_months("last", 1)
+    starts_here = F.col("shown") == F.col("first")
+    points = {
+        "_cancelled": F.lit(0), "_new": F.col("is_new").cast("int"), **{c: F.col(c) for c in charges.CHANGES},
+    }
+    none = {name: F.lit(0) for name in points}
+
+    def event(when: Column, spans_more: int, values: dict[str, Column]) -> Column:
+        amounts = [v.cast("decimal(28,4)").alias(name) for name, v in values.items()]
+        return F.struct(when.alias(month), F.lit(spans_more).cast("bigint").alias("_spans"), *amounts)
+
+    begin = event(F.col("shown"), 1, {name: F.when(starts_here, v).otherwise(F.lit(0)) for name, v in points.items()})
+    cancel = event(F.col("cancelled_in"), 0, {**none, "_cancelled": F.lit(1)})
+    events = spans.select(*keys, F.explode(F.array(begin, event(after, -1, none), cancel)).alias("_event")).filter(f"_event.{month} IS NOT NULL")
+    measures = ["_spans", *points]
+    sums = events.select(*keys, "_event.*").groupBy(*keys, month).agg(*[F.sum(m).alias(m) for m in measures])
+
+    def entities(column: str, name: str) -> DataFrame:
+        ends = F.array(F.struct(F.col("shown").alias(month), F.lit(1).alias("_d")), F.struct(after.alias(month), F.lit(-1).alias("_d")))
+        steps = spans.filter(F.col(column).isNotNull()).select(*keys, column, F.explode(ends).alias("_step"))
+        steps = steps.select(*keys, column, "_step.*").groupBy(*keys, column, month).agg(F.sum("_d").alias("_d"))
+        here = F.sum("_d").over(Window.partitionBy(*keys, column).orderBy(month))  # a row per month and entity at most
+        change = F.when(here == F.col("_d"), F.signum("_d")).when(here == 0, F.lit(-1)).otherwise(F.lit(0))
+        changes = steps.select(*keys, month, change.cast("bigint").alias("_change"))
+        return changes.groupBy(*keys, month).agg(F.sum("_change").alias(name))
+
+    parts = [sums, entities("partner_id", "_partners"), entities("company_id", "_companies")]
+    united = parts[0].unionByName(parts[1], allowMissingColumns=True).unionByName(parts[2], allowMissingColumns=True)
+    measures += ["_partners", "_companies"]
+    per_month = united.groupBy(*keys, month).agg(*[F.coalesce(F.sum(m), F.lit(0)).alias(m) for m in measures])
+    # from here on there is a row per month and key at most
+    in_order = Window.partitionBy(*keys).orderBy(month)
+    upto = F.coalesce(F.add_months(F.lead(month).over(in_order), -1), F.col(month))
+    running = per_month.select(
+        *keys, month, *points, *[F.sum(m).over(in_order).alias(m) for m in ("_spans", "_partners", "_companies")], upto.alias("_upto")
+    )
+    every = running.filter("_spans > 0").withColumn("_month", F.explode(F.sequence(month, "_upto", F.expr("interval 1 month"))))
+
+    def point(name: str) -> Column:
+        return F.when(F.col("_month") == F.col(month), F.col(name)).otherwise(F.lit(0)).cast("decimal(28,4)")
+
+    def whole(value: Column, name: str) -> Column:
+        return value.cast("bigint").alias(name)
+
+    return every.select(
+        F.col("_month").alias(month),
+        *keys,
+        whole(F.col("_partners"), "partner_count"),
+        whole(F.col("_companies"), "company_count"),
+        whole(F.col("_spans") - point("_cancelled"), "active_subscription_count"),
+        whole(point("_cancelled"), "cancelled_subscription_count"),
+        whole(point("_new") - point("_cancelled"), "net_new_subscription_count"),
+        whole(point("product_changes"), "total_product_changes"),
+        whole(point("term_changes"), "total_renewals"),
+        whole(point("modifications"), "total_modifications"),
+        whole(point("quantity_delta"), "total_quantity_change"),
+        whole(point("price_changes"), "total_partner_buy_rate_changes"),
+        point("price_delta").alias("total_price_change"),
     )
 
 

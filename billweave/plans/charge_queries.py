@@ -108,7 +108,7 @@ def active_months(spark, root):
     return _months(spark, root).select(
         "original_subscription_id", "transaction_month", "first_id_in_month", "latest_id_in_month", "status",
         "quantity_changes", "price_changes", "product_changes", "term_changes", "modifications", "quantity_delta",
-        "is_new", "is_cancelled",
+        money(F.col("price_delta")).alias("price_delta"), "is_new", "is_cancelled",
     )
 
 

@@ -143,37 +143,47 @@ def revenue_variance_mom(spark, root):
     )
 
 
-def _months(spark, root, since=None, until=HISTORY_END):
+def _spans(spark, root, since=None, until=HISTORY_END):
     sample = Sample(spark, root)
     versions = charges.modifications(sample.subscription())
-    months = charges.active_months(versions, until, ["company_id", "product_id"], since)
-    return months.join(sample.accounts().select("company_id", "partner_id"), "company_id").join(
+    spans = charges.active_spans(versions, until, ["company_id", "product_id"], since)
+    return spans.join(sample.accounts().select("company_id", "partner_id"), "company_id").join(
         sample.product().select(F.col("id").alias("product_id"), "vendor"), "product_id"
     )
 
 
+def _priced(summary):
+    return summary.withColumn("total_price_change", money(F.col("total_price_change")))
+
+
 def overview_history(spark, root):
-    return subscriptions.overview(_months(spark, root))
+    return _priced(subscriptions.overview_of_spans(_spans(spark, root)))
 
 
 def overview_by_vendor(spark, root):
-    return subscriptions.overview(_months(spark, root), ["transaction_month", "vendor"])
+    return _priced(subscriptions.overview_of_spans(_spans(spark, root), ["vendor"]))
+
+
+def _recent_spans(spark, root):
+    return _spans(spark, root, dates.months_before(MONTH, 5), MONTH)
 
 
 def overview_trend(spark, root):
-    months = _months(spark, root, dates.months_before(MONTH, 5), MONTH)
-    return subscriptions.trend(subscriptions.overview(months), MONTH)
+    return _priced(subscriptions.trend(subscriptions.overview_of_spans(_recent_spans(spark, root)), MONTH))
 
 
 def overview_vendor_trend(spark, root):
-    months = _months(spark, root, dates.months_before(MONTH, 5), MONTH)
-    of_vendor = subscriptions.overview(months.filter(F.col("vendor") == "Brand#4"))
-    return subscriptions.trend(of_vendor, MONTH, months=months)
+    """A vendor's months, and null where it has none but others have; one sweep gives both."""
+    of_vendor = F.when(F.col("vendor") == "Brand#4", "it").otherwise("others")
+    summary = subscriptions.overview_of_spans(_recent_spans(spark, root).withColumn("_whose", of_vendor), ["_whose"])
+    measures = [c for c in summary.columns if c not in ("transaction_month", "_whose")]
+    its = summary.groupBy("transaction_month").agg(*[F.max(F.when(F.col("_whose") == "it", F.col(c))).alias(c) for c in measures])
+    return _priced(subscriptions.trend(its, MONTH))
 
 
 def overview_unpivot(spark, root):
-    months = _months(spark, root, dates.months_before(MONTH, 5), MONTH)
-    return subscriptions.long_form(subscriptions.trend(subscriptions.overview(months), MONTH))
+    summary = subscriptions.overview_of_spans(_recent_spans(spark, root))
+    return subscriptions.long_form(subscriptions.trend(summary, MONTH))
 
 
 def extract_invoice_rows(spark, root):

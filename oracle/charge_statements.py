@@ -41,7 +41,7 @@ st AS (
     SELECT original_subscription_id AS o, CAST(date_trunc('month', start_date) AS DATE) AS m, arg_max(ver, id) AS v, min(id) AS first_id,
         count(*) FILTER (WHERE quantity_changed) AS qc, count(*) FILTER (WHERE price_changed) AS pc,
         count(*) FILTER (WHERE product_changed) AS dc, count(*) FILTER (WHERE term_changed) AS tc,
-        count(prior_id) AS mc, CAST(sum(coalesce(quantity_delta, 0)) AS BIGINT) AS qd, bool_or(prior_id IS NULL) AS isnew
+        count(prior_id) AS mc, CAST(sum(coalesce(quantity_delta, 0)) AS BIGINT) AS qd, sum(coalesce(price_delta, 0)) AS pd, bool_or(prior_id IS NULL) AS isnew
     FROM ver GROUP BY ALL
 ),
 ends AS (
@@ -50,7 +50,7 @@ ends AS (
 cal AS (SELECT CAST(unnest(generate_series(TIMESTAMP '1995-01-01', TIMESTAMP '2001-08-01', INTERVAL 1 MONTH)) AS DATE) AS tm),
 am AS (
     SELECT e.o AS original_subscription_id, tm AS transaction_month, s.v AS v, s.m = tm AS starts, s.first_id, s.qc, s.pc, s.dc, s.tc,
-        s.mc, s.qd, s.isnew, s.m = e.last_m AND coalesce(tm = date_trunc('month', s.v.end_date), false) AS is_cancelled
+        s.mc, s.qd, s.pd, s.isnew, s.m = e.last_m AND coalesce(tm = date_trunc('month', s.v.end_date), false) AS is_cancelled
     FROM ends e JOIN cal ON tm >= first_m
         AND tm <= CASE WHEN last_end IS NULL THEN DATE '2001-08-01'
             ELSE greatest(CAST(date_trunc('month', last_end) AS DATE), last_m) END
@@ -61,7 +61,7 @@ months AS (
         v.id AS latest_id_in_month, v.status AS status, CASE WHEN starts THEN qc ELSE 0 END AS quantity_changes,
         CASE WHEN starts THEN pc ELSE 0 END AS price_changes, CASE WHEN starts THEN dc ELSE 0 END AS product_changes,
         CASE WHEN starts THEN tc ELSE 0 END AS term_changes, CASE WHEN starts THEN mc ELSE 0 END AS modifications,
-        CASE WHEN starts THEN qd ELSE 0 END AS quantity_delta, starts AND isnew AS is_new, is_cancelled,
+        CASE WHEN starts THEN qd ELSE 0 END AS quantity_delta, CASE WHEN starts THEN pd ELSE 0 END AS price_delta, starts AND isnew AS is_new, is_cancelled,
         v.term AS term, v.billing_cycle_start AS cycle, v.commitment_term_end_date AS commit_end, v.quantity AS quantity,
         v.price AS unit_price, v.product_id AS product_id, v.company_id AS company_id,
         v.completed_line_id AS completed_line_id, v.start_date AS start_date
@@ -254,8 +254,9 @@ STATEMENTS = {
         extra=_VERSIONS,
     ),
     "active_months": statement(
-        """SELECT original_subscription_id, transaction_month, first_id_in_month, latest_id_in_month, status, quantity_changes,
-            price_changes, product_changes, term_changes, modifications, quantity_delta, is_new, is_cancelled FROM months""",
+        f"""SELECT original_subscription_id, transaction_month, first_id_in_month, latest_id_in_month, status, quantity_changes,
+            price_changes, product_changes, term_changes, modifications, quantity_delta, {money('price_delta')} AS price_delta,
+            is_new, is_cancelled FROM months""",
         "subscription",
         extra=_MONTHS,
     ),

@@ -59,7 +59,7 @@ def _overview(source: str, *keys: str) -> str:
         {count('is_new')} - {count('is_cancelled')} AS net_new_subscription_count,
         CAST(sum(product_changes) AS BIGINT) AS total_product_changes, CAST(sum(term_changes) AS BIGINT) AS total_renewals,
         CAST(sum(modifications) AS BIGINT) AS total_modifications, CAST(sum(quantity_delta) AS BIGINT) AS total_quantity_change,
-        CAST(sum(price_changes) AS BIGINT) AS total_partner_buy_rate_changes
+        CAST(sum(price_changes) AS BIGINT) AS total_partner_buy_rate_changes, {money('sum(price_delta)')} AS total_price_change
     FROM {source} GROUP BY {', '.join(keys)}"""
 
 

@@ -1,4 +1,5 @@
-from datetime import date
+import random
+from datetime import date, timedelta
 from decimal import Decimal
 
 import pytest
@@ -401,3 +402,30 @@ def test_nothing_after_as_of_counts(spark, frame):
     assert rows_of(usage, "arrears_subscription_id") == [(1,)]
     variance = revenue.arrears_variance(items, subs, partners, products, units, currencies, date(2024, 6, 20)).collect()
     assert [r["usd_current_month_gross_revenue"] for r in variance] == [10.0]
+
+
+def test_sweep_equals_the_months_of_every_subscription(spark):
+    """Sums by a sweep line against one row per subscription and month, with hot partners, gaps and cancellations."""
+    chance = random.Random(3)
+    start = date(2023, 1, 1)
+    rows = []
+    for k in range(160):
+        day = start + timedelta(days=chance.randrange(500))
+        end = day + timedelta(days=chance.randrange(1, 300)) if chance.random() < 0.4 else None
+        rows.append((k, chance.randrange(45), chance.choice([1, 1, 1, 2, 3, None]), chance.randrange(9), "Active", chance.randrange(9), "Monthly",
+                     Decimal(chance.randrange(50)), day, end, k % 3))
+    versions = spark.createDataFrame(
+        rows,
+        """id long, original_subscription_id long, partner_id long, company_id long, status string, quantity long, term string,
+        price decimal(18,2), start_date date, end_date date, product_id long""",
+    ).withColumn("completed_line_id", F.col("id"))
+    changed = charges.modifications(versions)
+    for as_of, since in ((date(2024, 8, 1), None), (date(2024, 1, 1), date(2023, 9, 1)), (date(2022, 1, 1), None)):
+        carry = ["partner_id", "company_id", "product_id"]
+        months = charges.active_months(changed, as_of, carry, since)
+        spans = charges.active_spans(changed, as_of, carry, since)
+        for keys in ([], ["product_id"]):
+            want = subscriptions.overview(months, ["transaction_month", *keys])
+            got = subscriptions.overview_of_spans(spans, keys)
+            assert rows_of(got, *want.columns) == rows_of(want)
+    assert want.count() == 0 < subscriptions.overview(charges.active_months(changed, date(2024, 8, 1), carry)).count()
