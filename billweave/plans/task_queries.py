@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from billweave.constants import DURATION_TABLES
 from billweave.functions import labels, text
-from billweave.operators import durations, history, tasks
+from billweave.operators import durations, history, marts, tasks
 from billweave.plans.sample import (
     CRITICAL_SECONDS,
     ERROR_RULES,
@@ -19,6 +19,7 @@ from billweave.plans.sample import (
     dec,
 )
 from billweave.sources import tables
+from billweave.sources.scratch import scratch_folder
 
 JANUARY = (date(2024, 1, 1), date(2024, 1, 31))
 REVIEW_DAY = date(2024, 1, 15)
@@ -254,18 +255,41 @@ def _billing(spark, root):
     )
 
 
+def _monthly(spark, root):
+    """Month totals from a mart of months: history is read once, the totals as often as needed."""
+
+    def totals(rows):
+        return history.current_totals(rows, [marts.PERIOD, "partner_region", "method"])
+
+    mart = marts.PeriodMart(spark, scratch_folder(spark), "run_on", totals)
+    mart.refresh(_billing(spark, root))
+    return mart.table().withColumnRenamed(marts.PERIOD, "run_on_month")
+
+
+def merged_task_states(spark, root):
+    """Task states from weekly partials; the last two weeks come in by a refresh of theirs alone."""
+    reviewed = F.when(F.col("method") == "click", "reviewed").otherwise(F.col("status"))
+    changes = Sample(spark, root).tasks().withColumn("status_clean", reviewed)
+    task = ["subscription_id", "product_id"]
+    mart = marts.PeriodMart(spark, scratch_folder(spark), "run_on", marts.state_partials(task, ["updated_dt", "id"]), "WEEK")
+    mart.refresh(changes.filter(F.col("run_on") < F.lit(REVIEW_DAY)))
+    late = changes.filter(F.col("run_on") >= F.lit(REVIEW_DAY))
+    mart.refresh(changes, mart.periods(late))
+    return marts.merged_states(mart.table(), task).select(
+        *task, "run_on_month", "current_status", "ever_error", "ever_finished", "ever_reviewed", "last_error_message"
+    )
+
+
 def task_status_lag(spark, root):
-    monthly = history.current_totals(_billing(spark, root), ["run_on_month", "partner_region", "method"])
-    return history.with_previous_month(monthly, date(2000, 6, 1))
+    return history.with_previous_month(_monthly(spark, root), date(2000, 6, 1))
 
 
 def task_status_change(spark, root):
-    monthly = history.current_totals(_billing(spark, root), ["run_on_month", "partner_region", "method"])
-    return history.month_change(history.with_previous_month(monthly, date(2000, 6, 1)))
+    return history.month_change(history.with_previous_month(_monthly(spark, root), date(2000, 6, 1)))
 
 
 def method_completeness(spark, root):
-    monthly = history.current_totals(_billing(spark, root), ["run_on_month", "partner_region", "method"])
+    monthly = _monthly(spark, root)
     return history.method_completeness(monthly, {"medium": "MEDIUM", "urgent": "urgent", "absent": "Tax"})
 
 

@@ -327,6 +327,13 @@ STATEMENTS = {
         WHERE CAST(run_on AS DATE) > DATE '2024-01-30' - 20 AND CAST(run_on AS DATE) <= DATE '2024-01-30' AND method IN ('view','click','error') GROUP BY ALL""",
         "tasks",
     ),
+    "merged_task_states": _st(
+        """SELECT subscription_id, product_id, CAST(date_trunc('month', min(run_on)) AS DATE) AS run_on_month,
+            arg_max(st, (updated_dt, id)) AS current_status, bool_or(st = 'error') AS ever_error,
+            bool_or(st = 'finished') AS ever_finished, bool_or(st = 'reviewed') AS ever_reviewed,
+            arg_max(error_message, (updated_dt, id)) FILTER (WHERE st = 'error') AS last_error_message
+        FROM chg GROUP BY ALL"""
+    ),
     "task_states": _st(
         """SELECT subscription_id, product_id, partner_region, vendor, run_on_month, current_status, ever_error,
             ever_finished, ever_reviewed, last_error_message FROM states"""
