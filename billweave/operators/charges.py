@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from billweave.functions import dates
+from billweave.functions.numbers import usd
 from billweave.operators import ordered
 
 DUPLICATE_KEYS = [
@@ -175,7 +176,8 @@ def due_renewals(months: DataFrame, since: date = CUTOVER) -> DataFrame:
 
 
 def month_charges(lines: DataFrame) -> DataFrame:
-    """Full-term and prorate charges per (original subscription, invoice month); bill-on-behalf lines are out."""
+    """Full-term and prorate charges per (original subscription, invoice month), at the partner's cost and the customer's total;
+    bill-on-behalf lines are out."""
     full, prorate = F.col("row_type") == "subscription", F.col("row_type") == "prorate"
     return (
         lines.filter(~F.col("is_bill_on_behalf"))
@@ -183,8 +185,10 @@ def month_charges(lines: DataFrame) -> DataFrame:
         .agg(
             F.count_if(full).alias("full_term_count"),
             F.sum(F.when(full, F.col("cost_total"))).alias("full_term_total"),
+            F.sum(F.when(full, F.col("total"))).alias("full_term_customer_total"),
             F.count_if(prorate).alias("prorate_count"),
             F.sum(F.when(prorate, F.col("cost_total"))).alias("prorate_total"),
+            F.sum(F.when(prorate, F.col("total"))).alias("prorate_customer_total"),
         )
     )
 
@@ -194,7 +198,9 @@ def projection(due: DataFrame, charges: DataFrame, orders: DataFrame, service_ch
 
     orders: original_subscription_id, transaction_month, order_full_term, order_prorate,
     manual_full_term, manual_prorate. service_charges: original_subscription_id, transaction_month,
-    charge_count, debit. Missed revenue is unit price times quantity where the full-term charge is missing.
+    charge_count, debit. Where the full-term charge is missing, missed revenue is the quantity times the price its audience pays: the retail
+    price (`unit_price`) of a direct company (`is_direct_company`), else the partner's buy rate (`partner_buy_rate`). Amounts are
+    in the subscription's currency (`currency_code`), and once more in USD.
     """
     keys = ["original_subscription_id", "transaction_month"]
     joined = due.join(charges, keys, "left").join(orders, keys, "left").join(service_charges, keys, "left")
@@ -202,16 +208,20 @@ def projection(due: DataFrame, charges: DataFrame, orders: DataFrame, service_ch
     prorated = F.coalesce("prorate_count", F.lit(0)) > 0
     posted = F.coalesce("charge_count", F.lit(0)) > 0
     zero = F.lit(0).cast("decimal(18,4)")
-    missed = F.when(matched, zero).otherwise(F.col("unit_price") * F.col("quantity"))
+    price = F.when(F.col("is_direct_company"), F.col("unit_price")).otherwise(F.col("partner_buy_rate")).cast("decimal(18,4)")
+    missed = F.when(matched, zero).otherwise(price * F.col("quantity").cast("decimal(12,0)"))
+    net = missed - F.coalesce("prorate_total", zero)
+    code = F.col("currency_code")
     flags = [
         F.coalesce(c, F.lit(False)).alias(c)
         for c in ("order_full_term", "order_prorate", "manual_full_term", "manual_prorate")
     ]
     counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("full_term_count", "prorate_count", "charge_count")]
-    amounts = [F.coalesce(c, zero).alias(c) for c in ("full_term_total", "prorate_total", "debit")]
+    totals = ("full_term_total", "full_term_customer_total", "prorate_total", "prorate_customer_total", "debit")
+    amounts = [F.coalesce(c, zero).alias(c) for c in totals]
     added = {
-        "full_term_count", "full_term_total", "prorate_count", "prorate_total", "order_full_term", "order_prorate",
-        "manual_full_term", "manual_prorate", "charge_count", "debit",
+        "full_term_count", "prorate_count", "order_full_term", "order_prorate", "manual_full_term", "manual_prorate",
+        "charge_count", *totals,
     }
     return joined.select(
         *[c for c in joined.columns if c not in added],
@@ -222,7 +232,10 @@ def projection(due: DataFrame, charges: DataFrame, orders: DataFrame, service_ch
         F.when(prorated, "Matched Prorate").otherwise("No Prorates").alias("prorate_status"),
         F.when(posted, "Service Charges").otherwise("No Service Charges").alias("ledger_status"),
         missed.alias("missed_revenue"),
-        (missed - F.coalesce("prorate_total", zero)).alias("net_missed_revenue"),
+        usd(missed, code).alias("missed_revenue_usd"),
+        net.alias("net_missed_revenue"),
+        usd(net, code).alias("net_missed_revenue_usd"),
+        usd(F.coalesce("debit", zero), code).alias("debit_usd"),
     )
 
 
@@ -268,38 +281,33 @@ def missing_summary(rows: DataFrame) -> DataFrame:
             F.count_distinct("company_id").alias("missing_company_count"),
             F.count_distinct("original_subscription_id").alias("missing_subscription_count"),
             F.sum("missed_revenue").alias("missed_revenue"),
+            F.sum("missed_revenue_usd").alias("missed_revenue_usd"),
             F.sum("charge_count").alias("service_charges_posted_count"),
             F.sum("debit").alias("service_charges_posted"),
+            F.sum("debit_usd").alias("service_charges_posted_usd"),
         )
     )
 
 
 def summary_for(summary: DataFrame, month: date) -> DataFrame:
     """The summary of one month; zeros when the month has none."""
-    asked = summary.sparkSession.range(1).select(F.lit(month).alias("transaction_month"))
-    rows = asked.join(summary, "transaction_month", "left")
-    return rows.select(
-        "transaction_month",
-        *[F.coalesce(c, F.lit(0).cast(t)).alias(c) for c, t in summary.dtypes if c != "transaction_month"],
-    )
+    # an aggregate without keys gives a row in any case
+    rows = summary.filter(F.col("transaction_month") == F.lit(month))
+    sums = [F.coalesce(F.max(c), F.lit(0).cast(t)).alias(c) for c, t in summary.dtypes if c != "transaction_month"]
+    return rows.agg(*sums).select(F.lit(month).alias("transaction_month"), "*")
 
 
 def hierarchy_totals(rows: DataFrame, levels: Sequence[str], amount: str, counted: str) -> DataFrame:
     """Totals per lowest level, with the totals of each level above on every row.
 
-    Each level is an aggregate of the one below, joined back on its full path. The path keys are more
-    even than a window over the top level would be.
+    The windows run over the totals of the lowest level and share one shuffle by the top one; `rows` is computed once.
     """
     totals = rows.groupBy(*levels).agg(F.sum(amount).alias("total_amount"), F.count(counted).alias("row_count"))
-    level = totals
-    result = totals
-    for depth in range(len(levels) - 1, 0, -1):
-        path = list(levels[:depth])
-        name = f"{levels[depth - 1]}_total"
-        source = "total_amount" if depth == len(levels) - 1 else f"{levels[depth]}_total"
-        level = level.groupBy(*path).agg(F.sum(source).alias(name))
-        result = ordered.null_safe_join(result, level, path)
-    return result
+    above = [
+        F.sum("total_amount").over(Window.partitionBy(*levels[:depth])).alias(f"{levels[depth - 1]}_total")
+        for depth in range(len(levels) - 1, 0, -1)
+    ]
+    return totals.select("*", *above)
 
 
 def product_terms(rows: DataFrame) -> DataFrame:

@@ -117,7 +117,12 @@ def _projection(spark, root):
     due = (
         reconcile.anniversary(charges.due_renewals(_months(spark, root, CUTOVER), CUTOVER), sample.product())
         .withColumnRenamed("price", "unit_price")
-        .join(sample.accounts().select("company_id", "company_name", "partner_id", "partner_name", "segment"), "company_id")
+        .join(
+            sample.accounts().select("company_id", "company_name", "partner_id", "partner_name", "segment", "currency_code"),
+            "company_id",
+        )
+        .withColumn("is_direct_company", F.col("segment") == "BUILDING")
+        .withColumn("partner_buy_rate", (F.col("unit_price") * F.lit("0.9").cast("decimal(4,2)")).cast("decimal(18,4)"))
         .join(
             sample.product().select(
                 F.col("id").alias("product_id"), F.col("name").alias("product_name"), "vendor", F.col("uuid").alias("product_uuid")
@@ -153,7 +158,11 @@ def _projection(spark, root):
     return charges.projection(due, charges.month_charges(lines), orders, posted)
 
 
-PROJECTION_MONEY = ["full_term_total", "prorate_total", "debit", "missed_revenue", "net_missed_revenue"]
+PROJECTION_MONEY = [
+    "full_term_total", "full_term_customer_total", "prorate_total", "prorate_customer_total", "debit", "missed_revenue",
+    "missed_revenue_usd", "net_missed_revenue", "net_missed_revenue_usd",
+]
+SUMMARY_AMOUNTS = ["missed_revenue", "missed_revenue_usd", "service_charges_posted", "service_charges_posted_usd"]
 
 
 def renewal_projection(spark, root):
@@ -186,14 +195,14 @@ def faceted_missing(spark, root):
 
 def missing_month_summary(spark, root):
     return _money_columns(
-        charges.missing_summary(_projection(spark, root)), "missed_revenue", "service_charges_posted"
+        charges.missing_summary(_projection(spark, root)), *SUMMARY_AMOUNTS
     )
 
 
 def missing_summary_of_month(spark, root):
     return _money_columns(
         charges.summary_for(charges.missing_summary(_projection(spark, root)), MONTH),
-        "missed_revenue", "service_charges_posted",
+        *SUMMARY_AMOUNTS,
     )
 
 
@@ -243,7 +252,7 @@ def order_upload(spark, root):
         F.lit("FLAT").alias("successor_rate_plan_type"),
         F.lit("RECURRING").alias("charge_type"),
         F.col("unit_price").alias("actual_retail_price"),
-        (F.col("unit_price") * F.lit("0.9").cast("decimal(4,2)")).alias("partner_buy_rate"),
+        "partner_buy_rate",
         (F.col("unit_price") * F.lit("0.8").cast("decimal(4,2)")).alias("wholesale_buy_rate"),
         none.alias("completed_order_purchase_order_number"),
         none.alias("currency_guid"),

@@ -74,7 +74,8 @@ _PROJECTION = (
     + """,
 ow AS (SELECT line.*, o_custkey AS o, o_orderstatus = 'P' AS bob FROM line JOIN orders ON o_orderkey = invoice_id),
 due AS (
-    SELECT months.*, p.name AS product_name, p.vendor, p.uuid AS product_uuid, a.company_name, a.partner_id, a.partner_name, a.segment
+    SELECT months.*, p.name AS product_name, p.vendor, p.uuid AS product_uuid, a.company_name, a.partner_id, a.partner_name, a.segment,
+        a.rate, CAST(CASE WHEN a.segment = 'BUILDING' THEN unit_price ELSE unit_price * 0.9 END AS DECIMAL(18,4)) AS paid_price
     FROM months JOIN product p ON p.id = months.product_id JOIN accounts a ON a.company_id = months.company_id
     WHERE p.anniversary_billing AND transaction_month >= DATE '1999-12-01'
         AND (lower(term) = 'monthly' OR month(transaction_month) =
@@ -84,7 +85,8 @@ due AS (
 ch AS (
     SELECT o, invoice_date AS m, count(*) FILTER (WHERE row_type = 'subscription') AS fc,
         sum(cost_total) FILTER (WHERE row_type = 'subscription') AS ft, count(*) FILTER (WHERE row_type = 'prorate') AS pc,
-        sum(cost_total) FILTER (WHERE row_type = 'prorate') AS pt
+        sum(cost_total) FILTER (WHERE row_type = 'prorate') AS pt,
+        sum(total) FILTER (WHERE row_type = 'subscription') AS fct, sum(total) FILTER (WHERE row_type = 'prorate') AS pct
     FROM ow WHERE NOT bob GROUP BY ALL
 ),
 om AS (
@@ -104,9 +106,11 @@ proj AS (
         CASE WHEN coalesce(fc, 0) > 0 THEN 'Matched' ELSE 'Missing' END AS line_status,
         CASE WHEN coalesce(pc, 0) > 0 THEN 'Matched Prorate' ELSE 'No Prorates' END AS prorate_status,
         CASE WHEN coalesce(sv.n, 0) > 0 THEN 'Service Charges' ELSE 'No Service Charges' END AS ledger_status,
-        CASE WHEN coalesce(fc, 0) > 0 THEN 0 ELSE unit_price * CAST(due.quantity AS DECIMAL(9,0)) END AS missed_revenue,
-        CAST(CASE WHEN coalesce(fc, 0) > 0 THEN 0 ELSE unit_price * CAST(due.quantity AS DECIMAL(9,0)) END AS DECIMAL(28,4))
-            - coalesce(CAST(pt AS DECIMAL(28,4)), 0) AS net_missed_revenue
+        coalesce(fct, 0) AS full_term_customer_total, coalesce(pct, 0) AS prorate_customer_total,
+        CAST(CASE WHEN coalesce(fc, 0) > 0 THEN 0 ELSE paid_price * CAST(due.quantity AS DECIMAL(9,0)) END AS DECIMAL(28,4)) AS missed_revenue,
+        missed_revenue - coalesce(CAST(pt AS DECIMAL(28,4)), 0) AS net_missed_revenue,
+        CAST(missed_revenue AS DECIMAL(20,4)) * rate AS missed_revenue_usd,
+        CAST(net_missed_revenue AS DECIMAL(20,4)) * rate AS net_missed_revenue_usd, coalesce(sv.s, 0) * rate AS debit_usd
     FROM due LEFT JOIN ch ON ch.o = original_subscription_id AND ch.m = transaction_month
         LEFT JOIN om ON om.o = original_subscription_id AND om.m = transaction_month
         LEFT JOIN sv ON sv.o = original_subscription_id AND sv.m = transaction_month
@@ -130,7 +134,8 @@ def _proj(body: str) -> str:
 _SUMMARY = f"""SELECT transaction_month, count(DISTINCT product_id) AS product_count,
     count(DISTINCT partner_id) AS missing_partner_count, count(DISTINCT company_id) AS missing_company_count,
     count(DISTINCT original_subscription_id) AS missing_subscription_count, {money('sum(missed_revenue)')} AS missed_revenue,
-    CAST(sum(charge_count) AS BIGINT) AS service_charges_posted_count, {money('sum(debit)')} AS service_charges_posted
+    {money('sum(missed_revenue_usd)')} AS missed_revenue_usd, CAST(sum(charge_count) AS BIGINT) AS service_charges_posted_count,
+    {money('sum(debit)')} AS service_charges_posted, {money('sum(debit_usd)')} AS service_charges_posted_usd
     FROM proj WHERE line_status = 'Missing' GROUP BY transaction_month"""
 
 
@@ -266,7 +271,10 @@ STATEMENTS = {
         "manual_prorate, full_term_count, prorate_count, charge_count, "
         + ", ".join(
             f"{money(c)} AS {c}"
-            for c in ("full_term_total", "prorate_total", "debit", "missed_revenue", "net_missed_revenue")
+            for c in (
+                "full_term_total", "full_term_customer_total", "prorate_total", "prorate_customer_total", "debit", "missed_revenue",
+                "missed_revenue_usd", "net_missed_revenue", "net_missed_revenue_usd",
+            )
         )
         + " FROM proj"
     ),

@@ -175,9 +175,14 @@ def test_active_months_carry_forward_and_end(frame):
 def test_projection_states_and_summary(frame):
     due = frame([(1, "2024-06-01", 2, 10), (2, "2024-06-01", 1, 10), (3, "2024-06-01", 1, 10)],
                 "original_subscription_id long, transaction_month date, quantity int, unit_price decimal(18,2)")
-    due = due.select("*", *[F.col("original_subscription_id").alias(c) for c in ("product_id", "partner_id", "company_id")])
-    lines = frame([(1, "2024-06-01", "prorate", 4, False), (2, "2024-06-01", "subscription", 9, False), (3, "2024-06-01", "subscription", 9, True)],
-                  "original_subscription_id long, invoice_date date, row_type string, cost_total decimal(18,2), is_bill_on_behalf boolean")
+    due = due.select("*", *[F.col("original_subscription_id").alias(c) for c in ("product_id", "partner_id", "company_id")]).select(
+        "*", (F.col("original_subscription_id") == 3).alias("is_direct_company"), (F.col("unit_price") - 1).alias("partner_buy_rate"),
+        F.lit("EUR").alias("currency_code"),
+    )
+    lines = frame([(1, "2024-06-01", "prorate", 4, 5, False), (2, "2024-06-01", "subscription", 9, 11, False),
+                   (3, "2024-06-01", "subscription", 9, 11, True)],
+                  """original_subscription_id long, invoice_date date, row_type string, cost_total decimal(18,2), total decimal(18,2),
+                  is_bill_on_behalf boolean""")
     orders = frame([(1, "2024-06-01", True, True, False, False)],
                    """original_subscription_id long, transaction_month date, order_full_term boolean, order_prorate boolean,
                    manual_full_term boolean, manual_prorate boolean""")
@@ -190,7 +195,11 @@ def test_projection_states_and_summary(frame):
     named = charges.missing_charges(rows)
     assert rows_of(named, "original_subscription_id", "state") == [(1, "Missing on invoice, matched in orders, with prorates, no service charges")]
     summary = charges.missing_summary(rows)
-    assert [int(v) for v in summary.select("missing_subscription_count", "missed_revenue", "service_charges_posted").first()] == [2, 30, 5]
+    # the partner of 1 pays its buy rate, 3 is a direct company and pays the retail price
+    assert [int(v) for v in summary.select("missing_subscription_count", "missed_revenue", "service_charges_posted").first()] == [2, 28, 5]
+    assert [float(v) for v in summary.select("missed_revenue_usd", "service_charges_posted_usd").first()] == [29.96, 5.35]
+    totals = rows_of(rows, "original_subscription_id", "full_term_customer_total", "prorate_customer_total", "net_missed_revenue")
+    assert [[float(v) for v in r] for r in totals] == [[1, 0, 5, 14], [2, 11, 0, 0], [3, 0, 0, 10]]
     empty = charges.summary_for(summary, date(2024, 1, 1)).first()
     assert empty["missing_partner_count"] == 0 and empty["missed_revenue"] == 0
 
