@@ -283,13 +283,19 @@ def batch_assignment(spark, root):
     return batched.withColumn("file_name", sinks.batch_file_name("invoices", F.col("batch"), "2000-06-01"))
 
 
-def _bob(spark, root):
+def _bob(spark, root, since=None, until=None):
+    """Assessment, partner invoices and settlements, of all months or of a range of them: the bare dates are filtered, so scans skip the rest.
+    Payments may be posted in any month."""
     sample = Sample(spark, root)
+
+    def within(column):
+        return F.lit(True) if since is None else dates.between_months(F.col(column), since, until)
+
     company = F.when(F.col("line_number") != 7, F.col("company_id"))
-    lines = sample.owned_line().select(
+    lines = sample.owned_line().filter(within("ship_ts")).select(
         "invoice_date", "partner_id", company.alias("company_id"), "cost_total", "billing_fee"
     )
-    invoices = sample.invoice().filter(F.col("status") != "Void")
+    invoices = sample.invoice().filter((F.col("status") != "Void") & within("order_ts"))
     customers = invoices.select(
         "invoice_date",
         F.col("owner_partner_id").alias("partner_id"),
@@ -305,7 +311,8 @@ def _bob(spark, root):
     partner_invoices = invoices.select(
         "invoice_date", F.col("owner_partner_id").alias("partner_id"), "id", "status", "balance", "currency_code"
     )
-    return bob.assessment(lines, customers, postings, partner_invoices), partner_invoices, postings
+    settlements = postings.filter((F.col("type") == "CHECK_ISSUED") & within("ship_ts"))
+    return bob.assessment(lines, customers, postings, partner_invoices), partner_invoices, settlements
 
 
 BOB_MONEY = [
@@ -323,8 +330,11 @@ def bob_assessment(spark, root):
     return _money_columns(_bob(spark, root)[0], *BOB_MONEY)
 
 
-def _bob_summary(spark, root):
-    return bob.summary(*_bob(spark, root))
+def _bob_summary(spark, root, *months):
+    return bob.summary(*_bob(spark, root, *months))
+
+
+YEAR_TO_DATE = (date(2000, 1, 1), MONTH)
 
 
 def bob_summary(spark, root):
@@ -332,22 +342,22 @@ def bob_summary(spark, root):
 
 
 def bob_headline(spark, root):
-    rows = bob.headline(_bob_summary(spark, root), date(2000, 1, 1), date(2000, 6, 1))
+    rows = bob.headline(_bob_summary(spark, root, *YEAR_TO_DATE), *YEAR_TO_DATE)
     return _money_columns(
         rows, "bob_payment_partner_ledger_total", "partner_net_after_billing_fee_and_taxes", "ledger_debit"
     )
 
 
 def bob_headline_partner(spark, root):
-    rows = bob.headline(_bob_summary(spark, root), date(2000, 1, 1), date(2000, 6, 1), partner_id=3)
+    rows = bob.headline(_bob_summary(spark, root, *YEAR_TO_DATE), *YEAR_TO_DATE, partner_id=3)
     return _money_columns(
         rows, "bob_payment_partner_ledger_total", "partner_net_after_billing_fee_and_taxes", "ledger_debit"
     )
 
 
 def bob_failed_postings(spark, root):
-    return _money_columns(bob.failed_postings(_bob(spark, root)[0], MONTH), *BOB_MONEY)
+    return _money_columns(bob.failed_postings(_bob(spark, root, *YEAR_TO_DATE)[0], MONTH), *BOB_MONEY)
 
 
 def bob_duplicate_settlements(spark, root):
-    return _money_columns(bob.duplicate_settlements(_bob_summary(spark, root), MONTH), *SUMMARY_MONEY)
+    return _money_columns(bob.duplicate_settlements(_bob_summary(spark, root, *YEAR_TO_DATE), MONTH), *SUMMARY_MONEY)

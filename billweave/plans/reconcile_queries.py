@@ -122,6 +122,12 @@ def matched_lines(spark, root):
     return reconcile.match_flag(sample.line(), invoices, "invoice_id").select("id", "invoice_id", "is_matched")
 
 
+def first_lines(spark, root):
+    """The first line of every item: keys that occur more than once give one row."""
+    rows = Sample(spark, root).line().select("completed_line_item_id", "id", "invoice_id", "product_id")
+    return reconcile.first_matching_row(rows, "completed_line_item_id", [F.col("id")])
+
+
 def _transactions(spark, root):
     return Sample(spark, root).owned_line().filter(F.col("return_flag") != "R").select(
         "partner_id", "invoice_date", F.col("completed_line_item_id").alias("transaction_id")
@@ -136,8 +142,8 @@ def transaction_months(spark, root):
     return reconcile.month_distribution(_transactions(spark, root), ["partner_id"])
 
 
-def invoice_bundle(spark, root):
-    """Rows per frame of the bundle for all invoices of the month."""
+def _bundle(spark, root):
+    """The bundle of all invoices of the month."""
     sample = Sample(spark, root)
     accounts = sample.accounts().select("company_id", "partner_id")
     owned = sample.owned_line().withColumn("created_dt", F.col("ship_ts"))
@@ -161,7 +167,22 @@ def invoice_bundle(spark, root):
         "partner": sample.partner(),
     }
     invoices = sample.invoice().filter(dates.in_month(F.col("order_ts"), MONTH))
-    frames = reconcile.invoice_bundle(tables, invoices, date(1999, 1, 1))
+    return reconcile.invoice_bundle(tables, invoices, date(1999, 1, 1))
+
+
+def invoice_bundle_rows(spark, root):
+    """The rows of every frame of the bundle, by the invoice they belong to (if any) and their own key."""
+    parts = []
+    for name, frame in _bundle(spark, root).items():
+        key = "id" if "id" in frame.columns else "completed_line_item_id"
+        owner = F.col("invoice_id") if "invoice_id" in frame.columns else F.lit(None)
+        parts.append(frame.select(F.lit(name).alias("frame"), owner.cast("bigint").alias("invoice_id"), F.col(key).cast("string").alias("row_key")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def invoice_bundle(spark, root):
+    """Rows per frame of the bundle."""
+    frames = _bundle(spark, root)
     counts = [
         frame.agg(F.count(F.lit(1)).alias("row_count")).select(F.lit(name).alias("frame"), "row_count")
         for name, frame in frames.items()

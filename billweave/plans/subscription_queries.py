@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 from billweave.functions import dates, labels, numbers
 from billweave.functions.numbers import money
 from billweave.operators import charges, extracts, ordered, subscriptions
+from billweave.sources import sinks
+from billweave.sources.scratch import scratch_folder
 from billweave.plans.sample import EVENT_METHODS, EVENTS_DAY, ORDERS_AS_OF, Sample
 
 MONTH = ORDERS_AS_OF
@@ -93,6 +95,29 @@ def co_term_dates(spark, root):
     return subscriptions.valid_from(versions, latest)
 
 
+def sorted_subscription_lines(spark, root):
+    """The first 40 lines in the order of the page: arrears, active, newest, highest."""
+    rows = subscriptions.sorted_subscriptions(_subscription_lines(spark, root), MONTH).limit(40)
+    return rows.select("id", "has_arrears", "start_date", "end_date", money(F.col("partner_total")).alias("partner_total"))
+
+
+def chosen_invoice_lines(spark, root):
+    """Lines of an invoice named by its number."""
+    sample = Sample(spark, root)
+    invoices, _ = subscriptions.choose_lines(sample.invoice(), sample.subscription(), invoice_id="INV-7")
+    lines = sample.line().join(invoices.select(F.col("id").alias("invoice_id"), "alternate_id"), "invoice_id")
+    return lines.select("alternate_id", "id", "product_id", "quantity")
+
+
+def csv_extract(spark, root):
+    """The invoices of a month, written as a CSV extract and read back."""
+    folder = scratch_folder(spark)
+    chosen = extracts.invoices(Sample(spark, root).invoice(), MONTH).select("id", "alternate_id", "invoice_date", "status", "total")
+    sinks.write_csv(chosen, folder)
+    rows = spark.read.option("header", True).schema(chosen.schema).csv(folder)
+    return rows.withColumn("total", money(F.col("total")))
+
+
 def related_records(spark, root):
     details, latest, versions = _chains(Sample(spark, root))
     rows = subscriptions.with_latest_co_term(details, latest, versions)

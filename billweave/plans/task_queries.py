@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from billweave.constants import DURATION_TABLES
-from billweave.functions import labels, text
+from billweave.functions import dates, labels, text
 from billweave.operators import durations, history, marts, tasks
 from billweave.plans.sample import (
     CRITICAL_SECONDS,
@@ -46,6 +46,20 @@ def alert_details(spark, root):
     return durations.alert_details(_durations(spark, root), CRITICAL_SECONDS, WARNING_SECONDS)
 
 
+def latest_alerts(spark, root):
+    """The first 25 alerts of the sorted list."""
+    alerts = durations.alert_details(_durations(spark, root), CRITICAL_SECONDS, WARNING_SECONDS)
+    return durations.sorted_alerts(alerts).limit(25).select("date", "severity", "table", "method")
+
+
+def tasks_by_parameters(spark, root):
+    """Tasks per shard by SQL with named parameters, over a table of the catalog under a checked schema name."""
+    Sample(spark, root).tasks().createOrReplaceGlobalTempView("billweave_tasks")
+    name = tables.schema_prefix(spark.conf.get("spark.sql.globalTempDatabase", "global_temp")) + "billweave_tasks"
+    statement = f"SELECT task_table, count(*) AS task_count FROM {name} WHERE method = :method AND run_on >= :since GROUP BY task_table"
+    return tables.run_sql(spark, statement, method="view", since=REVIEW_DAY)
+
+
 def alert_summary(spark, root):
     return durations.alert_summary(_durations(spark, root))
 
@@ -320,8 +334,7 @@ def vendor_usage_status(spark, root):
     sample = Sample(spark, root)
     vendors = sample.product().select(F.col("id").alias("product_id"), "vendor")
     rows = sample.tasks().withColumnRenamed("status", "status_clean").join(vendors, "product_id")
-    in_month = F.col("invoice_date") >= F.lit(date(2000, 5, 1))
-    lines = sample.line().filter(in_month & (F.col("invoice_date") <= F.lit(date(2000, 6, 1))))
+    lines = sample.line().filter(dates.between_months(F.col("ship_ts"), date(2000, 5, 1), date(2000, 6, 1)))
     amount = F.col("total").cast("decimal(18,2)")
     # amounts by product first: the vendor join then runs on products, not on lines
     usage = (

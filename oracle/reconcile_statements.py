@@ -151,6 +151,30 @@ STATEMENTS = {
         FROM line""",
         "line",
     ),
+    "first_lines": statement(
+        """SELECT completed_line_item_id, min(id) AS id, arg_min(invoice_id, id) AS invoice_id, arg_min(product_id, id) AS product_id
+        FROM line GROUP BY completed_line_item_id""",
+        "line",
+    ),
+    "invoice_bundle_rows": statement(
+        """SELECT 'invoice' AS frame, NULL::BIGINT AS invoice_id, id::VARCHAR AS row_key FROM ch
+            UNION ALL SELECT 'invoice_line_items', invoice_id, id FROM ol
+            UNION ALL SELECT 'subscriptions', invoice_id, su.id::VARCHAR FROM su JOIN ol ON ol.completed_line_item_id = su.completed_line_id
+            UNION ALL SELECT 'transactions', ol.invoice_id, 'G-' || om.completed_line_item_id
+                FROM om JOIN cli ON cli.id = om.completed_line_item_id JOIN ol ON ol.completed_line_item_id = cli.id
+            UNION ALL SELECT 'completed_line_items', invoice_id, it.id::VARCHAR FROM it JOIN ol ON ol.completed_line_item_id = it.id
+            UNION ALL SELECT 'partner_line_items', invoice_id, id FROM al
+                WHERE partner_id IN (FROM ow) AND start_period >= DATE '1999-01-01'
+            UNION ALL SELECT 'partner_subscriptions', NULL, id::VARCHAR FROM su
+                WHERE partner_id IN (FROM ow) AND start_date >= DATE '1999-01-01'
+            UNION ALL SELECT 'partner_transactions', NULL, 'G-' || completed_line_item_id FROM om
+                WHERE anniversary_billing AND partner_id IN (FROM ow) AND start_period >= DATE '1999-01-01'
+            UNION ALL SELECT 'partner_completed_line_items', NULL, it.id::VARCHAR FROM it JOIN orders ON o_orderkey = order_id
+                JOIN accounts a ON a.company_id = o_custkey
+                WHERE a.partner_id IN (FROM ow) AND provision_start >= DATE '1999-01-01'""",
+        "invoice", "product", "owned_line", "subscription", "cli",
+        extra=_BUNDLE,
+    ),
     "transaction_stats": statement(
         """SELECT partner_id, count(*) AS total_transactions, count(DISTINCT tid) AS distinct_transaction_ids,
             count(*) - count(DISTINCT tid) AS duplicate_transactions FROM tx GROUP BY partner_id""",

@@ -116,6 +116,21 @@ STATEMENTS = {
         "owned_line", "subscription", "cli",
         extra=_LINES,
     ),
+    "sorted_subscription_lines": statement(
+        f"""SELECT id, has_arrears, start_date, end_date, {money('partner_total')} AS partner_total FROM uni
+        ORDER BY has_arrears DESC, CASE WHEN end_date IS NULL OR end_date > DATE '2000-06-01' THEN 0 ELSE 1 END,
+            start_date DESC NULLS FIRST, partner_total DESC NULLS FIRST, id LIMIT 40""",
+        "owned_line", "subscription", "cli",
+        extra=_LINES,
+    ),
+    "chosen_invoice_lines": statement(
+        "SELECT 'INV-7' AS alternate_id, id, product_id, quantity FROM line JOIN orders ON o_orderkey = invoice_id WHERE invoice_id = 7", "line"
+    ),
+    "csv_extract": statement(
+        """SELECT id, alternate_id, invoice_date, status, CAST(total AS DOUBLE) AS total FROM invoice
+        WHERE invoice_date = DATE '2000-06-01'""",
+        "invoice",
+    ),
     "related_records": statement(
         f"""SELECT s.id, s.original_subscription_id, s.status, s.quantity, s.start_date, s.end_date, s.commitment_term_end_date,
             p.size AS commitment_term_in_months, p.name AS product_name, 'User ' || n_name AS modified_by,

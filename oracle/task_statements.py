@@ -195,6 +195,16 @@ STATEMENTS = {
                     || 's exceeds 150 seconds threshold' END AS message
         FROM dur WHERE alert_24hr_exceeded OR alert_30min_task_exceeded"""
     ),
+    "latest_alerts": _dur(
+        """SELECT invoice_date AS "date", CASE WHEN alert_24hr_exceeded THEN 'CRITICAL' ELSE 'WARNING' END AS severity,
+            task_table AS "table", method FROM dur WHERE alert_24hr_exceeded OR alert_30min_task_exceeded
+        ORDER BY 1 DESC, 2 DESC, 3, 4 LIMIT 25"""
+    ),
+    "tasks_by_parameters": statement(
+        """SELECT task_table, count(*) AS task_count FROM tasks WHERE method = 'view' AND run_on >= DATE '2024-01-15'
+        GROUP BY task_table""",
+        "tasks",
+    ),
     "alert_summary": _dur(
         f"""SELECT {count('alert_24hr_exceeded OR alert_30min_task_exceeded')} AS total_alerts,
             {count('alert_24hr_exceeded')} AS critical_alerts,
