@@ -30,11 +30,6 @@ def percent(part: Column, whole: Column, digits: int = 2) -> Column:
     return rounded_ratio(part.cast(WIDE) * F.lit(100), whole, digits)
 
 
-def quotient(numerator: Column, denominator: Column, digits: int = 4) -> Column:
-    """A rounded quotient of two amounts; null when the denominator is zero."""
-    return F.round(F.try_divide(numerator.cast("double"), denominator.cast("double")), digits)
-
-
 def relative_change(current: Column, previous: Column) -> Column:
     """(current - previous) / previous as a double; null when previous is zero."""
     return F.try_divide((current - previous).cast("double"), previous.cast("double"))
@@ -61,11 +56,6 @@ def money(column: Column, digits: int = 2) -> Column:
     return F.round(column, digits).cast("double")
 
 
-def sum_where(condition: Column, value: Column) -> Column:
-    """sum(case when condition then value else 0 end)"""
-    return F.sum(F.when(condition, value).otherwise(F.lit(0).cast("decimal(18,4)")))
-
-
 def money_text(amount: Column, currency: Column | None = None) -> Column:
     """Amount with its currency sign and thousands separators; empty for null."""
     # Currency signs.

@@ -51,16 +51,17 @@ def age_text(seconds: Column) -> Column:
     return F.when(whole.isNull(), "Never refreshed").otherwise(unit)
 
 
-def ticket_text(message: Column, limit: int = 500) -> Column:
-    """An error message for a ticket table: trimmed, clipped with dots, braces escaped."""
+def ticket_text(message: Column, limit: int | None = None) -> Column:
+    """An error message for a ticket table: trimmed, braces escaped, and with a limit clipped to it with dots."""
     trimmed = F.trim(message)
-    clipped = F.when(
+    clipped = trimmed if limit is None else F.when(
         F.length(trimmed) > limit, F.concat(F.substring(trimmed, 1, limit - 3), F.lit("..."))
     ).otherwise(trimmed)
     escaped = F.replace(F.replace(clipped, F.lit("{"), F.lit("\\{")), F.lit("}"), F.lit("\\}"))
     return F.when(clipped.contains("{") & clipped.contains("}"), escaped).otherwise(clipped)
 
 
-def list_safe_message(message: Column) -> Column:
-    """The first 300 characters of a message, without the column separator."""
-    return F.replace(F.left(message, F.lit(300)), F.lit("|"), F.lit("-"))
+def list_safe_message(message: Column, limit: int | None = None) -> Column:
+    """A message without the column separator, and with a limit its first characters."""
+    shown = message if limit is None else F.left(message, F.lit(limit))
+    return F.replace(shown, F.lit("|"), F.lit("-"))

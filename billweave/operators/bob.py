@@ -4,6 +4,7 @@ from datetime import date
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from billweave.functions import dates
 from billweave.functions.numbers import usd
@@ -29,14 +30,12 @@ def assessment(lines: DataFrame, bob_invoices: DataFrame, postings: DataFrame, p
     failed when a paid customer invoice has no payment posted.
     """
     has_company = F.col("company_id").isNotNull()
-    charges = (
-        lines.filter(has_company)
-        .groupBy(*COMPANY_MONTH)
-        .agg(F.sum("cost_total").alias("partner_invoice_partner_total"), F.sum("billing_fee").alias("partner_billing_fee"))
-    )
-    surcharges = (
-        lines.filter(~has_company).groupBy(*PARTNER_MONTH).agg(F.sum("cost_total").alias("partner_surcharge_total"))
+    sums = lines.groupBy(*COMPANY_MONTH).agg(
+        F.sum("cost_total").alias("partner_invoice_partner_total"), F.sum("billing_fee").alias("partner_billing_fee")
     )
+    # a partner-month has one row of surcharges beside a row per company: the window runs over sums, and lines are read once
+    surcharge = F.sum(F.when(~has_company, F.col("partner_invoice_partner_total"))).over(Window.partitionBy(*PARTNER_MONTH))
+    charges = sums.withColumn("partner_surcharge_total", surcharge).filter(has_company)
     customers = bob_invoices.groupBy(*COMPANY_MONTH).agg(
         F.max("bob_invoice_id").alias("bob_invoice_id"),
         F.max_by("bob_invoice_status", "bob_invoice_id").alias("bob_invoice_status"),
@@ -58,8 +57,7 @@ def assessment(lines: DataFrame, bob_invoices: DataFrame, postings: DataFrame, p
         )
     )
     joined = (
-        charges.join(surcharges, PARTNER_MONTH, "left")
-        .join(own, PARTNER_MONTH, "left")
+        charges.join(own, PARTNER_MONTH, "left")
         .join(customers, COMPANY_MONTH, "left")
         # companies without an invoice of their own get keys of their own, so they do not gather in one task
         .withColumn("_paid", F.coalesce(F.col("bob_invoice_id").cast("string"), F.concat_ws(" ", F.lit("none"), *COMPANY_MONTH)))

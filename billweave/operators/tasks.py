@@ -10,6 +10,9 @@ from billweave.constants import BACKLOG_PLACEHOLDERS, METHOD_CATEGORIES, STATUS_
 from billweave.functions import dates, labels, text
 from billweave.functions.numbers import money, percent, rounded_ratio
 
+# Characters of a message that the task list and a ticket show; the functions themselves keep whole texts.
+MESSAGE_LIMIT, TICKET_LIMIT = 300, 500
+
 
 def with_category(tasks: DataFrame) -> DataFrame:
     """Label billing tasks with their category, so that one scan serves all categories."""
@@ -182,7 +185,7 @@ def arrears_details(
     if vendor is not None:
         joined = joined.filter(F.col("vendor") == vendor)
     return joined.select(
-        text.list_safe_message(F.col("error_message")).alias("error_message"),
+        text.list_safe_message(F.col("error_message"), MESSAGE_LIMIT).alias("error_message"),
         F.concat(F.col("_partner").cast("string"), F.lit(" - "), F.col("_pname")).alias("partner_info"),
         "product_info",
         "subscription_id",
@@ -226,7 +229,7 @@ def vendor_digest(details: DataFrame, statuses: Sequence[str] = ("error",)) -> D
 def ticket_rows(details: DataFrame, statuses: Sequence[str] = ("error",)) -> DataFrame:
     """The per-task rows of a vendor ticket, with messages fit for a ticket table."""
     return details.filter(F.col("status").isin(list(statuses))).withColumn(
-        "error_message", text.ticket_text(F.col("error_message"))
+        "error_message", text.ticket_text(F.col("error_message"), TICKET_LIMIT)
     )
 
 
@@ -283,7 +286,3 @@ def configurations_by_day(configurations: DataFrame, days: Sequence[int] = (1, 2
     return configurations.filter(F.col("billing_day_of_month").isin(list(days))).select(
         "billing_day_of_month", F.trim("name").alias("name"), "task_runner"
     )
-
-
-def month_of_run(tasks: DataFrame) -> DataFrame:
-    return tasks.withColumn("run_on_month", dates.month_of(F.col("run_on")))

@@ -253,7 +253,7 @@ def test_text_helpers(spark):
     one = spark.range(1)
     long = "x" * 600
     got = one.select(
-        text.ticket_text(F.lit(f"  {long}")).alias("clipped"), text.ticket_text(F.lit(" a {b} ")).alias("escaped"),
+        text.ticket_text(F.lit(f"  {long}"), 500).alias("clipped"), text.ticket_text(F.lit(" a {b} ")).alias("escaped"),
         text.ticket_text(F.lit("only {")).alias("kept"), text.list_safe_message(F.lit("a|b")).alias("safe"),
         text.age_text(F.lit(7300)).alias("age"), text.age_text(F.lit(None).cast("int")).alias("never"),
         numbers.money_text(F.lit(1234.5), F.lit("EUR")).alias("money"),
