@@ -8,11 +8,12 @@ parallel; checksums cover the bytes and the ids.
 
 import functools
 import os
-import re
 import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,10 +24,8 @@ from billweave.llm import rans
 from billweave.llm.shared import Memo, discard, small_batches, text_of, write_table
 
 BLOCK_IDS = 1 << 18  # a block closes at the first document end beyond that
-TOKENS = "part int, block int, at long, doc_ids array<long>, lengths array<long>, ids binary"
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
-
-
+# Ids travel as text: beside a null, pandas would turn whole numbers into doubles and round those above 2^53.
+TOKENS = "part int, block int, at long, doc_ids array<string>, lengths array<long>, ids binary"
 MEMO_WORDS = 200_000
 
 
@@ -40,15 +39,23 @@ class Words:
         self.memo = Memo(None, MEMO_WORDS)
 
     def encode(self, texts) -> list[bytes]:
+        """The packed ids of every text. Texts are split and their distinct words numbered in Arrow, so only distinct words are looked up."""
         memo = self.memo
         memo.turn()
-        parts = [WORD.findall(text) for text in texts]
-        new = {word for words in parts for word in words if word not in memo}
+        parts = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))  # at \x20 and \x09 to \x0D
+        words = parts.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        new = [word for word in distinct if word not in memo]
         memo.update({word: memo.old[word] for word in new if word in memo.old})
         new = [word for word in new if word not in memo]
         coded = self.tokenizer.encode_batch_fast(new, add_special_tokens=False)
         memo.update((word, struct.pack(f"<{len(c.ids)}I", *c.ids)) for word, c in zip(new, coded))
-        return [b"".join(map(memo.__getitem__, words)) for words in parts]
+        packed = [memo[word] for word in distinct]
+        sizes = np.array([len(p) // 4 for p in packed], np.int64)
+        lists = pa.LargeListArray.from_arrays(np.append(0, np.cumsum(sizes)), np.frombuffer(b"".join(packed), "<u4"))
+        ids = lists.take(words.indices).flatten().to_numpy()
+        ends = np.append(0, np.cumsum(sizes[words.indices.to_numpy()]))[parts.offsets.to_numpy()]
+        return [ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
 
 
 @functools.lru_cache(maxsize=2)
@@ -69,9 +76,9 @@ def _tokenize(path: str, end: int, block_ids: int):
             return pd.DataFrame({name: [value] for name, value in row.items()})
 
         for frame in batches:
-            for doc_id, ids in zip(frame["doc_id"].astype(object), _words(path).encode(frame["text"])):
+            for doc_id, ids in zip(frame["doc_id"], _words(path).encode(frame["text"])):
                 ids += tail
-                doc_ids.append(None if pd.isna(doc_id) else int(doc_id))
+                doc_ids.append(doc_id)
                 lengths.append(len(ids) // 4)
                 packed.append(ids)
                 size += len(ids) // 4
@@ -116,7 +123,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = 2, id:
     rows = docs.select(F.col(id).cast("bigint").alias("doc_id"), text_of(text).alias("text"))
     order = [F.col("doc_id").asc_nulls_last(), F.length("text")]  # the limits of the ranges hold no texts
     ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text")
-    tokens, path = write_table(ordered.mapInPandas(_tokenize(tokenizer, end, block_ids), TOKENS))
+    named = ordered.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
+    tokens, path = write_table(named.mapInPandas(_tokenize(tokenizer, end, block_ids), TOKENS))
     counts = tokens.select("ids").mapInPandas(_count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
     counts, _ = write_table(counts.coalesce(1), f"{folder}/table")
     held = spark.sparkContext.broadcast(_table(counts))
@@ -133,6 +141,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end: int = 2, id:
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
     coded = tokens.mapInPandas(pack, TOKENS.replace("ids binary", "coded binary"))
+    coded = coded.withColumn("doc_ids", F.col("doc_ids").cast("array<bigint>"))
     coded.write.option("compression", "none").parquet(f"{folder}/blocks")
     discard(spark, path)
 
@@ -151,7 +160,7 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                 yield pd.DataFrame(
                     {
                         "part": part,
-                        "doc_id": pd.array([None if pd.isna(d) else int(d) for d in doc_ids], "Int64"),
+                        "doc_id": pd.array([None if d is None else int(d) for d in doc_ids], "Int64"),
                         "local": at + starts,
                         "n_tokens": lengths,
                         "ids": [ids[a:b].tobytes() for a, b in zip(starts, ends)],
@@ -159,7 +168,8 @@ def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
                 )
 
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "8")
-    rows = spark.read.parquet(f"{folder}/blocks").mapInPandas(unpack, "part int, doc_id long, local long, n_tokens long, ids binary")
+    blocks = spark.read.parquet(f"{folder}/blocks").withColumn("doc_ids", F.col("doc_ids").cast("array<string>"))
+    rows = blocks.mapInPandas(unpack, "part int, doc_id long, local long, n_tokens long, ids binary")
     parts = spark.read.parquet(f"{folder}/parts")
     # one row per task that wrote the store
     return rows.join(F.broadcast(parts), "part").select("doc_id", (F.col("local") + F.col("before")).alias("start"), "n_tokens", "ids")
