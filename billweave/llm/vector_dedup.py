@@ -5,8 +5,9 @@ quantization alternates between the nearest signs and the best rotation. Each bi
 balanced. Codes are split into chunks, and every chunk of every rotation is a table: two vectors are compared when they
 share a chunk. Compared vectors are reranked with the original values in double precision.
 
-Rotations are learnt from `SAMPLE` vectors at most; all vectors are indexed. The chunk width follows the size of the largest label, and
-the number of tables follows from the width, so that a pair at the threshold is missed by all tables with a chance of `MISSED`.
+Rotations are learnt from `SAMPLE` vectors at most; all vectors are indexed. The chunk width starts from the size of the largest label, and
+width and number of tables follow from measurement: pairs at the threshold, of the sample and made ones, must meet in some table to a share
+of `FOUND`, in every label that the sample shows well.
 """
 
 import math
@@ -21,7 +22,10 @@ from billweave.llm.shared import small_batches, written
 
 SAMPLE = 4_000
 TURNS = 30
-MISSED = 1e-4
+ROTATIONS = 16  # learnt at most
+PAIRS = 2_000  # pairs at the threshold that a measurement takes of a kind
+MEASURED = 40  # vectors of a label in the sample from which on it is measured by itself
+FOUND = 0.999
 BLOCK = 1_500  # vectors that one task multiplies with as many
 NOTHING = pd.DataFrame({"node": [], "links": [], "root": []}, dtype="int64")
 
@@ -47,18 +51,63 @@ def rotations(vectors: np.ndarray, count: int, seed: int = 1):
     return mean, [w for w, _ in out], [c for _, c in out]
 
 
-def plan(largest: int, threshold: float, dim: int) -> tuple[int, int, int]:
-    """(chunk width, chunks per rotation, rotations) for labels of up to `largest` vectors."""
-    width = max(8, min(dim, 24, math.ceil(math.log2(max(2, largest)))))
-    chunks = max(1, dim // width)
-    same = (1 - math.acos(threshold) / math.pi) ** width
-    tables = math.ceil(math.log(MISSED) / math.log(1 - same))
-    return width, chunks, math.ceil(tables / chunks)
+def _near_pairs(vectors: np.ndarray, threshold: float, seed: int = 2) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of unit vectors at the threshold: those of the sample that are nearest to it from above, and made ones, each vector with one at
+    the threshold in a random direction."""
+    chance = np.random.default_rng(seed)
+    left, right, gap = [], [], []
+    for k in range(0, len(vectors), 500):
+        cosine = np.triu(vectors[k : k + 500] @ vectors.T, k + 1)
+        i, j = np.nonzero(cosine >= threshold)
+        near = np.argsort(cosine[i, j], kind="stable")[:PAIRS]
+        left.append(i[near] + k), right.append(j[near]), gap.append(cosine[i, j][near])
+    order = np.argsort(np.concatenate(gap), kind="stable")[:PAIRS]
+    x, y = vectors[np.concatenate(left)[order]], vectors[np.concatenate(right)[order]]
+    if vectors.shape[1] > 1:
+        base = vectors[chance.integers(0, len(vectors), PAIRS)]
+        aside = chance.standard_normal(base.shape)
+        aside -= (aside * base).sum(axis=1, keepdims=True) * base
+        aside /= np.linalg.norm(aside, axis=1, keepdims=True)
+        x, y = np.concatenate((x, base)), np.concatenate((y, threshold * base + math.sqrt(1 - threshold**2) * aside))
+    return x, y
+
+
+def plan(vectors: np.ndarray, labels: np.ndarray, learnt, largest: int, threshold: float) -> tuple[int, int, int]:
+    """(chunk width, chunks per rotation, rotations) by which pairs at the threshold meet, measured on the sample for every label that
+    has `MEASURED` vectors there, and for all together.
+
+    The width starts from the size of the largest label and shrinks until the learnt rotations bring `FOUND` of the pairs
+    together; then no more rotations are used than that takes. Vectors that are all alike end in one bucket a label: width 0.
+    """
+    mean, projections, cuts = learnt
+    dim = vectors.shape[1]
+    groups = [vectors] + [vectors[labels == label] for label in np.unique(labels) if (labels == label).sum() >= MEASURED]
+    agree = []  # per group: rotation, pair, bit
+    for group in groups:
+        x, y = _near_pairs(group, threshold)
+        agree.append([((x - mean) @ w >= c) == ((y - mean) @ w >= c) for w, c in zip(projections, cuts)])
+    width = max(1, min(dim, 24, math.ceil(math.log2(max(2, largest)))))
+    while True:
+        chunks = dim // width
+        met = [np.logical_or.accumulate([a[:, : chunks * width].reshape(-1, chunks, width).all(axis=2).any(axis=1) for a in each]) for each in agree]
+        shares = np.min([m.mean(axis=1) if m.shape[1] else np.ones(len(m)) for m in met], axis=0)
+        enough = np.flatnonzero(shares >= FOUND)
+        if len(enough) or width == 1:
+            break
+        width -= 1
+    count = int(enough[0]) + 1 if len(enough) else len(projections)
+    codes = _codes(vectors, (mean, projections[:count], cuts[:count]), width, chunks)
+    compared = sum(float((np.unique(column, return_counts=True)[1].astype(float) ** 2).sum()) for column in codes.T)
+    if compared >= len(vectors) ** 2:
+        return 0, 1, 1  # buckets of all tables together are more than a label as one bucket, whose blocks meet once
+    return width, chunks, count
 
 
 def _codes(vectors: np.ndarray, learnt, width: int, chunks: int) -> np.ndarray:
     """Chunk values, one row per vector and one column per table."""
     mean, projections, cuts = learnt
+    if not width:
+        return np.zeros((len(vectors), 1), np.int32)
     powers = 1 << np.arange(width, dtype=np.int64)
     tables = []
     for projection, cut in zip(projections, cuts):
@@ -140,9 +189,11 @@ def _tables(distinct: DataFrame, dim: int, threshold: float) -> DataFrame:
     """(node, links, root) of the compared blocks of all tables."""
     spark = distinct.sparkSession
     largest = distinct.groupBy("label").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
-    width, chunks, count = plan(largest, threshold, dim)
-    sample = distinct.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("vec").toPandas()["vec"]
-    held = spark.sparkContext.broadcast(rotations(_unit(sample), count))
+    sample = distinct.orderBy(F.xxhash64("node"), "node").limit(SAMPLE).select("vec", F.col("label").cast("string").alias("label")).toPandas()
+    unit = _unit(sample["vec"])
+    learnt = rotations(unit, ROTATIONS)
+    width, chunks, count = plan(unit, sample["label"].to_numpy(str), learnt, largest, threshold)
+    held = spark.sparkContext.broadcast((learnt[0], learnt[1][:count], learnt[2][:count]))
 
     def code(batches):
         for frame in batches:

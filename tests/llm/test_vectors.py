@@ -6,7 +6,7 @@ import math
 import numpy as np
 import pytest
 
-from billweave.llm import clustering, top_k
+from billweave.llm import clustering, top_k, vector_dedup
 
 SCHEMA = "vec_id long, embedding array<float>, label int, node long, units string"
 
@@ -159,3 +159,38 @@ def test_clusters_of_odd_rows(spark, odd_vectors):
 def test_too_many_centroids_are_refused(spark, odd_vectors):
     with pytest.raises(ValueError):
         clustering.clusters(odd_vectors, k=1 << 20)
+
+
+def shaped_vectors(kind, n=1500, dim=64):
+    """Unit vectors in many small clusters; off: far from the origin's center; tight: a share in one group around the threshold."""
+    chance = np.random.default_rng(7)
+    centers = chance.standard_normal((n // 10, dim))
+    centers /= np.linalg.norm(centers, axis=1, keepdims=True)
+    x = centers[chance.integers(0, len(centers), n)] + chance.standard_normal((n, dim)) * 0.33 / math.sqrt(dim)
+    if kind.startswith("tight"):
+        part = int(n * int(kind[5:]) / 100)
+        x[:part] = centers[0] + chance.standard_normal((part, dim)) * 0.28 / math.sqrt(dim)
+    if kind == "off":
+        x = x + 2 / math.sqrt(dim)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+@pytest.mark.parametrize("kind", ["even", "off", "tight33", "tight60", "tight100"])
+def test_near_vectors_meet(kind):
+    x = shaped_vectors(kind)
+    sample = x[np.random.default_rng(1).permutation(len(x))[:800]]
+    learnt = vector_dedup.rotations(sample, vector_dedup.ROTATIONS)
+    width, chunks, count = vector_dedup.plan(sample, np.zeros(len(sample), str), learnt, len(x), 0.93)
+    codes = vector_dedup._codes(x, (learnt[0], learnt[1][:count], learnt[2][:count]), width, chunks)
+    i, j = np.nonzero(np.triu(x @ x.T >= 0.93, 1))
+    assert len(i) > 100 and (codes[i] == codes[j]).any(axis=1).mean() >= 0.99
+
+
+def test_links_of_a_tight_group_and_of_short_vectors(spark):
+    x = shaped_vectors("tight60", 400)
+    rows = [(k, v.tolist(), 1) for k, v in enumerate(x)] + [(1000 + k, [float(k % 3 + 1)] * (k % 7 + 1), 2) for k in range(21)]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    found = {r.vec_id: r.n_links for r in vector_dedup.linked(frame).collect()}
+    near = (x @ x.T >= 0.93).sum(axis=1) - 1
+    assert sum(found[k] for k in range(400)) >= 0.99 * near.sum() and all(found[k] <= near[k] for k in range(400))
+    assert [found[1000 + k] for k in range(21)] == [2] * 21  # three of each length, all in one direction
