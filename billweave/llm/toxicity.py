@@ -11,6 +11,7 @@ the next pass starts from the average.
 
 import functools
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,7 +31,7 @@ ALPHA, BETA, L1, L2 = 1.0, 1.0, 1.0, 0.0
 WORD = re.compile(r"\w+")
 MIXERS = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)))
 
-STATE = "shard int, coordinate int, z double, n double"
+STATE = "shard int, coordinate int, z float, n float"  # single precision between passes: half the shuffle
 
 
 @functools.lru_cache(maxsize=1)
@@ -77,7 +78,9 @@ def _shard_learner(held, bits: int):
             z[i] += g - (root - np.sqrt(n[i])) / ALPHA * w
             n[i] += g * g
         touched = np.flatnonzero(n)
-        return pd.DataFrame({"shard": key[0], "coordinate": touched, "z": z[touched], "n": n[touched]})
+        return pd.DataFrame(
+            {"shard": key[0], "coordinate": touched, "z": z[touched].astype(np.float32), "n": n[touched].astype(np.float32)}
+        )
 
     return one_shard
 
@@ -105,7 +108,8 @@ def _included(rows: DataFrame, bits: int, least: int) -> np.ndarray:
         hit = np.flatnonzero(seen)
         yield pd.DataFrame({"coordinate": hit, "n": seen[hit]})
 
-    counts = rows.select("features").mapInPandas(count, "coordinate long, n long")
+    # the rows are bounded: few tasks count more of them at once and send fewer coordinates
+    counts = rows.select("features").coalesce(SHARDS).mapInPandas(count, "coordinate int, n int")
     common = counts.groupBy("coordinate").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
     return common.select("coordinate").toPandas()["coordinate"].sort_values().to_numpy(np.int32)
 
@@ -142,12 +146,13 @@ def learn(docs: DataFrame, labels: DataFrame, bits: int = BITS, passes: int = PA
     for _ in range(passes):
         learner = _shard_learner(spark.sparkContext.broadcast(state), bits)
         parts = sample.groupBy("shard").applyInPandas(learner, STATE)
-        each = F.array_sort(F.collect_list(F.struct("shard", "z", "n")))  # SHARDS entries at most, always added in one order
+        # a column per shard, so that the shards are always added in one order
+        each = [F.coalesce(F.sum(F.when(F.col("shard") == s, F.col(v))), F.lit(0.0)).alias(f"{v}{s}") for v in "zn" for s in range(SHARDS)]
 
         def mean(name: str):
-            return (F.aggregate("each", F.lit(0.0), lambda total, e: total + e[name]) / SHARDS).alias(name)
+            return (sum((F.col(f"{name}{s}") for s in range(1, SHARDS)), F.col(f"{name}0")) / SHARDS).alias(name)
 
-        means = parts.groupBy("coordinate").agg(each.alias("each")).select("coordinate", mean("z"), mean("n"))
+        means = parts.groupBy("coordinate").agg(*each).select("coordinate", mean("z"), mean("n"))
         rows = means.orderBy("coordinate").toPandas()
         state = tuple(rows[c].to_numpy() for c in ("coordinate", "z", "n"))
     weights = _weights(state[1], state[2])
@@ -160,12 +165,13 @@ def with_score(docs: DataFrame, weights, text: str = "text", score: str = "score
     held = docs.sparkSession.sparkContext.broadcast(weights)
 
     @F.pandas_udf("double")
-    def scored(texts: pd.Series) -> pd.Series:
-        dense = np.zeros((1 << bits) + 1, np.float32)
+    def scored(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        dense = np.zeros((1 << bits) + 1, np.float32)  # once a task
         dense[held.value[0]] = held.value[1]
-        _memo().turn()
-        sums = [dense[coordinates(value, bits)].sum(dtype=np.float64) for value in texts]
-        return pd.Series(_sigmoid(np.array(sums, float) + float(dense[-1])))
+        for texts in batches:
+            _memo().turn()
+            sums = [dense[coordinates(value, bits)].sum(dtype=np.float64) for value in texts]
+            yield pd.Series(_sigmoid(np.array(sums, float) + float(dense[-1])))
 
     small_batches(docs.sparkSession)
     return docs.withColumn(score, scored(text_of(text)))
@@ -175,7 +181,7 @@ def toxicity(docs: DataFrame, labels: DataFrame, holds_out: int = 5) -> DataFram
     """Score of every row of `docs` (doc_id, text) with weights learnt from `labels` (doc_id, toxic).
 
     Labels are learnt only from rows whose crc32 of the id as text is not divisible by `holds_out`. `docs` keeps all its
-    columns and rows and gets `held_out` (false for a null id), `score` and `predicted`.
+    columns and rows and gets `held_out` (false for a null id), `score` and `predicted`; columns of these names are replaced.
     """
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % holds_out == 0, F.lit(False))
     known = labels.filter(~held_out).groupBy("doc_id").agg(F.max("toxic").alias("label"))
