@@ -16,12 +16,16 @@ from pyspark.sql import functions as F
 from billweave.llm.shared import small_batches, written
 
 BLOCK_BYTES = 8 << 20
-BLOCKS = "block long, doc_ids array<long>, sizes array<long>, n_words long, payload binary"
+BLOCKS = "block long, doc_ids array<string>, sizes array<long>, n_words long, payload binary"
 
 
 def blocked(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Rows (doc_id, text) as written blocks of whole documents; `payload` is their compressed text, `sizes` its cuts."""
+    """Rows (doc_id, text) as written blocks of whole documents; `payload` is their compressed text, `sizes` its cuts.
+
+    Ids travel as text: beside a null, pandas would turn whole numbers into doubles and round those above 2^53.
+    """
     small_batches(rows.sparkSession)
+    rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
 
     def run(batches):
         squeeze = zstandard.ZstdCompressor(level=6).compress
@@ -34,8 +38,8 @@ def blocked(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
             return pd.DataFrame({name: [value] for name, value in row.items()})
 
         for frame in batches:
-            for doc_id, text in zip(frame["doc_id"].astype(object), frame["text"]):
-                ids.append(None if pd.isna(doc_id) else int(doc_id))
+            for doc_id, text in zip(frame["doc_id"], frame["text"]):
+                ids.append(doc_id)
                 texts.append(text.encode())
                 held += len(texts[-1])
                 if held >= block_bytes:

@@ -22,6 +22,8 @@ from billweave.llm.minhash import A, mixed
 from billweave.llm.shared import Memo, text_of
 
 ORDER = 3
+BLOCK_BYTES = 4 << 20  # text of a block: its n-grams take some 60 times as much while they are sorted
+KEY_BITS = np.uint64(0xFFFFFFFFFFFFFF00)  # 56 bits of a hash; two of 10^9 n-grams share a key with a chance of 7 in a million each
 BACKOFF = 0.4
 UNSEEN = 0.5
 
@@ -49,7 +51,7 @@ def ngrams(texts: list[bytes], order: int):
         for n in range(1, order + 1):
             if n > 1:
                 run = mixed(np.concatenate((np.zeros(1, np.uint64), run[:-1])) * A + h)
-            keys.append(mixed(run + np.uint64(n)))
+            keys.append(mixed(run + np.uint64(n)) & KEY_BITS)
     return doc, place, keys
 
 
@@ -87,10 +89,9 @@ def scores(docs: DataFrame, order: int = ORDER, id: str = "doc_id", text: str =
     explain each other. An empty table gives an empty one.
     """
     rows = docs.select(F.col(id).cast("bigint").alias("doc_id"), text_of(text).alias("text"))
-    blocks = blocked(rows)
+    blocks = blocked(rows, BLOCK_BYTES)
     words = blocks.agg(F.sum("n_words")).first()[0] or 0
     bits = range_bits(2 * words)
-    blocks.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
 
     def send(batches):
         for frame in batches:
@@ -132,7 +133,7 @@ def scores(docs: DataFrame, order: int = ORDER, id: str = "doc_id", text: str =
                 means = [s / n if n else None for s, n in zip(sums, lengths)]
                 yield pd.DataFrame(
                     {
-                        "doc_id": pd.array([None if pd.isna(i) else int(i) for i in ids], "Int64"),
+                        "doc_id": pd.array([None if i is None else int(i) for i in ids], "Int64"),
                         "n_words": lengths,
                         "log_score": sums,
                         "mean_log_score": pd.array(means, "Float64"),
