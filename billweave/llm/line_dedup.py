@@ -12,8 +12,11 @@ All lines that are not blank take part. The shorter of two lines must have `PER_
 or different, and from EDITS * PER_EDIT on all `EDITS` are allowed.
 """
 
+import re
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,6 +31,7 @@ LEAST = 1
 BLANK = " \t\n\v\f\r"
 HOT = 400  # lines of a key that one task compares with each other
 EMPTY = pd.DataFrame({"line": [], "links": [], "root": []}, dtype="int64")
+SIGN = re.compile(r"[^\x20\x09-\x0D]")
 
 
 def line_id(line: str) -> int:
@@ -275,15 +279,19 @@ def links(lines: DataFrame, edits: int) -> DataFrame:
     return full.groupBy("lane").applyInPandas(one_lane, "line long, links long, root long")
 
 
-def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id: str = "doc_id", text: str = "text") -> DataFrame:
+def line_classes(
+    docs: DataFrame, edits: int = EDITS, least: int = LEAST, id: str = "doc_id", text: str = "text", mark: str | None = None
+) -> DataFrame:
     """(line, doc_id, line_no, n_chars, n_copies, n_links, class_doc_id, class_line_no, kept) of every distinct line that takes part.
 
     `doc_id` and `line_no` are the line's first occurrence, `n_links` the number of other distinct lines within the edits that the shorter one
     allows, the class its smallest occurrence reachable over links; `kept` where the line itself is that one. Blank lines, those shorter than
-    `least` characters, null and empty texts have no rows. Documents without id come last. An empty table gives an empty one.
+    `least` characters, null and empty texts have no rows. Documents without id come last. Rows that share an id are told apart by the
+    column `mark`, a number; without one they are as one document. An empty table gives an empty one.
     """
-    rows = docs.select(known_id(id, text).alias("doc_id"), text_of(text).alias("text"))
-    blocks = blocked(rows)
+    number = F.lit(0) if mark is None else F.col(mark)
+    named = F.concat_ws(" ", known_id(id, text).cast("string"), number.cast("string"))
+    blocks = blocked(docs.select(named.alias("doc_id"), text_of(text).alias("text")))
     blocks.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     n_chars = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda t, n: t + n))).first()[0] or 0
     answers = shared_keys(blocks, n_chars, edits, least)
@@ -295,14 +303,15 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id: st
                 seen = {}
                 for doc_id, text in zip(ids, texts_of(payload, sizes)):
                     for number, line in _lines(text, least):
-                        name, here = line_id(line), (int(doc_id), number)
+                        name, here = line_id(line), (*map(int, doc_id.split()), number)
                         first = seen.get(name)
                         seen[name] = (min(first[0], here), first[1] + 1, len(line)) if first else (here, 1, len(line))
                 rows = [(name, *first, n, chars) for name, (first, n, chars) in seen.items()]
-                yield pd.DataFrame(rows, columns=["line", "doc_id", "line_no", "n", "n_chars"])
+                yield pd.DataFrame(rows, columns=["line", "doc_id", "mark", "line_no", "n", "n_chars"])
 
-    each = blocks.select("doc_ids", "sizes", "payload").mapInPandas(occurrences, "line long, doc_id long, line_no int, n long, n_chars long")
-    first = F.min(F.struct("doc_id", "line_no")).alias("first")
+    schema = "line long, doc_id long, mark long, line_no int, n long, n_chars long"
+    each = blocks.select("doc_ids", "sizes", "payload").mapInPandas(occurrences, schema)
+    first = F.min(F.struct("doc_id", "mark", "line_no")).alias("first")
     distinct = each.groupBy("line").agg(first, F.sum("n").alias("n_copies"), F.max("n_chars").alias("n_chars"))
     counts = found.groupBy("line").agg(F.sum("links").alias("n_links"))
     roots = components(found, "line", "root")
@@ -313,6 +322,7 @@ def line_classes(docs: DataFrame, edits: int = EDITS, least: int = LEAST, id: st
     return classed.select(
         "line", "first.doc_id", "first.line_no", "n_chars", "n_copies", F.coalesce("n_links", F.lit(0)).cast("bigint").alias("n_links"),
         F.col("class.doc_id").alias("class_doc_id"), F.col("class.line_no").alias("class_line_no"), (F.col("class") == F.col("first")).alias("kept"),
+        *([F.col("first.mark").alias("mark")] if mark is not None else []),
     )
 
 
@@ -320,17 +330,26 @@ def without_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEA
     """`docs` where every class of lines keeps its first occurrence only, in the order of ids and lines.
 
     Other lines, blank ones, and those shorter than `least` characters, stay. A document that had lines to compare and keeps none of them, and nothing else
-    but white space, goes; null and empty texts stay. `n_chars`, where there is one, is counted anew in changed texts.
+    but white space, goes; null and empty texts stay. `n_chars`, where there is one, is counted anew in changed texts. Rows of one id are documents
+    of their own, in an order that a rerun keeps; of equal ones the first keeps the lines.
     """
-    classes = line_classes(docs, edits, least, id, text)
-    keep = classes.filter("kept").select(F.col("doc_id").alias("_doc"), F.col("line_no").alias("_no"))
-    keep = keep.groupBy("_doc").agg(F.collect_list("_no").alias("_kept"))  # no more than the document's own lines
-    rows = docs.select(F.struct(*docs.columns).alias("row"), known_id(id, text).alias("_doc"), text_of(text).alias("whole"))
-    joined = rows.join(keep, "_doc", "left").withColumn("_kept", F.coalesce("_kept", F.array().cast("array<int>")))
-    lines = F.split("whole", "\n", -1)
-    takes_part = lambda line: (F.length(line) >= least) & line.rlike(r"[^\x20\x09-\x0D]")
-    stays = F.filter(lines, lambda line, k: ~takes_part(line) | F.array_contains("_kept", k))
-    made = joined.withColumn("made", F.array_join(stays, "\n"))
+
+    @F.arrow_udf("string")
+    def kept_lines(texts: pa.Array, numbers: pa.Array) -> pa.Array:
+        made = []
+        for whole, kept in zip(texts.to_pylist(), numbers.to_pylist()):
+            kept = set(kept or ())
+            made.append("\n".join(line for k, line in enumerate(whole.split("\n")) if k in kept or not (len(line) >= least and SIGN.search(line))))
+        return pa.array(made, pa.string())
+
+    rows = written(docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("_mark")))
+    own_id, own_text = f"row.`{id}`", f"row.`{text}`"
+    rows = rows.select("row", "_mark", known_id(own_id, own_text).alias("_doc"), text_of(own_text).alias("whole"))
+    classes = line_classes(rows, edits, least, "_doc", "whole", mark="_mark")
+    keep = classes.filter("kept").select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), F.col("line_no").alias("_no"))
+    keep = keep.groupBy("_doc", "_mark").agg(F.collect_list("_no").alias("_kept"))  # no more than the document's own lines
+    joined = rows.join(keep, ["_doc", "_mark"], "left")
+    made = joined.withColumn("made", kept_lines("whole", "_kept"))
     changed = F.col("made") != F.col("whole")
     gone = changed & ~F.col("made").rlike(r"[^\x20\x09-\x0D]")
     new_text = F.when(changed, F.col("made")).otherwise(F.col(f"row.`{text}`"))
