@@ -1,9 +1,10 @@
-"""Near-duplicate texts: one-permutation MinHash with optimal densification, banded buckets, hubs, then all pairs of the rest.
+"""Near-duplicate texts: one-permutation MinHash with optimal densification, banded buckets, hubs, then the possible pairs of the rest.
 
 One hash per shingle serves all bins: its high bits name the bin, and the smallest hash of a bin is the signature there. An
 empty bin borrows from the first filled bin of a hashed sequence of its own, so two texts borrow alike. Rows of
 bins form bands, and equal bands are a bucket. Each bucket's hub, found over all its sets, is compared with the others;
-then all pairs of a bucket that are not yet in one component. So any two sets of a bucket are compared or connected.
+then those sets of a bucket that are not yet in one component, by outlines: bitmaps that bound what two sets can share. Only pairs that
+the bound allows are confirmed. So any two sets of a bucket are compared, connected or proven too different.
 Candidates are confirmed on the full shingle sets, and confirmed links are followed to components.
 
 With 42 bands of 6 bins a pair of similarity 0.8 meets in 11 bands on average and in none with a chance of 3 in a million.
@@ -25,6 +26,7 @@ from billweave.llm.shared import NAMELESS, Memo, known_id, small_batches, text_o
 BINS_LOG, BANDS, ROWS = 8, 42, 6
 HUB_ROUNDS = 2  # rounds of one center per bucket before all pairs of the rest
 HOT = 2000  # sets of a bucket that one task compares with each other
+OUTLINE = 1 << 12  # bits of the bitmap of a set
 BINS = 1 << BINS_LOG
 A, B, C = map(np.uint64, (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB))
 S27, S31 = np.uint64(27), np.uint64(31)
@@ -157,18 +159,84 @@ def hub_pairs(rest: DataFrame, hubs: DataFrame, percent: int) -> DataFrame:
     return met.select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")).distinct()
 
 
-def all_pairs(rest: DataFrame, percent: int) -> DataFrame:
-    """All pairs (a, b) of different roots of each bucket. Large buckets are cut into blocks that meet in pairs."""
+def outlines(full: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, outline) of the sets `nodes`: a bitmap of the hashes of the shingles."""
+
+    def draw(batches):
+        open_text = zstandard.ZstdDecompressor().decompress
+        for frame in batches:
+            _memo().turn()
+            drawn = []
+            for packed in frame["packed"]:
+                bits = np.zeros(OUTLINE, np.uint8)
+                bits[(shingles(open_text(packed).decode(), width) % np.uint64(OUTLINE)).astype(np.int64)] = 1
+                drawn.append(np.packbits(bits).tobytes())
+            yield pd.DataFrame({"node": frame["node"], "outline": drawn})
+
+    small_batches(full.sparkSession)
+    texts = full.select("node", "packed").join(nodes.hint("merge"), "node", "left_semi").groupBy("node").agg(F.min("packed").alias("packed"))
+    return texts.mapInPandas(draw, "node long, outline binary")
+
+
+def _possible(x: pd.DataFrame, y: pd.DataFrame, percent: int) -> pd.DataFrame:
+    """Pairs (a, b) of rows of `x` and `y` with different roots that may be similar enough: a bit that one outline lacks is a shingle that
+    its set lacks, so what two sets share is bounded. No pair that is similar enough is left out.
+
+    Rows of the commonest root of `y` are only compared with rows of other roots: a component that fills a bucket costs nothing by itself.
+    """
+    left, right = (np.stack([np.frombuffer(o, np.uint64) for o in f["outline"]]) for f in (x, y))
+    (n, m), (r, q) = ((x[c].to_numpy(), y[c].to_numpy()) for c in ("n", "root"))
+    bits, others = (np.bitwise_count(o).sum(axis=1, dtype=np.int64) for o in (left, right))
+    roots, sizes = np.unique(q, return_counts=True)
+    commonest = q == roots[sizes.argmax()]
+    rare = np.flatnonzero(~commonest)
+    found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+    for i in range(len(x)):
+        # a row of that root meets the rest of y, any other row meets all of it
+        part = rare if r[i] == roots[sizes.argmax()] else slice(None)
+        both = np.bitwise_count(left[i] & right[part]).sum(axis=1, dtype=np.int64)
+        common = np.minimum(n[i] - (bits[i] - both), m[part] - (others[part] - both))
+        hit = np.flatnonzero((100 * common >= percent * (n[i] + m[part] - common)) & (q[part] != r[i]))
+        hit = rare[hit] if part is rare else hit
+        found.append((np.full(len(hit), i), hit))
+    i, j = (np.concatenate(f) for f in zip(*found))
+    a, b = x["node"].to_numpy()[i], y["node"].to_numpy()[j]
+    return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)}).drop_duplicates()
+
+
+def rest_pairs(rest: DataFrame, drawn: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of different roots of each bucket that may be similar enough. Large buckets are cut into blocks that meet in pairs; a
+    task holds one pair of blocks at a time, and only possible pairs leave it."""
     sizes = rest.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / HOT).cast("int").alias("blocks"))
     placed = rest.join(sizes, "key").withColumn("own", F.pmod(F.xxhash64("node", "key"), F.col("blocks")).cast("int"))
     meets = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("own", o).alias("low"), F.greatest("own", o).alias("high")))
     sent = placed.withColumn("pair", F.explode(meets)).select("key", "pair.low", "pair.high", "own", "node", "n", "root")
     on = ["key", "low", "high"]
-    left = sent.filter("own = low").select(*on, F.col("node").alias("x"), F.col("n").alias("nx"), F.col("root").alias("rx"))
-    right = sent.filter("own = high").select(*on, F.col("node").alias("y"), F.col("n").alias("ny"), F.col("root").alias("ry"))
-    met = left.join(right, on).filter((F.col("rx") != F.col("ry")) & ((F.col("low") != F.col("high")) | (F.col("x") < F.col("y"))))
-    met = met.filter(_fit("nx", "ny", percent))
-    return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+    def compare(group: pd.DataFrame) -> pd.DataFrame:
+        own = group["own"] == group["low"]
+        x, y = (group, group) if group["low"].iat[0] == group["high"].iat[0] else (group[own], group[~own])
+        apart = len(x) and len(y) and group["root"].nunique() > 1
+        return _possible(x, y, percent) if apart else pd.DataFrame({"a": [], "b": []}, dtype="int64")
+
+    def run(batches):
+        held = None
+        for frame in batches:
+            frame = frame if held is None else pd.concat((held, frame), ignore_index=True)
+            names = frame[on].to_numpy()
+            cuts = np.append(np.flatnonzero((np.diff(names, axis=0) != 0).any(axis=1)) + 1, len(frame))
+            begin = 0
+            for end in cuts[:-1]:
+                if end - begin > 1:
+                    yield compare(frame.iloc[begin:end])
+                begin = end
+            held = frame.iloc[begin:]
+        if held is not None and len(held) > 1:
+            yield compare(held)
+
+    rest.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5000")
+    rows = sent.join(drawn, "node").repartition(*on).sortWithinPartitions(*on)
+    return rows.mapInPandas(run, "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -207,7 +275,7 @@ def _connected(full: DataFrame, sets: DataFrame, width: int, percent: int) -> Da
     """(node, root) of the sets that have links.
 
     In each of the first rounds every bucket's hub is compared with all others of the bucket, and leaves it. What that
-    connects needs no more comparing. Then all that is still apart in a bucket is compared, pair by pair.
+    connects needs no more comparing. Then what is still apart in a bucket is compared by outlines, and possible pairs in full.
     """
     rest = buckets(sets)
     roots = sets.select("node", F.col("node").alias("root")).limit(0)
@@ -222,7 +290,7 @@ def _connected(full: DataFrame, sets: DataFrame, width: int, percent: int) -> Da
             pairs = hub_pairs(rest, hubs, percent)
             rest = rest.join(hubs.select("key", "hub.node"), ["key", "node"], "left_anti")
         else:
-            pairs = all_pairs(rest, percent)
+            pairs = rest_pairs(rest, written(outlines(full, rest.select("node").distinct(), width)), percent)
         asked = written(pairs.join(done, ["a", "b"], "left_anti") if done is not None else pairs)
         done = done.unionByName(asked) if done is not None else asked
         found = _links(full, asked, width, percent)
