@@ -292,7 +292,6 @@ def line_classes(
     number = F.lit(0) if mark is None else F.col(mark)
     named = F.concat_ws(" ", known_id(id, text).cast("string"), number.cast("string"))
     blocks = blocked(docs.select(named.alias("doc_id"), text_of(text).alias("text")))
-    blocks.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
     n_chars = blocks.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda t, n: t + n))).first()[0] or 0
     answers = shared_keys(blocks, n_chars, edits, least)
     found = written(links(live_lines(blocks, answers, edits, least), edits))
