@@ -111,3 +111,12 @@ def test_keep_first_keeps_one_whole_row_per_key(spark):
     order = Window.partitionBy("key").orderBy("v", "id")
     want = df.withColumn("rn", F.row_number().over(order)).filter("rn = 1")
     assert rows_of(got, "id", "key", "v") == rows_of(want, "id", "key", "v")
+
+
+def test_the_plan_of_a_range_search_stays_small(spark):
+    """A filter below the search, as a join on the range brings, must not repeat its steps."""
+    df = spark.range(100).select("id", (F.col("id") % 7).alias("key"))
+    placed = ordered.in_ranges(df, ["key"], ["id"], 200)
+    cut = ordered.of_cut_keys(placed, ["key"], n=F.count(F.lit(1))).select("key", F.col("_range").alias("later"))
+    reached = placed.join(cut.withColumnRenamed("key", "other"), (F.col("key") == F.col("other")) & (F.col("later") > F.col("_range")))
+    assert len(reached._jdf.queryExecution().optimizedPlan().toString()) < 100_000
