@@ -14,10 +14,12 @@ MONTH_NAMES = ["current_month", "prior_month"] + [
 
 
 def line_usd_details(
-    lines: DataFrame, partners: DataFrame, units: DataFrame, products: DataFrame, as_of: date
+    lines: DataFrame, partners: DataFrame, units: DataFrame, products: DataFrame, as_of: date, open_end: bool = False
 ) -> DataFrame:
-    """Non-void lines from one month before `as_of` up to it, with business unit, vendor and USD amounts."""
-    invoiced = F.col("invoice_date").between(F.add_months(F.lit(as_of), -1), F.lit(as_of))
+    """Non-void lines from one month before `as_of` up to it, or with no end, with business unit, vendor and USD amounts."""
+    invoiced = F.col("invoice_date") >= F.add_months(F.lit(as_of), -1)
+    if not open_end:
+        invoiced = invoiced & (F.col("invoice_date") <= F.lit(as_of))
     rows = lines.filter(invoiced & ~F.col("is_voided"))
     owners = partners.select(F.col("id").alias("partner_id"), F.col("business_unit_guid").alias("_unit"))
     codes = units.select(F.col("uuid").alias("_unit"), F.col("unique_code").alias("business_unit"))

@@ -144,7 +144,7 @@ def fx_line_detail(spark, root):
     since = F.add_months(F.lit(LATE_JUNE), -1)
     lines = sample.owned_line().filter(F.col("ship_ts") >= since).drop("segment", "region", "currency_id")
     rows = revenue.line_usd_details(
-        lines, sample.partner(), sample.business_unit(), sample.product(), LATE_JUNE
+        lines, sample.partner(), sample.business_unit(), sample.product(), LATE_JUNE, open_end=True
     )
     return rows.select(
         "id", "invoice_id", "partner_id", "company_id", "row_type", "term", "currency_code", "business_unit",

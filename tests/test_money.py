@@ -438,3 +438,16 @@ def test_sweep_equals_the_months_of_every_subscription(spark):
             got = subscriptions.overview_of_spans(spans, keys)
             assert rows_of(got, *want.columns) == rows_of(want)
     assert want.count() == 0 < subscriptions.overview(charges.active_months(changed, date(2024, 8, 1), carry)).count()
+
+
+def test_line_details_with_an_open_end(spark, frame):
+    lines = frame(
+        [(k, 1, 5, 10, 8, day, False, "USD") for k, day in enumerate(("2024-05-19", "2024-05-20", "2024-06-20", "2024-07-01"))],
+        """id long, partner_id long, product_id long, total decimal(12,2), cost_total decimal(12,2), invoice_date date, is_voided boolean,
+        currency_code string""",
+    )
+    partners = spark.createDataFrame([(1, "u")], "id long, business_unit_guid string")
+    units = spark.createDataFrame([("u", "U")], "uuid string, unique_code string")
+    products = spark.createDataFrame([(5, "v")], "id long, vendor string")
+    rows = revenue.line_usd_details(lines, partners, units, products, date(2024, 6, 20), open_end=True)
+    assert rows_of(rows, "id") == [(1,), (2,), (3,)]
