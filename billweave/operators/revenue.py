@@ -96,9 +96,11 @@ def usage_variance(
     assignments: DataFrame,
     configurations: DataFrame,
     as_of: date,
+    open_end: bool = False,
 ) -> DataFrame:
     """Usage revenue of seven months per arrears subscription, in USD, with changes in percent.
 
+    With `open_end`, subscriptions whose items all start after the month of `as_of` are listed too, their months without revenue.
     Items are summed per (subscription, currency, type) first; everything else the result shows
     depends on the subscription, so the joins run on one row per subscription. Months without revenue
     make a change null, and any null change makes the six-month mean null.
@@ -108,7 +110,7 @@ def usage_variance(
     rows = items.filter(
         ~F.col("voided")
         & F.col("arrears_subscription_id").isNotNull()
-        & dates.between_months(start, dates.months_before(as_of, 6), as_of)
+        & dates.from_month(start, dates.months_before(as_of, 6), None if open_end else as_of)
     )
 
     def month_sum(back: int, value: Column) -> Column:

@@ -198,7 +198,7 @@ def usage_variance_6m(spark, root):
     configurations = sample.product().select("id", F.col("size").alias("billing_day_of_month"))
     rows = revenue.usage_variance(
         items, subscriptions, sample.partner(), sample.product(), sample.business_unit(), sample.currency(),
-        assignments, configurations, MONTH,
+        assignments, configurations, MONTH, open_end=True,
     )
     amounts = [c for c in rows.columns if c.startswith("usd_")] + ["prior_vs_current_revenue_difference"]
     rates = ["percentage_change", "percentage_change_5_months", "avg_6_month_percentage_variance"]

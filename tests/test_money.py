@@ -451,3 +451,25 @@ def test_line_details_with_an_open_end(spark, frame):
     products = spark.createDataFrame([(5, "v")], "id long, vendor string")
     rows = revenue.line_usd_details(lines, partners, units, products, date(2024, 6, 20), open_end=True)
     assert rows_of(rows, "id") == [(1,), (2,), (3,)]
+
+
+def usage_inputs(spark, frame):
+    items = frame(
+        [(1, 1, "t", 10, 1, "2024-06-30", False), (2, 1, "t", 10, 1, "2024-07-01", False), (3, 1, "t", 10, 1, "2023-11-30", False)],
+        """arrears_subscription_id long, currency_id long, type string, gross_revenue decimal(18,4), quantity long, provision_start date,
+        voided boolean""",
+    )
+    subs = frame([(k, k, k, 5, "Active", None, None) for k in (1, 2, 3)],
+                 "id long, original_subscription_id long, partner_id long, product_id long, status string, start_date date, end_date date")
+    partners = spark.createDataFrame([(k, f"u{k}", "p") for k in (1, 2, 3)], "id long, business_unit_guid string, name string")
+    units = spark.createDataFrame([(f"u{k}", f"U{k}", f"U{k}") for k in (1, 2, 3)], "uuid string, unique_code string, name string")
+    products = spark.createDataFrame([(5, "v", "n")], "id long, vendor string, name string")
+    return items, subs, partners, products, units, spark.createDataFrame([(1, "USD")], "id long, api_code string")
+
+
+def test_usage_variance_with_an_open_end(spark, frame):
+    """A subscription used after the month only is listed, with months without revenue."""
+    none = spark.createDataFrame([], "product_id long, arrears_product_usage_configuration_id long")
+    conf = spark.createDataFrame([], "id long, billing_day_of_month int")
+    usage = revenue.usage_variance(*usage_inputs(spark, frame), none, conf, date(2024, 6, 20), open_end=True)
+    assert rows_of(usage, "arrears_subscription_id", "usd_current_month_revenue") == [(1, 10), (2, 0)]
