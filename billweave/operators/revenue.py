@@ -164,16 +164,17 @@ def usage_variance(
 
 def arrears_variance(
     items: DataFrame, subscriptions: DataFrame, partners: DataFrame, products: DataFrame, units: DataFrame,
-    currencies: DataFrame, as_of: date,
+    currencies: DataFrame, as_of: date, open_end: bool = False,
 ) -> DataFrame:
     """This month's and last month's usage revenue per vendor and business unit, in USD.
 
-    Amounts are rounded per (vendor, unit, currency, provision day) before they are converted and summed.
+    Amounts are rounded per (vendor, unit, currency, provision day) before they are converted and summed. With `open_end`, vendors and
+    units whose items all start after the month of `as_of` are listed too, with zeros.
     """
     amount, start = F.col("gross_revenue"), F.col("provision_start")
     now, before = dates.month_start(as_of), dates.months_before(as_of, 1)
     rows = items.filter(
-        ~F.col("voided") & F.col("arrears_subscription_id").isNotNull() & dates.between_months(start, before, now)
+        ~F.col("voided") & F.col("arrears_subscription_id").isNotNull() & dates.from_month(start, before, None if open_end else now)
     )
     # sums per subscription first, so the dimension joins see fewer rows; rounding comes after the joins
     per_subscription = rows.groupBy("arrears_subscription_id", "currency_id", "provision_start").agg(

@@ -213,5 +213,5 @@ def usage_variance_6m(spark, root):
 def arrears_variance(spark, root):
     sample, items, subscriptions = _usage_inputs(spark, root, 1)
     return revenue.arrears_variance(
-        items, subscriptions, sample.partner(), sample.product(), sample.business_unit(), sample.currency(), MONTH
+        items, subscriptions, sample.partner(), sample.product(), sample.business_unit(), sample.currency(), MONTH, open_end=True
     )

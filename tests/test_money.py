@@ -473,3 +473,8 @@ def test_usage_variance_with_an_open_end(spark, frame):
     conf = spark.createDataFrame([], "id long, billing_day_of_month int")
     usage = revenue.usage_variance(*usage_inputs(spark, frame), none, conf, date(2024, 6, 20), open_end=True)
     assert rows_of(usage, "arrears_subscription_id", "usd_current_month_revenue") == [(1, 10), (2, 0)]
+
+
+def test_arrears_variance_with_an_open_end(spark, frame):
+    variance = revenue.arrears_variance(*usage_inputs(spark, frame), date(2024, 6, 20), open_end=True)
+    assert rows_of(variance, "business_unit", "usd_current_month_gross_revenue") == [("U1", 10.0), ("U2", 0.0)]
