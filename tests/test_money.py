@@ -478,3 +478,11 @@ def test_usage_variance_with_an_open_end(spark, frame):
 def test_arrears_variance_with_an_open_end(spark, frame):
     variance = revenue.arrears_variance(*usage_inputs(spark, frame), date(2024, 6, 20), open_end=True)
     assert rows_of(variance, "business_unit", "usd_current_month_gross_revenue") == [("U1", 10.0), ("U2", 0.0)]
+
+
+def test_duplicate_settlements_with_an_open_end(frame):
+    rows = frame(
+        [(1, "2023-12-01", True), (2, "2024-01-01", True), (3, "2024-05-01", False), (4, "2024-09-01", True)],
+        "id long, invoice_date date, ledger_duplicate_present boolean",
+    )
+    assert rows_of(bob.duplicate_settlements(rows, date(2024, 6, 1), open_end=True), "id") == [(2,), (4,)]
