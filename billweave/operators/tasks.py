@@ -79,19 +79,20 @@ def latest_finished(tasks: DataFrame, top: int = 20) -> DataFrame:
 
 
 def open_backlog(
-    tasks: DataFrame, tables: Sequence[str], as_of: datetime, missing: Sequence[str] = ()
+    tasks: DataFrame, tables: Sequence[str], as_of: datetime, missing: Sequence[str] = (), open_end: bool = False
 ) -> DataFrame:
-    """Open tasks per (table, method) and the table's completions in the hour before `as_of`.
+    """Open tasks per (table, method) and the table's completions in the hour before `as_of`, or from then on with no end.
 
     Every listed table appears: without open tasks it gets a zero row, and a table in `missing`
     (it does not exist) gets a placeholder row.
     """
     scope = tasks.filter(F.col("task_table").isin(list(tables)))
+    recent = F.col("updated_dt") >= F.lit(as_of - timedelta(hours=1))
+    if not open_end:
+        recent = recent & (F.col("updated_dt") <= F.lit(as_of))
     counts = scope.groupBy("task_table", F.coalesce("method", F.lit("unknown")).alias("method")).agg(
         F.count_if(F.col("status") == "new").alias("open_count"),
-        F.count_if(
-            (F.col("status") == "finished") & F.col("updated_dt").between(F.lit(as_of - timedelta(hours=1)), F.lit(as_of))
-        ).alias("_hourly"),
+        F.count_if((F.col("status") == "finished") & recent).alias("_hourly"),
     )
     # (table, method) counts are few: the rest works on them, not on the tasks
     hourly = counts.groupBy("task_table").agg(

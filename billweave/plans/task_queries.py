@@ -117,9 +117,9 @@ def latest_finished(spark, root):
     return tasks.latest_finished(Sample(spark, root).tasks())
 
 
-def _backlog(spark, root):
+def _backlog(spark, root, open_end=False):
     listed = [*DURATION_TABLES, "widget_task"]
-    return tasks.open_backlog(Sample(spark, root).tasks(), listed, EVENTS_AS_OF, missing=["widget_task"])
+    return tasks.open_backlog(Sample(spark, root).tasks(), listed, EVENTS_AS_OF, missing=["widget_task"], open_end=open_end)
 
 
 def open_backlog(spark, root):
@@ -127,7 +127,7 @@ def open_backlog(spark, root):
 
 
 def open_backlog_eta(spark, root):
-    return tasks.backlog_summary(_backlog(spark, root))
+    return tasks.backlog_summary(_backlog(spark, root, open_end=True))
 
 
 def data_freshness(spark, root):

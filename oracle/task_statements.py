@@ -181,6 +181,9 @@ backlog AS (
         coalesce(n, 0) AS open_count, coalesce(h, 0) AS hourly_completed
     FROM listed LEFT JOIN opens ON opens.task_table = table_name LEFT JOIN hourly ON hourly.task_table = table_name
 )"""
+_BACKLOG_OPEN_END = _BACKLOG.replace(
+    "BETWEEN TIMESTAMP '2024-01-30 22:00:00' AND TIMESTAMP '2024-01-30 23:00:00'", ">= TIMESTAMP '2024-01-30 22:00:00'"
+)
 
 STATEMENTS = {
     "task_duration_alerts": _dur("SELECT * FROM dur"),
@@ -303,7 +306,7 @@ STATEMENTS = {
                 max(hourly_completed) AS hourly_completed
             FROM backlog GROUP BY table_name)""",
         "tasks",
-        extra=_BACKLOG,
+        extra=_BACKLOG_OPEN_END,
     ),
     "data_freshness": statement(
         """SELECT 'cc' AS schema, task_table AS table_name,

@@ -277,3 +277,10 @@ def test_tasks_after_as_of_do_not_count(spark):
     assert backlog.first()["hourly_completed"] == 3
     runs = done.withColumn("run_on", F.col("updated_dt") + F.expr("make_dt_interval(0, cast(id as int))"))
     assert rows_of(tasks.daily_counts(runs, date(2024, 1, 1)), "task_count") == [(2,)]
+
+
+def test_backlog_with_an_open_end_counts_all_completions_since(spark):
+    rows = [(k, "billing_task", "m", "finished", datetime(2024, 1, 1, 22 + k // 2, 30 * (k % 2))) for k in range(-1, 4)]
+    done = spark.createDataFrame(rows, "id long, task_table string, method string, status string, updated_dt timestamp")
+    backlog = tasks.open_backlog(done, ["billing_task"], datetime(2024, 1, 1, 23, 0), open_end=True)
+    assert backlog.first()["hourly_completed"] == 4
