@@ -486,3 +486,34 @@ def test_duplicate_settlements_with_an_open_end(frame):
         "id long, invoice_date date, ledger_duplicate_present boolean",
     )
     assert rows_of(bob.duplicate_settlements(rows, date(2024, 6, 1), open_end=True), "id") == [(2,), (4,)]
+
+
+def scans(df, column):
+    """How many times the plan reads the input table with this column."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    return sum(1 for line in plan.splitlines() if ("LogicalRDD" in line or "LocalRelation" in line) and f"{column}#" in line)
+
+
+def test_settlements_of_a_partner_month_are_listed_from_one_assessment(frame):
+    """Many settlements in one month, one in another, none in a third, and rows without keys."""
+    rows = frame(
+        [("2024-01-01", 1, 10, "Paid", 5, 4, 5, False, 0), ("2024-02-01", 1, None, None, None, None, None, False, 0),
+         ("2024-01-01", 2, None, None, None, None, None, False, 0), (None, None, None, None, None, None, None, False, 0)],
+        """invoice_date date, partner_id long, bob_invoice_id long, bob_invoice_status string, bob_payment_credit decimal(18,4),
+        partner_net_after_billing_fee_and_taxes decimal(18,4), expected_partner_bob_ledger_payment decimal(18,4),
+        partner_bob_failed_posting boolean, bob_payment_duplicate_count long""",
+    )
+    invoices = frame([("2024-01-01", 1, 7, "USD")], "invoice_date date, partner_id long, balance decimal(18,4), currency_code string")
+    postings = frame(
+        [(k, 1, "CHECK_ISSUED", "2024-01-09", "d", k, "USD") for k in range(40)] + [(50, 1, "CHECK_ISSUED", "2024-02-09", "d", 1, "USD"),
+         (None, 1, "CHECK_ISSUED", "2024-02-09", "d", 1, "USD"), (51, 2, "OTHER", "2024-01-09", "d", 1, "USD"),
+         (52, 1, "CHECK_ISSUED", "2024-03-09", "d", 1, "USD"), (53, None, "CHECK_ISSUED", None, "d", 1, "USD")],
+        "id long, partner_id long, type string, transaction_date date, description string, debit decimal(18,4), currency_code string",
+    )
+    got = bob.summary(rows, invoices, postings)
+    january, february = date(2024, 1, 1), date(2024, 2, 1)
+    want = [(january, 1, k, True) for k in range(40)] + [(february, 1, 50, True), (february, 1, None, True), (january, 2, None, False)]
+    assert rows_of(got, "invoice_date", "partner_id", "ledger_id", "ledger_duplicate_present") == sorted(
+        [*want, (None, None, None, False)], key=repr
+    )
+    assert scans(got, "bob_payment_credit") == 1
