@@ -47,10 +47,15 @@ def invoice_subscriptions(
     invoices: DataFrame,
     rate_plans: DataFrame,
     users: DataFrame,
+    owners: DataFrame | None = None,
 ) -> DataFrame:
     """Subscriptions billed on invoices: arrears lines summed, one-off lines as they are.
 
-    Amounts are rounded per line before they are summed. A subscription can occur in both branches.
+    Amounts are rounded per line before they are summed. A subscription can occur in both branches. `owners` brings what `lines` lack of
+    invoice_id, partner_name, company_name and bill_on_behalf_indicator.
+
+    The lines find their items and subscriptions first, as narrow rows; the two branches are then one table, so invoices, names and rate
+    plans are joined once, to the lines of a subscription alone, and one aggregate sums arrears and drops copies of one-off lines.
     """
     plans = rate_plans.join(users.withColumnRenamed("id", "_user"), F.col("user_id") == F.col("_user")).select(
         F.col("id").alias("rate_plan_id"),
@@ -66,45 +71,45 @@ def invoice_subscriptions(
         F.col("id").alias("_sub"), F.col("status").alias("sub_status"), "start_date", "end_date",
         "completed_line_id",
     )
+    of_owner = ["partner_name", "company_name", "bill_on_behalf_indicator"]
     billed = (
         lines.filter(~F.col("is_voided"))
-        .join(invoices.select(F.col("id").alias("invoice_id")), "invoice_id", "left_semi")
-        .join(item_columns, "completed_line_item_id")
-        .join(plans, "rate_plan_id")
         .select(
-            "completed_line_item_id", "arrears_subscription_id", "invoice_date", "partner_name", "company_name",
-            "product_id", "row_type", "quantity", "term_in_months",
+            "completed_line_item_id", "arrears_subscription_id", "invoice_id", "invoice_date", "product_id", "row_type", "quantity",
             F.round("cost_total", 2).alias("partner_total"),
             F.round("total", 2).alias("customer_total"),
-            "bill_on_behalf_indicator", "completed_line_item_type", "rate_plan_id", "rate_plan_start_date",
-            "rate_plan_end_date", "rate_plan_creator",
+            *([] if owners is not None else of_owner),
         )
+        .join(item_columns, "completed_line_item_id")
+    )
+    arrears = billed.join(subs, F.col("arrears_subscription_id") == F.col("_sub")).withColumn("has_arrears", F.lit(True))
+    one_off = billed.join(subs, F.col("completed_line_item_id") == F.col("completed_line_id")).withColumn("has_arrears", F.lit(False))
+    both = (
+        arrears.unionByName(one_off)
+        .drop("completed_line_item_id", "arrears_subscription_id", "completed_line_id")
+        # not a semi join, which would be pushed below the union and the joins, to all lines
+        .join(invoices.select(F.col("id").alias("invoice_id")).distinct(), "invoice_id")
     )
+    if owners is not None:
+        both = both.join(owners.select("invoice_id", *of_owner), "invoice_id")
     group = [
         "_sub", "sub_status", "invoice_date", "start_date", "end_date", "partner_name", "company_name", "product_id",
         "row_type", "term_in_months", "bill_on_behalf_indicator", "completed_line_item_type", "rate_plan_id",
         "rate_plan_start_date", "rate_plan_end_date", "rate_plan_creator",
     ]
-    arrears = (
-        billed.join(subs, F.col("arrears_subscription_id") == F.col("_sub"))
-        .groupBy(*group)
-        .agg(
-            F.sum("quantity").alias("quantity"),
-            F.sum("partner_total").alias("partner_total"),
-            F.sum("customer_total").alias("customer_total"),
+    amounts = ["quantity", "partner_total", "customer_total"]
+    own = [F.when(~F.col("has_arrears"), F.col(c)).alias(f"_{c}") for c in amounts]
+    rows = (
+        both.join(plans, "rate_plan_id")
+        .groupBy(*group, "has_arrears", *own)
+        .agg(*[F.sum(c).alias(c) for c in amounts])
+        .select(
+            *group, *[F.when(F.col("has_arrears"), F.col(c)).otherwise(F.col(f"_{c}")).alias(c) for c in amounts], "has_arrears"
         )
-        .withColumn("has_arrears", F.lit(True))
-    )
-    one_off = (
-        billed.join(subs, F.col("completed_line_item_id") == F.col("completed_line_id"))
-        .select(*group, F.col("quantity").cast("bigint").alias("quantity"), "partner_total", "customer_total")
-        .distinct()
-        .withColumn("has_arrears", F.lit(False))
     )
     profit = F.round(F.col("customer_total") - F.col("partner_total"), 2)
     margin = F.round(F.try_divide(profit.cast("double"), F.col("customer_total").cast("double")), 2) * 100
-    both = arrears.unionByName(one_off).withColumnRenamed("_sub", "id")
-    return both.withColumn("partner_profit", profit).withColumn("partner_margin", margin)
+    return rows.withColumnRenamed("_sub", "id").withColumn("partner_profit", profit).withColumn("partner_margin", margin)
 
 
 def sorted_subscriptions(rows: DataFrame, as_of: date) -> DataFrame:

@@ -15,17 +15,16 @@ MONTH = ORDERS_AS_OF
 HISTORY_END = date(2001, 8, 1)
 
 
-def _items(sample):
-    """Completed line items, the last version of each id."""
-    columns = ["product_id", "supplier_id", "type", "term_in_months", "quantity", "total", "gross_revenue"]
-    row = F.struct(*columns)
+def _last_items(sample, *columns):
+    """Chosen columns of the completed line items, the last version of each id."""
     version = F.struct("product_id", "supplier_id", "total", "quantity")
+    last = sample.completed_line_item().groupBy("id").agg(F.max_by(F.struct(*columns), version).alias("_row"))
+    return last.select("id", "_row.*").withColumnRenamed("supplier_id", "rate_plan_id")
+
+
+def _items(sample):
     return (
-        sample.completed_line_item()
-        .groupBy("id")
-        .agg(F.max_by(row, version).alias("_row"))
-        .select("id", "_row.*")
-        .withColumnRenamed("supplier_id", "rate_plan_id")
+        _last_items(sample, "product_id", "supplier_id", "type", "term_in_months", "quantity", "total", "gross_revenue")
         .withColumn("partner_buy_rate", F.round(F.col("gross_revenue") / F.col("quantity"), 4))
         .withColumn("actual_retail_price", F.round(F.col("total") / F.col("quantity"), 4))
         .withColumn("approving_user_id", F.col("rate_plan_id") % 40)
@@ -49,10 +48,19 @@ def _subscription_lines(spark, root):
         F.date_add(F.lit(date(2000, 4, 1)), F.col("s_suppkey").cast("int")).alias("start_date"),
         F.when(F.col("s_acctbal") < 0, F.lit(date(2001, 1, 1))).alias("end_date"),
     )
-    lines = sample.owned_line().withColumn("bill_on_behalf_indicator", F.col("order_status") == "P")
-    invoices = sample.raw("orders").select(F.col("o_orderkey").alias("id"))
+    orders = sample.raw("orders")
+    invoices = orders.select(F.col("o_orderkey").alias("id"))
+    owners = (
+        orders.select(
+            F.col("o_orderkey").alias("invoice_id"),
+            F.col("o_custkey").alias("company_id"),
+            (F.col("o_orderstatus") == "P").alias("bill_on_behalf_indicator"),
+        )
+        .join(sample.accounts(), "company_id")
+        .select("invoice_id", "partner_name", "company_name", "bill_on_behalf_indicator")
+    )
     return subscriptions.invoice_subscriptions(
-        lines, sample.subscription(), _items(sample), invoices, plans, _users(sample)
+        sample.line(), sample.subscription(), _last_items(sample, "supplier_id", "type", "term_in_months"), invoices, plans, _users(sample), owners
     )
 
 

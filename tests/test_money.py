@@ -517,3 +517,28 @@ def test_settlements_of_a_partner_month_are_listed_from_one_assessment(frame):
         [*want, (None, None, None, False)], key=repr
     )
     assert scans(got, "bob_payment_credit") == 1
+
+
+def test_subscription_lines_join_names_and_plans_once(spark, frame):
+    """Arrears lines are summed, copies of one-off lines are dropped, void lines and lines of unknown invoices too."""
+    lines = frame(
+        [(1, None, 5, 2, "1.004", 3, False), (1, None, 5, 2, "1.004", 3, False), (9, 100, 5, 2, "1.004", 3, False), (9, 100, 5, 2, "1.004", 3, False),
+         (1, 100, 6, 4, 1, 3, False), (1, 100, 7, 8, 1, 3, False), (1, 100, 5, 16, 1, 3, True), (2, None, 5, 32, 1, 3, False)],
+        """completed_line_item_id long, arrears_subscription_id long, invoice_id long, quantity long, cost_total decimal(18,4),
+        total decimal(18,4), is_voided boolean""",
+    ).selectExpr("*", "date'2024-01-01' invoice_date", "7L product_id", "'x' row_type")
+    subs = spark.createDataFrame([(100, 1), (200, 9)], "id long, completed_line_id long").selectExpr(
+        "*", "'Active' status", "date'2023-01-01' start_date", "cast(null as date) end_date")
+    items = spark.createDataFrame([(1, 1, "t", 3), (9, 1, "t", 3), (2, 1, "t", 3)], "id long, term_in_months int, type string, rate_plan_id long")
+    plans = frame([(3, 4, "2024-01-01", None)], "id long, user_id long, start_date date, end_date date")
+    users = spark.createDataFrame([(4, "A", "B")], "id long, first_name string, last_name string")
+    owners = spark.createDataFrame([(5, "P", "C", False), (6, "P", "C", False)],
+                                   "invoice_id long, partner_name string, company_name string, bill_on_behalf_indicator boolean")
+    invoices = spark.createDataFrame([(5,), (5,), (6,)], "id long")
+    want = [(100, False, 2, 1), (100, False, 4, 1), (100, True, 8, 3), (200, False, 2, 1)]
+    for got in (
+        subscriptions.invoice_subscriptions(lines, subs, items, invoices, plans, users, owners),
+        subscriptions.invoice_subscriptions(lines.join(owners, "invoice_id"), subs, items, invoices, plans, users),
+    ):
+        assert rows_of(got, "id", "has_arrears", "quantity", F.col("partner_total").cast("int")) == want
+        assert scans(got, "user_id") == 1
