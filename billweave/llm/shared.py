@@ -1,5 +1,6 @@
 """Helpers that several training-data operators use: written tables, memos, words, row ids."""
 
+import contextlib
 import tempfile
 import uuid
 
@@ -11,6 +12,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 # Ids of rows without one start here, above any real id.
 NAMELESS = 1 << 62
 _own_folder: list[str] = []
+_records: list[list[str]] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -32,6 +34,8 @@ def write_table(df: DataFrame, folder: str | None = None) -> tuple[DataFrame, st
     """Write `df` once to the shared folder; gives the table that reads it, and its path."""
     spark = df.sparkSession
     path = folder or f"{scratch_root(spark)}/{uuid.uuid4().hex}"
+    if folder is None and _records:
+        _records[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path), path
 
@@ -41,6 +45,16 @@ def written(df: DataFrame) -> DataFrame:
     return write_table(df)[0]
 
 
+@contextlib.contextmanager
+def recorded(paths: list[str]):
+    """Adds to `paths` the tables that are written to the shared folder meanwhile."""
+    _records.append(paths)
+    try:
+        yield
+    finally:
+        _records.pop()
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a table of `write_table` that nothing reads any more."""
     place = spark._jvm.org.apache.hadoop.fs.Path(path)

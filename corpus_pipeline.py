@@ -2,14 +2,20 @@
 
 `run` applies the stages one after the other; each takes (spark, docs, sf_dir), where docs has the columns of documents, and all but the last return
 those columns. Rows may be null, empty or repeated in any column; columns beyond those of documents are kept.
+
+A stage's result reads tables that the stage wrote for itself. They go when the next stage begins, except those that its `docs` still read.
+So a result is to be written, or given to the next stage, before that.
 """
 
+import functools
+from collections.abc import Callable
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from billweave.llm import line_dedup, minhash, mixing, piece_codec, toxicity
-from billweave.llm.shared import known_id, written
+from billweave.llm.shared import discard, known_id, recorded, write_table
 
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 # SQL has no tokenizer, classifier or MinHash: the stages are tested against brute force.
@@ -48,18 +54,39 @@ def piece_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("piece_ids").cast("bigint").alias("n_tokens"), "piece_ids", same.alias("decodes"))
 
 
+_left: list[str] = []  # tables that stages wrote for themselves
+
+
+def tidy(stage: Callable) -> Callable:
+    """The stage, after deleting what earlier stages left and `docs` does not read."""
+
+    @functools.wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        read = {folder for file in docs.inputFiles() for folder in file.split("/")} if _left else set()
+        for path in [p for p in _left if p.rpartition("/")[2] not in read]:
+            discard(spark, path)
+            _left.remove(path)
+        with recorded(_left):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES = [
-    ("toxicity", toxicity_stage),
-    ("line dedup", line_dedup_stage),
-    ("near-duplicates", near_duplicate_stage),
-    ("mixing", mixing_stage),
-    ("pieces", piece_stage),
+    ("toxicity", tidy(toxicity_stage)),
+    ("line dedup", tidy(line_dedup_stage)),
+    ("near-duplicates", tidy(near_duplicate_stage)),
+    ("mixing", tidy(mixing_stage)),
+    ("pieces", tidy(piece_stage)),
 ]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The result of the last stage over documents; every stage is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for _, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir))
+        docs, path = write_table(stage(spark, docs, sf_dir))
+        if before:
+            discard(spark, before)
+        before = path
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import os
 import random
 import re
 import zlib
@@ -442,6 +443,19 @@ def test_pipeline_stages(spark, odd_docs):
         assert stage(spark, odd_docs.limit(0), FOLDER).count() == 0
 
 
+def test_stages_leave_no_tables_to_the_next(spark, odd_docs):
+    docs = odd_docs
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        left = list(corpus_pipeline._left)
+        docs = written(stage(spark, docs, FOLDER))
+        assert not any(map(os.path.exists, left))
+    assert any(map(os.path.exists, corpus_pipeline._left))
+    # a result that is not written yet keeps its tables
+    lazy = corpus_pipeline.STAGES[1][1](spark, odd_docs, FOLDER)
+    kept = corpus_pipeline.STAGES[2][1](spark, lazy, FOLDER)
+    assert sorted(r.doc_id or 0 for r in kept.collect()) == sorted(r.doc_id or 0 for r in corpus_pipeline.STAGES[2][1](spark, written(lazy), FOLDER).collect())
+
+
 def test_pipeline_keeps_one_of_each_copy(spark):
     rows = corpus_pipeline.run(spark, FOLDER).collect()
     assert rows and all(r.decodes for r in rows)
