@@ -14,6 +14,7 @@ import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
+from tokenizers.models import BPE
 
 import corpus_pipeline
 from billweave.llm import blocks, line_dedup, lm_scores, minhash, mixing, piece_codec, quality, rans, token_counts, token_store, toxicity, vector_dedup
@@ -287,6 +288,22 @@ def test_store_round_trip(spark, odd_docs, no_docs, tmp_path):
 # token counts
 
 
+def test_plain_words_are_cut_as_the_library_cuts_them(monkeypatch):
+    words = token_store.Words(registered.WORD_PIECES)
+    whole, encode_whole = [], words._whole
+    monkeypatch.setattr(words, "_whole", lambda new: (whole.extend(new), encode_whole(new)))
+    dice = random.Random(5)
+    signs = "aZbé 'sStTLl'dD<|>startoftext0 9²½ÀÖ×ßÿ÷ªµİıſẞΣς\u0301\u0300\u200b\x85\xa0\x1c\x7f\x00\u3000한ᄀ漢\t\nǅ😀ﬁ.,;!?~"
+    texts = ["".join(dice.choices(signs, k=dice.randrange(40))) for _ in range(3000)]
+    texts += ["<|endoftext|>a<|startoftext|>", "don't I'LL we'Ve it'S''s", "Früher, ÉTÉ: 12%"]
+    library = Tokenizer.from_file(registered.WORD_PIECES)
+    expected = [np.array(c.ids, "<u4").tobytes() for c in library.encode_batch(texts, add_special_tokens=False)]
+    assert words.encode(texts) == expected == words.encode(texts)
+    assert "<|endoftext|>a<|startoftext|>" in whole and not {"don't", "Früher,", "12%"} & set(whole)
+    simple = Tokenizer(BPE({"a": 0, "b": 1}, []))  # another way of cutting is left to the library
+    assert not token_store._cuts_alike(simple)
+
+
 def test_counts_equal_plain_viterbi(spark, odd_docs, no_docs):
     log_p = token_counts.zipf_pieces(PIECES)
 
