@@ -37,8 +37,14 @@ class CountTrie:
     """Forward scores and piece counts of all prefixes seen so far."""
 
     def __init__(self, log_p: dict[str, float]):
-        self.log_p = log_p
-        self.longest = max(map(len, log_p), default=1)
+        # the pieces from their last character to the first: [log-probability or None, {character before: the same}]
+        self.ends: dict[str, list] = {}
+        for piece, p in log_p.items():
+            below = self.ends
+            for character in reversed(piece):
+                entry = below.setdefault(character, [None, {}])
+                below = entry[1]
+            entry[0] = p
         self.counts: dict[str, int] = {}
         self.root, self.nodes = Node(0.0, 0), 1
 
@@ -50,24 +56,34 @@ class CountTrie:
         return known
 
     def _insert(self, text: str) -> int:
-        node, path, log_p = self.root, [self.root], self.log_p
-        for end, character in enumerate(text, 1):
+        node, known = self.root, 0
+        scores, counts = [node.score], [node.count]
+        for character in text:  # the part that another pre-token began with
+            if node.below is None or (following := node.below.get(character)) is None:
+                break
+            node, known = following, known + 1
+            scores.append(node.score)
+            counts.append(node.count)
+        ends = self.ends
+        for end in range(known, len(text)):
+            character = text[end]
+            best, fewest = scores[end] + UNKNOWN, counts[end] + len(character.encode())
+            below, start = ends, end
+            # longer and longer ends, until no piece ends so
+            while start >= 0 and (entry := below.get(text[start])) is not None:
+                p, below = entry
+                if p is not None:
+                    score = scores[start] + p
+                    if score > best or (score == best and counts[start] + 1 < fewest):
+                        best, fewest = score, counts[start] + 1
+                start -= 1
+            following = Node(best, fewest)
             if node.below is None:
                 node.below = {}
-            following = node.below.get(character)
-            if following is None:
-                before = path[end - 1]
-                best, fewest = before.score + UNKNOWN, before.count + len(character.encode())
-                for start in range(max(0, end - self.longest), end):
-                    p = log_p.get(text[start:end])
-                    if p is not None:
-                        score, pieces = path[start].score + p, path[start].count + 1
-                        if score > best or (score == best and pieces < fewest):
-                            best, fewest = score, pieces
-                following = node.below[character] = Node(best, fewest)
-                self.nodes += 1
-            node = following
-            path.append(node)
+            node.below[character] = node = following
+            scores.append(best)
+            counts.append(fewest)
+        self.nodes += len(text) - known
         return node.count
 
     def turn(self) -> None:

@@ -5,6 +5,7 @@ import math
 import os
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -304,6 +305,13 @@ def test_plain_words_are_cut_as_the_library_cuts_them(monkeypatch):
     assert not token_store._cuts_alike(simple)
 
 
+def test_counts_look_no_further_than_pieces_reach():
+    pieces = {"▁": -1.0, "a": -2.0, "b": -2.0, "ab": -2.5, "b" * 2000: -3.0}
+    began = time.process_time()
+    assert token_counts.CountTrie(pieces).count("ab" * 4000) == 4001
+    assert time.process_time() - began < 1
+
+
 def test_counts_equal_plain_viterbi(spark, odd_docs, no_docs):
     log_p = token_counts.zipf_pieces(PIECES)
 
