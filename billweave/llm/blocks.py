@@ -70,12 +70,53 @@ def unpack(packed: bytes) -> np.ndarray:
 
 
 def pack_keys(keys: np.ndarray) -> bytes:
-    """Ascending keys by their distances."""
-    return pack(np.diff(keys, prepend=np.uint64(0)))
+    """Ascending keys by their distances, in half a bit more than their entropy if they are hashes: a distance's upper part is as many zeros and
+    a one, its lower part, about as wide as the mean distance, has whole bytes and the bits that are left."""
+    first = int(keys[0]) if len(keys) else 0
+    steps = np.diff(keys, prepend=keys[:1])
+    joint = int(np.bitwise_or.reduce(steps))
+    shift = max(0, (joint & -joint).bit_length() - 1)  # low bits that no distance has
+    steps = steps >> np.uint64(shift)
+    mean = (int(keys[-1]) - first >> shift) // len(keys) if len(keys) else 0
+    width = max(0, mean.bit_length() - 1)
+    whole, rest = divmod(width, 8)
+    ends = np.cumsum((steps >> np.uint64(width)).astype(np.int64) + 1)
+    upper = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
+    upper[ends - 1] = 1
+    parts = steps.astype("<u8").view(np.uint8).reshape(-1, 8)
+    left = np.unpackbits(parts[:, whole : whole + 1], axis=1)[:, 8 - rest :] if rest else np.zeros(0, np.uint8)
+    head = struct.pack("<QQBB", len(keys), first, shift, width)
+    return head + parts[:, :whole].tobytes() + np.packbits(left).tobytes() + np.packbits(upper).tobytes()
 
 
 def unpack_keys(packed: bytes) -> np.ndarray:
-    return np.cumsum(unpack(packed), dtype=np.uint64)
+    n, first, shift, width = struct.unpack_from("<QQBB", packed)
+    whole, rest = divmod(width, 8)
+    raw = np.frombuffer(packed, np.uint8, offset=18)
+    parts = np.zeros((n, 8), np.uint8)
+    parts[:, :whole] = raw[: n * whole].reshape(n, whole)
+    raw = raw[n * whole :]
+    used = -(-n * rest // 8)
+    if rest:
+        parts[:, whole] = np.packbits(np.unpackbits(raw[:used], count=n * rest).reshape(n, rest), axis=1)[:, 0] >> (8 - rest)
+    upper = np.diff(np.flatnonzero(np.unpackbits(raw[used:])), prepend=-1).astype(np.uint64) - np.uint64(1)
+    steps = parts.view("<u8").reshape(n).astype(np.uint64) | upper << np.uint64(width)
+    return np.cumsum(steps << np.uint64(shift), dtype=np.uint64) + np.uint64(first)
+
+
+def pack_counts(counts: np.ndarray, usual: int) -> bytes:
+    """Whole numbers most of which are `usual`: the places of the others, then these."""
+    other = np.flatnonzero(counts != usual)
+    places = pack_keys(other.astype(np.uint64))
+    return struct.pack("<QQ", len(counts), len(places)) + places + (pack(counts[other]) if len(other) else b"")
+
+
+def unpack_counts(packed: bytes, usual: int) -> np.ndarray:
+    n, size = struct.unpack_from("<QQ", packed)
+    counts = np.full(n, usual, np.uint64)
+    if len(packed) > 16 + size:
+        counts[unpack_keys(packed[16 : 16 + size]).astype(np.int64)] = unpack(packed[16 + size :])
+    return counts
 
 
 def ranges_of(keys: np.ndarray, bits: int):

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billweave.llm.blocks import blocked, pack, pack_keys, range_bits, ranges_of, texts_of, unpack, unpack_keys, with_answers
+from billweave.llm.blocks import blocked, pack_counts, pack_keys, range_bits, ranges_of, texts_of, unpack_counts, unpack_keys, with_answers
 from billweave.llm.minhash import A, mixed
 from billweave.llm.shared import Memo, text_of
 
@@ -104,16 +104,17 @@ def scores(docs: DataFrame, order: int = ORDER, id: str = "doc_id", text: str =
                         "range": [r for r, _, _ in cut],
                         "block": block,
                         "keys": [pack_keys(distinct[a:b]) for _, a, b in cut],
-                        "counts": [pack(counts[a:b]) for _, a, b in cut],
+                        "counts": [pack_counts(counts[a:b], 1) for _, a, b in cut],
                     }
                 )
 
     def count(frame: pd.DataFrame) -> pd.DataFrame:
         keys = [unpack_keys(k) for k in frame["keys"]]
         _, at = np.unique(np.concatenate(keys), return_inverse=True)
-        total = np.bincount(at, np.concatenate([unpack(c) for c in frame["counts"]]))[at].astype(np.uint64)
+        own = np.concatenate([unpack_counts(c, 1) for c in frame["counts"]]).astype(np.int64)
+        others = np.bincount(at, own)[at].astype(np.int64) - own
         ends = np.cumsum([len(k) for k in keys])
-        packed = [pack(total[e - len(k) : e]) for k, e in zip(keys, ends)]
+        packed = [pack_counts(others[e - len(k) : e], 0) for k, e in zip(keys, ends)]
         return pd.DataFrame({"block": frame["block"], "range": frame["range"], "packed": packed})
 
     sent = blocks.select("block", "sizes", "payload").mapInPandas(send, "range int, block long, keys binary, counts binary")
@@ -123,12 +124,12 @@ def scores(docs: DataFrame, order: int = ORDER, id: str = "doc_id", text: str =
         for frame in batches:
             for ids, sizes, payload, answer in zip(frame["doc_ids"], frame["sizes"], frame["payload"], frame["answers"]):
                 doc, place, keys = ngrams(texts_of(payload, sizes), order)
-                valid, distinct, at, _ = _distinct(place, keys)
-                parts = [unpack(a["packed"]) for a in (answer if answer is not None else [])]
-                total = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
-                if len(total) != len(distinct):
+                valid, distinct, at, own = _distinct(place, keys)
+                parts = [unpack_counts(a["packed"], 0) for a in (answer if answer is not None else [])]
+                others = np.concatenate(parts).astype(np.int64) if parts else np.zeros(0, np.int64)
+                if len(others) != len(distinct):
                     raise ValueError("the counts of a block are not those of its n-grams")
-                sums = _log_scores(doc, place, valid, at, total, len(ids), words)
+                sums = _log_scores(doc, place, valid, at, others + own, len(ids), words)
                 lengths = np.bincount(doc, minlength=len(ids))
                 means = [s / n if n else None for s, n in zip(sums, lengths)]
                 yield pd.DataFrame(

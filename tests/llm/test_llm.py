@@ -449,6 +449,21 @@ def test_scores_equal_brute_force(spark, monkeypatch):
         assert math.isclose(found[i].log_score, score, rel_tol=1e-9, abs_tol=1e-9)
 
 
+def test_packed_keys_take_little_more_than_their_entropy():
+    dice = np.random.default_rng(3)
+    for n, mask in itertools.product((0, 1, 2, 9, 5000), (2**64 - 1, 2**64 - 256, 255)):
+        keys = np.unique(dice.integers(0, 2**64 - 1, n, np.uint64, endpoint=True) & np.uint64(mask))
+        assert (blocks.unpack_keys(blocks.pack_keys(keys)) == keys).all()
+        counts = dice.integers(0, 3, n).astype(np.uint64)
+        assert (blocks.unpack_counts(blocks.pack_counts(counts, 1), 1) == counts).all()
+    ends = np.array([0, 2**64 - 1], np.uint64)
+    assert (blocks.unpack_keys(blocks.pack_keys(ends)) == ends).all()
+    # keys of 56 bits in one of 128 ranges: log2(2^49 / 9700) + 1.44 bits each
+    keys = np.unique((dice.integers(0, 2**49, 9700, np.uint64) << np.uint64(8)) + np.uint64(5 << 57))
+    assert len(blocks.pack_keys(keys)) < 4.75 * len(keys)
+    assert len(blocks.pack_keys(keys[:180])) < 5.5 * 180
+
+
 def test_scores_of_odd_rows(odd_docs, no_docs):
     rows = lm_scores.scores(odd_docs).collect()
     assert len(rows) == 11 and {r.mean_log_score for r in rows if r.n_words == 0} == {None}
