@@ -1,4 +1,4 @@
-"""Connected components of a link table, in rounds of stars."""
+"""Connected components of a link table, in rounds of stars until one task can hold what is left."""
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from billweave.llm.shared import discard, write_table
 
+HELD = 500_000  # nodes that a task holds at a time
+
 
 class Forest:
     """Union-find over the links of one task; the smaller end is always the root."""
@@ -43,7 +45,7 @@ def _reduced(edges: DataFrame) -> DataFrame:
         for batch in batches:
             for a, b in zip(batch["high"], batch["low"]):
                 forest.link(a, b)
-            if len(forest.up) > 500_000:  # bound the memory of a task; what is cut off is joined in later rounds
+            if len(forest.up) > HELD:  # bound the memory of a task; what is cut off is joined in later rounds
                 yield pd.DataFrame(forest.stars(), columns=["high", "low"])
                 forest = Forest()
         yield pd.DataFrame(forest.stars(), columns=["high", "low"])
@@ -76,7 +78,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
 
     Any orderable node type. Loops and repeated links do no harm; links with a null end are ignored; an
     empty table gives an empty one. Each round is written to the shared folder, so a lost executor costs
-    one round at most.
+    one round at most. Links too few to have more than `HELD` nodes are followed to the end in one task; more of them take rounds.
     """
     spark = edges.sparkSession
     links = edges.select(F.greatest(a, b).alias("high"), F.least(a, b).alias("low"))
@@ -84,8 +86,9 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
     current, path = write_table(_reduced(links))
     mark = _mark(current)
     while mark[0]:
-        following, new_path = write_table(_stars(current))
-        new_mark = _mark(following)
+        few = 2 * mark[0] <= HELD
+        following, new_path = write_table(_reduced(current.coalesce(1)) if few else _stars(current))
+        new_mark = mark if few else _mark(following)
         discard(spark, path)
         current, path = following, new_path
         if new_mark == mark:

@@ -19,6 +19,7 @@ from tokenizers.models import BPE
 
 import corpus_pipeline
 from billweave.llm import blocks, line_dedup, lm_scores, minhash, mixing, piece_codec, quality, rans, token_counts, token_store, toxicity, vector_dedup
+from billweave.llm import components as component_rounds
 from billweave.llm import queries as registered
 from billweave.llm.components import components
 from billweave.llm.shared import written
@@ -186,6 +187,18 @@ def test_components_follow_long_chains(spark):
     assert {r.node: r.root for r in found.collect()} == {i: 0 for i in range(201)} | {400: 400, 500: 400}
 
 
+def test_few_links_are_followed_in_one_task(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000 + i, 1000) for i in range(50)], "a long, b long").repartition(9)
+    expected = {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(50)}
+    rounds, stars = [], component_rounds._stars
+    monkeypatch.setattr(component_rounds, "_stars", lambda links: rounds.append(1) or stars(links))
+    assert {r.node: r.root for r in components(edges, "a", "b").collect()} == expected
+    assert not rounds
+    monkeypatch.setattr(component_rounds, "HELD", 40)  # tasks hold less than all links, so rounds go first
+    assert {r.node: r.root for r in components(edges, "a", "b").collect()} == expected
+    assert rounds
+
+
 def test_minhash_of_odd_rows(odd_docs, no_docs):
     rows = minhash.components_of(odd_docs).collect()
     assert len(rows) == 11
