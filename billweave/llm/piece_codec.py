@@ -24,6 +24,7 @@ MARK = "▁"
 PARTS = re.compile(f"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
 UNJOINED = float("-inf")
 COMPATIBLE_KEPT = 200_000  # answers of the pair test that a task remembers
+WORDS_KEPT = 200_000  # words of a generation of the memo
 
 
 class PieceModel:
@@ -67,7 +68,7 @@ class PieceModel:
         self.compatible: dict[int, bool] = {}
         # Where no piece joins a letter to a following space or to a line end, words can be encoded apart.
         self.apart = not any(MARK in piece.lstrip(MARK) or ("\n" in piece and len(piece) > 1) for piece in self.score)
-        self.words, self.parts = Memo(self._word), Memo(self._packed)
+        self.words, self.parts = Memo(self._word, WORDS_KEPT), Memo(self._packed)
 
     def _merged(self, text: str) -> list[str]:
         """The merges themselves, for strings as short as two pieces."""

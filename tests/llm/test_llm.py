@@ -187,6 +187,16 @@ def test_components_follow_long_chains(spark):
     assert {r.node: r.root for r in found.collect()} == {i: 0 for i in range(201)} | {400: 400, 500: 400}
 
 
+def test_a_task_remembers_the_words_of_many_batches():
+    pieces, made = piece_codec.PieceModel(PIECES), []
+    pieces.words.compute = lambda word: made.append(word) or b""
+    for _ in range(2):
+        for k in range(30):
+            pieces.words.turn()
+            pieces.encode(" ".join(f"w{n}" for n in range(5000 * k, 5000 * k + 5000)))
+    assert len(made) == 150_000
+
+
 def test_few_links_are_followed_in_one_task(spark, monkeypatch):
     edges = spark.createDataFrame([(i, i + 1) for i in range(300)] + [(1000 + i, 1000) for i in range(50)], "a long, b long").repartition(9)
     expected = {i: 0 for i in range(301)} | {1000 + i: 1000 for i in range(50)}
