@@ -12,7 +12,9 @@ All lines that are not blank take part. The shorter of two lines must have `PER_
 or different, and from EDITS * PER_EDIT on all `EDITS` are allowed.
 """
 
+import functools
 import re
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -36,7 +38,7 @@ SIGN = re.compile(r"[^\x20\x09-\x0D]")
 
 def line_id(line: str) -> int:
     """64 bits that stand for a line."""
-    return xxhash.xxh3_64_intdigest(line.encode()) - (1 << 63)
+    return xxhash.xxh3_64_intdigest(line) - (1 << 63)
 
 
 def segments(length: int, edits: int) -> list[tuple[int, int]]:
@@ -56,15 +58,15 @@ def allowed(length: int, edits: int, per: int) -> int:
     return min(edits, length // per) if per else edits
 
 
-def keys_of(line: str, edits: int, per: int = 0) -> tuple[list[int], list[int]]:
-    """Index keys and probe keys of a line; with `per`, the shorter line must have that many characters for each edit.
+@functools.lru_cache(maxsize=4096)
+def _cuts(n: int, edits: int, per: int) -> tuple[list, list]:
+    """(seed, start, end) of the index keys and of the probe keys of a line of `n` characters; the seed is the indexed line's length and segment.
 
     A line not longer than this one, by `gap` characters, has its k-th segment unchanged at a place that is off by at most k, by at most
     edits - k seen from the end, as otherwise the rest would need too many edits.
     """
-    digest, n = xxhash.xxh3_64_intdigest, len(line)
     own = allowed(n, edits, per)
-    index = [digest(f"{n} {k} {line[a : a + w]}".encode()) for k, (a, w) in enumerate(segments(n, own))] if own else []
+    index = [(n << 8 | k, a, a + w) for k, (a, w) in enumerate(segments(n, own))] if own else []
     probes = []
     for gap in range(edits + 1):
         most = allowed(n - gap, edits, per)
@@ -73,11 +75,17 @@ def keys_of(line: str, edits: int, per: int = 0) -> tuple[list[int], list[int]]:
         for k, (a, w) in enumerate(segments(n - gap, most)):
             low = max(0, a - k, a + gap - (most - k))
             high = min(n - w, a + k, a + gap + (most - k))
-            for start in range(low, high + 1):
-                probes.append(digest(f"{n - gap} {k} {line[start : start + w]}".encode()))
+            probes += [(n - gap << 8 | k, start, start + w) for start in range(low, high + 1)]
     return index, probes
 
 
+def keys_of(line: str, edits: int, per: int = 0) -> tuple[list[int], list[int]]:
+    """Index keys and probe keys of a line; with `per`, the shorter line must have that many characters for each edit."""
+    digest = xxhash.xxh3_64_intdigest
+    index, probes = _cuts(len(line), edits, per)
+    return [digest(line[a:b], seed) for seed, a, b in index], [digest(line[a:b], seed) for seed, a, b in probes]
+
+
 def within(a: str, b: str, edits: int) -> bool:
     """Whether the edit distance is at most `edits`: common ends are cut off, and the rest takes one word of bits per
     character, holding the band of 2 * edits + 1 diagonals for every number of errors."""
@@ -128,26 +136,30 @@ def _lines(text: bytes, least: int):
 
 
 def _block_keys(texts: list[bytes], edits: int, least: int):
-    """The distinct lines of a block by id, and its distinct keys, ascending, with two bits of role and the lowest and highest line id."""
+    """The distinct lines of a block by id, and all their keys: the key, the place of its line among these, and one bit of role."""
     lines = {}
     for text in texts:
         for _, line in _lines(text, least):
             lines.setdefault(line_id(line), line)
-    keys, owners, roles, each = [], [], [], {}
-    for name, line in lines.items():
-        index, probes = keys_of(line, edits, PER_EDIT)
-        each[name] = (index, probes)
-        keys += index
-        keys += probes
-        owners += [name] * (len(index) + len(probes))
-        roles += [1] * len(index) + [2] * len(probes)
-    keys, owners, roles = np.array(keys, np.uint64), np.array(owners, np.int64), np.array(roles, np.uint64)
-    order = np.lexsort((owners, keys))
-    keys, owners, roles = keys[order], owners[order], roles[order]
+    keys, sizes = array("Q"), array("q")
+    for line in lines.values():
+        for some in keys_of(line, edits, PER_EDIT):
+            keys.extend(some)
+            sizes.append(len(some))
+    sizes = np.array(sizes, np.int64)
+    owners = np.repeat(np.arange(len(sizes)) // 2, sizes)
+    roles = np.repeat(np.resize(np.array([1, 2], np.uint8), len(sizes)), sizes)
+    return lines, np.array(keys, np.uint64), owners, roles
+
+
+def _distinct_keys(keys: np.ndarray, owners: np.ndarray, roles: np.ndarray, names: np.ndarray):
+    """The distinct keys, ascending, with two bits of role and the lowest and highest line id."""
+    order = np.argsort(keys)
+    keys, owners = keys[order], names[owners[order]]
     starts = np.flatnonzero(np.diff(keys, prepend=~keys[:1])) if len(keys) else np.zeros(0, np.int64)
-    ends = np.append(starts[1:], len(keys)) - 1 if len(starts) else starts
-    roles = np.bitwise_or.reduceat(roles, starts) if len(starts) else roles
-    return lines, each, keys[starts], roles, owners[starts], owners[ends]
+    if not len(starts):
+        return keys, roles, owners, owners
+    return keys[starts], np.bitwise_or.reduceat(roles[order], starts), np.minimum.reduceat(owners, starts), np.maximum.reduceat(owners, starts)
 
 
 def shared_keys(blocks: DataFrame, n_chars: int, edits: int, least: int) -> DataFrame:
@@ -157,8 +169,9 @@ def shared_keys(blocks: DataFrame, n_chars: int, edits: int, least: int) -> Data
     def send(batches):
         for frame in batches:
             for block, sizes, payload in zip(frame["block"], frame["sizes"], frame["payload"]):
-                _, _, keys, roles, low, high = _block_keys(texts_of(payload, sizes), edits, least)
-                cut = ranges_of(keys, bits)
+                lines, *each = _block_keys(texts_of(payload, sizes), edits, least)
+                keys, roles, low, high = _distinct_keys(*each, np.fromiter(lines, np.int64, len(lines)))
+                roles, cut = roles.astype(np.uint64), ranges_of(keys, bits)
                 # more than one line in the block is known at once; of the others the line goes along
                 alone = (low == high).astype(np.uint64)
                 yield pd.DataFrame(
@@ -198,21 +211,22 @@ def live_lines(blocks: DataFrame, answers: DataFrame, edits: int, least: int) ->
     def run(batches):
         for frame in batches:
             for sizes, payload, answer in zip(frame["sizes"], frame["payload"], frame["answers"]):
-                lines, each, keys, _, _, _ = _block_keys(texts_of(payload, sizes), edits, least)
+                lines, keys, owners, roles = _block_keys(texts_of(payload, sizes), edits, least)
+                distinct, at = np.unique(keys, return_inverse=True)
                 parts = [unpack(a["packed"]) for a in (answer if answer is not None else [])]
                 live = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-                if len(live) != len(keys):
+                if len(live) != len(distinct):
                     raise ValueError("the answers of a block are not those of its keys")
-                live = set(keys[live > 0].tolist())
-                rows = []
-                for name, (index, probes) in each.items():
-                    role = {}
-                    for bit, some in ((1, index), (2, probes)):
-                        for key in live.intersection(some):
-                            role[key] = role.get(key, 0) | bit
-                    if role:
-                        found = sorted(role)
-                        rows.append((name, lines[name], [k - (1 << 63) for k in found], [role[k] for k in found]))
+                kept = np.flatnonzero(live[at])
+                kept = kept[np.lexsort((keys[kept], owners[kept]))]
+                keys, owners, roles = keys[kept], owners[kept], roles[kept]
+                if len(keys):  # a line's equal keys are one
+                    starts = np.flatnonzero((np.diff(keys, prepend=~keys[:1]) != 0) | (np.diff(owners, prepend=-1) != 0))
+                    keys, owners, roles = keys[starts], owners[starts], np.bitwise_or.reduceat(roles, starts)
+                cuts = np.append(np.flatnonzero(np.diff(owners, prepend=-1)), len(keys)).tolist()
+                held, names = list(lines), owners[cuts[:-1]].tolist()
+                keys, roles = (keys ^ np.uint64(1 << 63)).view(np.int64).tolist(), roles.tolist()
+                rows = [(held[i], lines[held[i]], keys[a:b], roles[a:b]) for i, a, b in zip(names, cuts, cuts[1:])]
                 yield pd.DataFrame(rows, columns=["line", "text", "keys", "roles"])
 
     joined = with_answers(blocks.select("block", "sizes", "payload"), answers).select("sizes", "payload", "answers")

@@ -113,6 +113,24 @@ def test_edits_and_keys():
                 assert set(line_dedup.keys_of(short, edits)[0]) & set(line_dedup.keys_of(long, edits)[1])
 
 
+def test_keys_of_a_block_are_those_of_its_lines():
+    texts = ["a line of some length é\n\nshort\na line of some length é", "another line, of more than forty characters in all\n \t\n" + "long " * 40]
+    lines, keys, owners, roles = line_dedup._block_keys([text.encode() for text in texts], 2, 1)
+    plain = {line_dedup.line_id(x): x for text in texts for x in text.split("\n") if x.strip()}
+    assert lines == plain
+    names, each = list(lines), Counter(zip(owners.tolist(), roles.tolist(), keys.tolist()))
+    expected = Counter()
+    for i, name in enumerate(names):
+        for role, some in zip((1, 2), line_dedup.keys_of(plain[name], 2, line_dedup.PER_EDIT)):
+            expected.update((i, role, key) for key in some)
+    assert each == expected and expected
+    distinct, both, low, high = line_dedup._distinct_keys(keys, owners, roles, np.array(names))
+    for key, role, least, most in zip(distinct.tolist(), both.tolist(), low.tolist(), high.tolist()):
+        found = [(names[i], r) for i, r, k in expected if k == key]
+        assert (least, most) == (min(found)[0], max(found)[0]) and role == sum({r for _, r in found})
+    assert len(distinct) == len({k for _, _, k in expected})
+
+
 def test_lines_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "HOT", 4)  # so that keys are cut into blocks
     chance, base = random.Random(5), "the quick brown fox jumps over the lazy dog again and again"
