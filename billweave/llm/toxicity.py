@@ -19,13 +19,15 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billweave.llm.shared import Memo, small_batches, text_of, written
+from billweave.llm.blocks import pack, pack_keys, unpack, unpack_keys
+from billweave.llm.shared import Memo, discard, small_batches, text_of, write_table, written
 
 BITS = 22
 STEM = 4
 SHARDS = 4
 PASSES = 3
 INCLUDED = 20
+SLICES = 16  # of the vector of counts, each summed in a task of its own
 MOST_LABELLED = 40_000  # rows that learning reads at most; those with the smallest hash of the id
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 1.0, 0.0
 WORD = re.compile(r"\w+")
@@ -71,7 +73,7 @@ def _shard_learner(held, bits: int):
         z[held.value[0]], n[held.value[0]] = held.value[1], held.value[2]
         frame = frame.sort_values(["id", "label"], kind="stable")
         for packed, label in zip(frame["features"], frame["label"]):
-            i = np.append(np.frombuffer(packed, np.int32), size - 1)
+            i = np.append(unpack_keys(packed).astype(np.int32), size - 1)
             w = _weights(z[i], n[i])
             g = _sigmoid(w.sum()) - label
             root = np.sqrt(n[i] + g * g)
@@ -98,20 +100,23 @@ def _featurized(rows: DataFrame, bits: int) -> DataFrame:
 
 
 def _included(rows: DataFrame, bits: int, least: int) -> np.ndarray:
-    """Coordinates that `least` rows have."""
+    """Coordinates that `least` rows have. A task sends its counts as packed slices: most coordinates occur, so a row for each is far more."""
 
     def count(batches):
         seen = np.zeros(1 << bits, np.int64)
         for frame in batches:
             for packed in frame["features"]:
                 seen[np.frombuffer(packed, np.int32)] += 1
-        hit = np.flatnonzero(seen)
-        yield pd.DataFrame({"coordinate": hit, "n": seen[hit]})
+        yield pd.DataFrame({"slice": range(SLICES), "counts": [pack(part) for part in seen.reshape(SLICES, -1)]})
 
-    # the rows are bounded: few tasks count more of them at once and send fewer coordinates
-    counts = rows.select("features").coalesce(SHARDS).mapInPandas(count, "coordinate int, n int")
-    common = counts.groupBy("coordinate").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    return common.select("coordinate").toPandas()["coordinate"].sort_values().to_numpy(np.int32)
+    def common(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
+        total = sum(unpack(packed).astype(np.int64) for packed in frame["counts"])
+        return pd.DataFrame({"coordinate": np.flatnonzero(total >= least) + key[0] * len(total)}, dtype="int32")
+
+    # the rows are bounded: few tasks count more of them at once and send fewer slices
+    counts = rows.select("features").coalesce(SHARDS).mapInPandas(count, "slice int, counts binary")
+    hit = counts.groupBy("slice").applyInPandas(common, "coordinate int")
+    return hit.toPandas()["coordinate"].sort_values().to_numpy(np.int32)
 
 
 def _kept_features(rows: DataFrame, included: np.ndarray) -> DataFrame:
@@ -126,6 +131,17 @@ def _kept_features(rows: DataFrame, included: np.ndarray) -> DataFrame:
     return rows.mapInPandas(keep, rows.schema)
 
 
+def _packed_features(rows: DataFrame) -> DataFrame:
+    """The features by their distances: every pass shuffles them."""
+
+    def squeeze(batches):
+        for frame in batches:
+            frame["features"] = [pack_keys(np.frombuffer(f, np.int32).astype(np.uint64)) for f in frame["features"]]
+            yield frame
+
+    return rows.mapInPandas(squeeze, rows.schema)
+
+
 def learn(docs: DataFrame, labels: DataFrame, bits: int = BITS, passes: int = PASSES, most: int = MOST_LABELLED, least: int = INCLUDED):
     """Sparse weights (coordinates, values) from `docs` (id, text) and `labels` (id, label 0 or 1), one per id.
 
@@ -139,9 +155,10 @@ def learn(docs: DataFrame, labels: DataFrame, bits: int = BITS, passes: int = PA
     rows = docs.filter("id IS NOT NULL AND text IS NOT NULL").join(F.broadcast(chosen), "id")
     shard = F.pmod(order, F.lit(SHARDS)).cast("int").alias("shard")
     small_batches(spark)
-    sample = written(_featurized(rows.select("id", "text", "label", shard), bits))
-    kept = _kept_features(sample, _included(sample, bits, least))
-    sample = written(kept.groupBy("id", "label", "shard").agg(F.min("features").alias("features")))
+    whole, path = write_table(_featurized(rows.select("id", "text", "label", shard), bits))
+    kept = _kept_features(whole, _included(whole, bits, least))
+    sample = written(_packed_features(kept.groupBy("id", "label", "shard").agg(F.min("features").alias("features"))))
+    discard(spark, path)
     state = (np.zeros(0, np.int64), np.zeros(0), np.zeros(0))
     for _ in range(passes):
         learner = _shard_learner(spark.sparkContext.broadcast(state), bits)

@@ -22,7 +22,7 @@ from billweave.llm import blocks, line_dedup, lm_scores, minhash, mixing, piece_
 from billweave.llm import components as component_rounds
 from billweave.llm import queries as registered
 from billweave.llm.components import components
-from billweave.llm.shared import written
+from billweave.llm.shared import recorded, written
 
 FOLDER = "/root/testdata/sf0.001"
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -453,6 +453,18 @@ def test_toxicity_on_held_out_rows(spark):
     assert sum(r.predicted for r in held if r.toxic == 0) <= 0.01 * len(held)
 
 
+def test_toxicity_counts_and_keeps_little(spark):
+    rows = [(i, f"common words {'here' if i % 2 else 'there'} w{i}") for i in range(60)]
+    docs = spark.createDataFrame(rows, "id long, text string").repartition(5)
+    packed = toxicity._featurized(docs.selectExpr("id", "text", "1 label", "0 shard"), 12)
+    counts = Counter(c for _, text in rows for c in toxicity.coordinates(text, 12).tolist())
+    assert toxicity._included(packed, 12, 20).tolist() == sorted(c for c, n in counts.items() if n >= 20)
+    paths = []
+    with recorded(paths):
+        _, weights = toxicity.learn(docs, docs.selectExpr("id", "cast(id % 2 as int) label"), 12)
+    assert len(weights) and [os.path.exists(path.removeprefix("file:")) for path in paths] == [False, True]
+
+
 def test_toxicity_of_odd_rows(odd_docs, no_docs):
     labels = odd_docs.select("doc_id", (F.col("doc_id") % 2).cast("int").alias("toxic"))
     rows = toxicity.toxicity(odd_docs, labels).collect()
