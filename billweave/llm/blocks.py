@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billweave.llm.shared import small_batches, written
+from billweave.llm.shared import let_go, small_batches, written
 
 BLOCK_BYTES = 8 << 20
 BLOCKS = "block long, doc_ids array<string>, sizes array<long>, n_words long, payload binary"
@@ -28,6 +28,7 @@ def blocked(rows: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     rows = rows.withColumn("doc_id", F.col("doc_id").cast("string"))
 
     def run(batches):
+        let_go()
         squeeze = zstandard.ZstdCompressor(level=6).compress
         part, count = TaskContext.get().partitionId(), 0
         ids, texts, held = [], [], 0

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from billweave.llm.blocks import blocked, pack, pack_keys, range_bits, ranges_of, texts_of, unpack, unpack_keys, with_answers
 from billweave.llm.components import Forest, components
-from billweave.llm.shared import known_id, text_of, written
+from billweave.llm.shared import known_id, let_go, text_of, written
 
 EDITS = 2
 PER_EDIT = 20
@@ -167,6 +167,7 @@ def shared_keys(blocks: DataFrame, n_chars: int, edits: int, least: int) -> Data
     bits = range_bits(n_chars // 8)
 
     def send(batches):
+        let_go()
         for frame in batches:
             for block, sizes, payload in zip(frame["block"], frame["sizes"], frame["payload"]):
                 lines, *each = _block_keys(texts_of(payload, sizes), edits, least)
@@ -185,6 +186,7 @@ def shared_keys(blocks: DataFrame, n_chars: int, edits: int, least: int) -> Data
                 )
 
     def decide(frame: pd.DataFrame) -> pd.DataFrame:
+        let_go()
         keys = [unpack_keys(k) for k in frame["keys"]]
         roles = np.concatenate([unpack(r) for r in frame["roles"]])
         lines = np.concatenate([np.frombuffer(b, np.int64) for b in frame["lines"]])
@@ -209,6 +211,7 @@ def live_lines(blocks: DataFrame, answers: DataFrame, edits: int, least: int) ->
     """(line, text, keys, roles) of the distinct lines that share a key with another line."""
 
     def run(batches):
+        let_go()
         for frame in batches:
             for sizes, payload, answer in zip(frame["sizes"], frame["payload"], frame["answers"]):
                 lines, keys, owners, roles = _block_keys(texts_of(payload, sizes), edits, least)
@@ -349,6 +352,7 @@ def without_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEA
 
     @F.arrow_udf("string")
     def kept_lines(texts: pa.Array, numbers: pa.Array) -> pa.Array:
+        let_go()
         made = []
         for whole, kept in zip(texts.to_pylist(), numbers.to_pylist()):
             kept = set(kept or ())
@@ -362,7 +366,8 @@ def without_repeated_lines(docs: DataFrame, edits: int = EDITS, least: int = LEA
     keep = classes.filter("kept").select(F.col("doc_id").alias("_doc"), F.col("mark").alias("_mark"), F.col("line_no").alias("_no"))
     keep = keep.groupBy("_doc", "_mark").agg(F.collect_list("_no").alias("_kept"))  # no more than the document's own lines
     joined = rows.join(keep, ["_doc", "_mark"], "left")
-    made = joined.withColumn("made", kept_lines("whole", "_kept"))
+    # called so, a task makes its texts once: otherwise the filter and the columns would each have workers of their own make them
+    made = joined.withColumn("made", kept_lines.asNondeterministic()("whole", "_kept"))
     changed = F.col("made") != F.col("whole")
     gone = changed & ~F.col("made").rlike(r"[^\x20\x09-\x0D]")
     new_text = F.when(changed, F.col("made")).otherwise(F.col(f"row.`{text}`"))

@@ -9,7 +9,6 @@ An n-gram that no other document has backs off to the next shorter one, times `B
 `UNSEEN`.
 """
 
-import functools
 
 import numpy as np
 import pandas as pd
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from billweave.llm.blocks import blocked, pack_counts, pack_keys, range_bits, ranges_of, texts_of, unpack_counts, unpack_keys, with_answers
 from billweave.llm.minhash import A, mixed
-from billweave.llm.shared import Memo, text_of
+from billweave.llm.shared import Memo, held_alone, text_of
 
 ORDER = 3
 BLOCK_BYTES = 4 << 20  # text of a block: its n-grams take some 60 times as much while they are sorted
@@ -28,7 +27,7 @@ BACKOFF = 0.4
 UNSEEN = 0.5
 
 
-@functools.lru_cache(maxsize=1)
+@held_alone
 def _memo() -> Memo:
     return Memo(xxhash.xxh3_64_intdigest)
 

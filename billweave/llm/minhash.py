@@ -10,7 +10,6 @@ Candidates are confirmed on the full shingle sets, and confirmed links are follo
 With 42 bands of 6 bins a pair of similarity 0.8 meets in 11 bands on average and in none with a chance of 3 in a million.
 """
 
-import functools
 
 import numpy as np
 import pandas as pd
@@ -21,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from billweave.llm.components import components
-from billweave.llm.shared import NAMELESS, Memo, known_id, small_batches, text_of, written
+from billweave.llm.shared import NAMELESS, Memo, held_alone, known_id, small_batches, text_of, written
 
 BINS_LOG, BANDS, ROWS = 8, 42, 6
 HUB_ROUNDS = 2  # rounds of one center per bucket before all pairs of the rest
@@ -32,7 +31,7 @@ A, B, C = map(np.uint64, (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB1331
 S27, S31 = np.uint64(27), np.uint64(31)
 
 
-@functools.lru_cache(maxsize=1)
+@held_alone
 def _memo() -> Memo:
     return Memo(xxhash.xxh3_64_intdigest)
 

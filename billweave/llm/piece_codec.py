@@ -7,7 +7,6 @@ one match of the piece automaton that ends there and is compatible with the last
 it. The table of last pieces takes one pass over the matches, and the ids come from walking it backwards.
 """
 
-import functools
 import re
 
 import ahocorasick
@@ -18,13 +17,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType
 
-from billweave.llm.shared import Memo, small_batches, text_of
+from billweave.llm.shared import Memo, held_alone, small_batches, text_of
 
 MARK = "▁"
 PARTS = re.compile(f"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
 UNJOINED = float("-inf")
 COMPATIBLE_KEPT = 200_000  # answers of the pair test that a task remembers
-WORDS_KEPT = 200_000  # words of a generation of the memo
+WORDS_KEPT = 120_000  # words of a generation of the memo
 
 
 class PieceModel:
@@ -172,7 +171,7 @@ class PieceModel:
             return text
 
 
-@functools.lru_cache(maxsize=2)
+@held_alone
 def model(path: str) -> PieceModel:
     """One model per worker process."""
     return PieceModel(path)

@@ -1,8 +1,10 @@
 """Helpers that several training-data operators use: written tables, memos, words, row ids."""
 
 import contextlib
+import functools
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +15,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 NAMELESS = 1 << 62
 _own_folder: list[str] = []
 _records: list[list[str]] = []
+_held: dict[tuple, object] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -82,6 +85,26 @@ def known_id(id_column: str, text_column: str) -> Column:
     return F.coalesce(F.col(id_column).cast("bigint"), made)
 
 
+def held_alone(make: Callable) -> Callable:
+    """`make` with its result kept in the worker process until another such function is called. Workers serve one stage after the other, so
+    the memos and models of all stages would add up."""
+
+    @functools.wraps(make)
+    def held(*args):
+        key = (make.__module__, make.__name__, args)
+        if key not in _held:
+            _held.clear()
+            _held[key] = make(*args)
+        return _held[key]
+
+    return held
+
+
+def let_go() -> None:
+    """Free what `held_alone` keeps."""
+    _held.clear()
+
+
 class Memo(dict):
     """Values by key, computed on first use. Two generations bound its size: what was not used since the
     last turn goes."""

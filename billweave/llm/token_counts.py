@@ -10,7 +10,6 @@ log p = -log(rank + 2). A character that no piece covers costs `UNKNOWN` and cou
 scores take the segmentation with fewer pieces.
 """
 
-import functools
 import math
 
 import pandas as pd
@@ -18,7 +17,7 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from billweave.llm.shared import small_batches, text_of
+from billweave.llm.shared import held_alone, small_batches, text_of
 
 MARK = "▁"
 UNKNOWN = -30.0
@@ -99,7 +98,7 @@ def zipf_pieces(path: str) -> dict[str, float]:
     return {library.id_to_piece(i): -math.log(i + 2) for i in ranks if not any(test(i) for test in special)}
 
 
-@functools.lru_cache(maxsize=2)
+@held_alone
 def trie(path: str) -> CountTrie:
     return CountTrie(zipf_pieces(path))
 

@@ -6,7 +6,6 @@ and the coded bytes of `rans`. Parts and blocks follow the document ids. Every b
 parallel; checksums cover the bytes and the ids.
 """
 
-import functools
 import json
 import os
 import re
@@ -25,7 +24,7 @@ from tokenizers.normalizers import Sequence
 from tokenizers.pre_tokenizers import ByteLevel
 
 from billweave.llm import rans
-from billweave.llm.shared import Memo, discard, small_batches, text_of, write_table
+from billweave.llm.shared import Memo, discard, held_alone, small_batches, text_of, write_table
 
 BLOCK_IDS = 1 << 18  # a block closes at the first document end beyond that
 # Ids travel as text: beside a null, pandas would turn whole numbers into doubles and round those above 2^53.
@@ -116,7 +115,7 @@ class Words:
         return [ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
 
 
-@functools.lru_cache(maxsize=2)
+@held_alone
 def _words(path: str) -> Words:
     return Words(path)
 

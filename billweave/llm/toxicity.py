@@ -9,7 +9,6 @@ Learning is distributed: `SHARDS` groups of labelled rows run FTRL apart, their
 the next pass starts from the average.
 """
 
-import functools
 import re
 from collections.abc import Iterator
 
@@ -20,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from billweave.llm.blocks import pack, pack_keys, unpack, unpack_keys
-from billweave.llm.shared import Memo, discard, small_batches, text_of, write_table, written
+from billweave.llm.shared import Memo, discard, held_alone, small_batches, text_of, write_table, written
 
 BITS = 22
 STEM = 4
@@ -36,7 +35,7 @@ MIXERS = tuple(map(np.uint64, (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 STATE = "shard int, coordinate int, z float, n float"  # single precision between passes: half the shuffle
 
 
-@functools.lru_cache(maxsize=1)
+@held_alone
 def _memo() -> Memo:
     return Memo(lambda word: xxhash.xxh3_64_intdigest(word.encode()), 200_000)
 

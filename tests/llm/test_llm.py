@@ -1,11 +1,13 @@
 """The training-data operators against brute force, exact round trips and held-out accuracy, and on odd rows."""
 
+import gc
 import itertools
 import math
 import os
 import random
 import re
 import time
+import weakref
 import zlib
 from collections import Counter
 
@@ -22,7 +24,7 @@ from billweave.llm import blocks, line_dedup, lm_scores, minhash, mixing, piece_
 from billweave.llm import components as component_rounds
 from billweave.llm import queries as registered
 from billweave.llm.components import components
-from billweave.llm.shared import recorded, written
+from billweave.llm.shared import let_go, recorded, written
 
 FOLDER = "/root/testdata/sf0.001"
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -131,6 +133,13 @@ def test_keys_of_a_block_are_those_of_its_lines():
     assert len(distinct) == len({k for _, _, k in expected})
 
 
+def test_texts_without_repeated_lines_are_made_once(spark):
+    docs = spark.createDataFrame([(1, "one line\nanother"), (2, "one line"), (None, None)], "doc_id long, text string")
+    kept = line_dedup.without_repeated_lines(docs)
+    assert kept._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    assert {(r.doc_id, r.text) for r in kept.collect()} == {(1, "one line\nanother"), (None, None)}
+
+
 def test_lines_equal_brute_force(spark, monkeypatch):
     monkeypatch.setattr(line_dedup, "HOT", 4)  # so that keys are cut into blocks
     chance, base = random.Random(5), "the quick brown fox jumps over the lazy dog again and again"
@@ -209,10 +218,23 @@ def test_a_task_remembers_the_words_of_many_batches():
     pieces, made = piece_codec.PieceModel(PIECES), []
     pieces.words.compute = lambda word: made.append(word) or b""
     for _ in range(2):
-        for k in range(30):
+        for k in range(20):
             pieces.words.turn()
             pieces.encode(" ".join(f"w{n}" for n in range(5000 * k, 5000 * k + 5000)))
-    assert len(made) == 150_000
+    assert len(made) == 100_000
+
+
+def test_a_worker_keeps_what_one_operator_needs():
+    assert toxicity._memo() is toxicity._memo()
+    first = toxicity._memo()
+    first["word"]
+    pieces = piece_codec.model(PIECES)
+    assert piece_codec.model(PIECES) is pieces and toxicity._memo() is not first
+    kept = weakref.ref(piece_codec.model(PIECES))
+    del pieces
+    let_go()
+    gc.collect()
+    assert kept() is None and "word" not in toxicity._memo()
 
 
 def test_few_links_are_followed_in_one_task(spark, monkeypatch):
