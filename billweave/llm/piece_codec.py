@@ -7,11 +7,13 @@ one match of the piece automaton that ends there and is compatible with the last
 it. The table of last pieces takes one pass over the matches, and the ids come from walking it backwards.
 """
 
+import functools
 import re
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +26,174 @@ PARTS = re.compile(f"{MARK}*[^{MARK}\n]+|\n|{MARK}+")
 UNJOINED = float("-inf")
 COMPATIBLE_KEPT = 200_000  # answers of the pair test that a task remembers
 WORDS_KEPT = 120_000  # words of a generation of the memo
+PLAIN_WORDS = 10_000  # words that `PlainWords` encodes at once
+PLAIN_LONG = 64  # characters of the longest word that `PlainWords` takes
+PAIR_BITS = 20  # of the table of pair tests in `PlainWords`
+PAIR_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+class Merges:
+    """The pair tests of `PieceModel` for many pairs at once: every step makes the best merge of each pair that is left."""
+
+    def __init__(self, pieces: "PieceModel"):
+        ids, size = pieces.id_of, pieces.size
+
+        def symbol(text: str) -> int | None:
+            return ids.get(text, size + ord(text) if len(text) == 1 else None)
+
+        longest = max(map(len, ids), default=1)
+        self.size, self.symbols, self.length = size, np.full((size, longest), -1, np.int64), np.zeros(size, np.int64)
+        joins = {}
+        for piece, i in ids.items():
+            self.symbols[i, : len(piece)], self.length[i] = [symbol(c) for c in piece], len(piece)
+            for k in range(1, len(piece)):
+                left, right = symbol(piece[:k]), symbol(piece[k:])
+                if left is not None and right is not None:
+                    joins[left << 22 | right] = (pieces.score[piece], i)
+        self.keys = np.array(sorted(joins), np.int64)
+        self.gain = np.array([*(joins[k][0] for k in self.keys.tolist()), UNJOINED])
+        self.joined = np.array([*(joins[k][1] for k in self.keys.tolist()), -1], np.int64)
+
+    def _join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The place of each union in `gain` and `joined`; the last one where there is none."""
+        keys = left << 22 | right
+        at = np.searchsorted(self.keys, keys)
+        known = (left >= 0) & (right >= 0) & (at < len(self.keys))
+        known[known] = self.keys[at[known]] == keys[known]
+        return np.where(known, at, len(self.keys))
+
+    def _symbols(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        piece = np.minimum(tokens, self.size - 1)
+        symbols, length = self.symbols[piece], self.length[piece]
+        alone = tokens >= self.size
+        symbols[alone], length[alone] = -1, 1
+        symbols[alone, 0] = tokens[alone]
+        return symbols, length
+
+    def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether no merge joins the two tokens of a pair."""
+        (a, n), (b, m) = self._symbols(left), self._symbols(right)
+        row, column = np.arange(len(left))[:, None], np.arange(int((n + m).max()) + 1)
+        behind = np.clip(column - n[:, None], 0, b.shape[1] - 1)
+        symbols = np.where(column < n[:, None], a[row, np.minimum(column, a.shape[1] - 1)], np.where(column < (n + m)[:, None], b[row, behind], -1))
+        joins = self._join(symbols[:, :-1], symbols[:, 1:])
+        answers, pair, column = np.zeros(len(left), bool), np.arange(len(left)), column[:-1]
+        while len(pair):
+            gains = self.gain[joins]
+            k = gains.argmax(axis=1)  # of equal ones the leftmost
+            row = np.arange(len(pair))
+            over = gains[row, k] == UNJOINED
+            answers[pair[over]] = True
+            go = ~over & (k != n - 1)
+            pair, n, k, symbols, joins = pair[go], n[go], k[go], symbols[go], joins[go]
+            if not len(pair):
+                break
+            row, n = np.arange(len(pair)), n - (k < n - 1)
+            made = self.joined[joins[row, k]]
+            later = column > k[:, None]
+            symbols = np.hstack([np.where(later, symbols[:, 1:], symbols[:, :-1]), np.full((len(pair), 1), -1)])
+            # where the last symbol came up, none is left behind it
+            symbols[row, k] = made
+            moved = np.hstack([joins[:, 1:], np.full((len(pair), 1), len(self.keys))])
+            joins = np.where(later, moved, joins)
+            joins[row, k] = self._join(made, symbols[row, k + 1])
+            front = np.flatnonzero(k > 0)
+            joins[front, k[front] - 1] = self._join(symbols[front, k[front] - 1], made[front])
+        return answers
+
+
+class PlainWords:
+    """The prefix tables of many short words of Latin-1 characters at once, in numpy. They are filled by the place in the word: first all prefixes
+    of one character, then those of two and so on. The mark is the character 0 here; it also parts the words."""
+
+    def __init__(self, pieces: "PieceModel"):
+        self.size, self.merges = pieces.size, Merges(pieces)
+        made = {piece.replace(MARK, "\0"): i for piece, (i, _) in pieces.automaton.items() if "\0" not in piece}
+        plain = {piece: i for piece, i in made.items() if max(piece) < "\u0100"}
+        for value in range(1, 128):  # characters without a piece stand for themselves, above the vocabulary
+            plain.setdefault(chr(value), pieces.size + value)
+        letters = "".join(re.escape(c) for c in plain if len(c) == 1 and c != "\0")
+        self.takes = re.compile(f"[{letters}]{{1,{PLAIN_LONG}}}").fullmatch
+        children, tokens = [{}], [-1]
+        for piece, i in plain.items():
+            node = 0
+            for value in piece.encode("latin-1"):
+                if value not in children[node]:
+                    children[node][value] = len(children)
+                    children.append({})
+                    tokens.append(-1)
+                node = children[node][value]
+            tokens[node] = i
+        self.child, self.token = np.zeros((len(children), 256), np.uint16 if len(children) < 1 << 16 else np.int32), np.array(tokens, np.int32)
+        for node, below in enumerate(children):
+            self.child[node, list(below)] = list(below.values())
+        self.pairs, self.apart = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
+        self.fallback = np.array(pieces.fallback[:128], np.int32)
+
+    def _apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The pair tests of `PieceModel`, by a table that keeps the last pair of each of its places."""
+        keys = left.astype(np.int64) << 22 | right
+        at = (keys.view(np.uint64) * PAIR_MIX >> np.uint64(64 - PAIR_BITS)).view(np.int64)
+        answers, new = self.apart[at], np.flatnonzero(self.pairs[at] != keys)
+        if len(new):
+            asked, where = np.unique(keys[new], return_inverse=True)
+            found = self.merges.apart(asked >> 22, asked & 0x3FFFFF)
+            answers[new] = found[where]
+            places = (asked.view(np.uint64) * PAIR_MIX >> np.uint64(64 - PAIR_BITS)).view(np.int64)
+            places, first = np.unique(places, return_index=True)
+            self.pairs[places], self.apart[places] = asked[first], found[first]
+        return answers
+
+    def encode(self, words: list[str]) -> list[bytes]:
+        """Packed ids of words that `takes` matches, each after a mark, or with a line end before it."""
+        if not words:
+            return []
+        text = np.frombuffer(("\0" + "\0".join(words) + "\0" * 2).encode("latin-1"), np.uint8)
+        n = len(text) - 2
+        marks = np.flatnonzero(text[:n] == 0)
+        ends = np.append(marks[1:], n)
+        begins = marks + (text[marks + 1] == 10)  # no mark before a line end
+        begin = np.repeat(begins, ends - marks)
+        # all pieces at all places; none goes beyond its word, as no piece has a mark behind another character
+        at, node, width, found = np.arange(n), self.child[0, text[:n]], 1, []
+        while len(at):
+            token = self.token[node]
+            hit = token >= 0
+            found.append((at[hit], token[hit], np.full(np.count_nonzero(hit), width)))
+            node = self.child[node, text[np.minimum(at + width, n)]]
+            alive = node > 0
+            at, node, width = at[alive], node[alive], width + 1
+        start, token, widths = (np.concatenate(column) for column in zip(*found))
+        place = start + widths - begin[start]
+        inside = place > 0
+        start, token, widths, place = start[inside], token[inside], widths[inside], place[inside]
+        order = np.argsort(place.astype(np.int16), kind="stable")
+        start, token, widths = start[order], token[order], widths[order]
+        limits = np.append(0, np.cumsum(np.bincount(place)))
+        last, length = np.full(n + 1, -1, np.int32), np.ones(n + 1, np.int64)
+        for a, b in zip(limits[:-1], limits[1:]):
+            s, t, w = start[a:b], token[a:b], widths[a:b]
+            fits = s == begin[s]
+            rest = np.flatnonzero(~fits & (last[s] >= 0))
+            fits[rest] = self._apart(last[s[rest]], t[rest])
+            s, t, w = s[fits], t[fits], w[fits]
+            last[s + w], length[s + w] = t, w
+        taken, at, word = [], ends, np.arange(len(words))
+        while len(at):
+            taken.append((word, last[at]))
+            at = at - length[at]
+            more = at > begins[word]
+            at, word = at[more], word[more]
+        sizes = np.bincount(np.concatenate([word for word, _ in taken]), minlength=len(words))
+        closes = np.cumsum(sizes)
+        ids = np.empty(closes[-1], np.int32)
+        for k, (word, token) in enumerate(taken):
+            ids[closes[word] - 1 - k] = token
+        if len(ids) and ids.min() < 0:
+            raise ValueError("a prefix has no last piece")
+        ids = np.where(ids < self.size, ids, self.fallback[np.maximum(ids - self.size, 0)]).astype("<i4").tobytes()
+        cuts = (4 * closes).tolist()
+        return [ids[a:b] for a, b in zip([0, *cuts[:-1]], cuts)]
 
 
 class PieceModel:
@@ -58,17 +228,21 @@ class PieceModel:
         if n_bytes != 256:
             raise ValueError("the model has no byte fallback")
         self.text_of = {i: piece for piece, i in self.id_of.items()}
-        # Only single symbols and pieces that the merges really make can be in a result.
-        self.automaton = ahocorasick.Automaton()
-        for piece, i in self.id_of.items():
-            if self._merged(piece) == [piece]:
-                self.automaton.add_word(piece, (i, len(piece)))
-        self.automaton.make_automaton()
         self.compatible: dict[int, bool] = {}
         # Where no piece joins a letter to a following space or to a line end, words can be encoded apart.
         self.apart = not any(MARK in piece.lstrip(MARK) or ("\n" in piece and len(piece) > 1) for piece in self.score)
         self.words, self.parts = Memo(self._word, WORDS_KEPT), Memo(self._packed)
 
+    @functools.cached_property
+    def automaton(self) -> ahocorasick.Automaton:
+        """Only single symbols and pieces that the merges really make can be in a result. Decoding alone does without."""
+        automaton = ahocorasick.Automaton()
+        for piece, i in self.id_of.items():
+            if self._merged(piece) == [piece]:
+                automaton.add_word(piece, (i, len(piece)))
+        automaton.make_automaton()
+        return automaton
+
     def _merged(self, text: str) -> list[str]:
         """The merges themselves, for strings as short as two pieces."""
         symbols, score = list(text), self.score.get
@@ -150,6 +324,65 @@ class PieceModel:
             return b"".join(map(self.parts.__getitem__, PARTS.findall(MARK + text.replace(" ", MARK))))
         return b"".join(map(self.words.__getitem__, words))
 
+    @functools.cached_property
+    def plain(self) -> PlainWords:
+        return PlainWords(self)
+
+    def _learn(self, words: list[str]) -> None:
+        """Have all the words in the memo."""
+        memo = self.words
+        new = [word for word in words if word not in memo]
+        memo.update({word: memo.old[word] for word in new if word in memo.old})
+        new = [word for word in new if word not in memo]
+        plain = [word for word in new if self.plain.takes(word)]
+        for k in range(0, len(plain), PLAIN_WORDS):
+            part = plain[k : k + PLAIN_WORDS]
+            memo.update(zip(part, self.plain.encode(part)))
+        memo.update({word: self._word(word) for word in new if word not in memo})
+
+    def encode_all(self, texts: pa.Array) -> list[bytes]:
+        """`encode` of every text. Texts are split and their distinct words numbered in Arrow, so only distinct words are looked up."""
+        self.words.turn()
+        self.parts.turn()
+        if not self.apart:
+            return [self.encode(text) for text in texts.to_pylist()]
+        spaced = pc.replace_substring(pc.replace_substring(texts.cast(pa.large_string()), MARK, " "), "\n", " \n")
+        bare = pc.or_(pc.starts_with(spaced, " "), pc.or_(pc.ends_with(spaced, " "), pc.match_substring(spaced, "  ")))
+        bare = pc.or_(bare, pc.equal(spaced, ""))  # texts with empty words
+        split = pc.split_pattern(spaced.filter(pc.invert(bare)), " ")
+        words = split.flatten().dictionary_encode()
+        distinct = words.dictionary.to_pylist()
+        self._learn(distinct)
+        packed = [self.words[word] for word in distinct]
+        sizes = np.array([len(p) // 4 for p in packed], np.int64)
+        lists = pa.LargeListArray.from_arrays(np.append(0, np.cumsum(sizes)), np.frombuffer(b"".join(packed), "<i4"))
+        ids = lists.take(words.indices).flatten().to_numpy()
+        ends = np.append(0, np.cumsum(sizes[words.indices.to_numpy()]))[split.offsets.to_numpy()]
+        coded = iter([ids[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])])
+        return [self.encode(text.as_py()) if alone else next(coded) for text, alone in zip(texts, bare.to_pylist())]
+
+    @functools.cached_property
+    def raw(self) -> pa.Array:
+        return pa.array(self.bytes_of, pa.large_binary())
+
+    def decode_all(self, ids: np.ndarray, ends: np.ndarray) -> list[str]:
+        """`decode` of the lists that lie between neighbouring `ends`, their bytes taken in one step."""
+        taken = self.raw.take(pa.array(ids))
+        offsets = np.frombuffer(taken.buffers()[1], np.int64, len(ids) + 1)
+        raw = taken.buffers()[2]
+        raw = raw.to_pybytes() if raw is not None else b""
+        limits, texts = offsets[ends].tolist(), []
+        for a, b, first, end in zip(limits[:-1], limits[1:], ends[:-1].tolist(), ends[1:].tolist()):
+            while first < end and offsets[first + 1] == offsets[first]:
+                first += 1
+            if first < end and self.starts_marked[ids[first]]:
+                a += 1
+            try:
+                texts.append(raw[a:b].decode())
+            except UnicodeDecodeError:
+                texts.append(self.decode(ids[first:end]))
+        return texts
+
     def decode(self, ids) -> str:
         """Text of ids; a byte that is no part of a character becomes U+FFFD."""
         ids = ids.tolist() if hasattr(ids, "tolist") else list(ids)
@@ -186,10 +419,7 @@ def with_pieces(docs: DataFrame, path: str, text: str = "text", ids: str = "piec
 
     @F.arrow_udf(ArrayType(IntegerType()))
     def encode(texts: pa.Array) -> pa.Array:
-        pieces = model(path)
-        pieces.words.turn()
-        pieces.parts.turn()
-        packed = [pieces.encode(value) for value in texts.to_pylist()]
+        packed = model(path).encode_all(texts)
         ends = np.cumsum([0] + [len(p) // 4 for p in packed])
         values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(packed))])
         return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
@@ -203,8 +433,8 @@ def with_text(docs: DataFrame, path: str, ids: str = "piece_ids", text: str = "d
 
     @F.arrow_udf(StringType())
     def decode(lists: pa.Array) -> pa.Array:
-        pieces = model(path)
-        values, offsets = lists.values.to_numpy(), lists.offsets.to_numpy()
-        return pa.array([pieces.decode(values[a:b]) for a, b in zip(offsets[:-1], offsets[1:])], pa.string())
+        offsets = lists.offsets.to_numpy()
+        first = int(offsets[0])
+        return pa.array(model(path).decode_all(lists.values.to_numpy()[first : int(offsets[-1])], offsets - first), pa.string())
 
     return docs.withColumn(text, decode(F.coalesce(F.col(ids), F.array().cast("array<int>"))))

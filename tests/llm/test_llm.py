@@ -13,6 +13,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -224,6 +225,22 @@ def test_a_task_remembers_the_words_of_many_batches():
     assert len(made) == 100_000
 
 
+def test_the_words_of_a_batch_are_encoded_together(monkeypatch):
+    library, pieces = sentencepiece.SentencePieceProcessor(model_file=PIECES), piece_codec.PieceModel(PIECES)
+    chance = random.Random(2)
+    made = [" ".join("".join(chance.choices("aaeehtnéßñ0'.\r", k=chance.randint(1, 60))) for _ in range(40)) for _ in range(50)]
+    monkeypatch.setattr(pieces, "_word", lambda word: pytest.fail("a word on its own"))
+    coded = pieces.encode_all(pa.array(made))
+    assert [np.frombuffer(ids, np.int32).tolist() for ids in coded] == library.encode(made)
+    monkeypatch.undo()
+    odd = ["", " a", "a  b", "\nfoo\n", "x\n\ny z", "▁x y▁", "a\0b \x07c", "日本 語é", "a " + "y" * 70, "ÿ ÷ ¿ \x80", "", "é"]
+    coded = pieces.encode_all(pa.array(odd))
+    assert [np.frombuffer(ids, np.int32).tolist() for ids in coded] == library.encode(odd)
+    cut = [0, *np.cumsum([len(ids) // 4 for ids in coded])]
+    assert pieces.decode_all(np.frombuffer(b"".join(coded), np.int32), np.array(cut)) == library.decode(library.encode(odd))
+    assert pieces.encode_all(pa.array([], pa.string())) == []
+
+
 def test_a_worker_keeps_what_one_operator_needs():
     assert toxicity._memo() is toxicity._memo()
     first = toxicity._memo()
