@@ -9,6 +9,7 @@ it. The table of last pieces takes one pass over the matches, and the ids come f
 
 import functools
 import re
+from array import array
 
 import ahocorasick
 import numpy as np
@@ -27,6 +28,7 @@ UNJOINED = float("-inf")
 COMPATIBLE_KEPT = 200_000  # answers of the pair test that a task remembers
 WORDS_KEPT = 120_000  # words of a generation of the memo
 PLAIN_WORDS = 10_000  # words that `PlainWords` encodes at once
+PAIRS_AT_ONCE = 4_000  # pairs whose merges are made at once
 PLAIN_LONG = 64  # characters of the longest word that `PlainWords` takes
 PAIR_BITS = 20  # of the table of pair tests in `PlainWords`
 PAIR_MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -42,17 +44,20 @@ class Merges:
             return ids.get(text, size + ord(text) if len(text) == 1 else None)
 
         longest = max(map(len, ids), default=1)
-        self.size, self.symbols, self.length = size, np.full((size, longest), -1, np.int64), np.zeros(size, np.int64)
-        joins = {}
+        self.size, self.symbols, self.length = size, np.full((size, longest), -1, np.int32), np.zeros(size, np.int64)
+        keys, gains, joined = array("q"), array("d"), array("i")
         for piece, i in ids.items():
             self.symbols[i, : len(piece)], self.length[i] = [symbol(c) for c in piece], len(piece)
             for k in range(1, len(piece)):
                 left, right = symbol(piece[:k]), symbol(piece[k:])
                 if left is not None and right is not None:
-                    joins[left << 22 | right] = (pieces.score[piece], i)
-        self.keys = np.array(sorted(joins), np.int64)
-        self.gain = np.array([*(joins[k][0] for k in self.keys.tolist()), UNJOINED])
-        self.joined = np.array([*(joins[k][1] for k in self.keys.tolist()), -1], np.int64)
+                    keys.append(left << 22 | right)
+                    gains.append(pieces.score[piece])
+                    joined.append(i)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys = np.array(keys, np.int64)[order]
+        self.gain = np.append(np.array(gains, np.float64)[order], UNJOINED)
+        self.joined = np.append(np.array(joined, np.int64)[order], -1)
 
     def _join(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The place of each union in `gain` and `joined`; the last one where there is none."""
@@ -64,7 +69,7 @@ class Merges:
 
     def _symbols(self, tokens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         piece = np.minimum(tokens, self.size - 1)
-        symbols, length = self.symbols[piece], self.length[piece]
+        symbols, length = self.symbols[piece, : int(self.length[piece].max())].astype(np.int64), self.length[piece]
         alone = tokens >= self.size
         symbols[alone], length[alone] = -1, 1
         symbols[alone, 0] = tokens[alone]
@@ -72,6 +77,10 @@ class Merges:
 
     def apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """Whether no merge joins the two tokens of a pair."""
+        cuts = range(0, len(left), PAIRS_AT_ONCE)
+        return np.concatenate([self._some_apart(left[k : k + PAIRS_AT_ONCE], right[k : k + PAIRS_AT_ONCE]) for k in cuts])
+
+    def _some_apart(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         (a, n), (b, m) = self._symbols(left), self._symbols(right)
         row, column = np.arange(len(left))[:, None], np.arange(int((n + m).max()) + 1)
         behind = np.clip(column - n[:, None], 0, b.shape[1] - 1)
@@ -114,19 +123,16 @@ class PlainWords:
             plain.setdefault(chr(value), pieces.size + value)
         letters = "".join(re.escape(c) for c in plain if len(c) == 1 and c != "\0")
         self.takes = re.compile(f"[{letters}]{{1,{PLAIN_LONG}}}").fullmatch
-        children, tokens = [{}], [-1]
+        most = sum(map(len, plain)) + 1
+        child, tokens, used = np.zeros((most, 256), np.uint16 if most < 1 << 16 else np.int32), np.full(most, -1, np.int32), 1
         for piece, i in plain.items():
             node = 0
             for value in piece.encode("latin-1"):
-                if value not in children[node]:
-                    children[node][value] = len(children)
-                    children.append({})
-                    tokens.append(-1)
-                node = children[node][value]
+                if not child[node, value]:
+                    child[node, value], used = used, used + 1
+                node = int(child[node, value])
             tokens[node] = i
-        self.child, self.token = np.zeros((len(children), 256), np.uint16 if len(children) < 1 << 16 else np.int32), np.array(tokens, np.int32)
-        for node, below in enumerate(children):
-            self.child[node, list(below)] = list(below.values())
+        self.child, self.token = child[:used].astype(np.uint16 if used < 1 << 16 else np.int32), tokens[:used].copy()
         self.pairs, self.apart = np.full(1 << PAIR_BITS, -1, np.int64), np.zeros(1 << PAIR_BITS, bool)
         self.fallback = np.array(pieces.fallback[:128], np.int32)
 
